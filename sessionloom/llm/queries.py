@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, topk
+from . import htmltext, langid, packing, tokens, topk
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
+    "op4_html": htmltext.op4_html,
+    "op5_tokens": tokens.op5_tokens,
+    "op9_packing": packing.op9_packing,
     "op10_topk": topk.op10_topk,
 }
 SQL = {
