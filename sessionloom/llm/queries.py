@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, packing, tokens, topk
+from . import htmltext, langid, packing, tokens, topk, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_langid": langid.op2_langid,
     "op4_html": htmltext.op4_html,
     "op5_tokens": tokens.op5_tokens,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_topk": topk.op10_topk,
 }
 SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op10_topk": topk.OP10_SQL,
 }
