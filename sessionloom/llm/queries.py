@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, packing, tokens, topk, warc
+from . import htmltext, langid, packing, quality, tokens, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_langid": langid.op2_langid,
+    "op3_quality": quality.op3_quality,
     "op4_html": htmltext.op4_html,
     "op5_tokens": tokens.op5_tokens,
     "op9_packing": packing.op9_packing,
