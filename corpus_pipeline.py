@@ -1,8 +1,56 @@
-"""Corpus pipeline; its stages are filled in as the operators land."""
+"""Corpus pipeline: documents in, packed training sequences out.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and all but the last return the columns of ``docs``. A
+stage sees all rows its predecessor kept and its decisions take effect: rows go, or are packed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sessionloom.llm import decontaminate, langid, neardup, packing, quality, tokens
+from sessionloom.llm.common import table, written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those without letters go."""
+    return langid.keep_known(docs)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of at least 0.3."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each near-duplicate group."""
+    return neardup.keep_first(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in training sequences."""
+    return packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("quality", good),
+    ("near_duplicates", distinct),
+    ("decontamination", clean),
+    ("packing", packed),
+]
+#: Trained models and library tokenizers are beyond SQL; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, langid, neardup, packing, quality, tokens, topk, warc
+from . import chat, decontaminate, htmltext, langid, neardup, packing, quality, tokens, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_html": htmltext.op4_html,
     "op5_tokens": tokens.op5_tokens,
+    "op6_chat": chat.op6_chat,
     "op7_neardup": neardup.op7_neardup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op6_chat": chat.OP6_SQL,
     "op7_neardup": neardup.OP7_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op10_topk": topk.OP10_SQL,
