@@ -631,3 +631,44 @@ def heuristic_enrichment(spark, sf_dir):
 def short_texts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").filter("text IS NULL OR octet_length(text) <= 40")
     return rows.select("doc_id", T.cut_bytes(F.col("text"), 40).alias("short"))
+
+
+# -- event-time windows (an addition: batch runs of what the streams do) -------------------------
+
+
+def _stamped(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _shown(rows: DataFrame, window: str) -> DataFrame:
+    text = lambda c: F.date_format(c, D.STAMP)
+    return rows.withColumn("start", text(F.col(f"{window}.start"))).withColumn("end", text(F.col(f"{window}.end"))).drop(window)
+
+
+@query("""--raw
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS "end",
+    event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2, 3""")
+def event_windows_tumbling(spark, sf_dir):
+    from ..streaming.tail import tumbling
+
+    return _shown(tumbling(_stamped(spark, sf_dir), "ts", "1 hour", "event_type"), "window")
+
+
+@query("""--raw
+    WITH w AS (SELECT date_trunc('hour', ts) - to_hours(CAST(i AS INTEGER)) AS s, value FROM events, range(2) r(i))
+    SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n, round(sum(value), 6) AS total FROM w GROUP BY 1, 2""")
+def event_windows_sliding(spark, sf_dir):
+    from ..streaming.tail import tumbling
+
+    return _shown(tumbling(_stamped(spark, sf_dir), "ts", "2 hours", slide="1 hour"), "window")
+
+
+@query("""--raw
+    WITH l AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM l)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n, round(sum(value), 6) AS total
+    FROM g GROUP BY user_id, run""")
+def event_windows_session(spark, sf_dir):
+    from ..streaming.tail import session_windows
+
+    return _shown(session_windows(_stamped(spark, sf_dir), "ts", "6 hours", "user_id"), "session_window")

@@ -1,0 +1,168 @@
+"""Ingestion of a small tree of artifacts, twice, and tailing of a growing file."""
+
+import hashlib
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from sessionloom.operators import store
+from sessionloom.sources import ingest, scan, sessions
+from sessionloom.streaming import tail
+
+A, B = "aaaaaaaa-0000-0000-0000-000000000001", "aaaaaaaa-0000-0000-0000-000000000002"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def user(uuid, sid, content, ts="2026-02-01T10:00:00Z"):
+    return {"type": "user", "uuid": uuid, "sessionId": sid, "timestamp": ts, "cwd": "/home/x/proj", "gitBranch": "main", "message": {"role": "user", "content": content}, "odd": 1}
+
+
+def assistant(uuid, sid, content, ts="2026-02-01T10:00:01Z"):
+    return {"type": "assistant", "uuid": uuid, "parentUuid": "u1", "sessionId": sid, "timestamp": ts, "message": {"role": "assistant", "model": "m-1", "stop_reason": "end_turn", "content": content}}
+
+
+@pytest.fixture(scope="module")
+def root(tmp_path_factory):
+    top = tmp_path_factory.mktemp("artifacts")
+
+    def put(path, data):
+        at = top / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(data if isinstance(data, str) else json.dumps(data))
+
+    log = [
+        {"type": "summary", "summary": "What was done", "leafUuid": "leaf"},
+        user("u1", A, "Please read the file, key sk-" + "a" * 48),
+        assistant("a1", A, [{"type": "thinking", "thinking": "secret plan"}, {"type": "text", "text": "Reading"}, {"type": "tool_use", "id": "t1", "name": "Read", "input": {"file_path": "/x/main.py", "b": 1}}]),
+        user("u2", A, [{"type": "tool_result", "tool_use_id": "t1", "content": "print(1)"}]),
+        {"type": "progress", "toolUseID": "t1"},
+        {"type": "queue-operation"},
+        {"type": "file-history-snapshot", "x": 1},
+        {"type": "system", "uuid": "s1", "sessionId": A, "timestamp": "2026-02-01T10:00:05Z", "durationMs": 12, "content": "note"},
+    ]
+    put(f"projects/p/{A}.jsonl", "\n".join([*map(json.dumps, log), "not json", '{"type":"strange"}', ""]) + "\n")
+    put(f"projects/p/{B}.jsonl", json.dumps(user("v1", B, "Please read the file, key sk-" + "a" * 48)) + "\n")
+    put("projects/p/sessions-index.json", {"originalPath": "/home/x/proj", "entries": [{"sessionId": A, "firstPrompt": "Please", "messageCount": 5, "created": "2026-02-01"}]})
+    put(f"projects/p/{A}/tool-results/toolu_1.txt", "raw")
+    put(f"tasks/{A}/1.json", {"id": "1", "subject": "s", "description": "d", "status": "open", "blocks": [], "blockedBy": ["2", "3"]})
+    put("usage-data/facets/f1.json", {"outcome": "success", "goal_categories": {"fix": 2}})
+    put("stats-cache.json", {"version": 1, "dailyActivity": [{"date": "2026-02-01", "messageCount": 3}], "modelUsage": {"m-1": {"input_tokens": 3697899746}}})
+    put("history.jsonl", '{"display":"first prompt","timestamp":1}\n{"display":"  "}\nbad\n')
+    put("plans/a.md", "# Plan\nstep")
+    put("plans/blank.md", "  \n")
+    put("debug/x.jsonl", "{}")
+    put("settings.json", "{}")
+    put("tmp/h/chats/session-1.json", {"sessionId": "g1", "projectHash": "0123456789", "startTime": "t0", "lastUpdated": "t1", "messages": [
+        {"id": "g-m1", "timestamp": "t0", "type": "user", "content": "hello"},
+        {"id": "g-m2", "timestamp": "t1", "type": "model", "content": [{"text": "par"}, {"text": "ts"}], "thoughts": [{"subject": "s", "description": "d", "timestamp": "t"}], "toolCalls": [{"id": "gt", "name": "ls", "args": {"b": 1, "a": 2}, "result": [1]}]},
+    ]})
+    roll = [
+        {"timestamp": "0", "type": "request_item", "payload": {"content": "too early"}},
+        {"timestamp": "1", "type": "session_meta", "payload": {"id": "c1", "timestamp": "1", "cwd": "/w/repo", "cli_version": "9"}},
+        {"timestamp": "2", "type": "tool_call", "payload": {"id": "x0", "name": "sh", "input": {}}},
+        {"timestamp": "3", "type": "request_item", "payload": {"content": "ask"}},
+        {"timestamp": "4", "type": "response_item", "payload": {"content": [{"text": "ans"}, {"text": "wer"}]}},
+        {"timestamp": "5", "type": "tool_call", "payload": {"id": "x1", "name": "sh", "input": {"c": "ls"}}},
+        {"timestamp": "6", "type": "tool_response", "payload": {"toolUseId": "x1", "content": "out"}},
+        {"timestamp": "7", "type": "plan_update", "payload": {"plan": "do it"}},
+        {"timestamp": "8", "type": "task_update", "payload": {"id": "k", "subject": "a", "description": "b", "status": "open", "blockedBy": ["j"]}},
+        {"timestamp": "9", "type": "task_update", "payload": {"id": "k", "subject": "a", "description": "b", "status": "done"}},
+    ]
+    put("sessions/2026/rollout-1.jsonl", "\n".join(map(json.dumps, roll)) + "\n")
+    return str(top)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, root):
+    return ingest.ingest(spark, root)
+
+
+def test_manifest_classifies_and_skips(spark, root):
+    kinds = {r["kind"]: r["n"] for r in scan.manifest(spark, root).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {"session_log": 2, "session_index": 1, "tool_result": 1, "task": 1, "facet": 1, "stats_cache": 1, "history": 1, "plan": 2, "chat_session": 1, "rollout": 1}
+    assert scan.manifest(spark, root, ["plans/*"]).filter("kind = 'plan'").count() == 0
+
+
+def test_messages(tables):
+    rows = {r["id"]: r for r in tables["messages"].collect()}
+    assert set(rows) == {"summary-leaf", "u1", "a1", "u2", "s1", "v1", "g-m1", "g-m2", "c1-0", "c1-1"}
+    assert rows["summary-leaf"]["session_id"] == A and rows["summary-leaf"]["timestamp"] == ""
+    assert rows["a1"]["model"] == "m-1" and rows["s1"]["duration_ms"] == 12
+    assert (rows["c1-0"]["type"], rows["c1-1"]["type"]) == ("user", "assistant")
+    assert rows["s1"]["fingerprint"] == sha("system2026-02-01T10:00:05Z" + sha("note"))
+    assert rows["summary-leaf"]["fingerprint"] == sha("summaryWhat was done")
+    tool = sha("Read" + sha('{"b":1,"file_path":"/x/main.py"}'))
+    assert rows["a1"]["fingerprint"] == sha("assistant2026-02-01T10:00:01Z" + sha("secret plan") + sha("Reading") + tool)
+
+
+def test_store_redacts_and_deduplicates(tables):
+    blobs = {r["hash"]: r for r in tables["content_store"].collect()}
+    prompt = "Please read the file, key sk-" + "a" * 48
+    assert blobs[sha(prompt)]["content"] == "Please read the file, key [REDACTED]"
+    assert tables["blob_references"].filter(F.col("hash") == sha(prompt)).count() == 2
+    kinds = {r["kind"] for r in blobs.values()}
+    assert {"user_text", "text", "thinking", "tool_input", "tool_output", "system", "summary", "plan"} <= kinds
+    assert blobs[sha('{"a":2,"b":1}')]["kind"] == "tool_input"
+    searchable = {r["kind"] for r in tables["search"].collect()}
+    assert "thinking" not in searchable and "tool_input" not in searchable
+
+
+def test_tools_and_files(tables):
+    calls = {r["id"]: r for r in tables["tool_calls"].collect()}
+    assert calls["t1"]["output_hash"] == sha('"print(1)"') and calls["gt"]["output_hash"] == sha("[1]")
+    assert calls["x0"]["message_id"] == "c1-init" and calls["x0"]["output_hash"] is None
+    assert calls["x1"]["message_id"] == "c1-1" and calls["x1"]["output_hash"] == sha('"out"')
+    files = tables["file_references"].collect()
+    assert [(f["file_path"], f["operation"], f["message_id"]) for f in files] == [("/x/main.py", "read", "u2")]
+    blocks = {(b["message_id"], b["block_index"]) for b in tables["content_blocks"].collect()}
+    assert {("a1", 0), ("a1", 1), ("a1", 2), ("g-m2", 0), ("g-m2", 1), ("g-m2", 1000), ("c1-1", 1000 + ord("x")), ("c1-0", 2000 + ord("x"))} <= blocks
+
+
+def test_structured(spark, root, tables):
+    found = {r["id"]: r for r in tables["sessions"].collect()}
+    assert set(found) == {A, B, "g1", "c1"}
+    assert found[A]["project_slug"] == "proj" and found[A]["message_count"] == 5 and found[B]["project_slug"] == "proj"
+    assert tables["task_dependencies"].count() == 2 and tables["tasks"].first()["session_id"] == A
+    assert tables["session_outcomes"].first()["session_id"] == "f1"
+    assert tables["model_usage"].first()["input_tokens"] == 3697899746 and tables["daily_stats"].first()["session_count"] == 0
+    assert sorted(r["kind"] for r in tables["notes"].collect()) == ["history_prompt", "plan"]
+    assert {r["file"].rsplit("/")[-1]: r["parse_errors"] for r in tables["parse_errors"].collect()} == {f"{A}.jsonl": 2, f"{B}.jsonl": 0}
+    paths = [r["path"] for r in tables["manifest"].filter("kind = 'rollout'").collect()]
+    assert sessions.rollout_sessions(sessions.lines(spark, paths)).first()["app_version"] == "9"
+    task = sessions.rollout_tasks(sessions.lines(spark, paths)).first()
+    assert (task["id"], task["status"], task["blocked_by"]) == ("k", "done", [])
+
+
+def test_ingesting_twice_changes_nothing(spark, root, tables):
+    again = ingest.ingest(spark, root, tables["manifest"].unionByName(tables["manifest"]))
+    for name in ("messages", "content_blocks", "tool_calls", "content_store", "file_references"):
+        assert again[name].count() == tables[name].count(), name
+
+
+def test_change_detection(spark):
+    known = spark.createDataFrame([("a", 1, 10, 10), ("b", 1, 10, 7), ("d", 1, 1, 1)], "path string, mtime long, size long, offset long")
+    now = spark.createDataFrame([("a", 1, 10), ("b", 2, 12), ("c", 1, 5)], "path string, mtime long, size long")
+    assert {r["path"]: (r["status"], r["start"]) for r in store.changes(now, known).collect()} == {"a": ("unchanged", 0), "b": ("modified", 7), "c": ("new", 0)}
+    assert [r["path"] for r in store.deleted(now, known).collect()] == ["d"]
+
+
+def test_tail_reads_complete_lines_once(spark, tmp_path):
+    log = tmp_path / "in" / "a.jsonl"
+    os.makedirs(log.parent)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def run():
+        tail.store_new(tail.tail(spark, f"{log.parent}/*.jsonl"), out, state).awaitTermination(120)
+        return sorted(r["value"] for r in spark.read.schema("file string, line_offset long, value string").parquet(out).collect())
+
+    log.write_text("one\n\ntwo\nthr")
+    assert run() == ["one", "two"]
+    with log.open("a") as f:
+        f.write("ee\nfour\n")
+    assert run() == ["four", "one", "three", "two"]
+    assert run() == ["four", "one", "three", "two"]
