@@ -199,7 +199,8 @@ def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``documents``; other columns are ignored.
 
     Null texts, and texts without words, have the empty set and are linked with nothing. Rows
-    with one set are linked. Repeated rows each get a row; a null doc_id is linked with nothing.
+    with one set are linked. Repeated rows each get a row; a row without a doc_id is
+    in no group: its component is null and it is kept.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = written(map_arrow(docs, _sketched, "doc_id long, n_shingles long, print string"), "prints")
@@ -214,8 +215,9 @@ def groups(documents: DataFrame) -> DataFrame:
     members = written(keys.join(crowded, "key", "left_semi"), "members")
     labels = _linked(members, sketches, texts)
     of_class = written(classes.join(labels, "id", "left").select("print", F.coalesce("label", "id").alias("component")), "of_class")
-    out = prints.join(of_class, "print", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = prints.join(of_class, "print", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
