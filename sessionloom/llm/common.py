@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,9 +64,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, what)
+    spark = df.sparkSession
+    path = new_path(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of finished steps now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def blocks(spark: SparkSession, df: DataFrame, order: str, rows: int) -> list[DataFrame]:

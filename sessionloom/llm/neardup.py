@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, written
+from .common import map_arrow, release, table, written
 from .words import SPACED, mixed, word_hashes
 
 SHINGLE = 2
@@ -107,7 +107,11 @@ def _sketched(batches):
     for batch in batches:
         sets = shingle_sets(batch.column(1).to_pylist())
         prints = [None if not len(s) else f"{int(s.sum(dtype=np.uint64)):016x}{int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)):016x}" for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.string())], ["doc_id", "n_shingles", "print"])
+        found = [registers(s).tobytes() if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.string()), pa.array(found, pa.binary())],
+            ["doc_id", "n_shingles", "print", "sketch"],
+        )
 
 
 def _with_sets(batches):
@@ -116,19 +120,9 @@ def _with_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"])
 
 
-def _with_registers(batches):
-    for batch in batches:
-        sets = shingle_sets(batch.column(1).to_pylist())
-        found = [registers(s) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([x.astype(np.uint8).tobytes() for x in found], pa.binary())],
-            ["id", "n", "sketch", "low"],
-        )
-
-
 def _with_keys(batches):
     for batch in batches:
-        keys = [band_keys(np.frombuffer(s, np.uint8)) for s in batch.column(1).to_pylist()]
+        keys = [band_keys(np.frombuffer(s, np.uint16).astype(np.uint8)) for s in batch.column(1).to_pylist()]
         if keys:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, BANDS))], ["key", "id"])
@@ -189,34 +183,33 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         now = after.select("id", "label")
 
 
-def _centred(members: DataFrame) -> DataFrame:
-    """Links (a, b) of each bucket's members to its smallest member, each once. members: (key, id)."""
-    centre = written(members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a"), "centres")
-    return members.join(centre, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-
-
 def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``documents``; other columns are ignored.
 
-    Null texts, and texts without words, have the empty set and are linked with nothing. Rows
+    Rows of one doc_id are one document, whose links are those of all its texts. Null texts, and
+    texts without words, have the empty set and are linked with nothing. Rows
     with one set are linked. Repeated rows each get a row; a row without a doc_id is
     in no group: its component is null and it is kept.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = written(map_arrow(docs, _sketched, "doc_id long, n_shingles long, print string"), "prints")
+    prints = written(map_arrow(docs, _sketched, "doc_id long, n_shingles long, print string, sketch binary"), "prints")
     classes = written(
-        prints.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")),
+        prints.filter("print IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("print")
+        .agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")),
         "classes",
     )
-    texts = docs.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
-    sketches = written(map_arrow(texts, _with_registers, "id long, n long, sketch binary, low binary"), "sketches")
-    keys = map_arrow(sketches.select("id", "low"), _with_keys, "key long, id long")
-    crowded = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    members = written(keys.join(crowded, "key", "left_semi"), "members")
+    keys = map_arrow(classes.select("id", "sketch"), _with_keys, "key long, id long")
+    centres = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a"), "centres")
+    members = written(keys.join(centres, "key"), "members")
+    active = members.select("id").distinct()
+    sketches = written(classes.select("id", "n", "sketch").join(active, "id", "left_semi"), "sketches")
+    texts = written(docs.withColumnRenamed("doc_id", "id").join(active, "id", "left_semi"), "texts")
+    release(docs.sparkSession)
     labels = _linked(members, sketches, texts)
     of_class = written(classes.join(labels, "id", "left").select("print", F.coalesce("label", "id").alias("component")), "of_class")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = prints.join(of_class, "print", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = prints.drop("sketch").join(of_class, "print", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -241,7 +234,7 @@ def _apart(batches):
     def pairs(rows: list) -> list[tuple[int, int]]:
         ids, comps, n = (np.array([r[i] for r in rows]) for i in (2, 3, 5))
         every, minor = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
-        low = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
+        low = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).astype(np.uint8).reshape(len(rows), REGISTERS)
         band, mine, out = rows[0][0] & 63, np.flatnonzero(~every), []
         for y in np.flatnonzero(every):
             once = ~minor[mine] | (ids[mine] > ids[y])
@@ -284,7 +277,7 @@ def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts
     In a bucket that holds several components, members outside its largest one are few; they
     meet every block of BLOCK members of the bucket, so no task gets a bucket whole.
     """
-    placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
+    placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     mixed_keys = written(
         sizes.groupBy("key").agg(F.sum("m").alias("m"), F.count("*").alias("c"), F.max_by("comp", F.struct("m", "comp")).alias("large")).filter("c > 1").select("key", "m", "large"),
@@ -297,16 +290,18 @@ def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts
     every = rows.filter("minor").select("key", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), "id", "comp", F.lit(True).alias("every"), "minor")
     needed = written(one.select("id").distinct(), "needed")
     small = map_arrow(texts.join(needed, "id", "left_semi"), _with_small_sets, "id long, small binary")
-    data = written(sketches.select("id", "n", "low").join(small, "id"), "data")
+    data = written(sketches.join(small, "id"), "data")
     rows = one.unionByName(every).join(data, "id")
     parts = max(12, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block")
-    return map_arrow(dealt.select("key", "block", "id", "comp", "low", "n", "every", "minor", "small"), _apart, "a long, b long").distinct()
+    return map_arrow(dealt.select("key", "block", "id", "comp", "sketch", "n", "every", "minor", "small"), _apart, "a long, b long").distinct()
 
 
 def _linked(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, label) of all ids that are linked with another."""
-    links = written(confirmed(_centred(members), sketches, texts), "confirmed")
+    star = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    links = written(confirmed(star, sketches, texts), "confirmed")
+    release(texts.sparkSession)
     labels = components(links)
     more = written(confirmed(_remaining(members, labels, sketches, texts), sketches, texts), "confirmed")
     return components(more, labels)
