@@ -24,10 +24,12 @@ NEVER = frozenset(
     "head script style noscript template iframe object svg math canvas audio video nav header footer aside form "
     "button select option textarea input label dialog menu".split()
 )
-#: Words of class, id or role that mark the same. Matched as whole words of the attribute.
+#: Words of class, id or role that mark reader comments, on any element, as whole words of the attribute.
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+#: Words that mark other parts beside an article; an article inside such an element counts none the less.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
-    "gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments disqus reply replies "
+    "gdpr notice notices alert popup modal overlay newsletter subscribe signup "
     "sidebar aside menu menubar nav navbar navigation breadcrumb breadcrumbs header footer masthead related "
     "recommended share sharing social toolbar complementary contentinfo search widget pagination pager skip".split()
 )
@@ -44,49 +46,71 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text parts, tags, link code points, region, in article, excluded]."""
+    """Lines of a page: [text parts, tags, link code points, region, in article]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.stack: list[tuple[str, bool, int]] = []  # open elements that matter: name, excluded, region
-        self.excluded = self.in_article = self.links = self.regions = 0
+        # open elements that matter: name, how it is excluded ('', 'always' or 'beside'), region, exclusions it suspends
+        self.stack: list[tuple[str, str, int, int]] = []
+        self.always = self.beside = self.in_article = self.links = self.regions = 0
         self.line = None
 
     def _break(self) -> None:
         self.line = None
 
     def _region(self) -> int:
-        return next((r for _, _, r in reversed(self.stack) if r), 0)
+        return next((e[2] for e in reversed(self.stack) if e[2]), 0)
 
     def _current(self) -> list:
         if self.line is None:
-            self.line = [[], 0, 0, self._region(), self.in_article > 0, self.excluded > 0]
+            self.line = [[], 0, 0, self._region(), self.in_article > 0]
             self.lines.append(self.line)
         return self.line
 
-    def _marked(self, attrs) -> bool:
+    def _exclusion(self, tag, attrs) -> str:
+        if tag in NEVER:
+            return "always"
+        words: set[str] = set()
         for name, value in attrs:
-            if value and name in ("class", "id", "role") and not MARKS.isdisjoint(_WORD.findall(value.lower())):
-                return True
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-        return False
+                return "always"
+            if value and name in ("class", "id", "role"):
+                words.update(_WORD.findall(value.lower()))
+        if tag in ("html", "body", "main"):
+            return ""
+        if not COMMENTS.isdisjoint(words):
+            return "always"
+        return "" if tag in ARTICLE or MARKS.isdisjoint(words) else "beside"
+
+    def _close(self, i: int) -> None:
+        """End the open elements from number ``i`` on."""
+        for name, out, _, suspended in reversed(self.stack[i:]):
+            self.always -= out == "always"
+            self.beside += suspended - (out == "beside")
+            self.in_article -= name in ARTICLE
+            if out:
+                self._break()
+        del self.stack[i:]
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._break()
+            if tag != "br" and self.stack and (self.stack[-1][0] == "p" or self.stack[-1][0] == tag == "li"):
+                self._close(len(self.stack) - 1)  # these need no end tag
         if tag in VOID:
             if tag not in BLOCKS and self.line is not None:
                 self.line[1] += 1
             return
-        out = tag in NEVER or (tag not in ("html", "body", *ARTICLE) and self._marked(attrs))
+        out = self._exclusion(tag, attrs)
         if out:
             self._break()
         if out or tag in REGIONS or tag in BLOCKS and tag not in ("p", "li", "dt", "dd", "html"):
             self.regions += tag in REGIONS
-            self.stack.append((tag, out, self.regions if tag in REGIONS else 0))
-            self.excluded += out
+            suspended = self.beside if tag in ARTICLE else 0
+            self.stack.append((tag, out, self.regions if tag in REGIONS else 0, suspended))
+            self.always += out == "always"
+            self.beside += (out == "beside") - suspended
             self.in_article += tag in ARTICLE
         self.links += tag == "a"
         if tag not in BLOCKS and self.line is not None:
@@ -103,16 +127,11 @@ class Lines(HTMLParser):
             self.links = max(0, self.links - 1)
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                for name, out, _ in self.stack[i:]:
-                    self.excluded -= out
-                    self.in_article -= name in ARTICLE
-                    if out:
-                        self._break()
-                del self.stack[i:]
+                self._close(i)
                 break
 
     def handle_data(self, data):
-        if self.excluded:
+        if self.always or self.beside:
             return
         line = self._current()
         line[0].append(data)
@@ -146,9 +165,9 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     lines = []
-    for parts, tags, linked, region, inside, out in parser.lines:
+    for parts, tags, linked, region, inside in parser.lines:
         text = " ".join("".join(parts).split())
-        if text and not out:
+        if text:
             lines.append((text, tags, linked, region, inside))
     if any(x[4] for x in lines):
         lines = [x for x in lines if x[4]]

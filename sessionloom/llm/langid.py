@@ -23,10 +23,15 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Code points that are scored at once.
 SLICE = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+_LIKELY_LETTER = re.compile(r"[^\W\d_]")
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    found = _LIKELY_LETTER.search(text)
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def _points(text: str) -> np.ndarray:
     """Lower-cased code points with two zeros at both ends, so that no n-gram spans two texts."""
     return np.frombuffer(("\0\0" + text.lower() + "\0\0").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -66,8 +71,12 @@ def _summed(texts: list[str], logs: np.ndarray) -> np.ndarray:
                 for h in _ngrams(part):
                     here[0] += logs[h[:SLICE]].sum(axis=0)
             continue
-        for h in _ngrams(points):
-            here += np.add.reduceat(logs[h], np.minimum(starts, len(h) - 1), axis=0)
+        ends = np.append(starts[1:], len(points))
+        for order, h in enumerate(_ngrams(points)):
+            values = logs[h]
+            for j in range(1, order + 1):  # n-grams that begin in one text and end in the next
+                values[(ends - j)[ends - j < len(h)]] = 0
+            here += np.add.reduceat(values, np.minimum(starts, len(h) - 1), axis=0)
     return out
 
 
@@ -115,7 +124,7 @@ def train(documents: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[st
 
 def predict(texts: list[str | None], langs: list[str], prior: np.ndarray, logs: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and its posterior probability; UNKNOWN and 0 without letters or without a model."""
-    known = [bool(langs) and t is not None and _LETTER.search(t) is not None for t in texts]
+    known = [bool(langs) and t is not None and has_letter(t) for t in texts]
     names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     at = np.flatnonzero(known)
     if len(at):

@@ -87,6 +87,10 @@ CASES = [
     ("<article><p>cut off <b>here", "cut off here"),
     ("<article><p>a<br>b</article></html>", "a\nb"),
     ("<script>only", ""),
+    ("<div class='page with-sidebar'><div class=sidebar>s</div><article><p>kept</article><p>beside</div>", "kept"),
+    ("<article><p>a</p><section id='comments'><article class='comment'><p>bad</p></article></section></article><p>out", "a"),
+    ("<main><p class=notice>no<p>yes<ul><li class=ad>no<li>item</ul></main>", "yes\nitem"),
+    ("<main><p>m</p><p hidden>no</p></main>", "m"),
 ]
 
 
