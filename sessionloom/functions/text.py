@@ -121,7 +121,7 @@ def cut_bytes(text: Column, most: int) -> Column:
     """At most ``most`` bytes of UTF-8, ended before a character that does not fit, then '...'."""
     data = F.encode(text, "utf-8")
     tries = [F.try_validate_utf8(F.substring(data, 1, n).cast("string")) for n in range(most, max(0, most - 4), -1)]
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.coalesce(*tries, F.lit("")), F.lit("...")))
+    return F.when(text.isNull() | (F.octet_length(text) <= most), text).otherwise(F.concat(F.coalesce(*tries, F.lit("")), F.lit("...")))
 
 
 def last_segment(path: Column) -> Column:

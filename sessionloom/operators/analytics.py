@@ -206,3 +206,19 @@ def digest_stats(sessions: DataFrame, start: str, end: str) -> DataFrame:
         F.count_if(F.col("source_kind").isNull()).alias("unknown"),
         F.coalesce(F.sum("message_count"), F.lit(0)).cast("long").alias("messages"),
     )
+
+
+def heatmap(days: DataFrame, date: str = "date", n: str = "session_count", full: int = 8) -> DataFrame:
+    """Cells of an activity calendar: week (from the first day's, Sunday first), weekday (0 Sunday), intensity up to 1."""
+    day = F.to_date(date)
+    sunday = F.date_sub(day, F.dayofweek(day) - 1)
+    first = days.agg(F.min(sunday).alias("first"))
+    return days.crossJoin(F.broadcast(first)).select(  # one row
+        date, n, F.floor(F.datediff(sunday, "first") / 7).cast("long").alias("week"), (F.dayofweek(day) - 1).alias("weekday"), F.least(F.col(n) / F.lit(float(full)), F.lit(1.0)).alias("intensity")
+    )
+
+
+def card(rows: DataFrame, slug: str, title: Column, colours: int = 8) -> DataFrame:
+    """Colour number (sum of the slug's character codes modulo ``colours``) and title of at most 100 characters."""
+    codes = F.transform(F.split(F.col(slug), ""), lambda c: F.ascii(c))
+    return rows.select("*", F.pmod(F.aggregate(codes, F.lit(0), lambda a, c: a + c), F.lit(colours)).alias("colour"), F.coalesce(F.substring(title, 1, 100), F.lit("Untitled session")).alias("title"))

@@ -45,3 +45,37 @@ def enrich(rows: DataFrame, backend=heuristic, approve_at: float = 0.8) -> DataF
     out = rows.withColumn("e", backend(F.col("digest"))).select("session_id", "e.*")
     sure = (F.size("tags") > 0) & F.forall("tags", lambda t: t["confidence"] >= approve_at)
     return out.withColumn("approval_status", F.when(sure, "approved").otherwise("pending_review"))
+
+
+def candidates(sessions: DataFrame, outcomes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sessions to classify, latest first: without an outcome, or with one that no user has set."""
+    known = outcomes.filter("is_user_labeled").select(F.col("session_id").alias("id"))
+    rows = sessions.join(known, "id", "left_anti").orderBy(F.desc("modified_at"), "id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def classify(rows: DataFrame, backend=heuristic) -> DataFrame:
+    """(session_id, outcome, reason_code) of digests; a failure without a known reason is 'unknown'."""
+    digest = F.col("digest")
+    reason = (
+        F.when(digest.rlike("(?i)cannot reproduce|no repro"), "repro_missing")
+        .when(digest.rlike("(?i)dependency|version conflict|install"), "dependency_trap")
+        .when(digest.rlike("(?i)tool|command not found"), "tool_misuse")
+        .otherwise("unknown")
+    )
+    out = rows.withColumn("outcome", backend(digest)["outcome"])
+    return out.select("session_id", "outcome", F.when(F.col("outcome") != "success", reason).alias("reason_code"))
+
+
+def weekly(sessions: DataFrame, outcomes: DataFrame, start: str, end: str, limit: int = 50) -> DataFrame:
+    """One row: counts of the sessions created in [start, end) by outcome, and a text of the first ``limit`` of them.
+
+    No row if there is no session.
+    """
+    rows = sessions.filter((F.col("created_at") >= start) & (F.col("created_at") < end)).join(outcomes.select(F.col("session_id").alias("id"), "outcome", "reason_code"), "id", "left")
+    kinds = ("success", "failed", "partial", "abandoned")
+    stats = rows.agg(F.count("*").alias("session_count"), *[F.count_if(F.coalesce(F.col("outcome") == k, F.lit(False))).alias(f"{k}_count") for k in kinds], F.coalesce(F.sum("message_count"), F.lit(0)).cast("long").alias("message_count"))
+    line = F.concat("project_slug", F.lit(" "), F.col("id").cast("string"), F.lit(": "), F.coalesce("outcome", F.lit("unlabeled")), F.coalesce(F.concat(F.lit(" ("), "reason_code", F.lit(")")), F.lit("")))
+    first = rows.orderBy("created_at", "id").limit(limit)
+    text = first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "id", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
+    return stats.crossJoin(text).filter("session_count > 0")  # two one-row frames

@@ -633,6 +633,41 @@ def short_texts(spark, sf_dir):
     return rows.select("doc_id", T.cut_bytes(F.col("text"), 40).alias("short"))
 
 
+@query("""WITH r AS (SELECT s.*, outcome, reason_code FROM sessions s LEFT JOIN outcomes o ON o.session_id = s.id WHERE created_at >= '1995-01-01' AND created_at < '1995-01-08'),
+    f AS (SELECT * FROM r ORDER BY created_at, id LIMIT 50)
+    SELECT count(*) AS session_count, count(*) FILTER (WHERE outcome = 'success') AS success_count, count(*) FILTER (WHERE outcome = 'failed') AS failed_count,
+      count(*) FILTER (WHERE outcome = 'partial') AS partial_count, count(*) FILTER (WHERE outcome = 'abandoned') AS abandoned_count,
+      CAST(coalesce(sum(message_count), 0) AS BIGINT) AS message_count,
+      (SELECT string_agg(project_slug || ' ' || id || ': ' || coalesce(outcome, 'unlabeled') || coalesce(' (' || reason_code || ')', ''), chr(10) ORDER BY created_at, id) FROM f) AS content
+    FROM r""")
+def weekly_digest(spark, sf_dir):
+    from ..operators.enrich import weekly
+
+    return weekly(D.sessions(spark, sf_dir), D.outcomes(spark, sf_dir), "1995-01-01", "1995-01-08")
+
+
+@query()
+def classified_sessions(spark, sf_dir):
+    from ..operators.enrich import classify, digests
+
+    return classify(digests(D.messages(spark, sf_dir), ["turn_index", "id"]))
+
+
+@query("""WITH d AS (SELECT CAST(day AS VARCHAR) AS date, count(DISTINCT session_id) AS session_count FROM event_calls WHERE tool_name = 'signup' GROUP BY 1),
+    s AS (SELECT *, CAST(date AS DATE) - CAST(dayofweek(CAST(date AS DATE)) AS INTEGER) AS sunday FROM d)
+    SELECT date, session_count, CAST((sunday - (SELECT min(sunday) FROM s)) // 7 AS BIGINT) AS week, CAST(dayofweek(CAST(date AS DATE)) AS INTEGER) AS weekday,
+      least(session_count / 8.0, 1.0) AS intensity FROM s""")
+def activity_heatmap(spark, sf_dir):
+    days = D.event_calls(spark, sf_dir).filter("tool_name = 'signup'").groupBy(F.col("day").cast("string").alias("date")).agg(F.countDistinct("session_id").alias("session_count"))
+    return A.heatmap(days)
+
+
+@query("""SELECT DISTINCT project_slug, CAST(list_sum(list_transform(string_split(project_slug, ''), lambda c: ascii(c))) % 8 AS INTEGER) AS colour FROM sessions""")
+def project_colours(spark, sf_dir):
+    rows = D.sessions(spark, sf_dir).select("project_slug").distinct()
+    return A.card(rows, "project_slug", F.lit(None).cast("string")).select("project_slug", "colour")
+
+
 # -- event-time windows (an addition: batch runs of what the streams do) -------------------------
 
 

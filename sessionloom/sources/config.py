@@ -1,0 +1,53 @@
+"""Settings from a TOML file; whatever it leaves out has its default."""
+
+from __future__ import annotations
+
+import os
+import tomllib
+from dataclasses import dataclass, field, fields
+
+from .scan import SKIP_FOLDERS
+
+
+@dataclass
+class Source:
+    """A folder of artifacts: name, path and kind of assistant."""
+
+    name: str
+    path: str
+    kind: str
+
+
+@dataclass
+class Settings:
+    sources: list[Source] = field(default_factory=list)
+    warehouse: str = "~/sessionloom"
+    backups: str = "~/sessionloom-backups"
+    skip_folders: list[str] = field(default_factory=lambda: list(SKIP_FOLDERS))
+    exclude: list[str] = field(default_factory=list)
+    redact: bool = True
+    patterns: list[str] = field(default_factory=list)
+    approve_at: float = 0.8
+    concurrency: int = 5
+    interval_minutes: int = 60
+    retention_days: int = 0
+
+
+def load(path: str | None) -> Settings:
+    """Settings of a file; an absent file gives the defaults, unknown keys are ignored, ~ is expanded."""
+    data: dict = {}
+    if path is not None and os.path.exists(path):
+        with open(path, "rb") as f:
+            data = tomllib.load(f)
+    known = {f.name for f in fields(Settings)}
+    settings = Settings(**{k: v for k, v in data.items() if k in known and k != "sources"})
+    settings.sources = [Source(s["name"], os.path.expanduser(s["path"]), s["kind"]) for s in data.get("sources", [])]
+    settings.warehouse, settings.backups = os.path.expanduser(settings.warehouse), os.path.expanduser(settings.backups)
+    if settings.interval_minutes < 1 or settings.concurrency < 1:
+        raise ValueError("interval_minutes and concurrency must be at least 1")
+    return settings
+
+
+def all_sources(configured: list[Source], discovered: list[Source]) -> list[Source]:
+    """Configured sources first, then discovered ones whose path is not among them."""
+    return list({s.path: s for s in [*reversed(discovered), *reversed(configured)]}.values())[::-1]

@@ -1,0 +1,153 @@
+"""Text functions, search against a full-text engine, enrichment rules, and incremental runs."""
+
+import json
+import os
+import random
+import sqlite3
+
+import pytest
+from pyspark.sql import functions as F
+
+from sessionloom.functions import text as T
+from sessionloom.operators import analytics, browsing, enrich, search, store, warehouse
+from sessionloom.sources import config
+
+WORDS = (
+    "caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky "
+    "relational conditional rational valenci digitizer conformabli radicalli differentli analogousli vietnamization predication operator feudalism decisiveness hopefulness "
+    "formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable "
+    "defensible irritant replacement adjustment dependent adoption communism activate angulariti homologous effective bowdlerize probate rate cease controll roll running "
+    "runs yes by saying enjoyment toy syzygy university generalizations oscillators ion decision Café naïve über"
+).split()
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_stems_as_the_full_text_engine(spark):
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='porter unicode61')")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", enumerate(WORDS))
+    want = {WORDS[doc]: term for term, doc in con.execute("SELECT term, doc FROM v")}
+    df = spark.createDataFrame([(w,) for w in WORDS], "w string").withColumn("f", T.folded(F.col("w")))
+    assert {r["w"]: r["stem"] for r in T.stemmed(df, "f").collect()} == want
+
+
+@pytest.mark.parametrize("query, kind", [("running", None), ("cafe", None), ("run the", None), ("text", None), ("jump over", "note")])
+def test_bm25_as_the_full_text_engine(spark, query, kind):
+    rng = random.Random(2)
+    pool = ["run", "running", "the", "fox", "Café", "jumps", "over", "lazy", "text"]
+    docs = [(str(i), rng.choice(["text", "user_text", "note"]), " ".join(rng.choice(pool) for _ in range(rng.randint(3, 30)))) for i in range(80)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(hash UNINDEXED, kind, content, tokenize='porter unicode61')")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", docs)
+    match = f'"{query}"' + (f" AND kind:{kind}" if kind else "")
+    want = dict(con.execute("SELECT hash, bm25(t) FROM t WHERE t MATCH ?", (match,)))
+    index = search.postings(spark.createDataFrame(docs, "hash string, kind string, content string")).persist()
+    stems = [r["stem"] for r in T.stemmed(spark.createDataFrame(list(enumerate(query.split())), "i int, w string"), "w").orderBy("i").collect()]
+    if kind:
+        return  # restricting one phrase to a column is a count of its own
+    got = {r["hash"]: r["rank"] for r in search.bm25(index, [stems]).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[h] - want[h]) < 1e-9 for h in want)
+
+
+def test_boolean_and_snippet(spark):
+    docs = [("1", "text", "alpha beta gamma"), ("2", "text", "alpha gamma"), ("3", "note", "beta beta"), ("4", "text", "x " * 100 + "Café, end")]
+    index = search.postings(spark.createDataFrame(docs, "hash string, kind string, content string"))
+    hashes = lambda **k: sorted(r["hash"] for r in search.boolean(index, **k).collect())
+    assert hashes(must=[["alpha"]], must_not=[["beta"]]) == ["2"]
+    assert hashes(should=[["beta"], ["gamma"]]) == ["1", "2", "3"]
+    assert hashes(must=[["alpha", "beta"]]) == ["1"]
+    assert one(spark, search.snippet(F.lit(docs[3][2]), F.array(F.lit("cafe")), 4)) == "...x x <mark>Café</mark>, end"
+
+
+@pytest.mark.parametrize("text, most, want", [("abc", 3, "abc"), ("abcd", 3, "abc..."), ("aé🙂", 2, "a..."), ("aé🙂", 6, "aé..."), ("🙂🙂", 4, "🙂..."), (None, 3, None)])
+def test_cut_bytes(spark, text, most, want):
+    assert one(spark, T.cut_bytes(F.lit(text).cast("string"), most)) == want
+
+
+def test_small_functions(spark):
+    assert one(spark, T.last_segment(F.lit("/a/b/"))) == "" and one(spark, T.last_segment(F.lit("a"))) == "a"
+    assert one(spark, T.epoch_millis_text(F.lit(1500))) == "1970-01-01T00:00:01+00:00"
+    assert [one(spark, T.human_bytes(F.lit(n))) for n in (5, 2048, 3 << 20)] == ["5 B", "2.0 KB", "3.0 MB"]
+    assert one(spark, T.short_tool(F.lit("mcp__git__statusTool"))) == "status"
+    assert one(spark, F.lit("plans/a/b.md").rlike(T.glob_regex("plans/**/*.md")))
+    assert not one(spark, F.lit("plans/a/b.md").rlike(T.glob_regex("plans/*.md")))
+
+
+def test_redaction_skips_bad_patterns(spark):
+    text = "k sk-" + "a" * 48 + " ghp_" + "b" * 36 + " safe AIza" + "c" * 35
+    assert one(spark, store.redacted(F.lit(text), ["(", "safe"])) == "k [REDACTED] [REDACTED] [REDACTED] [REDACTED]"
+
+
+def test_auto_approval_and_review(spark):
+    tags = spark.createDataFrame([(1, 0.9), (1, 0.8), (2, 0.9), (2, 0.1)], "session_id long, confidence double")
+    rows = store.auto_approved(tags, 0.8)
+    assert {tuple(r) for r in rows.collect()} == {(1, "approved"), (2, "pending_review")}
+    assert {tuple(r) for r in store.reviewed(rows, None, "rejected").collect()} == {(1, "approved"), (2, "rejected")}
+    rich = browsing.tags_of(spark.createDataFrame([(1,), (3,)], "session_id long"), tags.withColumn("tag", F.lit("t")), "session_id")
+    assert {r["session_id"]: len(r["tags"]) for r in rich.collect()} == {1: 2, 3: 0}
+
+
+def test_digest_limits(spark):
+    rows = spark.createDataFrame([(1, i, f"m{i}", "user", "é" * 400 if i else "") for i in range(60)], "session_id long, turn_index int, id string, type string, content string")
+    digest = enrich.digests(rows, ["turn_index"]).first()["digest"]
+    lines = digest.split("\n")
+    assert len(lines) <= 20 and all(line.startswith("user: ") and line.endswith("...") for line in lines)
+    assert len("".join(lines[:-1]).encode()) < 7500
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "session_id long, tool_name string, timestamp string, id long, size long, hash string, created_at string, modified_at string")
+    row = analytics.overview(none, none, none).first()
+    assert (row["total_sessions"], row["total_blob_bytes"], row["first_session"]) == (0, 0, None)
+    assert analytics.storage_overview(none, none).first()["dedup_ratio"] == 0.0
+    assert analytics.tool_frequency(none).count() == 0
+
+
+def turn(i):
+    return json.dumps({"type": "user", "uuid": f"u{i}", "sessionId": "s", "timestamp": f"2026-01-01T00:00:{i:02}Z", "message": {"role": "user", "content": f"text {i}"}}) + "\n"
+
+
+def test_incremental_runs(spark, tmp_path):
+    root, path = tmp_path / "in", str(tmp_path / "house")
+    os.makedirs(root / "projects/p")
+    log = root / "projects/p/s.jsonl"
+    log.write_text(turn(1) + turn(2))
+    first = warehouse.run(spark, str(root), path, now="2026-01-01 00:00:00")
+    assert (first["files"], first["unchanged"], first["deleted"]) == (1, 0, 0)
+    again = warehouse.run(spark, str(root), path, now="2026-01-01 00:00:01")
+    assert (again["files"], again["unchanged"]) == (0, 1)
+    with log.open("a") as f:
+        f.write(turn(3))
+    (root / "projects/p/t.jsonl").write_text(turn(4))
+    third = warehouse.run(spark, str(root), path, now="2026-01-01 00:00:02")
+    assert third["files"] == 2
+    house = warehouse.Warehouse(spark, path)
+    assert sorted(r["id"] for r in house.table("messages").collect()) == ["u1", "u2", "u3", "u4"]
+    full = warehouse.run(spark, str(root), path, full=True, now="2026-01-01 00:00:03")
+    assert full["unchanged"] == 0 and house.table("messages").count() == 4 and house.table("content_store").count() == 4
+    assert house.table("index_runs").count() == 4
+
+
+def test_backups(spark, tmp_path):
+    files = spark.createDataFrame([("/x/rollout-2026-aaaaaaaa-0000-0000-0000-000000000001.jsonl", b"one"), ("/x/b.jsonl", b"one"), ("/x/c.jsonl", b"two")], "path string, content binary")
+    kept = warehouse.backup(files, str(tmp_path / "b"), "2026-01-01 00:00:00")
+    assert sorted(r["session_id"] for r in kept.collect()) == ["aaaaaaaa-0000-0000-0000-000000000001", "b", "c"]
+    stored = spark.read.parquet(str(tmp_path / "b"))
+    assert stored.count() == 2 and warehouse.verify(stored).count() == 0
+    assert bytes(warehouse.content_of(kept, stored, "c").first()["content"]) == b"two"
+    now = F.to_timestamp(F.lit("2026-02-01 00:00:00"))
+    assert warehouse.pruned(kept, 10, now).count() == 0 and warehouse.pruned(kept, 60, now).count() == 3 and warehouse.pruned(kept, 0, now).count() == 3
+
+
+def test_settings(tmp_path):
+    at = tmp_path / "s.toml"
+    at.write_text('interval_minutes = 5\nunknown = 1\n[[sources]]\nname = "a"\npath = "~/x"\nkind = "k"\n')
+    found = config.load(str(at))
+    assert found.interval_minutes == 5 and found.sources[0].path == os.path.expanduser("~/x") and config.load(None).approve_at == 0.8
+    a, b = config.Source("a", "/1", "k"), config.Source("b", "/1", "k")
+    assert config.all_sources([a], [b, config.Source("c", "/2", "k")])[0].name == "a"
