@@ -4,7 +4,7 @@ Archives are written by Spark's text sink, each record ended by CRLF CRLF, and r
 text source, split at the magic ``WARC/1.``. So both ways work on any store that Spark reaches
 and large files are split among tasks.
 
-Every magic is only a candidate record: a payload may hold it too. Each task links its
+Every magic is only a candidate record: a header or payload may hold it too. Each task links its
 candidates to their successors (start + header + Content-Length + end) and follows those links
 inside its own split, which leaves one exit for each candidate. Pointer jumping over these
 exits, from the start of each file, finds where the true chain enters each split; walking the
@@ -32,6 +32,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always written whole.
 LEAST_REVISIT = 0
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
+_BREAK = re.compile(rb"[\r\n]")
 
 
 def base32_sha1(column: Column) -> Column:
@@ -96,8 +97,8 @@ def write(pages: DataFrame, path: str, **how) -> None:
 # -- reading -------------------------------------------------------------------------------
 
 
-def _header(data: bytes) -> tuple[dict[str, str], int] | None:
-    """Fields of a record that begins with the minor version, and where its block begins."""
+def _fields(data: bytes) -> tuple[dict[str, str], int] | tuple[()] | None:
+    """Fields of a header that begins with the minor version, and where its block begins; () if the header goes on at the next magic."""
     line = data.find(b"\r\n")
     if line < 1 or not data[:line].isdigit():
         return None
@@ -105,14 +106,20 @@ def _header(data: bytes) -> tuple[dict[str, str], int] | None:
     while not data.startswith(b"\r\n", at):
         m = _FIELD.match(data, at)
         if m is None:
-            return None
+            return None if _BREAK.search(data, at) else ()
         fields[m[1].decode("utf-8", "replace").strip().lower()] = m[2].decode("utf-8", "replace").strip()
         at = m.end()
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
-        return None
     return fields, at + 2
 
 
+def _header(data: bytes) -> tuple[dict[str, str], int] | tuple[()] | None:
+    """``_fields`` of a record's header; None if it lacks what every record has."""
+    found = _fields(data)
+    if found and (not found[0].get("content-length", "").isdigit() or "warc-type" not in found[0]):
+        return None
+    return found
+
+
 def _parsed(fields: dict[str, str], block: bytes) -> tuple:
     """Record type, id, URI, refers-to, stated digest, payload length and payload digest (stated for revisits)."""
     http, _, payload = block.partition(b"\r\n\r\n")
@@ -126,10 +133,11 @@ def _parsed(fields: dict[str, str], block: bytes) -> tuple:
 
 _FIELDS = ["record_type", "record_id", "uri", "refers_to", "stated_digest", "payload_bytes", "payload_digest"]
 _FIELD_TYPES = "record_type string, record_id string, uri string, refers_to string, stated_digest string, payload_bytes long, payload_digest string"
-_LINKS = f"file string, split long, size long, rel long, next long, exit long, whole boolean, {_FIELD_TYPES}"
+_LINKS = f"file string, split long, size long, rel long, next long, exit long, whole boolean, {_FIELD_TYPES}, head binary"
 _LINK_SCHEMA = pa.schema(
     [("file", pa.string()), ("split", pa.int64()), ("size", pa.int64()), ("rel", pa.int64()), ("next", pa.int64()), ("exit", pa.int64()), ("whole", pa.bool_())]
     + [(f, pa.int64() if f == "payload_bytes" else pa.string()) for f in _FIELDS]
+    + [("head", pa.binary())]
 )
 
 
@@ -140,37 +148,56 @@ class _Split:
         self.file, self.split, self.at = file, split, 0
         self.rows: list[list] = []
         self.open: list[list] = []  # candidates whose record has not ended: [row, fields, block begin, parts, got, need]
+        self.heads: list[list] = []  # candidates whose header has not ended: [row, parts]
 
     def line(self, data: bytes) -> None:
         for entry in self.open:  # a magic inside a payload: the line goes on with it
             entry[3] += (MAGIC, data)
             entry[4] += len(MAGIC) + len(data)
-        if self.at or self.split:
-            rel = self.at - len(MAGIC)
-            if found := _header(data):
-                fields, begin = found
-                need = begin + int(fields["content-length"]) + len(END)
-                row = [rel, rel + len(MAGIC) + need, None, False, *[None] * len(_FIELDS)]
-                self.rows.append(row)
-                self.open.append([row, fields, begin, [data], len(data), need])
+        heads, self.heads = self.heads, []
+        for row, parts in heads:  # a magic inside a header: the same
+            parts += (MAGIC, data)
+            if _BREAK.search(data):
+                self._begin(row, b"".join(parts))
+            else:
+                self.heads.append([row, parts])
+        if (self.at or self.split) and _fields(data) is not None:
+            row = [self.at - len(MAGIC), None, None, False, *[None] * len(_FIELDS), None]
+            self.rows.append(row)
+            self._begin(row, data)
         for entry in self.open:
             row, fields, begin, parts, got, need = entry
             if got >= need:
                 whole = b"".join(parts)
                 row[3] = whole[need - len(END) : need] == END.encode()
                 if row[3]:
-                    row[4:] = _parsed(fields, whole[begin : need - len(END)])
+                    row[4:-1] = _parsed(fields, whole[begin : need - len(END)])
                 else:
                     row[1] = None  # a record that does not end where it says has no successor
         self.open = [e for e in self.open if e[4] < e[5]]
         self.at += len(data) + len(MAGIC)
 
+    def _begin(self, row: list, data: bytes) -> None:
+        """Take up a candidate by what is there of its record; one that proves to be none has no successor."""
+        found = _header(data)
+        if found == ():
+            self.heads.append([row, [data]])
+        elif found:
+            fields, begin = found
+            need = begin + int(fields["content-length"]) + len(END)
+            row[1] = row[0] + len(MAGIC) + need
+            self.open.append([row, fields, begin, [data], len(data), need])
+
     def batch(self) -> pa.RecordBatch:
+        for row, parts in self.heads:  # the exit of a header that goes on in the next split is itself, until it is known
+            row[2], row[-1] = row[0], b"".join(parts)
         starts = {row[0]: row for row in self.rows}
         for row in reversed(self.rows):
+            if row[-1] is not None:
+                continue
             after = starts.get(row[1])
             row[2] = after[2] if after is not None else row[1] if row[1] is not None and row[1] >= self.at - len(MAGIC) else None
-        rows = [[self.file, self.split, self.at, *row] for row in self.rows] or [[self.file, self.split, self.at, None, None, None, None, *[None] * len(_FIELDS)]]
+        rows = [[self.file, self.split, self.at, *row] for row in self.rows] or [[self.file, self.split, self.at, None, None, None, None, *[None] * len(_FIELDS), None]]
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _LINK_SCHEMA, strict=True)], schema=_LINK_SCHEMA)
 
 
@@ -195,6 +222,56 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _continuations(batches):
+    """What each split adds to a header that has begun before it; open if it does not end it either."""
+    schema = pa.schema([("file", pa.string()), ("split", pa.int64()), ("part", pa.binary()), ("open", pa.bool_())])
+    key, parts, state = None, [], ()
+
+    def row():
+        data = b"".join(parts)
+        part = data if state == () else data[: data.index(b"\r\n\r\n") + 4] if state else b""
+        return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((*key, part, state == ()), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for data, file, split in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (file, split):
+                if key is not None:
+                    yield row()
+                key, parts, state = (file, split), [], ()
+            if state == ():
+                parts += (MAGIC, data)
+                if _BREAK.search(data):
+                    state = _fields(b"1\r\nx:" + b"".join(parts))
+    if key is not None:
+        yield row()
+
+
+def _continued(spark: SparkSession, path: str, links: DataFrame, splits: DataFrame) -> DataFrame:
+    """``links`` with the successors of candidates whose header goes on in later splits."""
+    pending = links.filter("head IS NOT NULL").select("file", "split", "rel", "head")
+    if pending.isEmpty():
+        return links.drop("head")
+    files = pending.select(F.col("file").alias("file_path")).distinct()
+    parts = map_arrow(_lines(spark, path).join(files, "file_path", "left_semi").select("line", "file_path", "file_block_start"), _continuations, "file string, split long, part binary, open boolean")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.coalesce(F.sum(F.when(F.col("open"), 0).otherwise(1)).over(before), F.lit(0))  # open splits and the one that ends them
+    parts = written(splits.select("file", "split").join(parts, ["file", "split"]).withColumn("run", run), "continuations")
+    after = parts.select("file", "split", (F.col("run") + F.when(F.col("open"), 0).otherwise(1)).alias("run"))
+    later = parts.select("file", "run", F.col("split").alias("later"), "part")
+    mine = pending.join(after, ["file", "split"]).join(later, ["file", "run"]).filter("later > split")
+
+    def successor(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("later")
+        found, first = _header(pdf["head"].iloc[0] + b"".join(pdf["part"])), pdf.iloc[0]
+        rows = [[first["file"], first["split"], first["rel"], first["rel"] + len(MAGIC) + found[1] + int(found[0]["content-length"]) + len(END)]] if found else []
+        return pd.DataFrame(rows, columns=["file", "split", "rel", "found"])
+
+    known = mine.groupBy("file", "split", "rel").applyInPandas(successor, "file string, split long, rel long, found long")
+    out = links.join(known, ["file", "split", "rel"], "left")
+    out = out.withColumn("next", F.coalesce("next", "found")).withColumn("exit", F.when(F.col("head").isNull(), F.col("exit")).otherwise(F.col("found")))
+    return written(out.drop("head", "found"), "links")
+
+
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     """The records of one split that are reachable from where the chain enters it."""
     after = dict(zip(pdf["rel"], pdf["next"], strict=True))
@@ -213,7 +290,7 @@ def _entries(links: DataFrame, splits: DataFrame) -> DataFrame:
     starts = splits.filter("split = 0").select("file", F.lit(0).cast("long").alias("at"))
     jumps = written(jumps.filter("`to` IS NOT NULL").join(targets.unionByName(starts).distinct(), ["file", "at"], "left_semi"), "jumps")
     reached, n, most = written(starts, "reached"), -1, splits.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(most.bit_length()):
+    for _ in range((2 * most).bit_length()):  # a split may hold two steps: to a header that it does not end, and on
         further = reached.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at"))
         reached = written(reached.unionByName(further).distinct(), "reached")
         if (now := reached.count()) == n:
@@ -226,7 +303,8 @@ def _entries(links: DataFrame, splits: DataFrame) -> DataFrame:
     return (
         reached.join(spans, "file")
         .filter(inside)
-        .select("file", "split", (F.col("at") - F.col("base")).alias("entry"))
+        .groupBy("file", "split")
+        .agg(F.min(F.col("at") - F.col("base")).alias("entry"))
     )
 
 
@@ -241,6 +319,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     sizes = links.groupBy("file", "split").agg(F.max("size").alias("size"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = written(sizes.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))), "splits")
+    links = _continued(spark, path, links, splits)
     entered = links.filter("rel IS NOT NULL").join(_entries(links, splits), ["file", "split"])
     shape = entered.schema
     kept = written(entered.groupBy("file", "split").applyInPandas(_walk, shape), "kept")
@@ -253,7 +332,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _straddling(spark: SparkSession, path: str, splits: DataFrame, cut: DataFrame) -> DataFrame:
-    """Records with a magic in their payload that go on in a later split: their lines are put together."""
+    """Records with a magic in their header or payload that go on in a later split: their lines are put together."""
 
     def placed(batches):
         key, at = None, 0
@@ -274,7 +353,7 @@ def _straddling(spark: SparkSession, path: str, splits: DataFrame, cut: DataFram
         data = MAGIC.join(pdf.sort_values("begin")["line"])
         found = _header(data)
         stop = int(pdf["stop"].iloc[0] - pdf["offset"].iloc[0]) - len(MAGIC)
-        if found is None or data[stop - len(END) : stop] != END.encode():
+        if not found or data[stop - len(END) : stop] != END.encode():
             return pd.DataFrame(columns=["file", "offset", *_FIELDS])
         row = _parsed(found[0], data[found[1] : stop - len(END)])
         return pd.DataFrame([[pdf["file"].iloc[0], pdf["offset"].iloc[0], *row]], columns=["file", "offset", *_FIELDS])

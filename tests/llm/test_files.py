@@ -187,3 +187,22 @@ def test_repeated_rows_are_packed_each(spark):
     df = spark.createDataFrame([(1, "same text")] * 3, "doc_id long, text string").coalesce(1)
     rows = packing.pack(df, tokens.vocabulary("byte_bpe_50k.json")).collect()
     assert sum(r["length"] for r in rows) == 3 * rows[0]["doc_tokens"]
+
+
+@pytest.mark.parametrize("split", ["128m", "700b"])
+def test_warc_magic_in_header(spark, tmp_path, split):
+    urls = ["http://x/WARC/1.0/spec", "http://x/WARC/1.WARC/1.1", "WARC/1.", "http://x/plain", "http://x/" + "WARC/1.0/" * 200, "http://x/" + "y" * 1500 + "/WARC/1.1"]
+    rows = [(i, u, f"body {i % 7} WARC/1.1\r\nA: WARC/1.", "clash", 1) for i, u in enumerate(urls * 4, 1)]
+    path = str(tmp_path / "warc")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        warc.write(spark.createDataFrame(rows, PAGES).repartition(2), path)
+        found = warc.read(spark, path)
+        assert set(map(tuple, warc.page_rows(found).collect())) == expected(rows)
+        assert sorted(r["uri"] for r in found.collect()) == sorted(urls * 4)
+        files = {f.name: chain(f.read_bytes()) for f in (tmp_path / "warc").glob("part-*")}
+        assert {(r["file"].rsplit("/")[-1], r["offset"]) for r in found.collect()} == {(f, r[0]) for f, rs in files.items() for r in rs}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
