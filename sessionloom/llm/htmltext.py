@@ -2,9 +2,9 @@
 
 The standard library's streaming parser turns a page into lines (blocks); each line has
 its text, its tags and its link text. The ratios of text to tags are smoothed by a Gaussian and
-clustered by a threshold; the regions of the page whose lines lie above it are content. Lines
-in elements that never hold an article (menus, forms, scripts, ...) take no part, and where the
-page marks its article, only lines inside it do.
+clustered by a threshold; the regions of the page whose lines lie above it are content, with all
+that is in them. Lines in elements that never hold an article (menus, forms, scripts, ...) take
+no part. Where the page marks its article, all lines inside it are content.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ BLOCKS = frozenset(
     "html legend li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 ARTICLE = frozenset(("article", "main"))
-REGIONS = frozenset("article main section div td body".split())
+#: Parts of a page that are content or not; a section belongs to what is around it.
+REGIONS = frozenset("article main div td body".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIGMA = 1.0
 _WORD = re.compile(r"[a-z]+")
@@ -55,6 +56,8 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, str, int, int]] = []
         self.always = self.beside = self.in_article = self.links = self.regions = 0
         self.line = None
+        #: The region around each region, 0 for none, and whether it is a cell or the body.
+        self.around, self.cell, self.body = [0], [False], [False]
 
     def _break(self) -> None:
         self.line = None
@@ -106,7 +109,11 @@ class Lines(HTMLParser):
         if out:
             self._break()
         if out or tag in REGIONS or tag in BLOCKS and tag not in ("p", "li", "dt", "dd", "html"):
-            self.regions += tag in REGIONS
+            if tag in REGIONS:
+                self.around.append(self._region())
+                self.cell.append(tag == "td")
+                self.body.append(tag == "body")
+                self.regions += 1
             suspended = self.beside if tag in ARTICLE else 0
             self.stack.append((tag, out, self.regions if tag in REGIONS else 0, suspended))
             self.always += out == "always"
@@ -151,13 +158,31 @@ def _smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def _inside(parser: Lines, content: set[int], text: set[int]) -> list[bool]:
+    """For each region, whether it is kept when those of ``content`` are, and what is around all of ``text``."""
+    around = parser.around
+    held = [0] * len(around)  # regions of text inside each region, itself included
+    for r in range(len(around) - 1, 0, -1):
+        held[r] += r in text
+        held[around[r]] += held[r]
+    whole = max((r for r in range(1, len(around)) if held[r] == len(text)), default=0)
+    kept = [0 in content] + [False] * (len(around) - 1)
+    for r in range(1, len(around)):
+        outer = around[r]
+        top = not outer or parser.body[outer]  # of the body, and of what has none, only cells are part
+        kept[r] = r in content or (r == whole and not parser.body[r]) or (kept[outer] and (not top or parser.cell[r]))
+    return kept
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by a newline; '' for null, empty or text-less pages.
 
-    White space inside a block becomes one space. A region (article, section, div, cell) is
-    content if one of its lines has a smoothed ratio of at least the standard deviation of all
-    ratios (the region with the highest ratio always is); its lines are kept whole, short ones
-    included. Unclosed and stray tags, cut pages and any nesting depth are fine.
+    White space inside a block becomes one space. All lines of a marked article (article, main)
+    are kept. Else a region (div, cell, body) is content if one of its lines has a smoothed ratio
+    of at least the standard deviation of all ratios (the region with the highest ratio always
+    is). All that is inside a content region is kept, short lines and nested regions included, and
+    so is all inside the smallest region around all of them; but of the body, as it is around
+    everything, only its own lines and cells. Unclosed and stray tags, cut pages and any nesting depth are fine.
     """
     if not html:
         return ""
@@ -170,7 +195,7 @@ def main_text(html: str | None) -> str:
         if text:
             lines.append((text, tags, linked, region, inside))
     if any(x[4] for x in lines):
-        lines = [x for x in lines if x[4]]
+        return "\n".join(x[0] for x in lines if x[4])
     if not lines:
         return ""
     ratios = [max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, _ in lines]
@@ -179,7 +204,9 @@ def main_text(html: str | None) -> str:
     threshold = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
     best = max(range(len(lines)), key=smooth.__getitem__)
     content = {lines[best][3]} | {x[3] for x, s in zip(lines, smooth, strict=True) if s >= threshold and s > 0}
-    return "\n".join(x[0] for x in lines if x[3] in content)
+    text = {x[3] for x, s, r in zip(lines, smooth, ratios, strict=True) if s >= threshold and r > 0}  # not only next to text
+    kept = _inside(parser, content, text or content)
+    return "\n".join(x[0] for x in lines if kept[x[3]])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -99,6 +99,29 @@ def test_html_cases(html, text):
     assert htmltext.main_text(html) == text
 
 
+LONG = "long text of it " * 40
+CELLS = "<table>" + "".join(f"<tr><td>cell {i}a</td><td>cell {i}b</td></tr>" for i in range(6)) + "</table>"
+WHOLE = [
+    f"<h1>Title</h1>{f'<p>{LONG}</p>' * 6}{CELLS}",
+    f"<section><p>{LONG}</p><p>{LONG}</p></section><section><h2>Short</h2><p>end</p></section>",
+    f"<p>{LONG}</p><div><ul><li>one<li>two</ul></div><p>{LONG}</p>",
+]
+
+
+@pytest.mark.parametrize("inner", WHOLE)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_keeps_whole_article(inner, tag):
+    beside = "".join(f"<div><a href=x>link {i}</a></div>" for i in range(9))
+    words = " ".join(re.sub("<[^>]*>", " ", inner).split())
+    got = " ".join(htmltext.main_text(f"<body>{beside}<{tag}>{inner}</{tag}>{beside}").split())
+    assert words in got and "link 4" not in got
+
+
+def test_html_whole_article_in_body():
+    got = htmltext.main_text(f"<body><p>{LONG}</p>{CELLS}<section><p>end</p></section><div><a href=x>link</a></div>")
+    assert got.split("\n") == [LONG.strip(), *re.findall("cell [0-9][ab]", CELLS), "end"]
+
+
 def test_html_pages(spark, sf_dir):
     import html as entities
 
