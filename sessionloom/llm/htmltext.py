@@ -24,15 +24,18 @@ NEVER = frozenset(
     "head script style noscript template iframe object svg math canvas audio video nav header footer aside form "
     "button select option textarea input label dialog menu".split()
 )
-#: Words of class, id or role that mark reader comments, on any element, as whole words of the attribute.
+#: Words of class, id or role that mark reader comments; on an article only as whole names ('comment', not 'has-comments').
 COMMENTS = frozenset("comment comments disqus reply replies".split())
-#: Words that mark other parts beside an article; an article inside such an element counts none the less.
+#: Words that mark other parts beside an article; an article inside such an element counts none the less, and so does an
+#: element that holds most of the text.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices alert popup modal overlay newsletter subscribe signup "
     "sidebar aside menu menubar nav navbar navigation breadcrumb breadcrumbs header footer masthead related "
     "recommended share sharing social toolbar complementary contentinfo search widget pagination pager skip".split()
 )
+#: Names with one of these words tell a state of the element ('with-sidebar'), not what it is.
+STATES = frozenset("has with no without open closed enabled disabled".split())
 #: Elements that begin and end a block.
 BLOCKS = frozenset(
     "address article blockquote body br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr "
@@ -47,14 +50,17 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text parts, tags, link code points, region, in article]."""
+    """Lines of a page: [text parts, tags, link code points, region, in article, marked element around it]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        # open elements that matter: name, how it is excluded ('', 'always' or 'beside'), region, exclusions it suspends
+        # open elements that matter: name, how it is excluded ('', 'always' or 'beside'), region, marked element around it
         self.stack: list[tuple[str, str, int, int]] = []
-        self.always = self.beside = self.in_article = self.links = self.regions = 0
+        #: ``beside`` is the innermost open element marked as beside the article, 0 for none; an article suspends those around it.
+        self.always = self.in_article = self.links = self.regions = self.beside = 0
+        #: The marked element around each marked element.
+        self.marks = [0]
         self.line = None
         #: The region around each region, 0 for none, and whether it is a cell or the body.
         self.around, self.cell, self.body = [0], [False], [False]
@@ -67,7 +73,7 @@ class Lines(HTMLParser):
 
     def _current(self) -> list:
         if self.line is None:
-            self.line = [[], 0, 0, self._region(), self.in_article > 0]
+            self.line = [[], 0, 0, self._region(), self.in_article > 0, self.beside]
             self.lines.append(self.line)
         return self.line
 
@@ -75,22 +81,27 @@ class Lines(HTMLParser):
         if tag in NEVER:
             return "always"
         words: set[str] = set()
+        names: set[str] = set()
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return "always"
             if value and name in ("class", "id", "role"):
-                words.update(_WORD.findall(value.lower()))
+                for part in value.lower().split():
+                    found = _WORD.findall(part)
+                    if STATES.isdisjoint(found):
+                        words.update(found)
+                        names.add(part)
         if tag in ("html", "body", "main"):
             return ""
-        if not COMMENTS.isdisjoint(words):
+        if not COMMENTS.isdisjoint(names if tag in ARTICLE else words):
             return "always"
         return "" if tag in ARTICLE or MARKS.isdisjoint(words) else "beside"
 
     def _close(self, i: int) -> None:
         """End the open elements from number ``i`` on."""
-        for name, out, _, suspended in reversed(self.stack[i:]):
+        for name, out, _, beside in reversed(self.stack[i:]):
             self.always -= out == "always"
-            self.beside += suspended - (out == "beside")
+            self.beside = beside
             self.in_article -= name in ARTICLE
             if out:
                 self._break()
@@ -114,10 +125,13 @@ class Lines(HTMLParser):
                 self.cell.append(tag == "td")
                 self.body.append(tag == "body")
                 self.regions += 1
-            suspended = self.beside if tag in ARTICLE else 0
-            self.stack.append((tag, out, self.regions if tag in REGIONS else 0, suspended))
+            self.stack.append((tag, out, self.regions if tag in REGIONS else 0, self.beside))
             self.always += out == "always"
-            self.beside += (out == "beside") - suspended
+            if tag in ARTICLE:
+                self.beside = 0
+            elif out == "beside":
+                self.marks.append(self.beside)
+                self.beside = len(self.marks) - 1
             self.in_article += tag in ARTICLE
         self.links += tag == "a"
         if tag not in BLOCKS and self.line is not None:
@@ -138,7 +152,7 @@ class Lines(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if self.always or self.beside:
+        if self.always:
             return
         line = self._current()
         line[0].append(data)
@@ -158,6 +172,21 @@ def _smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def _unmarked(lines: list[tuple], around: list[int]) -> list[tuple]:
+    """Lines in no marked element but such as hold over half of the text outside links; all if none is left."""
+    held = [0] * len(around)
+    for text, _, linked, _, _, mark in lines:
+        held[mark] += max(0, len(text) - linked)
+    total = sum(held)
+    for m in range(len(around) - 1, 0, -1):
+        if around[m]:
+            held[around[m]] += held[m]
+    out = [False] * len(around)
+    for m in range(1, len(around)):
+        out[m] = out[around[m]] or 2 * held[m] <= total
+    return [x for x in lines if not out[x[5]]] or lines
+
+
 def _inside(parser: Lines, content: set[int], text: set[int]) -> list[bool]:
     """For each region, whether it is kept when those of ``content`` are, and what is around all of ``text``."""
     around = parser.around
@@ -190,15 +219,16 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     lines = []
-    for parts, tags, linked, region, inside in parser.lines:
+    for parts, tags, linked, region, inside, mark in parser.lines:
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, tags, linked, region, inside))
+            lines.append((text, tags, linked, region, inside, mark))
     if any(x[4] for x in lines):
-        return "\n".join(x[0] for x in lines if x[4])
+        return "\n".join(x[0] for x in _unmarked([x for x in lines if x[4]], parser.marks))
+    lines = _unmarked(lines, parser.marks)
     if not lines:
         return ""
-    ratios = [max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, _ in lines]
+    ratios = [max(0, len(x[0]) - x[2]) / (1 + x[1]) for x in lines]
     smooth = _smooth(ratios)
     mean = sum(smooth) / len(smooth)
     threshold = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))

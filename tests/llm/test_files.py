@@ -117,6 +117,21 @@ def test_html_keeps_whole_article(inner, tag):
     assert words in got and "link 4" not in got
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["div class='page with-sidebar'", "div class='container navbar-fixed'", "div class='widget Blog'", "div id=main class='has-comments'", "article class='post has-comments'", "div role=banner"],
+)
+def test_html_marked_wrappers(wrapper):
+    tag = wrapper.split()[0]
+    inner = f"<div class=sidebar><p>side words</p></div><p>{LONG}</p><p>end</p><div class=comments><p>{LONG * 3}bad</p></div>"
+    assert htmltext.main_text(f"<body><{wrapper}>{inner}</{tag}><div class=footer>foot</div>") == f"{LONG.strip()}\nend"
+
+
+def test_html_all_marked():
+    assert htmltext.main_text("<div class=widget><p>one two</p></div><div class=promo><p>one two</p></div>") == "one two\none two"
+    assert htmltext.main_text("<div class='comments'><p>one two</p></div>") == ""
+
+
 def test_html_whole_article_in_body():
     got = htmltext.main_text(f"<body><p>{LONG}</p>{CELLS}<section><p>end</p></section><div><a href=x>link</a></div>")
     assert got.split("\n") == [LONG.strip(), *re.findall("cell [0-9][ab]", CELLS), "end"]
