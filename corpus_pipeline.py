@@ -23,8 +23,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each near-duplicate group."""
-    return neardup.keep_first(docs)
+    """One document, that with the smallest id, of each near-duplicate group, by shingles of two words as in op7_neardup."""
+    return neardup.keep_first(docs, neardup.SHINGLE)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ compared with one centre, confirmed links merge components, and only members tha
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, release, table, written
 from .words import SPACED, mixed, word_hashes
 
+#: Words of a shingle where no other size is given: those of the op7 query, which the pipeline's stage shares.
 SHINGLE = 2
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -103,9 +105,9 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return grid[np.arange(len(grid)), likelihood.argmax(axis=1)]
 
 
-def _sketched(batches):
+def _sketched(batches, size: int):
     for batch in batches:
-        sets = shingle_sets(batch.column(1).to_pylist())
+        sets = shingle_sets(batch.column(1).to_pylist(), size)
         prints = [None if not len(s) else f"{int(s.sum(dtype=np.uint64)):016x}{int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)):016x}" for s in sets]
         found = [registers(s).tobytes() if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
@@ -114,9 +116,9 @@ def _sketched(batches):
         )
 
 
-def _with_sets(batches):
+def _with_sets(batches, size: int):
     for batch in batches:
-        sets = shingle_sets(batch.column(1).to_pylist())
+        sets = shingle_sets(batch.column(1).to_pylist(), size)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"])
 
 
@@ -141,7 +143,7 @@ def _likely(batches):
         yield slim.filter(pa.array(keep))
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are linked: size ratio, then likelihood, then intersection."""
     left = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -149,7 +151,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFr
     both = pairs.join(left, "a").join(right, "b").filter(close).select("a", "b", "na", "nb", "sa", "sb")
     likely = written(map_arrow(both, _likely, "a long, b long"), "likely")
     needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    sets = written(map_arrow(texts.join(needed, "id", "left_semi"), _with_sets, "id long, set array<long>"), "sets")
+    sets = written(map_arrow(texts.join(needed, "id", "left_semi"), partial(_with_sets, size=size), "id long, set array<long>"), "sets")
     shared = F.size(F.array_intersect("xa", "xb"))
     union = F.size("xa") + F.size("xb") - shared
     return (
@@ -183,16 +185,16 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         now = after.select("id", "label")
 
 
-def groups(documents: DataFrame) -> DataFrame:
+def groups(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``documents``; other columns are ignored.
 
-    Rows of one doc_id are one document, whose links are those of all its texts. Null texts, and
+    Shingles have ``size`` words. Rows of one doc_id are one document, whose links are those of all its texts. Null texts, and
     texts without words, have the empty set and are linked with nothing. Rows
     with one set are linked. Repeated rows each get a row; a row without a doc_id is
     in no group: its component is null and it is kept.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = written(map_arrow(docs, _sketched, "doc_id long, n_shingles long, print string, sketch binary"), "prints")
+    prints = written(map_arrow(docs, partial(_sketched, size=size), "doc_id long, n_shingles long, print string, sketch binary"), "prints")
     classes = written(
         prints.filter("print IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("print")
@@ -206,7 +208,7 @@ def groups(documents: DataFrame) -> DataFrame:
     sketches = written(classes.select("id", "n", "sketch").join(active, "id", "left_semi"), "sketches")
     texts = written(docs.withColumnRenamed("doc_id", "id").join(active, "id", "left_semi"), "texts")
     release(docs.sparkSession)
-    labels = _linked(members, sketches, texts)
+    labels = _linked(members, sketches, texts, size)
     of_class = written(classes.join(labels, "id", "left").select("print", F.coalesce("label", "id").alias("component")), "of_class")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = prints.drop("sketch").join(of_class, "print", "left").select("doc_id", "n_shingles", component.alias("component_id"))
@@ -220,10 +222,10 @@ def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
 
 
-def _with_small_sets(batches):
+def _with_small_sets(batches, size: int):
     """Sets of 32-bit hashes: they never show fewer shared shingles but for rare collisions, which are allowed for."""
     for batch in batches:
-        sets = shingle_sets(batch.column(1).to_pylist())
+        sets = shingle_sets(batch.column(1).to_pylist(), size)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["id", "small"])
 
 
@@ -271,7 +273,7 @@ def _pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(set(found)), strict=True)], ["a", "b"])
 
 
-def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(a, b) that share a bucket, are in different components so far, and may be linked.
 
     In a bucket that holds several components, members outside its largest one are few; they
@@ -289,7 +291,7 @@ def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts
     one = rows.select("key", F.pmod(F.xxhash64("id"), count).cast("int").alias("block"), "id", "comp", F.lit(False).alias("every"), "minor")
     every = rows.filter("minor").select("key", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), "id", "comp", F.lit(True).alias("every"), "minor")
     needed = written(one.select("id").distinct(), "needed")
-    small = map_arrow(texts.join(needed, "id", "left_semi"), _with_small_sets, "id long, small binary")
+    small = map_arrow(texts.join(needed, "id", "left_semi"), partial(_with_small_sets, size=size), "id long, small binary")
     data = written(sketches.join(small, "id"), "data")
     rows = one.unionByName(every).join(data, "id")
     parts = max(12, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -297,22 +299,22 @@ def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts
     return map_arrow(dealt.select("key", "block", "id", "comp", "sketch", "n", "every", "minor", "small"), _apart, "a long, b long").distinct()
 
 
-def _linked(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(members: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(id, label) of all ids that are linked with another."""
     star = members.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = written(confirmed(star, sketches, texts), "confirmed")
+    links = written(confirmed(star, sketches, texts, size), "confirmed")
     release(texts.sparkSession)
     labels = components(links)
-    more = written(confirmed(_remaining(members, labels, sketches, texts), sketches, texts), "confirmed")
+    more = written(confirmed(_remaining(members, labels, sketches, texts, size), sketches, texts, size), "confirmed")
     return components(more, labels)
 
 
-def keep_first(documents: DataFrame) -> DataFrame:
+def keep_first(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The rows, with all columns, of the first document of each group, and of all that are linked with none.
 
     A row without a doc_id is in no group and stays. Rows that repeat a kept doc_id all stay.
     """
-    gone = groups(documents).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = groups(documents, size).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return documents.join(written(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

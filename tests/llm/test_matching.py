@@ -85,6 +85,23 @@ def test_groups_of_many_near_copies(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if w[2]}
 
 
+def test_groups_by_shingle_size(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = list(enumerate([None, "one", "a b c d", "a b c d e f", *family(rng, 30, 4), *family(rng, 20, 2, 200)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def five(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    two = brute_groups(rows)
+    monkeypatch.setitem(globals(), "shingles", five)
+    want = brute_groups(rows)
+    assert {i for i, w in want.items() if w[2]} != {i for i, w in two.items() if w[2]}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(df, 5).collect()} == want
+    assert {r["doc_id"] for r in neardup.keep_first(df, 5).collect()} == {i for i, w in want.items() if w[2]}
+
+
 def test_groups_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "a b c"), (3, "a b c")], "doc_id long, text string")
     assert {tuple(r) for r in neardup.groups(df).collect()} == {(1, 0, 1, True), (2, 0, 2, True), (None, 2, None, True), (3, 2, 3, True)}
