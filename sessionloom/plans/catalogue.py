@@ -633,6 +633,12 @@ def short_texts(spark, sf_dir):
     return rows.select("doc_id", T.cut_bytes(F.col("text"), 40).alias("short"))
 
 
+@query()
+def cut_texts(spark, sf_dir):
+    """Every document's text cut at 40 bytes, where ``short_texts`` takes only texts that need no cut; tests hold it against a brute-force version."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.cut_bytes(F.col("text"), 40).alias("short"))
+
+
 @query("""WITH r AS (SELECT s.*, outcome, reason_code FROM sessions s LEFT JOIN outcomes o ON o.session_id = s.id WHERE created_at >= '1995-01-01' AND created_at < '1995-01-08'),
     f AS (SELECT * FROM r ORDER BY created_at, id LIMIT 50)
     SELECT count(*) AS session_count, count(*) FILTER (WHERE outcome = 'success') AS success_count, count(*) FILTER (WHERE outcome = 'failed') AS failed_count,

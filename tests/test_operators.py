@@ -151,3 +151,17 @@ def test_settings(tmp_path):
     assert found.interval_minutes == 5 and found.sources[0].path == os.path.expanduser("~/x") and config.load(None).approve_at == 0.8
     a, b = config.Source("a", "/1", "k"), config.Source("b", "/1", "k")
     assert config.all_sources([a], [b, config.Source("c", "/2", "k")])[0].name == "a"
+
+
+def test_cut_texts_of_all_documents(spark, sf_dir):
+    from sessionloom.plans import catalogue
+
+    def cut(text):
+        if text is None or len(text.encode()) <= 40:
+            return text
+        return text.encode()[:40].decode("utf-8", "ignore") + "..."
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = sorted(tuple(r) for r in catalogue.QUERIES["cut_texts"](spark, sf_dir).collect())
+    assert got == sorted((r["doc_id"], cut(r["text"])) for r in rows)
+    assert sum(s is not None and s.endswith("...") for _, s in got) > len(rows) // 2
