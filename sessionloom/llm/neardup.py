@@ -35,7 +35,7 @@ REGISTERS = ROWS * BANDS
 SCALE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Pairs whose estimate is this many standard deviations below the threshold are not compared in full.
 DEVIATIONS = 5.0
-#: Members of a bucket that one block compares with those that are still apart.
+#: Members of a bucket in one block: a task holds a block of all members and one of those that are still apart.
 BLOCK = 512
 SEED = 7
 
@@ -230,7 +230,7 @@ def _with_small_sets(batches, size: int):
 
 
 def _apart(batches):
-    """Links to confirm, by the low bytes of registers and small sets, between members of a bucket's block that are still apart: rows come sorted by (key, block)."""
+    """Links to confirm, by the low bytes of registers and small sets, between a block of a bucket's members and one of those that are still apart: rows come sorted by (key, block)."""
     least = PERCENT / 100 - DEVIATIONS * math.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS)
 
     def pairs(rows: list) -> list[tuple[int, int]]:
@@ -273,27 +273,40 @@ def _pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(set(found)), strict=True)], ["a", "b"])
 
 
-def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b) that share a bucket, are in different components so far, and may be linked.
+def _dealt(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, block, id, comp, every, minor) of buckets that hold several components so far.
 
-    In a bucket that holds several components, members outside its largest one are few; they
-    meet every block of BLOCK members of the bucket, so no task gets a bucket whole.
+    Minors are the members outside their bucket's largest component. All members of a bucket
+    are cut into blocks, and so are its minors; a ``block`` is one pair of them, with both sides
+    (``every`` are the minors), so each minor meets each member once and a group holds about two
+    blocks, however many members are minors. The rows of a bucket grow with members x minors / BLOCK.
     """
     placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     mixed_keys = written(
-        sizes.groupBy("key").agg(F.sum("m").alias("m"), F.count("*").alias("c"), F.max_by("comp", F.struct("m", "comp")).alias("large")).filter("c > 1").select("key", "m", "large"),
+        sizes.groupBy("key")
+        .agg(F.sum("m").alias("m"), F.count("*").alias("c"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("large"))
+        .filter("c > 1")
+        .select("key", F.ceil(F.col("m") / BLOCK).cast("long").alias("all"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("long").alias("few"), "large"),
         "mixed",
     )
     placed = written(placed, "placed")
-    count = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = placed.join(mixed_keys, "key").select("key", "id", "comp", "m", (F.col("comp") != F.col("large")).alias("minor"))
-    one = rows.select("key", F.pmod(F.xxhash64("id"), count).cast("int").alias("block"), "id", "comp", F.lit(False).alias("every"), "minor")
-    every = rows.filter("minor").select("key", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), "id", "comp", F.lit(True).alias("every"), "minor")
-    needed = written(one.select("id").distinct(), "needed")
+    rows = placed.join(mixed_keys, "key").withColumn("minor", F.col("comp") != F.col("large"))
+    block = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), n)
+    others = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = rows.withColumn("j", others("few")).withColumn("i", block(0, F.col("all"))).withColumn("every", F.lit(False))
+    every = rows.filter("minor").withColumn("i", others("all")).withColumn("j", block(1, F.col("few"))).withColumn("every", F.lit(True))
+    both = one.unionByName(every)
+    return both.select("key", (F.col("i") * F.col("few") + F.col("j")).alias("block"), "id", "comp", "every", "minor")
+
+
+def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b) that share a bucket, are in different components so far, and may be linked."""
+    rows = _dealt(members, labels)
+    needed = written(rows.filter("NOT every").select("id").distinct(), "needed")
     small = map_arrow(texts.join(needed, "id", "left_semi"), partial(_with_small_sets, size=size), "id long, small binary")
     data = written(sketches.join(small, "id"), "data")
-    rows = one.unionByName(every).join(data, "id")
+    rows = rows.join(data, "id")
     parts = max(12, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block")
     return map_arrow(dealt.select("key", "block", "id", "comp", "sketch", "n", "every", "minor", "small"), _apart, "a long, b long").distinct()

@@ -102,6 +102,30 @@ def test_groups_by_shingle_size(spark, monkeypatch):
     assert {r["doc_id"] for r in neardup.keep_first(df, 5).collect()} == {i for i, w in want.items() if w[2]}
 
 
+def test_crowded_bucket_is_cut_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    members = spark.createDataFrame([(64, i) for i in range(300)] + [(65, i) for i in range(30)], "key long, id long")
+    labels = spark.createDataFrame([(i, 0) for i in range(100)], "id long, label long")
+    blocks = {}
+    for r in neardup._dealt(members, labels).collect():
+        blocks.setdefault((r["key"], r["block"]), []).append((r["id"], r["comp"], r["every"], r["minor"]))
+    assert {k for k, _ in blocks} == {64}
+    assert max(map(len, blocks.values())) <= 4 * 16
+    met = [(x, y) for rows in blocks.values() for x, _, e, _ in rows if not e for y, _, f, _ in rows if f]
+    assert len(met) == len(set(met)) and set(met) == {(x, y) for x in range(300) for y in range(100, 300)}
+
+
+def test_unlinked_members_of_one_bucket(spark, monkeypatch):
+    rng = random.Random(10)
+    common = [f"t{i}" for i in range(80)]
+    texts = [" ".join(common + [f"o{i}x{j}" for j in range(24)]) for i in range(150)]  # similarities near 0.6
+    texts += [texts[i] + " more" for i in range(0, 150, 10)]
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_groups_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "a b c"), (3, "a b c")], "doc_id long, text string")
     assert {tuple(r) for r in neardup.groups(df).collect()} == {(1, 0, 1, True), (2, 0, 2, True), (None, 2, None, True), (3, 2, 3, True)}
