@@ -1,15 +1,19 @@
 """Harmonic packing of token sequences.
 
-Every document is cut into pieces whose lengths are reciprocals of the capacity: capacity/1,
-capacity/2, capacity/4, ... A bin of the class 1/k takes exactly k pieces of it, so a full bin
-has no padding, and every worker fills the bins of its own partition with no shuffle at all.
-What is left in the open bins of a worker is laid out by falling length, which fills whole bins
-again, and the one rest is cut at powers of two, which need no padding either.
+What a document leaves over whole capacities belongs to the class k of the lengths in
+(capacity/(k + 1), capacity/k]; a bin of the class k takes exactly k of them, so every worker
+fills the bins of its own partition with no shuffle at all. The gap that a full bin leaves is
+closed with the beginning of the next document, the one cut that padding demands. What is in
+open bins when a worker ends is laid out in the order of the classes into full sequences, and
+the one rest is cut at powers of two, which need no padding either.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,95 +28,102 @@ CAPACITY = 2048
 END = 1
 #: Sequence ids are worker * WORKER + the number within the worker.
 WORKER = 1 << 36
+#: Distinct words that a worker remembers, and the longest word worth remembering.
+REMEMBERED, LONGEST = 400_000, 48
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+#: A space between two characters that are no white space under any rule: a token of a byte-level
+#: vocabulary may begin with it, but none crosses from before it.
+_CUT = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE vocabulary.
+    """Ids of whole texts by a byte-level BPE vocabulary: each distinct word goes through its library once."""
 
-    The same vocabulary, read as ranks, gives the same ids by a faster library for texts
-    whose characters both libraries class alike (``_plain``); all others, and texts that hold
-    a special token's string, go through the vocabulary's own library.
-    """
+    _of: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        import json
-
-        import regex
-        import tiktoken
-
-        self.library = load(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        byte_of = self._byte_letters()
-        ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
-        # the pre-tokenizer's pattern as its library documents it
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._plain = regex.compile(r"[\x00-\x1b\x20-\x7e¡-ɏ‐-‧‰-⁞₠-₿]*+")
-
-    @staticmethod
-    def _byte_letters() -> dict[str, int]:
-        """The letter that a byte-level vocabulary writes for each byte: itself if printable, else 256, 257, ..."""
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        hidden = [b for b in range(256) if b not in shown]
-        return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-    def ids(self, text: str) -> list[int]:
-        if self._plain.fullmatch(text) and not any(s in text for s in self.special):
-            return self.fast.encode_ordinary(text)
-        return self.library.encode(text, add_special_tokens=False).ids
-
-
-def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of the pieces of ``n`` ids: whole capacities, then halves, quarters, ... down to 1."""
-    whole, rest = divmod(n, capacity)
-    out, size = [capacity] * whole, capacity // 2
-    while rest:
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        size //= 2
-    return out
+        self.library, self.known = load(path), {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder of this worker process, which later tasks use again."""
+        return cls._of.setdefault(path, cls(path)) if path not in cls._of else cls._of[path]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        split, known = [_CUT.split(t) for t in texts], self.known
+        new = list({w for words in split for w in words if w not in known})
+        known.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), "<u4") for words in split]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
 
 class Bins:
-    """The open bin of every class of one worker."""
+    """The open bins of one worker; a piece is (doc_id, start, doc_tokens, ids)."""
 
     def __init__(self, worker: int, capacity: int = CAPACITY):
         self.capacity, self.next = capacity, worker * WORKER
-        self.open: dict[int, list] = {}
+        self.open: dict[int, list] = {}  # by class: fewer pieces than the class's count
+        self.gaps: deque[list] = deque()  # bins with their count of pieces, but room left: [room, pieces]
 
     def _close(self, pieces: list) -> list:
         at, self.next, out = 0, self.next + 1, []
-        for piece in pieces:
-            out.append((*piece, self.next - 1, at))
-            at += piece[2]
+        for doc_id, start, tokens, ids in pieces:
+            out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), tokens, self.next - 1, at))
+            at += len(ids)
         return out
 
-    def add(self, piece: tuple) -> list:
-        """Place a piece (doc_id, start, length, ...); the pieces of a bin come back when it is full."""
-        size = piece[2]
-        bin_ = self.open.setdefault(size, [])
-        bin_.append(piece)
-        if len(bin_) * size < self.capacity:
-            return []
-        return self._close(self.open.pop(size))
+    def add(self, doc_id, ids: np.ndarray) -> list:
+        """Place a document; the pieces of all bins that this closes come back as rows."""
+        out, at, total = [], 0, len(ids)
+        while at < total:
+            left = total - at
+            if left >= self.capacity:
+                out += self._close([(doc_id, at, total, ids[at : at + self.capacity])])
+                at += self.capacity
+            elif self.gaps:
+                room, pieces = self.gaps[0]
+                n = min(room, left)
+                pieces.append((doc_id, at, total, ids[at : at + n]))
+                self.gaps[0][0] -= n
+                at += n
+                if n == room:
+                    out += self._close(self.gaps.popleft()[1])
+            else:
+                k = self.capacity // left
+                bin_ = self.open.setdefault(k, [])
+                bin_.append((doc_id, at, total, ids[at:]))
+                at = total
+                if len(bin_) == k:
+                    del self.open[k]
+                    room = self.capacity - sum(len(p[3]) for p in bin_)
+                    if room:
+                        self.gaps.append([room, bin_])
+                    else:
+                        out += self._close(bin_)
+        return out
 
     def rest(self) -> list:
-        """Close all open bins: larger pieces first, so that sums of powers of two meet every boundary."""
-        left = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
-        self.open, out = {}, []
-        total = sum(p[2] for p in left)
-        for size in cuts(total, self.capacity):
-            some, filled = [], 0
-            while filled < size:
-                some.append(left.pop(0))
-                filled += some[-1][2]
+        """Close all bins: their pieces fill sequences in the order of the classes, the last ids go to sequences of powers of two."""
+        left = deque(p for pieces in [*(g[1] for g in self.gaps), *(self.open[k] for k in sorted(self.open))] for p in pieces)
+        self.gaps, self.open, out = deque(), {}, []
+        total = sum(len(p[3]) for p in left)
+        sizes = [self.capacity] * (total // self.capacity) + [1 << b for b in reversed(range(self.capacity.bit_length() - 1)) if total % self.capacity >> b & 1]
+        for size in sizes:
+            some = []
+            while size:
+                doc_id, start, tokens, ids = left.popleft()
+                some.append((doc_id, start, tokens, ids[:size]))
+                if len(ids) > size:
+                    left.appendleft((doc_id, start + size, tokens, ids[size:]))
+                size -= min(size, len(ids))
             out += self._close(some)
         return out
 
@@ -123,26 +134,22 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
     ``capacity`` is a power of two. A document is its ids and the id ``end``, so a null or empty
     text is one piece of one id. Every id lies in exactly one piece; pieces are gapless in their
     sequence; every sequence is full, or as long as a smaller power of two (these are at most
-    log2(capacity) for each worker). Repeated rows are packed each; other columns are ignored.
+    log2(capacity) for each worker). A worker holds at most ``capacity`` ids for each class with an open bin.
+    Repeated rows are packed each, a null doc_id stays null; other columns are ignored.
     ``path`` is a vocabulary file that exists on every worker. Workers are Spark partitions:
     a retried task gives the same ids, since a partition of a file scan has the same rows.
     """
 
     def place(batches):
-        encoder, bins = Encoder(path), Bins(TaskContext.get().partitionId(), capacity)
+        encoder, bins = Encoder.of(path), Bins(TaskContext.get().partitionId(), capacity)
 
         def rows(pieces):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pieces, strict=True)], _COLUMNS)
 
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encoder.ids(text or ""), end], "<u4")
-                at = 0
-                for size in cuts(len(ids), capacity):
-                    crc = zlib.crc32(ids[at : at + size].tobytes())
-                    out += bins.add((doc_id, at, size, crc, len(ids)))
-                    at += size
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                out += bins.add(doc_id, np.append(ids, np.uint32(end)))
             if out:
                 yield rows(out)
         if out := bins.rest():

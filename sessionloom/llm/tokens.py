@@ -1,10 +1,10 @@
-"""Token counts, huge documents by overlap resynchronisation.
+"""Token counts, long documents by overlap resynchronisation.
 
-Ordinary documents are counted word by word: white space is a hard boundary of this
-tokenizer, so each distinct run between white space goes through the library once per worker.
-A huge document is encoded in overlapping chunks with offsets. Two neighbouring
-encodings are spliced at a common boundary that both prove stable: a token ends there in both
-and the text has white space there. Where an overlap holds none, it is widened.
+A document of more than CHUNK code points is encoded in chunks that overlap. Two neighbouring
+encodings are spliced at a boundary that is proven stable: white space lies there, which no
+token crosses, and both encodings show a token that begins at the same place behind it. A chunk
+with no such place in its overlap is widened until there is one, or the text ends. A shorter
+document is one chunk.
 """
 
 from __future__ import annotations
@@ -18,16 +18,12 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 
 LIMIT = 2048
-#: Code points from which a document counts as huge, those of a chunk, and of the first overlap.
-HUGE = 1 << 17
-CHUNK = 1 << 16
-OVERLAP = 256
-#: Distinct words that a worker remembers, and the longest word worth remembering.
-REMEMBERED = 200_000
-LONGEST = 64
-#: ASCII white space; other white space stays inside a word, which the library then splits itself.
-_SPACE = re.compile("[ \n\t\r]+")
-_SPACES = " \n\t\r"
+#: Code points of a chunk, and of the first overlap with the next one.
+CHUNK, OVERLAP = 4096, 192
+#: Chunks whose encodings are held at once.
+RUN = 128
+#: White space with text behind it: only ASCII white space, which every rule of the tokenizer takes for white space.
+_EDGE = re.compile(r"[ \n\t\r](?=[!-~À-ɏͰ-ϿЀ-ӿ一-鿿])")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -50,92 +46,91 @@ def load(path: str):
     return tokenizer
 
 
-def _ends(tokenizer, text: str, base: int) -> list[int]:
-    """Where the tokens of ``text`` end, in code points of the whole document."""
-    return [base + end for _, end in tokenizer.encode(text, add_special_tokens=False).offsets]
+def _begins(encoding, at: int) -> int | None:
+    """The number of tokens before the one that begins at ``at``; None if none does."""
+    token = encoding.char_to_token(at)
+    if token is None or encoding.token_to_chars(token)[0] != at:
+        return None
+    while token and encoding.token_to_chars(token - 1)[0] >= at:  # bytes of one character share its place
+        token -= 1
+    return token
 
 
-def count_huge(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of ``text`` from chunks of about ``chunk`` code points.
+def splice(text: str, left, left_at: int, left_stop: int, right, right_at: int) -> tuple[int, int] | None:
+    """(tokens of ``left`` before, tokens of ``right`` before) the last stable boundary in their overlap.
 
-    Invariant: ``counted`` tokens lie before ``cut``, a position where a chunk had a token end
-    and white space follows. The next chunk starts ``overlap`` before ``cut``, at white space,
-    and must show a token end at ``cut`` as well; else the overlap is doubled, at most to the
-    start of the previous chunk, from which both encodings are the same by construction.
+    ``left`` encodes text[left_at:left_stop] and ``right`` what begins at ``right_at``. None if the overlap proves no boundary.
     """
-    counted = cut = previous = 0
-    while True:
-        reach = max(1, overlap)
-        while True:
-            start = max(previous, cut - reach)
-            while start > previous and text[start] not in _SPACES:
-                start -= 1
-            stop = min(len(text), max(cut, start) + chunk)
-            while stop < len(text) and text[stop] not in _SPACES:
-                stop += 1
-            ends = _ends(tokenizer, text[start:stop], start)
-            if cut == 0 or cut in ends or start == previous:
-                break
-            reach *= 2
-        # several tokens can end at one position (bytes of one character): count those after cut
-        if stop == len(text):
-            return counted + sum(end > cut for end in ends)
-        stable = [end for end in ends if end > cut and end < stop and text[end] in _SPACES]
-        if not stable:  # one run without white space fills the chunk: take a longer chunk
-            chunk *= 2
+    found = [m.end() for m in _EDGE.finditer(text, right_at, left_stop)]
+    for at in reversed(found):
+        a, b = _begins(left, at - left_at), _begins(right, at - right_at)
+        if a is not None and b is not None:
+            return a, b
+    return None
+
+
+def _encoded(tokenizer, text: str, chunk: int, overlap: int):
+    """(start, encoding) of the chunks of a text, each with its overlap into the next one."""
+    for first in range(0, len(text), chunk * RUN):
+        starts = range(first, min(len(text), first + chunk * RUN), chunk)
+        yield from zip(starts, tokenizer.encode_batch([text[s : s + chunk + overlap] for s in starts], add_special_tokens=False), strict=True)
+
+
+def count_batch(tokenizer, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[list[int], list[int]]:
+    """Tokens of each text and the splices that gave them (0 for a text of one chunk).
+
+    Invariant: text[:start of chunk i] is counted by earlier chunks up to their splice. A chunk
+    that can't be spliced with the next one is encoded anew over twice the code points, at most
+    to the end of the text; next ones that it then covers are skipped.
+    """
+    counts, splices = [0] * len(texts), [0] * len(texts)
+    short = [i for i, t in enumerate(texts) if len(t) <= chunk]
+    for i, e in zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
+        counts[i] = len(e)
+    for i, text in enumerate(texts):
+        if len(text) <= chunk:
             continue
-        new = stable[-1]
-        counted += sum(cut < end <= new for end in ends)
-        previous, cut = start, new
-
-
-class WordCounter:
-    """Token counts of whole texts with a bounded memory of words."""
-
-    def __init__(self, path: str):
-        self.tokenizer, self.known = load(path), {}
-
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update(zip(words, map(len, found), strict=True))
-
-    def counts(self, texts: list[str]) -> list[int]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [None if len(t) >= HUGE else _SPACE.split(t) for t in texts]
-        new = {w for words in split if words is not None for w in words if w not in self.known}
-        self._learn(sorted(new))
-        known = self.known
-        out = [
-            count_huge(self.tokenizer, t) if words is None else sum(map(known.__getitem__, words))
-            for t, words in zip(texts, split, strict=True)
-        ]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        return out
-
-
-def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every whole text; other columns are ignored.
-
-    Null texts count as empty: 0 bytes, 0 tokens. Repeated rows are each counted. ``path`` is a
-    vocabulary file that exists on every worker.
+        at = before = 0  # the open chunk's start, and how many of its tokens lie before its first splice
+        stop, encoding = 0, None
+        for start, following in _encoded(tokenizer, text, chunk, overlap):
+            while encoding is not None and stop < min(len(text), start + chunk):
+                cut = splice(text, encoding, at, stop, following, start)
+                if cut is not None:
+                    counts[i] += cut[0] - before
+                    splices[i] += 1
+                    before = cut[1]
+                    break
+                stop = min(len(text), at + 2 * (stop - at))
+                encoding = tokenizer.encode(text[at:stop], add_special_tokens=False)
+            else:
+                if encoding is not None:
+                    continue  # the open chunk was widened past this one
+            at, stop, encoding = start, min(len(text), start + chunk + overlap), following
+        counts[i] += len(encoding) - before
+    return counts, splices
+
+
+def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, n_bytes (UTF-8), n_tokens, over_limit, n_splices of every whole text; other columns are ignored.
+
+    Null texts count as empty: 0 bytes, 0 tokens. Repeated rows are each counted; a null doc_id stays null. A long text
+    without white space is encoded as one chunk. ``n_splices`` tells where chunks of a document were spliced. ``path`` is a
+    vocabulary file that exists on every worker, of a tokenizer that splits at ASCII white space.
     """
 
     def count(batches):
-        counter = WordCounter(path)
+        tokenizer = load(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = counter.counts(texts)
+            n, splices = count_batch(tokenizer, texts, chunk, overlap)
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(splices, pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_splices"],
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(rows, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(rows, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_splices long")
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

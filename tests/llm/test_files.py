@@ -170,9 +170,35 @@ ALPHABET = [*"ab A1é́ \n\t'.!<|>  \x85\x1c日🙂ſK", "<|endoftext|>", "<|sta
 
 def test_overlap_resynchronisation(library):
     rng = random.Random(1)
-    for text in random_texts(800, ALPHABET, 80, 2):
-        want = len(library.encode(text, add_special_tokens=False).ids)
-        assert tokens.count_huge(library, text, chunk=rng.randint(1, 20), overlap=rng.randint(0, 6)) == want
+    texts = random_texts(800, ALPHABET, 120, 2)
+    found = [tokens.count_batch(library, [t], rng.randint(1, 30), rng.randint(0, 12)) for t in texts]
+    assert [n for (n,), _ in found] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sum(k for _, (k,) in found) > 500
+
+
+def test_chunks_are_widened(library):
+    for text in ("x" * 5000, "a b " + "yz1" * 2000 + " c d" * 300, "é" * 3000 + " " + "q" * 3000 + " end", "\x85" * 2000 + "a " * 900):
+        for chunk, overlap in ((100, 0), (100, 30), (1000, 5)):
+            assert tokens.count_batch(library, [text], chunk, overlap)[0] == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
+def test_splice_needs_the_same_token_in_both(library):
+    text = "one two three four"
+    left, right = (library.encode(t, add_special_tokens=False) for t in (text[:13], text[4:]))
+    assert tokens.splice(text, left, 0, 13, right, 4) == (2, 1)
+    assert tokens.splice("x" * 18, left, 0, 13, right, 4) is None
+
+
+def test_documents_go_through_splices(spark, library):
+    """Brute force over a whole table: every count, and long documents are spliced, not encoded whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows = {r["doc_id"]: r for r in tokens.op5_tokens(spark, "/root/testdata/sf0.01").collect()}
+    assert len(rows) == len(docs)
+    for doc_id, text in docs:
+        r = rows[doc_id]
+        assert r["n_tokens"] == len(library.encode(text or "", add_special_tokens=False).ids)
+        assert r["n_splices"] <= len(text or "") // tokens.CHUNK and (r["n_splices"] > 0 or len(text or "") < 2 * tokens.CHUNK or " " not in text)
+    assert sum(r["n_splices"] > 0 for r in rows.values()) >= 100
 
 
 def test_token_counts(spark, library, monkeypatch):
@@ -185,15 +211,36 @@ def test_token_counts(spark, library, monkeypatch):
     assert tokens.count_tokens(df.limit(0), tokens.vocabulary()).count() == 0
 
 
-def test_encoder_equals_library():
-    path = tokens.vocabulary("byte_bpe_50k.json")
-    encoder = packing.Encoder(path)
-    plain = [chr(c) for c in range(0x3000) if encoder._plain.fullmatch(chr(c))]
-    for c in plain:
-        for s in (c, f"a{c}b", f"1{c}2", f" {c} ", f"  {c}  a{c}", f"{c}'s{c}'{c}"):
-            assert encoder.ids(s) == encoder.library.encode(s, add_special_tokens=False).ids
-    for s in random_texts(500, [*ALPHABET, *plain], 60, 4):
-        assert encoder.ids(s) == encoder.library.encode(s, add_special_tokens=False).ids
+def test_encoder_equals_library(spark):
+    encoder = packing.Encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    seam = [chr(c) for c in range(0x250)]
+    texts = [s for c in seam for s in (c, f"a{c}b", f"1{c}2", f" {c} ", f"  {c}  a{c}", f"{c} 's {c}'{c}")]
+    texts += random_texts(2000, [*ALPHABET, *seam], 60, 4)
+    texts += [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_harmonic_classes():
+    """A bin of class k holds k documents whole or their rests, and at most what closes its gap beside them."""
+    rng = random.Random(6)
+    lengths = [rng.choice([1, 3, 30, 300, 700, 1023, 1024, 1025, 2000, 2048, 5000, rng.randint(1, 2500)]) for _ in range(3000)]
+    bins, rows = packing.Bins(0), []
+    for i, n in enumerate(lengths):
+        rows += bins.add(i, np.arange(n, dtype="<u4"))
+    before_rest = {r[5] for r in rows}
+    rows += bins.rest()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r[5], []).append(r)
+    for sequence in before_rest:
+        pieces = sorted(by[sequence], key=lambda r: r[6])
+        ends = [r for r in pieces if r[1] + r[2] == r[4]]  # pieces that end their document
+        assert sum(r[2] for r in pieces) == 2048
+        k = 2048 // pieces[0][2]
+        assert all(2048 // r[2] == k for r in pieces[:k]) and len(ends) >= k - (pieces[0][2] == 2048)
+    assert len(rows) <= sum(1 + n // 2048 for n in lengths) + 2 * len(by)
+    assert sorted((i, x) for i, at, n, *_ in rows for x in range(at, at + n)) == [(i, x) for i, n in enumerate(lengths) for x in range(n)]
 
 
 def test_packing(spark):
@@ -201,9 +248,9 @@ def test_packing(spark):
     texts = [None, "", "one", "word " * 5000, *random_texts(60, ALPHABET, 900, 5)]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, start int, length int").repartition(3)
     rows = packing.pack(df, path).collect()
-    encoder, bins = packing.Encoder(path), {}
+    library, bins = tokens.load(path), {}
     for i, t in enumerate(texts):
-        ids = np.array([*encoder.library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         at = 0
         for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]):
             assert r["start"] == at and r["doc_tokens"] == len(ids)
