@@ -1,8 +1,8 @@
 """Benchmark decontamination by an FM-index of each training shard.
 
-A shard's words become symbols of the benchmark's vocabulary. Runs of known words that are
-long enough to hold a phrase are indexed: suffix order, Burrows-Wheeler transform in a wavelet
-matrix, and every SAMPLE-th suffix position. All phrases are searched backwards at once by
+A shard is what a task holds of its partition at once, up to SHARD words. All its words become symbols: 1
+for any word that no benchmark item holds, 2, 3, ... for the others. The shard's suffix order gives the Burrows-Wheeler
+transform in a wavelet matrix, and every SAMPLE-th suffix position is kept. All phrases are searched backwards at once by
 wavelet ranks, their occurrences located by walking to sampled positions, and their spans
 merged for each document.
 """
@@ -21,9 +21,10 @@ from .words import ALNUM, word_hashes
 
 WINDOW = 10
 SAMPLE = 16
-#: Symbols of one index, words of one chunk (chunks overlap by the longest phrase less one).
-SHARD = 1 << 20
-CHUNK = 64
+#: Words and text bytes of one shard (a document of more is one by itself), and words of one chunk: a document of more is
+#: cut into chunks that overlap by the longest phrase less one, so that no two suffixes agree in more symbols.
+SHARD, SHARD_BYTES = 1 << 19, 8 << 20
+CHUNK = 1024
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in blocks.
 BLOCK_BYTES = 16 << 20
 
@@ -65,26 +66,31 @@ class Wavelet:
 class FMIndex:
     """Index of symbol chunks, each closed by the separator 0; separators are ordered by position."""
 
-    def __init__(self, symbols: np.ndarray, chunk_starts: np.ndarray, sigma: int, longest: int):
+    def __init__(self, symbols: np.ndarray, chunk_starts: np.ndarray, sigma: int):
         n = len(symbols)
         # rank by the first 1, 2, 4, ... symbols; a separator ends the comparison and differs from all others
-        rank = symbols.astype(np.int64)
         separators = np.flatnonzero(symbols == 0)
-        rank += len(separators)
-        rank[separators] = np.arange(len(separators))
+        key = symbols.astype(np.int64) + len(separators)
+        key[separators] = np.arange(len(separators))
+        order = np.argsort(key, kind="stable")
+        first = np.diff(key[order], prepend=-1) != 0
+        rank = np.empty(n, np.int64)
+        group = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # a group's rank is its first row
+        rank[order] = group
         width = 1
-        while True:
-            after = np.zeros(n, np.int64)
-            after[: n - width] = rank[width:] + 1
-            key = rank * (n + sigma + 2) + after
-            order = np.argsort(key, kind="stable")
-            changed = np.diff(key[order], prepend=-1) != 0
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(changed) - 1
+        tied = np.flatnonzero(~(first & np.append(first[1:], True)))  # rows of groups of more than one
+        while len(tied):
+            at = order[tied]
+            after = rank[np.minimum(at + width, n - 1)]  # a tied suffix goes on for at least ``width`` symbols
+            new = np.lexsort((after, rank[at]))
+            at, after = at[new], after[new]
+            order[tied] = at
+            old = rank[at]
+            begins = np.append(True, (old[1:] != old[:-1]) | (after[1:] != after[:-1]))
+            rank[at] = np.maximum.accumulate(np.where(begins, tied, 0))
+            tied = tied[~(begins & np.append(begins[1:], True))]
             width *= 2
-            if changed.all() or width > longest + 1:
-                break
-        self.suffixes = np.argsort(rank, kind="stable")
+        self.suffixes = order
         before = symbols[self.suffixes - 1]  # position 0 gets the last symbol, which is a separator
         self.wavelet = Wavelet(before.astype(np.int64), sigma)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))])
@@ -123,12 +129,12 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of a block of benchmark items, as symbols of its vocabulary (1, 2, ...)."""
+    """Windows of a block of benchmark items, as symbols of its vocabulary: 2, 3, ...; 1 is any other word."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         hashes, counts = word_hashes([t for _, t in items], ALNUM)
         self.vocabulary = np.unique(hashes)
-        symbols = np.searchsorted(self.vocabulary, hashes) + 1
+        symbols = np.searchsorted(self.vocabulary, hashes) + 2
         owners: dict[tuple, set[str]] = {}
         at = 0
         for (item, _), n in zip(items, counts, strict=True):
@@ -145,76 +151,83 @@ class Phrases:
         self.seen[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), np.int64)
+        out = np.ones(len(hashes), np.int64)
         maybe = np.flatnonzero(self.seen[(hashes >> np.uint64(44)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), len(self.vocabulary) - 1)
-        out[maybe] = np.where(self.vocabulary[at] == hashes[maybe], at + 1, 0)
+        out[maybe] = np.where(self.vocabulary[at] == hashes[maybe], at + 2, 1)
         return out
 
 
-def _chunks(symbols: np.ndarray, bounds: np.ndarray, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, words) of chunks that cover every place where a phrase can lie.
-
-    Runs of known words within a document that are shorter than the shortest phrase hold none.
-    """
-    known = symbols > 0
-    edge = known.copy()
-    edge[1:] &= ~known[:-1]
-    edge[bounds[bounds < len(symbols)]] |= known[bounds[bounds < len(symbols)]]
-    start = np.flatnonzero(edge)
-    stops = np.union1d(np.flatnonzero(~known), bounds)
-    stop = np.append(stops, len(symbols))[np.searchsorted(stops, start, side="right")]
-    long = stop - start >= shortest
-    start, stop = start[long], stop[long]
+def _chunks(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, words) of chunks of documents of ``counts`` words; each place where a phrase can lie is in one of them."""
     step = max(CHUNK, 2 * longest) - longest + 1
-    pieces = np.maximum(1, -(-(stop - start - longest + 1) // step))
-    first = np.repeat(start, pieces) + step * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    return first, np.minimum(np.repeat(stop, pieces), first + step + longest - 1) - first
+    start = np.cumsum(counts) - counts
+    pieces = np.where(counts > 0, np.maximum(1, -(-(counts - longest + 1) // step)), 0)
+    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = np.repeat(start, pieces) + step * number
+    return first, np.minimum(np.repeat(start + counts, pieces), first + step + longest - 1) - first
 
 
-def _occurrences(symbols: np.ndarray, bounds: np.ndarray, phrases: Phrases):
-    """(first word, phrase length, owners) of all occurrences in a run of texts."""
+def _occurrences(symbols: np.ndarray, counts: np.ndarray, phrases: Phrases):
+    """(first word, phrase length, phrase, owners) of all occurrences in a shard."""
     if not phrases.by_length or not len(symbols):
         return
-    first, size = _chunks(symbols, bounds, phrases.shortest, phrases.longest)
-    group = (np.cumsum(size + 1) - 1) // SHARD
-    for g in np.unique(group):
-        f, s = first[group == g], size[group == g]
-        begin = np.cumsum(s + 1) - (s + 1)
-        total = int((s + 1).sum())
-        chunk = np.repeat(np.arange(len(s)), s + 1)
-        word = f[chunk] + np.arange(total) - begin[chunk]
-        text = np.where(np.arange(total) - begin[chunk] < s[chunk], symbols[np.minimum(word, len(symbols) - 1)], 0)
-        index = FMIndex(text, begin, len(phrases.vocabulary) + 1, int(s.max()))
-        for length, (patterns, owners) in phrases.by_length.items():
-            found, low, high = index.search(patterns)
-            if not len(found):
-                continue
-            many = high - low
-            rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield word[index.locate(rows)], length, np.repeat(found, many), owners
-
-
-def _scan(batches, phrases: Phrases):
-    """For each text: words, hit words, items with an occurrence, and merged hit spans."""
+    first, size = _chunks(counts, phrases.longest)
+    begin = np.cumsum(size + 1) - (size + 1)
+    chunk = np.repeat(np.arange(len(size)), size + 1)
+    inside = np.arange(len(chunk)) - begin[chunk]
+    word = np.minimum(first[chunk] + inside, len(symbols) - 1)
+    index = FMIndex(np.where(inside < size[chunk], symbols[word], 0), begin, len(phrases.vocabulary) + 2)
+    for length, (patterns, owners) in phrases.by_length.items():
+        found, low, high = index.search(patterns)
+        if not len(found):
+            continue
+        many = high - low
+        rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        yield word[index.locate(rows)], length, np.repeat(found, many), owners
+
+
+def _marked(hashes: np.ndarray, counts: np.ndarray, phrases: Phrases) -> tuple:
+    """For each document of a shard: hit words, items with an occurrence, and merged hit spans."""
+    bounds = np.cumsum(counts)
+    marks, items = np.zeros(len(hashes) + 1, np.int32), [set() for _ in counts]
+    for words, length, which, owners in _occurrences(phrases.symbols(hashes), counts, phrases):
+        np.add.at(marks, words, 1)
+        np.add.at(marks, words + length, -1)
+        pairs = np.unique(np.searchsorted(bounds, words, side="right") * len(owners) + which)
+        for pair in pairs.tolist():
+            items[pair // len(owners)].update(owners[pair % len(owners)])
+    hit = np.cumsum(marks[:-1]) > 0
+    upto = np.concatenate([[0], np.cumsum(hit)])
+    n_hit = upto[bounds] - upto[bounds - counts]
+    spans = [[]] * len(counts)
+    for i in np.flatnonzero(n_hit):
+        edge = np.diff(hit[bounds[i] - counts[i] : bounds[i]].astype(np.int8), prepend=0, append=0)
+        spans[i] = np.ravel([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], order="F").tolist()
+    return n_hit, [sorted(x) for x in items], spans
+
+
+def _scan(batches, phrases: Phrases, text: int = 1):
+    """(batch, words, hit words, items, spans) of batches whose column ``text`` has the texts, shard by shard."""
+    held, words, size = [], 0, 0  # batches of the open shard
+
+    def closed():
+        n_hit, items, spans = _marked(np.concatenate([h for _, h, _ in held]), np.concatenate([c for _, _, c in held]), phrases)
+        at = 0
+        for batch, _, counts in held:
+            stop = at + len(counts)
+            yield batch, counts, n_hit[at:stop], items[at:stop], spans[at:stop]
+            at = stop
+
     for batch in batches:
-        hashes, counts = word_hashes([t or "" for t in batch.column(1).to_pylist()], ALNUM)
-        bounds = np.cumsum(counts)
-        marks, items = np.zeros(len(hashes) + 1, np.int32), [set() for _ in counts]
-        for words, length, which, owners in _occurrences(phrases.symbols(hashes), bounds, phrases):
-            np.add.at(marks, words, 1)
-            np.add.at(marks, words + length, -1)
-            pairs = np.unique(np.searchsorted(bounds, words, side="right") * len(owners) + which)
-            for pair in pairs.tolist():
-                items[pair // len(owners)].update(owners[pair % len(owners)])
-        hit = np.cumsum(marks[:-1]) > 0
-        upto = np.concatenate([[0], np.cumsum(hit)])
-        n_hit = upto[bounds] - upto[bounds - counts]
-        spans = [[]] * len(counts)
-        for i in np.flatnonzero(n_hit):
-            edge = np.diff(hit[bounds[i] - counts[i] : bounds[i]].astype(np.int8), prepend=0, append=0)
-            spans[i] = np.ravel([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], order="F").tolist()
-        yield batch, counts, n_hit, [sorted(x) for x in items], spans
+        hashes, counts = word_hashes([t or "" for t in batch.column(text).to_pylist()], ALNUM)
+        held.append((batch, hashes, counts))
+        words, size = words + len(hashes), size + batch.nbytes
+        if words >= SHARD or size >= SHARD_BYTES:
+            yield from closed()
+            held, words, size = [], 0, 0
+    if held:
+        yield from closed()
 
 
 def _row_of(items: list[str]) -> str:
@@ -239,19 +252,15 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 
     Null and empty texts have no words; null items have no phrase; an item with fewer words than
     ``window`` is one phrase, one without words none. Repeated item ids count once. ``spans`` are
-    the merged hits as [start, stop, ...] word numbers. Repeated rows each get a row; extra
-    columns are ignored. A benchmark of more than ``block_bytes`` is searched in blocks, and
-    each document's spans and items of all blocks are merged.
+    the merged hits as [start, stop, ...] word numbers, in order and apart. Repeated rows each get a row, a null doc_id stays
+    null; extra columns are ignored. A benchmark of more than ``block_bytes`` is searched in blocks, one broadcast
+    after the other, and each document's spans and items of all blocks are merged.
     """
     spark = documents.sparkSession
     blocks = _blocks(benchmark, block_bytes)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if len(blocks) > 1:
-        rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
-
-    def searched(block: DataFrame, rows: DataFrame, extra: list[str]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window))
 
+    def searched(sent, rows: DataFrame, extra: list[str]) -> DataFrame:
         def run(batches):
             for batch, n, n_hit, items, spans in _scan(batches, sent.value):
                 yield pa.RecordBatch.from_arrays(
@@ -262,46 +271,72 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
         return map_arrow(rows, run, "doc_id long, " + "".join(f"{x} long, " for x in extra) + _OUT)
 
     if len(blocks) == 1:
-        return searched(blocks[0], rows, [])
-    found = None
+        return searched(_sent(blocks[0], window), rows, [])
+    rows, parts = written(rows.withColumn("_row", F.monotonically_increasing_id()), "rows"), []
     for block in blocks:
-        one = searched(block, rows, ["_row"])
-        found = one if found is None else found.unionByName(one)
-    # positions of all blocks, each counted once
-    hits = F.size(F.array_distinct(F.flatten(F.flatten(F.collect_list(F.transform(F.filter(F.transform("spans", lambda x, i: F.struct(i.alias("i"), x.alias("a"), F.try_element_at("spans", (i + 2).cast("int")).alias("b"))), lambda s: s["i"] % 2 == 0), lambda s: F.sequence(s["a"], s["b"] - 1)))))))
-    merged = found.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.max("n_words").alias("n_words"),
-        hits.cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-    )
-    return merged.select(
+        sent = _sent(block, window)
+        parts.append(written(searched(sent, rows, ["_row"]).filter("contaminated"), "hits"))
+        sent.destroy()
+    hits = spark.read.schema(parts[0].schema).parquet(*[p._written_at for p in parts])
+    hits = hits.groupBy("_row").agg(F.flatten(F.collect_list("items")).alias("items"), F.collect_list("spans").alias("all"))
+    count = map_arrow(rows, _counted, "_row long, doc_id long, n_words long")
+    items = F.coalesce(F.array_sort(F.array_distinct("items")), F.array().cast("array<string>"))
+    merged = map_arrow(hits.select("_row", "items", F.flatten("all").alias("all")), _merged, "_row long, items array<string>, spans array<long>, n_hit long")
+    return count.join(merged, "_row", "left").select(
         "doc_id",
         "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-        "items",
-        "spans",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+        items.alias("items"),
+        F.coalesce("spans", F.array().cast("array<long>")).alias("spans"),
     )
 
 
+def _sent(block: DataFrame, window: int):
+    return block.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window))
+
+
+def _counted(batches):
+    for batch in batches:
+        _, counts = word_hashes([t or "" for t in batch.column(1).to_pylist()], ALNUM)
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(counts, pa.int64())], ["_row", "doc_id", "n_words"])
+
+
+def _merged(batches):
+    """Overlapping and touching spans of one document put together, and their words."""
+    for batch in batches:
+        spans = []
+        for found in batch.column(2).to_pylist():
+            out: list[int] = []
+            for start, stop in sorted(zip(found[::2], found[1::2], strict=True)):
+                if out and start <= out[-1]:
+                    out[-1] = max(out[-1], stop)
+                else:
+                    out += (start, stop)
+            spans.append(out)
+        n = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["_row", "items", "spans", "n_hit"])
+
+
 def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows, with all columns, that hold no phrase of the benchmark."""
-    spark, columns = documents.sparkSession, documents.columns
-    at = columns.index("text")
-    for block in _blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window))
+    """The rows, with all columns, that hold no phrase of the benchmark.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark lets all rows stay.
+    """
+    at, blocks = documents.columns.index("text"), _blocks(benchmark, block_bytes)
+    for block in blocks:
+        sent = _sent(block, window)
 
         def run(batches, sent=sent):
-            for batch in batches:
-                slim = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["doc_id", "text"])
-                for _, _, n_hit, _, _ in _scan([slim], sent.value):
-                    yield batch.filter(pa.array(n_hit == 0))
+            for batch, _, n_hit, _, _ in _scan(batches, sent.value, at):
+                yield batch.filter(pa.array(n_hit == 0))
 
         documents = map_arrow(documents, run, documents.schema)
+        if len(blocks) > 1:
+            documents = written(documents, "clean")
+            sent.destroy()
     return documents
 
 

@@ -3,7 +3,9 @@
 Every dimension of a vector is a term. A block of query rows is broadcast as sparse
 (term, query, weight) rows; each task turns its candidates into one posting list per term
 and scatters weight * posting into dense score arrays, selects the k best of the
-partition for every query, and the partial lists are merged by one small shuffle.
+partition for every query, and the partial lists are merged by one small shuffle. With several
+blocks, one is searched after the other: its partial lists are written and its broadcast is
+destroyed before the next one is sent.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, table, written
+from .common import blocks, table, written
 
 #: Queries of one broadcast block, and candidates of one dense score array.
 QUERY_BLOCK = 1024
@@ -25,7 +27,8 @@ EXACT = 2**53
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, q array<long>) of usable vectors: floor(scale * component as double).
 
-    Vectors (or ids) that are null, or hold a null, NaN or infinite component, are left out.
+    Vectors (or ids) that are null, or hold a null, NaN or infinite component, are left out. Components beyond 64 bits
+    after scaling take the largest or smallest 64-bit integer; an empty vector scores 0 with all others.
     """
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(
         "embedding",
@@ -119,14 +122,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = Q
     ``queries`` and ``candidates`` are (vec_id, q) of ``quantised``. Returns query_id, rank,
     vec_id, score; ties go to the smaller vec_id. A query with fewer candidates gets all of
     them, one without any gets no row. Vectors of unequal length are padded with zeros.
-    Repeated candidate rows each count; every row with the query's id is its own; repeated
-    queries count once. Products and their sums must fit 64 bits. The query set is taken in
-    blocks of ``block`` rows, each broadcast on its own, so what is broadcast has a fixed bound.
+    Repeated candidate rows each count; every row with the query's id is its own; of queries
+    that repeat an id the smallest vector counts. Products and their sums must fit 64 bits. The query set is taken in
+    blocks of at most ``block`` rows, one at a time, so what is broadcast and what the driver holds have a fixed bound.
     """
     spark = candidates.sparkSession
-    queries = queries.dropDuplicates(["vec_id"])
-    parts = []
-    for one in blocks(spark, queries, "vec_id", block):
+    queries = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
+    every, parts = blocks(queries, "vec_id", block), []
+    for one in every:
         rows = sorted(one.collect())
         if not rows:
             continue
@@ -135,14 +138,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = Q
         for i, r in enumerate(rows):
             q[i, : len(r[1])] = r[1]
         sent = spark.sparkContext.broadcast({"ids": np.array([r[0] for r in rows], np.int64), "q": q})
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CANDIDATES))
         found = candidates.mapInArrow(_searcher(sent, k), "query_id long, vec_id long, score long")
+        if len(every) > 1:
+            found = written(found, "top")
+            sent.destroy()
         parts.append(found)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for one in parts[1:]:
-        found = found.unionByName(one)
+    found = parts[0] if len(parts) == 1 else spark.read.schema(parts[0].schema).parquet(*[p._written_at for p in parts])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(w).cast("int"))
