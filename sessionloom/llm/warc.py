@@ -4,11 +4,14 @@ Archives are written by Spark's text sink, each record ended by CRLF CRLF, and r
 text source, split at the magic ``WARC/1.``. So both ways work on any store that Spark reaches
 and large files are split among tasks.
 
-Every magic is only a candidate record: a header or payload may hold it too. Each task links its
+Every magic behind a CRLF CRLF is only a candidate record: a payload may hold it too. Each task links its
 candidates to their successors (start + header + Content-Length + end) and follows those links
 inside its own split, which leaves one exit for each candidate. Pointer jumping over these
 exits, from the start of each file, finds where the true chain enters each split; walking the
 split from there keeps the reachable records and rejects all other candidates.
+
+Beside its links a task holds one record: it parses the records of the chain that it guesses, from its
+first candidate on. Reachable records that were not on it, or go on in a later split, are read again.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import map_arrow, new_path, table, written
+from .common import dropped, map_arrow, new_path, table, written
 
 MAGIC = b"WARC/1."
 END = "\r\n\r\n"
@@ -97,108 +102,172 @@ def write(pages: DataFrame, path: str, **how) -> None:
 # -- reading -------------------------------------------------------------------------------
 
 
-def _fields(data: bytes) -> tuple[dict[str, str], int] | tuple[()] | None:
-    """Fields of a header that begins with the minor version, and where its block begins; () if the header goes on at the next magic."""
+_LENGTH = re.compile("[0-9]{1,18}")
+
+
+class _Header:
+    """Fields of a header that comes in pieces, none of which ends between CR and LF; begins behind the version line."""
+
+    def __init__(self, parts: list[bytes] | None = None):
+        self.parts, self.fields, self.end = parts or [], {}, 0
+
+    def feed(self, data: bytes) -> bool | None:
+        """True if the header ends in ``data`` (before its byte ``end``), False if it is none, None if it goes on."""
+        if not _BREAK.search(data):
+            self.parts.append(data)
+            return None
+        before = sum(map(len, self.parts))
+        text, at = b"".join([*self.parts, data]), 0
+        while not text.startswith(b"\r\n", at):
+            m = _FIELD.match(text, at)
+            if m is None:
+                self.parts = [text[at:]]
+                return False if _BREAK.search(text, at) else None
+            self.fields[m[1].decode("utf-8", "replace").strip().lower()] = m[2].decode("utf-8", "replace").strip()
+            at = m.end()
+        self.end = at + 2 - before
+        return True
+
+
+def _begun(data: bytes) -> tuple[_Header, bool | None, int] | None:
+    """The header behind a magic, what feeding it with the rest of ``data`` gave, and where that rest began; None if it is no header."""
     line = data.find(b"\r\n")
     if line < 1 or not data[:line].isdigit():
         return None
-    at, fields = line + 2, {}
-    while not data.startswith(b"\r\n", at):
-        m = _FIELD.match(data, at)
-        if m is None:
-            return None if _BREAK.search(data, at) else ()
-        fields[m[1].decode("utf-8", "replace").strip().lower()] = m[2].decode("utf-8", "replace").strip()
-        at = m.end()
-    return fields, at + 2
-
-
-def _header(data: bytes) -> tuple[dict[str, str], int] | tuple[()] | None:
-    """``_fields`` of a record's header; None if it lacks what every record has."""
-    found = _fields(data)
-    if found and (not found[0].get("content-length", "").isdigit() or "warc-type" not in found[0]):
-        return None
-    return found
+    header = _Header()
+    state = header.feed(data[line + 2 :])
+    return None if state is False else (header, state, line + 2)
+
 
+def _length(fields: dict[str, str]) -> int | None:
+    """The Content-Length of a header, None without one of at most 18 digits."""
+    found = fields.get("content-length", "")
+    return int(found) if _LENGTH.fullmatch(found) else None
 
-def _parsed(fields: dict[str, str], block: bytes) -> tuple:
-    """Record type, id, URI, refers-to, stated digest, payload length and payload digest (stated for revisits)."""
-    http, _, payload = block.partition(b"\r\n\r\n")
+
+def _parsed(data: bytes) -> tuple | None:
+    """Record type, id, URI, refers-to, stated digest, payload length and payload digest (stated for revisits) of a whole record behind its magic."""
+    begun = _begun(data)
+    if begun is None or not begun[1]:
+        return None
+    header, _, start = begun
+    fields, begin, length = header.fields, start + header.end, _length(header.fields)
+    if length is None or "warc-type" not in fields or data[begin + length : begin + length + len(END)] != END.encode():
+        return None
+    http, _, payload = data[begin : begin + length].partition(b"\r\n\r\n")
     kind, stated = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
     size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
     if kind == "revisit":  # its block holds only the HTTP header, which states the payload's length
-        m = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+        m = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", http)
         size, digest = int(m[1]) if m else None, stated
     return kind, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), stated, size, digest
 
 
 _FIELDS = ["record_type", "record_id", "uri", "refers_to", "stated_digest", "payload_bytes", "payload_digest"]
 _FIELD_TYPES = "record_type string, record_id string, uri string, refers_to string, stated_digest string, payload_bytes long, payload_digest string"
-_LINKS = f"file string, split long, size long, rel long, next long, exit long, whole boolean, {_FIELD_TYPES}, head binary"
+_LINKS = f"file string, split long, size long, clean boolean, rel long, next long, exit long, edge boolean, length long, typed boolean, tail binary, {_FIELD_TYPES}"
 _LINK_SCHEMA = pa.schema(
-    [("file", pa.string()), ("split", pa.int64()), ("size", pa.int64()), ("rel", pa.int64()), ("next", pa.int64()), ("exit", pa.int64()), ("whole", pa.bool_())]
+    [("file", pa.string()), ("split", pa.int64()), ("size", pa.int64()), ("clean", pa.bool_()), ("rel", pa.int64()), ("next", pa.int64()), ("exit", pa.int64())]
+    + [("edge", pa.bool_()), ("length", pa.int64()), ("typed", pa.bool_()), ("tail", pa.binary())]
     + [(f, pa.int64() if f == "payload_bytes" else pa.string()) for f in _FIELDS]
-    + [("head", pa.binary())]
 )
+#: Rows of one batch of links.
+_ROWS = 1 << 14
 
 
 class _Split:
-    """Candidates of one split; positions are relative to the split's first line."""
+    """Candidates of one split; positions are relative to the split's first line, -1 is none."""
 
     def __init__(self, file: str, split: int):
-        self.file, self.split, self.at = file, split, 0
-        self.rows: list[list] = []
-        self.open: list[list] = []  # candidates whose record has not ended: [row, fields, block begin, parts, got, need]
-        self.heads: list[list] = []  # candidates whose header has not ended: [row, parts]
+        self.file, self.split, self.at, self.clean = file, split, 0, False
+        self.rel, self.next = array("q"), array("q")
+        self.parsed: dict[int, tuple] = {}
+        # candidates whose header has not ended: (number, Content-Length, has a type, line). What all of them
+        # wait for is the same, so it is held once; the line that last gave a length or a type counts for those of earlier lines
+        self.heads: list[tuple[int, int | None, bool, int]] = []
+        self.shared: _Header | None = None
+        self.lines, self.length_at, self.type_at = 0, 0, 0
+        self.guess, self.parts = -1, []  # the record that is put together
+
+    def _linked(self, i: int, end: int, length: int | None, typed: bool) -> None:
+        if length is not None and typed:
+            self.next[i] = end + length + len(END)
+
+    def _so_far(self, head: tuple) -> tuple[int | None, bool]:
+        _, length, typed, line = head
+        return (_length(self.shared.fields) if self.length_at > line else length), typed or self.type_at > line
+
+    def _continue(self, data: bytes) -> None:
+        """Open headers go on with a line."""
+        known = dict(self.shared.fields)
+        self.shared.fields.clear()
+        state = self.shared.feed(data)
+        new = self.shared.fields
+        self.length_at = self.lines if "content-length" in new else self.length_at
+        self.type_at = self.lines if "warc-type" in new else self.type_at
+        self.shared.fields = {k: v for k, v in (known | new).items() if k == "content-length"}
+        if state is None:
+            return
+        if state:
+            for head in self.heads:
+                self._linked(head[0], self.at - len(MAGIC) + self.shared.end, *self._so_far(head))
+        self.heads, self.shared = [], None
 
     def line(self, data: bytes) -> None:
-        for entry in self.open:  # a magic inside a payload: the line goes on with it
-            entry[3] += (MAGIC, data)
-            entry[4] += len(MAGIC) + len(data)
-        heads, self.heads = self.heads, []
-        for row, parts in heads:  # a magic inside a header: the same
-            parts += (MAGIC, data)
-            if _BREAK.search(data):
-                self._begin(row, b"".join(parts))
+        self.lines += 1
+        if self.heads:
+            self._continue(MAGIC + data)
+        first = not self.at
+        if self.guess >= 0:
+            self.parts += (MAGIC, data)
+        if (self.clean or first) and (self.split or not first) and (begun := _begun(data)):
+            header, state, start = begun
+            i, length, typed = len(self.rel), _length(header.fields), "warc-type" in header.fields
+            self.rel.append(self.at - len(MAGIC))
+            self.next.append(-1)
+            if state:
+                self._linked(i, self.at + start + header.end, length, typed)
             else:
-                self.heads.append([row, parts])
-        if (self.at or self.split) and _fields(data) is not None:
-            row = [self.at - len(MAGIC), None, None, False, *[None] * len(_FIELDS), None]
-            self.rows.append(row)
-            self._begin(row, data)
-        for entry in self.open:
-            row, fields, begin, parts, got, need = entry
-            if got >= need:
-                whole = b"".join(parts)
-                row[3] = whole[need - len(END) : need] == END.encode()
-                if row[3]:
-                    row[4:-1] = _parsed(fields, whole[begin : need - len(END)])
-                else:
-                    row[1] = None  # a record that does not end where it says has no successor
-        self.open = [e for e in self.open if e[4] < e[5]]
+                if self.shared is None:
+                    self.shared = _Header(header.parts)
+                self.heads.append((i, length, typed, self.lines))
+            if self.guess < 0 and (self.next[i] >= 0 or not state):
+                self.guess, self.parts = i, [data]
         self.at += len(data) + len(MAGIC)
-
-    def _begin(self, row: list, data: bytes) -> None:
-        """Take up a candidate by what is there of its record; one that proves to be none has no successor."""
-        found = _header(data)
-        if found == ():
-            self.heads.append([row, [data]])
-        elif found:
-            fields, begin = found
-            need = begin + int(fields["content-length"]) + len(END)
-            row[1] = row[0] + len(MAGIC) + need
-            self.open.append([row, fields, begin, [data], len(data), need])
-
-    def batch(self) -> pa.RecordBatch:
-        for row, parts in self.heads:  # the exit of a header that goes on in the next split is itself, until it is known
-            row[2], row[-1] = row[0], b"".join(parts)
-        starts = {row[0]: row for row in self.rows}
-        for row in reversed(self.rows):
-            if row[-1] is not None:
-                continue
-            after = starts.get(row[1])
-            row[2] = after[2] if after is not None else row[1] if row[1] is not None and row[1] >= self.at - len(MAGIC) else None
-        rows = [[self.file, self.split, self.at, *row] for row in self.rows] or [[self.file, self.split, self.at, None, None, None, None, *[None] * len(_FIELDS), None]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _LINK_SCHEMA, strict=True)], schema=_LINK_SCHEMA)
+        self.clean = data.endswith(END.encode()) or (first and not self.split and not data)  # or a file begins
+        if self.guess >= 0:
+            waits = self.next[self.guess] < 0
+            if waits and not self.heads:
+                self.guess, self.parts = -1, []  # its header was none
+            elif not waits and self.at - len(MAGIC) >= self.next[self.guess]:
+                if (found := _parsed(b"".join(self.parts))) is not None:
+                    self.parsed[self.guess] = found
+                self.guess, self.parts = -1, []
+
+    def batches(self):
+        n, end = len(self.rel), self.at - len(MAGIC)
+        pending = {h[0]: self._so_far(h) for h in self.heads}
+        leaves = array("q", [-1]) * n
+        for i in range(n - 1, -1, -1):
+            if i in pending:  # until it is known, its exit is itself
+                leaves[i] = self.rel[i]
+            elif self.next[i] >= end:
+                leaves[i] = self.next[i]
+            elif self.next[i] >= 0:
+                j = bisect_left(self.rel, self.next[i])
+                leaves[i] = leaves[j] if j < n and self.rel[j] == self.next[i] else -1
+        some = lambda x: None if x < 0 else x
+        tail = b"".join(self.shared.parts) if self.heads else None
+        for at in range(0, max(n, 1), _ROWS):
+            rows = []
+            for i in range(at, min(n, at + _ROWS)):
+                length, typed = pending.get(i, (None, None))
+                mine = tail if self.heads and i == self.heads[0][0] else None
+                rel = self.rel[i]
+                # positions before the split's first line are those of the magic in front of it
+                rows.append((rel, None if i in pending else some(self.next[i]), rel if i in pending else some(leaves[i]), bool(self.split) and rel < 0, length, typed, mine, *self.parsed.get(i, [None] * len(_FIELDS))))
+            rows = [(self.file, self.split, self.at, self.clean, *r) for r in rows] or [(self.file, self.split, self.at, self.clean, *[None] * (len(_LINK_SCHEMA) - 4))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _LINK_SCHEMA, strict=True)], schema=_LINK_SCHEMA)
 
 
 def _candidates(batches):
@@ -207,11 +276,11 @@ def _candidates(batches):
         for data, file, split in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if current is None or (current.file, current.split) != (file, split):
                 if current is not None:
-                    yield current.batch()
+                    yield from current.batches()
                 current = _Split(file, split)
             current.line(data)
     if current is not None:
-        yield current.batch()
+        yield from current.batches()
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -225,32 +294,32 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def _continuations(batches):
     """What each split adds to a header that has begun before it; open if it does not end it either."""
     schema = pa.schema([("file", pa.string()), ("split", pa.int64()), ("part", pa.binary()), ("open", pa.bool_())])
-    key, parts, state = None, [], ()
+    key, parts, state, header = None, [], None, None
 
     def row():
-        data = b"".join(parts)
-        part = data if state == () else data[: data.index(b"\r\n\r\n") + 4] if state else b""
-        return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((*key, part, state == ()), schema, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((*key, b"".join(parts), state is None), schema, strict=True)], schema=schema)
 
     for batch in batches:
         for data, file, split in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != (file, split):
                 if key is not None:
                     yield row()
-                key, parts, state = (file, split), [], ()
-            if state == ():
-                parts += (MAGIC, data)
-                if _BREAK.search(data):
-                    state = _fields(b"1\r\nx:" + b"".join(parts))
+                key, parts, state, header = (file, split), [], None, _Header([b"x:"])
+            if state is None:
+                state = header.feed(MAGIC + data)
+                parts.append((MAGIC + data)[: header.end] if state else MAGIC + data)  # what is no header here is none when put together
     if key is not None:
         yield row()
 
 
 def _continued(spark: SparkSession, path: str, links: DataFrame, splits: DataFrame) -> DataFrame:
-    """``links`` with the successors of candidates whose header goes on in later splits."""
-    pending = links.filter("head IS NOT NULL").select("file", "split", "rel", "head")
+    """``links`` with the successors of candidates whose header goes on in later splits.
+
+    All such candidates of a split wait for the same bytes, so these are put together once for each split.
+    """
+    pending = links.filter("tail IS NOT NULL").select("file", "split", "size", "tail")
     if pending.isEmpty():
-        return links.drop("head")
+        return links
     files = pending.select(F.col("file").alias("file_path")).distinct()
     parts = map_arrow(_lines(spark, path).join(files, "file_path", "left_semi").select("line", "file_path", "file_block_start"), _continuations, "file string, split long, part binary, open boolean")
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -260,16 +329,22 @@ def _continued(spark: SparkSession, path: str, links: DataFrame, splits: DataFra
     later = parts.select("file", "run", F.col("split").alias("later"), "part")
     mine = pending.join(after, ["file", "split"]).join(later, ["file", "run"]).filter("later > split")
 
-    def successor(pdf: pd.DataFrame) -> pd.DataFrame:
+    def ended(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("later")
-        found, first = _header(pdf["head"].iloc[0] + b"".join(pdf["part"])), pdf.iloc[0]
-        rows = [[first["file"], first["split"], first["rel"], first["rel"] + len(MAGIC) + found[1] + int(found[0]["content-length"]) + len(END)]] if found else []
-        return pd.DataFrame(rows, columns=["file", "split", "rel", "found"])
-
-    known = mine.groupBy("file", "split", "rel").applyInPandas(successor, "file string, split long, rel long, found long")
-    out = links.join(known, ["file", "split", "rel"], "left")
-    out = out.withColumn("next", F.coalesce("next", "found")).withColumn("exit", F.when(F.col("head").isNull(), F.col("exit")).otherwise(F.col("found")))
-    return written(out.drop("head", "found"), "links")
+        first, header = pdf.iloc[0], _Header([pdf["tail"].iloc[0]])
+        columns = ["file", "split", "end", "new_length", "again", "new_type"]
+        if not header.feed(b"".join(pdf["part"])):
+            return pd.DataFrame(columns=columns)
+        row = [first["file"], first["split"], first["size"] - len(MAGIC) + header.end, _length(header.fields), "content-length" in header.fields, "warc-type" in header.fields]
+        return pd.DataFrame([row], columns=columns).astype({"new_length": "Int64"})
+
+    known = mine.groupBy("file", "split").applyInPandas(ended, "file string, split long, end long, new_length long, again boolean, new_type boolean")
+    out = links.join(known, ["file", "split"], "left")
+    length = F.when(F.col("again"), F.col("new_length")).otherwise(F.col("length"))
+    found = F.when(F.col("typed") | F.col("new_type"), F.col("end") + length + len(END))
+    waits = F.col("typed").isNotNull()
+    out = out.withColumn("next", F.when(waits, found).otherwise(F.col("next"))).withColumn("exit", F.when(waits, found).otherwise(F.col("exit")))
+    return written(out.drop("end", "new_length", "again", "new_type"), "links")
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -284,7 +359,7 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _entries(links: DataFrame, splits: DataFrame) -> DataFrame:
     """(file, split, entry): where the chain from the start of each file enters each split, by pointer jumping."""
-    placed = links.filter("rel IS NOT NULL").join(splits.select("file", "split", "base"), ["file", "split"])
+    placed = links.join(splits.select("file", "split", "base"), ["file", "split"])
     jumps = placed.select("file", (F.col("base") + F.col("rel")).alias("at"), (F.col("base") + F.col("exit")).alias("to"))
     targets = jumps.filter("`to` IS NOT NULL").select("file", F.col("to").alias("at")).distinct()
     starts = splits.filter("split = 0").select("file", F.lit(0).cast("long").alias("at"))
@@ -292,20 +367,21 @@ def _entries(links: DataFrame, splits: DataFrame) -> DataFrame:
     reached, n, most = written(starts, "reached"), -1, splits.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     for _ in range((2 * most).bit_length()):  # a split may hold two steps: to a header that it does not end, and on
         further = reached.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at"))
-        reached = written(reached.unionByName(further).distinct(), "reached")
+        old, reached = reached, written(reached.unionByName(further).distinct(), "reached")
+        dropped(old)
         if (now := reached.count()) == n:
             break
         n = now
         second = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("end"))
-        jumps = written(jumps.join(second, ["file", "to"]).select("file", "at", F.col("end").alias("to")), "jumps")
-    spans = splits.select("file", "split", "base", "size")
-    inside = (F.col("at") >= F.col("base") - len(MAGIC)) & (F.col("at") < F.col("base") + F.col("size") - len(MAGIC))
-    return (
-        reached.join(spans, "file")
-        .filter(inside)
-        .groupBy("file", "split")
-        .agg(F.min(F.col("at") - F.col("base")).alias("entry"))
-    )
+        old, jumps = jumps, written(jumps.join(second, ["file", "to"]).select("file", "at", F.col("end").alias("to")), "jumps")
+        dropped(old)
+    # a position lies in the last split that begins at or before it: one sort for each file, no range join
+    marks = reached.select("file", "at", F.lit(None).cast("long").alias("split"), F.lit(None).cast("long").alias("base"))
+    begins = splits.select("file", (F.col("base") - len(MAGIC)).alias("at"), "split", "base")
+    spans = begins.unionByName(marks).select("file", "at", F.when(F.col("split").isNotNull(), F.struct("split", "base")).alias("own"), F.col("split").isNull().alias("mark"))
+    order = Window.partitionBy("file").orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    inside = spans.withColumn("in", F.last("own", ignorenulls=True).over(order)).filter("mark AND in IS NOT NULL")
+    return inside.groupBy("file", F.col("in.split").alias("split")).agg(F.min(F.col("at") - F.col("in.base")).alias("entry"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -313,52 +389,65 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Only records that the chain from the start of their file reaches are returned: a magic inside
     a payload is no record. A file that does not begin with a record has none; behind a broken
-    or cut record the chain, and so the file's result, ends. Empty files give no rows.
+    or cut record the chain, and so the file's result, ends. Empty files give no rows. A header whose Content-Length is
+    not 1 to 18 digits is none.
     """
     links = written(map_arrow(_lines(spark, path), _candidates, _LINKS), "links")
-    sizes = links.groupBy("file", "split").agg(F.max("size").alias("size"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = written(sizes.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))), "splits")
-    links = _continued(spark, path, links, splits)
-    entered = links.filter("rel IS NOT NULL").join(_entries(links, splits), ["file", "split"])
-    shape = entered.schema
-    kept = written(entered.groupBy("file", "split").applyInPandas(_walk, shape), "kept")
+    sizes = links.groupBy("file", "split").agg(F.max("size").alias("size"), F.max("clean").alias("clean"))
+    order = Window.partitionBy("file").orderBy("split")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    splits = written(sizes.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("opens", F.coalesce(F.lag("clean").over(order), F.lit(True))), "splits")
+    links = _continued(spark, path, links, splits).drop("size", "clean", "tail", "length", "typed")
+    # a split's first line is a candidate only if the one before it ends with the end of a record
+    links = links.filter("rel IS NOT NULL").join(splits.select("file", "split", "opens"), ["file", "split"]).filter("opens OR NOT edge").drop("opens", "edge")
+    entered = links.join(_entries(links, splits), ["file", "split"])
+    kept = written(entered.groupBy("file", "split").applyInPandas(_walk, entered.schema), "kept")
     placed = kept.join(splits.select("file", "split", "base"), ["file", "split"]).withColumn("offset", F.col("base") + F.col("rel"))
-    out = placed.filter("whole").select("file", "offset", *_FIELDS)
-    cut = placed.filter("NOT whole AND next IS NOT NULL").select("file", "offset", (F.col("base") + F.col("next")).alias("stop"))
-    if cut.isEmpty():
+    out = placed.filter("record_type IS NOT NULL").select("file", "offset", *_FIELDS)
+    left = placed.filter("record_type IS NULL AND next IS NOT NULL").select("file", "offset", (F.col("base") + F.col("next")).alias("stop"))
+    if left.isEmpty():
         return out
-    return out.unionByName(_straddling(spark, path, splits, cut))
+    return out.unionByName(_again(spark, path, splits, written(left, "left")))
 
 
-def _straddling(spark: SparkSession, path: str, splits: DataFrame, cut: DataFrame) -> DataFrame:
-    """Records with a magic in their header or payload that go on in a later split: their lines are put together."""
+def _again(spark: SparkSession, path: str, splits: DataFrame, left: DataFrame) -> DataFrame:
+    """Records that no task has put together: their lines, from the splits that they cover only.
+
+    Records of the chain do not overlap, so each line belongs to the last record that begins at or before it.
+    """
+    width = 64 << 20
+    grid = lambda low, high: F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+    ends = splits.groupBy("file").agg(F.max(F.col("base") + F.col("size")).alias("size"))
+    rows = left.join(ends, "file").withColumn("stop", F.least("stop", "size")).drop("size")
+    cells = rows.withColumn("cell", grid(F.col("offset"), F.col("stop")))
+    spans = splits.select("file", "split", "base", F.col("size").alias("bytes")).withColumn("cell", grid(F.greatest(F.col("base") - len(MAGIC), F.lit(0)), F.col("base") + F.col("bytes")))
+    covered = cells.join(spans, ["file", "cell"]).filter("offset < base + bytes AND stop >= base").select("file", "split", "base", "offset", "stop").distinct()
+    covered = written(covered, "covered")
 
     def placed(batches):
         key, at = None, 0
         for batch in batches:
-            file, split, rel = [], [], []
-            for data, f, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rel = []
+            for size, f, s in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if (f, s) != key:
                     key, at = (f, s), 0
-                file.append(f), split.append(s), rel.append(at)
-                at += len(data) + len(MAGIC)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(file, pa.string()), pa.array(split, pa.int64()), pa.array(rel, pa.int64())], ["line", "file", "split", "rel"])
+                rel.append(at)
+                at += size + len(MAGIC)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rel, pa.int64())], ["line", "file", "split", "rel"])
 
-    lines = map_arrow(_lines(spark, path), placed, "line binary, file string, split long, rel long")
-    lines = lines.join(splits.select("file", "split", "base"), ["file", "split"]).withColumn("begin", F.col("base") + F.col("rel") - len(MAGIC))
-    mine = lines.join(cut, "file").filter((F.col("begin") >= F.col("offset")) & (F.col("begin") < F.col("stop")))
+    lines = map_arrow(_lines(spark, path).withColumn("n", F.octet_length("line")), placed, "line binary, file string, split long, rel long")
+    lines = lines.join(covered.select("file", "split", "base").distinct(), ["file", "split"])
+    lines = lines.select("file", "split", (F.col("base") + F.col("rel") - len(MAGIC)).alias("at"), "line", F.lit(None).cast("struct<offset:bigint,stop:bigint>").alias("own"))
+    begins = covered.select("file", "split", F.greatest(F.col("offset"), F.col("base") - len(MAGIC)).alias("at"), F.lit(None).cast("binary").alias("line"), F.struct("offset", "stop").alias("own"))
+    order = Window.partitionBy("file", "split").orderBy("at", F.col("line").isNotNull(), "own").rowsBetween(Window.unboundedPreceding, 0)
+    mine = lines.unionByName(begins).withColumn("own", F.last("own", ignorenulls=True).over(order)).filter("line IS NOT NULL AND own IS NOT NULL AND at < own.stop")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = MAGIC.join(pdf.sort_values("begin")["line"])
-        found = _header(data)
-        stop = int(pdf["stop"].iloc[0] - pdf["offset"].iloc[0]) - len(MAGIC)
-        if not found or data[stop - len(END) : stop] != END.encode():
-            return pd.DataFrame(columns=["file", "offset", *_FIELDS])
-        row = _parsed(found[0], data[found[1] : stop - len(END)])
-        return pd.DataFrame([[pdf["file"].iloc[0], pdf["offset"].iloc[0], *row]], columns=["file", "offset", *_FIELDS])
-
-    return mine.groupBy("file", "offset", "stop").applyInPandas(join, f"file string, offset long, {_FIELD_TYPES}")
+        row = _parsed(MAGIC.join(pdf.sort_values("at")["line"]))
+        return pd.DataFrame([] if row is None else [[pdf["file"].iloc[0], pdf["offset"].iloc[0], *row]], columns=["file", "offset", *_FIELDS])
+
+    shape = f"file string, offset long, {_FIELD_TYPES}"
+    return mine.select("file", "at", "line", "own.offset").groupBy("file", "offset").applyInPandas(join, shape)
 
 
 def page_rows(read_back: DataFrame) -> DataFrame:

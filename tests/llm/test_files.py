@@ -291,3 +291,52 @@ def test_warc_magic_in_header(spark, tmp_path, split):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+HEAD = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: "
+HOSTILE = [
+    HEAD + "²\r\n\r\nx\r\n\r\n",
+    "\r\n\r\n" + HEAD + "²\r\n\r\nx\r\n\r\n",
+    "\r\n\r\n" + HEAD + "9" * 20 + "\r\n\r\nx",
+    "\r\n\r\n" + HEAD + "9" * 18 + "\r\n\r\nx",
+    "\r\n\r\n" + HEAD + "1" * 5000 + "\r\n\r\nx",
+    "\r\n\r\n" + HEAD + "-1\r\n\r\nx",
+    "\r\n\r\nWARC/1.²\r\nContent-Length: 1\r\n\r\n",
+    "\r\n\r\n" + HEAD + "5\r\nA: ",
+    ("\r\n\r\n" + HEAD + "0\r\n\r\n") * 50,
+    ("\r\n\r\n" + HEAD + "40\r\n\r\n") * 50,
+    ("\r\n\r\n" + HEAD + "5\r\nA: ") * 50 + "\r\n\r\nhello",
+]
+
+
+@pytest.mark.parametrize("split", ["128m", "900b"])
+def test_warc_hostile_payloads(spark, tmp_path, split):
+    rows = [(i, "http://x/", h, "clash", 1) for i, h in enumerate(HOSTILE * 2 + ["plain"] * 3, 1)]
+    rows += [(7, "http://x/", "again", "clash", 1), (7, "http://x/", "again", "clash", 1)]  # a repeated page_id
+    path = str(tmp_path / "warc")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        warc.write(spark.createDataFrame(rows, PAGES).repartition(3), path)
+        found = warc.page_rows(warc.read(spark, path)).collect()
+        assert len(found) == len(rows)
+        assert set(map(tuple, found)) == expected(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("fake", ["\r\n\r\n" + HEAD + "7\r\n\r\nabc", "\r\n\r\n" + HEAD + "999999999\r\n\r\n", "\r\n\r\n" + HEAD + "5\r\nA: "])
+def test_warc_100_000_fake_records(spark, tmp_path, fake):
+    """State and time are in proportion to the payload, whatever the fakes in it claim."""
+    rows = [(1, "http://x/", "a", "c", 1), (2, "http://x/", fake * 100_000, "c", 1), (3, "http://x/", "b", "c", 1)]
+    path = str(tmp_path / "warc")
+    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), path)
+    assert set(map(tuple, warc.page_rows(warc.read(spark, path)).collect())) == expected(rows)
+
+
+def test_warc_null_ids(spark, tmp_path):
+    rows = [(None, "http://x/", "same", "c", 1), (None, None, "other", "c", 1), (4, "http://x/", "same", "c", 1), (2, None, None, "c", 1)]
+    warc.write(spark.createDataFrame(rows, PAGES), str(tmp_path / "warc"))
+    found = warc.page_rows(warc.read(spark, str(tmp_path / "warc"))).collect()
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in found) == [("2", 0, "response", None), ("4", 4, "response", None), ("None", 4, "revisit", 4), ("None", 5, "response", None)]
