@@ -4,7 +4,7 @@ The standard library's streaming parser turns a page into lines (blocks); each l
 its text, its tags and its link text. The ratios of text to tags are smoothed by a Gaussian and
 clustered by a threshold; the regions of the page whose lines lie above it are content, with all
 that is in them. Lines in elements that never hold an article (menus, forms, scripts, ...) take
-no part. Where the page marks its article, all lines inside it are content.
+no part. Where the page marks an article, the clustering is between the articles it marks, and of one alone all lines stay.
 """
 
 from __future__ import annotations
@@ -21,19 +21,25 @@ from .common import map_arrow, table
 
 #: Elements whose text is no part of an article.
 NEVER = frozenset(
-    "head script style noscript template iframe object svg math canvas audio video nav header footer aside form "
-    "button select option textarea input label dialog menu".split()
+    "head script style noscript template iframe object svg canvas audio video nav header footer aside form "
+    "button select option textarea input dialog menu".split()
 )
+#: Those of them that stand within a line and do not end it.
+INLINE = frozenset("script style noscript template iframe object svg canvas audio video button select option textarea input".split())
 #: Words of class, id or role that mark reader comments; on an article only as whole names ('comment', not 'has-comments').
 COMMENTS = frozenset("comment comments disqus reply replies".split())
-#: Words that mark other parts beside an article; an article inside such an element counts none the less, and so does an
-#: element that holds most of the text.
+#: Words that mark menus, headers, footers, sidebars, notices, adverts and forms beside an article; an article inside such
+#: an element counts none the less, and so does an element that holds most of the text. On an element that is no
+#: container they count only as whole names ('notice', not 'notice-board').
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices alert popup modal overlay newsletter subscribe signup "
-    "sidebar aside menu menubar nav navbar navigation breadcrumb breadcrumbs header footer masthead related "
-    "recommended share sharing social toolbar complementary contentinfo search widget pagination pager skip".split()
+    "sidebar aside menu menubar nav navbar navigation breadcrumb breadcrumbs footer masthead "
+    "complementary contentinfo".split()
 )
+#: Elements in which a mark may be part of a name; headings are never excluded by a mark.
+CONTAINERS = frozenset("div section ul ol dl table td details figure center fieldset header footer".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Names with one of these words tell a state of the element ('with-sidebar'), not what it is.
 STATES = frozenset("has with no without open closed enabled disabled".split())
 #: Elements that begin and end a block.
@@ -49,8 +55,13 @@ SIGMA = 1.0
 _WORD = re.compile(r"[a-z]+")
 
 
+def _ends_line(tag: str, out: str) -> bool:
+    """Whether an element that is excluded so begins and ends a line: not a script or a hidden word within one."""
+    return out == "beside" or (out == "always" and tag not in INLINE and (tag in BLOCKS or tag in NEVER))
+
+
 class Lines(HTMLParser):
-    """Lines of a page: [text parts, tags, link code points, region, in article, marked element around it]."""
+    """Lines of a page: [text parts, tags, link code points, region, number of the outermost article, marked element around it]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -58,7 +69,7 @@ class Lines(HTMLParser):
         # open elements that matter: name, how it is excluded ('', 'always' or 'beside'), region, marked element around it
         self.stack: list[tuple[str, str, int, int]] = []
         #: ``beside`` is the innermost open element marked as beside the article, 0 for none; an article suspends those around it.
-        self.always = self.in_article = self.links = self.regions = self.beside = 0
+        self.always = self.in_article = self.articles = self.links = self.regions = self.beside = 0
         #: The marked element around each marked element.
         self.marks = [0]
         self.line = None
@@ -73,7 +84,7 @@ class Lines(HTMLParser):
 
     def _current(self) -> list:
         if self.line is None:
-            self.line = [[], 0, 0, self._region(), self.in_article > 0, self.beside]
+            self.line = [[], 0, 0, self._region(), self.articles if self.in_article else 0, self.beside]
             self.lines.append(self.line)
         return self.line
 
@@ -95,7 +106,9 @@ class Lines(HTMLParser):
             return ""
         if not COMMENTS.isdisjoint(names if tag in ARTICLE else words):
             return "always"
-        return "" if tag in ARTICLE or MARKS.isdisjoint(words) else "beside"
+        if tag in ARTICLE or tag in HEADINGS:
+            return ""
+        return "" if MARKS.isdisjoint(words if tag in CONTAINERS else names) else "beside"
 
     def _close(self, i: int) -> None:
         """End the open elements from number ``i`` on."""
@@ -103,7 +116,7 @@ class Lines(HTMLParser):
             self.always -= out == "always"
             self.beside = beside
             self.in_article -= name in ARTICLE
-            if out:
+            if _ends_line(name, out):
                 self._break()
         del self.stack[i:]
 
@@ -117,7 +130,7 @@ class Lines(HTMLParser):
                 self.line[1] += 1
             return
         out = self._exclusion(tag, attrs)
-        if out:
+        if _ends_line(tag, out):
             self._break()
         if out or tag in REGIONS or tag in BLOCKS and tag not in ("p", "li", "dt", "dd", "html"):
             if tag in REGIONS:
@@ -132,6 +145,7 @@ class Lines(HTMLParser):
             elif out == "beside":
                 self.marks.append(self.beside)
                 self.beside = len(self.marks) - 1
+            self.articles += tag in ARTICLE and not self.in_article
             self.in_article += tag in ARTICLE
         self.links += tag == "a"
         if tag not in BLOCKS and self.line is not None:
@@ -142,7 +156,7 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in BLOCKS or tag in NEVER:
+        if tag in BLOCKS or tag in NEVER and tag not in INLINE:
             self._break()
         if tag == "a":
             self.links = max(0, self.links - 1)
@@ -203,14 +217,19 @@ def _inside(parser: Lines, content: set[int], text: set[int]) -> list[bool]:
     return kept
 
 
+def _threshold(smooth: list[float]) -> float:
+    """The standard deviation of all smoothed ratios."""
+    mean = sum(smooth) / len(smooth)
+    return math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by a newline; '' for null, empty or text-less pages.
 
-    White space inside a block becomes one space. All lines of a marked article (article, main)
-    are kept. Else a region (div, cell, body) is content if one of its lines has a smoothed ratio
-    of at least the standard deviation of all ratios (the region with the highest ratio always
-    is). All that is inside a content region is kept, short lines and nested regions included, and
-    so is all inside the smallest region around all of them; but of the body, as it is around
+    White space inside a block becomes one space. A part of the page is content if one of its lines has a ratio and a smoothed
+    ratio of at least the threshold (the part with the highest smoothed ratio always is), and all that is inside it is kept, short lines,
+    tables and nested parts included. Where the page marks articles (article, main), the outermost of these are the parts;
+    else regions (div, cell, body) are, and so is the smallest region around all of them; but of the body, as it is around
     everything, only its own lines and cells. Unclosed and stray tags, cut pages and any nesting depth are fine.
     """
     if not html:
@@ -219,22 +238,23 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     lines = []
-    for parts, tags, linked, region, inside, mark in parser.lines:
+    for parts, tags, linked, region, article, mark in parser.lines:
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, tags, linked, region, inside, mark))
-    if any(x[4] for x in lines):
-        return "\n".join(x[0] for x in _unmarked([x for x in lines if x[4]], parser.marks))
-    lines = _unmarked(lines, parser.marks)
+            lines.append((text, tags, linked, region, article, mark))
+    marked = [x for x in lines if x[4]]
+    lines = _unmarked(marked or lines, parser.marks)
     if not lines:
         return ""
     ratios = [max(0, len(x[0]) - x[2]) / (1 + x[1]) for x in lines]
     smooth = _smooth(ratios)
-    mean = sum(smooth) / len(smooth)
-    threshold = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    threshold = _threshold(smooth)
     best = max(range(len(lines)), key=smooth.__getitem__)
-    content = {lines[best][3]} | {x[3] for x, s in zip(lines, smooth, strict=True) if s >= threshold and s > 0}
-    text = {x[3] for x, s, r in zip(lines, smooth, ratios, strict=True) if s >= threshold and r > 0}  # not only next to text
+    part = 4 if marked else 3
+    content = {lines[best][part]} | {x[part] for x, s, r in zip(lines, smooth, ratios, strict=True) if s >= threshold and r >= threshold and s > 0}
+    text = {x[part] for x, s, r in zip(lines, smooth, ratios, strict=True) if s >= threshold and r >= threshold and r > 0}  # not only next to text
+    if marked:
+        return "\n".join(x[0] for x in lines if x[4] in (text or content))
     kept = _inside(parser, content, text or content)
     return "\n".join(x[0] for x in lines if kept[x[3]])
 
@@ -242,7 +262,7 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of ``pages``; other columns are ignored.
 
-    Null html is an empty page with the text ''. Repeated rows are each extracted.
+    Null html is an empty page with the text ''. Repeated rows are each extracted; null ids and urls stay null.
     """
 
     def run(batches):

@@ -91,6 +91,7 @@ CASES = [
     ("<article><p>a</p><section id='comments'><article class='comment'><p>bad</p></article></section></article><p>out", "a"),
     ("<main><p class=notice>no<p>yes<ul><li class=ad>no<li>item</ul></main>", "yes\nitem"),
     ("<main><p>m</p><p hidden>no</p></main>", "m"),
+    ("<main><p>one <span hidden>no</span>two<script>x</script>three</main>", "one twothree"),
 ]
 
 
@@ -128,7 +129,7 @@ def test_html_marked_wrappers(wrapper):
 
 
 def test_html_all_marked():
-    assert htmltext.main_text("<div class=widget><p>one two</p></div><div class=promo><p>one two</p></div>") == "one two\none two"
+    assert htmltext.main_text("<div class=sidebar><p>one two</p></div><div class=promo><p>one two</p></div>") == "one two\none two"
     assert htmltext.main_text("<div class='comments'><p>one two</p></div>") == ""
 
 
@@ -151,6 +152,77 @@ def test_html_pages(spark, sf_dir):
     assert all(r["text"] == brute(pages[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in rows)
 
 
+def test_html_marks_are_for_containers():
+    article = (
+        "<article><h1 class='post-header ad'>Title</h1><p class='search-result'>one</p><div class='related'>two</div>"
+        "<p>a <label>named</label> word</p><div class='notice'>no</div><p class='ad'>no</p><table class='wide'><tr><td>x<td>y</table></article>"
+    )
+    assert htmltext.main_text(article) == "Title\none\ntwo\na named word\nx\ny"
+
+
+def unmarked_pages(sf_dir, spark):
+    """The pages without any mark: menu, advert, article and footer are divs without names."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        page = re.sub(r"<(/?)(article|nav|footer|aside|header)\b[^>]*>", r"<\1div>", r["html"]).replace('<div class="ad">', "<div>")
+        yield r["html"], page
+
+
+def test_html_ratios_choose_regions(spark, monkeypatch):
+    """Without marks the ratios alone find the article; without the threshold every page has other text."""
+    pages = list(unmarked_pages("/root/testdata/sf0.01", spark))
+    marked = [htmltext.main_text(a) for a, _ in pages]
+    found = [htmltext.main_text(b) for _, b in pages]
+    assert all(w in g for w, g in zip(marked, found, strict=True) if len(w) > 150)
+    assert sum(w == g for w, g in zip(marked, found, strict=True)) >= 0.75 * len(pages)
+    long = [(w, g) for w, g in zip(marked, found, strict=True) if len(w) > 2000]
+    assert sum(w == g for w, g in long) >= 0.8 * len(long)
+    monkeypatch.setattr(htmltext, "_threshold", lambda smooth: 0.0)
+    without = [htmltext.main_text(b) for _, b in pages]
+    assert sum(a != b for a, b in zip(found, without, strict=True)) >= 0.9 * len(pages)
+
+
+def test_html_articles_are_compared(monkeypatch):
+    teasers = "".join(f"<article><a href=/x>teaser {i} of something</a> <b>x</b></article>" for i in range(5))
+    page = f"{teasers}<article><h1>T</h1><p>{LONG}</p><p>end</p></article>{teasers}"
+    assert htmltext.main_text(page) == f"T\n{LONG.strip()}\nend"
+    monkeypatch.setattr(htmltext, "_threshold", lambda smooth: 0.0)
+    assert "teaser 3" in htmltext.main_text(page)
+
+
+def brute_text(html):
+    """Blocks of the one article by the rules of the contract, over a plain tag list."""
+    import html as entities
+
+    inner = re.search(r"<article>(.*?)(</article>|$)", html, re.S)[1]
+    inner = re.sub(r"<(script)\b.*?</\1>", "", inner, flags=re.S)
+    inner = re.sub(r"<(form|nav|aside)\b.*?</\1>", "<p>", inner, flags=re.S)
+    parts = re.split(r"</?(?:p|h1|h2|br|table|tr|td|th|ul|li|section|div|pre)\b[^>]*>", inner)
+    parts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in parts]
+    return "\n".join(p for p in parts if p)
+
+
+def test_html_articles_keep_all_blocks():
+    rng = random.Random(11)
+    block = [
+        lambda: f"<p>{'word &amp; ' * rng.randint(1, 80)}</p>", lambda: "<section><h2>Short</h2><p>x</p></section>", lambda: "<table><tr><td>Name<td>Age<tr><td>Ann<td>7</table>",
+        lambda: "<ul><li>one<li>two <b>three</b></ul>", lambda: "<div><div>deep&nbsp; text</div></div>", lambda: "<form>f<input></form>", lambda: "<nav>n</nav>", lambda: "<pre>a\n b</pre>",
+        lambda: "<aside>s</aside>", lambda: "<script>var x='<p>';</script>", lambda: "line<br>break",
+    ]
+    for _ in range(300):
+        page = "<nav>menu</nav><article><h1>T</h1>" + "".join(rng.choice(block)() for _ in range(rng.randint(0, 12))) + "</article><footer>f</footer>"
+        assert htmltext.main_text(page) == brute_text(page), page
+
+
+def test_html_table_edges(spark):
+    long = "<article>" + "<p>some text &amp; more</p>" * 40_000 + "</article>"
+    rows = [(1, "u", None, "c", 5), (None, None, "<p>x</p>", "c", 5), (2, "u", "", "c", 5), (3, "u", long, "c", 5), (3, "u", "<p>same</p>", "c", 5), (3, "u", "<p>same</p>", "c", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(((str(r["page_id"]), r["url"], len(r["text"]), r["n_chars"]) for r in htmltext.extract(df).collect()), key=str)
+    n = 40_000 * len("some text & more\n") - 1
+    assert got == [("1", "u", 0, 0), ("2", "u", 0, 0), ("3", "u", 4, 4), ("3", "u", 4, 4), ("3", "u", n, n), ("None", None, 1, 1)]
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
 def test_html_deep_nesting():
     assert htmltext.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
