@@ -40,7 +40,8 @@ def unescape(text: Column) -> Column:
 def messages(events: DataFrame) -> DataFrame:
     """(conv_id, turn, message, role, text): the final messages of (conv_id, seq, kind, turn, message, role, text).
 
-    ``message`` tells messages of one turn apart. Null texts and roles are empty; an unknown kind
+    ``message`` tells messages of one turn apart. A null turn is a turn of its own, before all others, that no regeneration drops; a null seq
+    comes first. Repeated events are folded each. Null texts and roles are empty; an unknown kind
     counts as ``delta``. Ties in ``seq`` are folded in the order kind, role, text. The role is that
     of the last event that begins the text. A message without any event that begins it consists
     of its deltas.
@@ -48,13 +49,10 @@ def messages(events: DataFrame) -> DataFrame:
     rows = events.select(
         "conv_id", "seq", "turn", "message", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).repartition("conv_id")
-    restarts = (
-        events.filter("kind = 'regenerate'")
-        .groupBy(F.col("conv_id").alias("_conv"))
-        .agg(F.collect_list(F.struct("turn", "seq")).alias("restarts"))
-    )
-    dropped = F.coalesce(F.exists("restarts", lambda r: (r["turn"] < F.col("turn")) & (r["seq"] > F.col("seq"))), F.lit(False))
-    rows = rows.join(restarts, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").filter(~dropped)
+    # the last regeneration of an earlier turn drops what was logged before it: one running maximum by turn
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow - 1)
+    restart = F.max(F.when((F.col("kind") == "regenerate") & F.col("turn").isNotNull(), F.col("seq"))).over(earlier)
+    rows = rows.withColumn("restart", F.when(F.col("turn").isNotNull(), restart)).filter(F.coalesce(F.col("restart") <= F.col("seq"), F.lit(True))).drop("restart")
     event = F.struct("seq", "kind", "role", "text")
     log = rows.groupBy("conv_id", "turn", "message").agg(F.sort_array(F.collect_list(event)).alias("log"))
     begins = F.transform("log", lambda e, i: F.when(e["kind"].isin("message", "edit", "regenerate"), i))

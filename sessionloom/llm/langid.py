@@ -17,6 +17,8 @@ from .common import fold, held_out, map_arrow, table
 
 ORDERS = 3
 BUCKETS = 1 << 16
+#: Languages that a model may tell apart: the broadcast matrix holds 8 bytes for each bucket and language, 128 MB at most.
+MOST_LANGS = 256
 #: Documents of a language that are learned from, in expectation (chosen by a hash of the id).
 TRAIN_PER_LANG = 2000
 SMOOTHING = 0.5
@@ -100,12 +102,14 @@ def train(documents: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[st
 
     Only text and lang are used. ``per_lang`` bounds the expected number of documents of each
     language; which ones is decided by a hash of the id. Rows without text or lang are not used.
-    What reaches the driver is one count for each (language, bucket) at most.
+    What reaches the driver is one count for each (language, bucket) at most; more than MOST_LANGS languages are an error.
     """
     rows = documents.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     if not known:
         return [], np.zeros(0), np.zeros((BUCKETS, 0))
+    if len(known) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang")
     langs, grain = sorted(known), 1 << 20
     limit = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(grain, -(-per_lang * grain // known[lang])))])
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(grain)) < limit[F.col("lang")])
@@ -159,7 +163,11 @@ def identify(documents: DataFrame, model=None) -> DataFrame:
 
 
 def keep_known(documents: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows, with all columns, whose language is recognised with a probability of at least ``least``."""
+    """The rows, with all columns, whose language is recognised with a probability of at least ``least``.
+
+    Null texts, empty ones, and texts without a letter go; so do all rows where nothing can be learned. Repeated rows stay or go
+    together; a null doc_id plays no part.
+    """
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(train(documents))
     at = documents.columns.index("text")

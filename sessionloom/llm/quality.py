@@ -204,7 +204,11 @@ def score(documents: DataFrame, labels: DataFrame, model: Model | None = None, t
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all columns, whose score is at least ``threshold``."""
+    """The rows, with all columns, whose score is at least ``threshold``.
+
+    Null and empty texts are scored as empty and may stay. Repeated rows stay or go together; without any label all scores
+    are 0.5. A null doc_id plays no part.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
     at = documents.columns.index("text")
 
