@@ -6,8 +6,10 @@ first grouped by its fingerprint, so only class representatives go on. Bands of
 propose links, a likelihood over all registers jointly estimates the similarity of proposed
 pairs, and full shingle sets confirm the links.
 
-No group is expanded into all its pairs: each round every member of a band's bucket is
-compared with one centre, confirmed links merge components, and only members that are still apart go on.
+No group is expanded into all its pairs: first every member of a band's bucket is
+compared with one centre, confirmed links merge components, and only members that are still apart go on. Where they
+are many in one bucket, they are dealt anew by their rarest shingles: two linked sets share one of the rarest fifth of each, so
+pages that share nothing but a template do not meet. No task gets more than two blocks of a bucket.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, release, table, written
 from .words import SPACED, mixed, word_hashes
 
-#: Words of a shingle where no other size is given: those of the op7 query, which the pipeline's stage shares.
-SHINGLE = 2
+#: Words of a shingle where no other size is given, and those of the op7 query.
+SHINGLE, OP7_SHINGLE = 5, 2
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: A link of just that similarity shares a band of ROWS registers with probability 0.8^6 = 0.26,
@@ -244,7 +246,7 @@ def _apart(batches):
             if not len(xs):
                 continue
             same = low[xs] == low[y]
-            first = same.reshape(len(xs), BANDS, ROWS).all(axis=2).argmax(axis=1)  # a pair is left to the first band it shares
+            first = band if rows[0][9] else same.reshape(len(xs), BANDS, ROWS).all(axis=2).argmax(axis=1)  # a pair is left to the first band it shares
             xs = xs[(first == band) & (same.mean(axis=1) >= least)]
             if not len(xs):
                 continue
@@ -258,10 +260,10 @@ def _apart(batches):
     for batch in batches:
         found = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:2] != key:
+            if (row[9], *row[:2]) != key:
                 if rows:
                     found += pairs(rows)
-                key, rows = row[:2], []
+                key, rows = (row[9], *row[:2]), []
             rows.append(row)
         if found:
             yield _pairs_batch(found)
@@ -273,13 +275,10 @@ def _pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(set(found)), strict=True)], ["a", "b"])
 
 
-def _dealt(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, block, id, comp, every, minor) of buckets that hold several components so far.
+def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id, comp) of all members, and (key, all, few, large) of buckets that hold several components so far.
 
-    Minors are the members outside their bucket's largest component. All members of a bucket
-    are cut into blocks, and so are its minors; a ``block`` is one pair of them, with both sides
-    (``every`` are the minors), so each minor meets each member once and a group holds about two
-    blocks, however many members are minors. The rows of a bucket grow with members x minors / BLOCK.
+    Minors are the members outside their bucket's largest component, ``large``. ``all`` and ``few`` are the numbers of blocks of its members and of its minors.
     """
     placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
@@ -290,7 +289,16 @@ def _dealt(members: DataFrame, labels: DataFrame) -> DataFrame:
         .select("key", F.ceil(F.col("m") / BLOCK).cast("long").alias("all"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("long").alias("few"), "large"),
         "mixed",
     )
-    placed = written(placed, "placed")
+    return written(placed, "placed"), mixed_keys
+
+
+def _dealt(placed: DataFrame, mixed_keys: DataFrame) -> DataFrame:
+    """(key, block, id, comp, every, minor) of the buckets of ``mixed_keys``.
+
+    All members of a bucket are cut into blocks, and so are its minors; a ``block`` is one pair of them, with both sides
+    (``every`` are the minors), so each minor meets each member once and a group holds about two
+    blocks, however many members are minors. The rows of a bucket grow with members x minors / BLOCK.
+    """
     rows = placed.join(mixed_keys, "key").withColumn("minor", F.col("comp") != F.col("large"))
     block = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), n)
     others = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -300,16 +308,37 @@ def _dealt(members: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("key", (F.col("i") * F.col("few") + F.col("j")).alias("block"), "id", "comp", "every", "minor")
 
 
+def _rarest(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(key, id): those of the rarest shingles of each of ``ids`` that another of them has.
+
+    A set of n shingles is linked only with sets that hold 80 % of it, so with every set that it is linked with it shares one of
+    its n - 0.8 n + 1 rarest, in any order that all sets agree on; here by how many of the sets hold a shingle. No link is lost.
+    """
+    sets = written(map_arrow(texts.join(ids, "id", "left_semi"), partial(_with_sets, size=size), "id long, set array<long>").withColumn("row", F.monotonically_increasing_id()), "sets")
+    each = sets.select("row", "id", F.size("set").alias("n"), F.explode("set").alias("key"))
+    common = each.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+    mine = Window.partitionBy("row")
+    ranked = each.join(common, "key").withColumn("place", F.row_number().over(mine.orderBy("held", "key"))).withColumn("shared", F.count("*").over(mine))
+    alone = F.col("n") - F.col("shared")  # shingles of no other set come first
+    most = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    return ranked.filter(F.col("place") <= most - alone).select("key", "id").distinct()
+
+
 def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(a, b) that share a bucket, are in different components so far, and may be linked."""
-    rows = _dealt(members, labels)
+    placed, mixed_keys = _mixed(members, labels)
+    rows = _dealt(placed, mixed_keys.filter("few = 1")).withColumn("rare", F.lit(False))
+    crowded = placed.join(mixed_keys.filter("few > 1"), "key", "left_semi").select("id").distinct()
+    if not crowded.isEmpty():
+        rare, rare_keys = _mixed(_rarest(texts, written(crowded, "crowded"), size), labels)
+        rows = rows.unionByName(_dealt(rare, rare_keys).withColumn("rare", F.lit(True)))
     needed = written(rows.filter("NOT every").select("id").distinct(), "needed")
     small = map_arrow(texts.join(needed, "id", "left_semi"), partial(_with_small_sets, size=size), "id long, small binary")
     data = written(sketches.join(small, "id"), "data")
     rows = rows.join(data, "id")
     parts = max(12, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block")
-    return map_arrow(dealt.select("key", "block", "id", "comp", "sketch", "n", "every", "minor", "small"), _apart, "a long, b long").distinct()
+    dealt = rows.repartition(parts, "rare", "key", "block").sortWithinPartitions("rare", "key", "block")
+    return map_arrow(dealt.select("key", "block", "id", "comp", "sketch", "n", "every", "minor", "small", "rare"), _apart, "a long, b long").distinct()
 
 
 def _linked(members: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -332,7 +361,7 @@ def keep_first(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"))
+    return groups(table(spark, sf_dir, "documents"), OP7_SHINGLE)
 
 
 OP7_SQL = r"""

@@ -315,31 +315,44 @@ def test_harmonic_classes():
     assert sorted((i, x) for i, at, n, *_ in rows for x in range(at, at + n)) == [(i, x) for i, n in enumerate(lengths) for x in range(n)]
 
 
-def test_packing(spark):
-    path = tokens.vocabulary("byte_bpe_50k.json")
-    texts = [None, "", "one", "word " * 5000, *random_texts(60, ALPHABET, 900, 5)]
-    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, start int, length int").repartition(3)
-    rows = packing.pack(df, path).collect()
-    library, bins = tokens.load(path), {}
-    for i, t in enumerate(texts):
+def assert_packed(rows, texts, library):
+    """Every id of every (doc_id, text) lies in one piece, and all sequences are gapless and full or a power of two long."""
+    pieces, bins = {}, {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert pieces.keys() == {i for i, _ in texts}
+    for i, t in texts:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         at = 0
-        for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]):
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
             assert r["start"] == at and r["doc_tokens"] == len(ids)
             assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
             at += r["length"]
         assert at == len(ids)
-    for r in rows:
-        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for pieces in bins.values():
+    for found in bins.values():
         at = 0
-        for offset, length in sorted(pieces):
+        for offset, length in sorted(found):
             assert offset == at
             at += length
         assert at <= 2048 and at & (at - 1) == 0  # full, or a power of two: no padding
+
+
+def test_packing(spark):
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    texts = [None, "", "one", "word " * 5000, *random_texts(60, ALPHABET, 900, 5)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, start int, length int").repartition(3)
+    assert_packed(packing.pack(df, path).collect(), list(enumerate(texts)), tokens.load(path))
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_packing_of_documents(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rows = packing.op9_packing(spark, "/root/testdata/sf0.01").collect()
+    assert_packed(rows, docs, tokens.load(tokens.vocabulary("byte_bpe_50k.json")))
+    assert len(rows) <= 2.5 * len(docs)  # cut only where padding demands it
+
+
 def test_repeated_rows_are_packed_each(spark):
     df = spark.createDataFrame([(1, "same text")] * 3, "doc_id long, text string").coalesce(1)
     rows = packing.pack(df, tokens.vocabulary("byte_bpe_50k.json")).collect()

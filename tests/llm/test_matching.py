@@ -9,8 +9,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from sessionloom.llm import chat, decontaminate, neardup, queries, topk
-from sessionloom.llm.common import table
+from sessionloom.llm import chat, decontaminate, neardup, queries, tokens, topk
+from sessionloom.llm.common import blocks, table
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -37,13 +37,13 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def shingles(text):
+def shingles(text, size=2):
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
-    return {(a, b) for a, b in zip(words, words[1:], strict=False)} or ({tuple(words)} if words else set())
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def brute_groups(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def brute_groups(rows, size=2):
+    sets = {i: shingles(t, size) for i, t in rows}
     parent = {i: i for i in sets}
 
     def root(i):
@@ -78,28 +78,21 @@ def test_groups_of_many_near_copies(spark):
     texts += texts[20:40]
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, component_id int")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(df.repartition(3)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(df.repartition(3), 2).collect()}
     want = brute_groups(rows)
     assert {i: w for i, w in got.items() if w != want[i]} == {}
-    kept = neardup.keep_first(df)
+    kept = neardup.keep_first(df, 2)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if w[2]}
 
 
-def test_groups_by_shingle_size(spark, monkeypatch):
+def test_groups_by_shingle_size(spark):
     rng = random.Random(9)
     rows = list(enumerate([None, "one", "a b c d", "a b c d e f", *family(rng, 30, 4), *family(rng, 20, 2, 200)]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-
-    def five(text):
-        words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    two = brute_groups(rows)
-    monkeypatch.setitem(globals(), "shingles", five)
-    want = brute_groups(rows)
+    two, want = brute_groups(rows), brute_groups(rows, 5)
     assert {i for i, w in want.items() if w[2]} != {i for i, w in two.items() if w[2]}
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(df, 5).collect()} == want
-    assert {r["doc_id"] for r in neardup.keep_first(df, 5).collect()} == {i for i, w in want.items() if w[2]}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(df).collect()} == want
+    assert {r["doc_id"] for r in neardup.keep_first(df).collect()} == {i for i, w in want.items() if w[2]}
 
 
 def test_crowded_bucket_is_cut_on_both_sides(spark, monkeypatch):
@@ -107,7 +100,7 @@ def test_crowded_bucket_is_cut_on_both_sides(spark, monkeypatch):
     members = spark.createDataFrame([(64, i) for i in range(300)] + [(65, i) for i in range(30)], "key long, id long")
     labels = spark.createDataFrame([(i, 0) for i in range(100)], "id long, label long")
     blocks = {}
-    for r in neardup._dealt(members, labels).collect():
+    for r in neardup._dealt(*neardup._mixed(members, labels)).collect():
         blocks.setdefault((r["key"], r["block"]), []).append((r["id"], r["comp"], r["every"], r["minor"]))
     assert {k for k, _ in blocks} == {64}
     assert max(map(len, blocks.values())) <= 4 * 16
@@ -122,14 +115,46 @@ def test_unlinked_members_of_one_bucket(spark, monkeypatch):
     texts += [texts[i] + " more" for i in range(0, 150, 10)]
     rows = list(enumerate(rng.sample(texts, len(texts))))
     monkeypatch.setattr(neardup, "BLOCK", 8)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     assert got == brute_groups(rows)
 
 
 def test_groups_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "a b c"), (3, "a b c")], "doc_id long, text string")
-    assert {tuple(r) for r in neardup.groups(df).collect()} == {(1, 0, 1, True), (2, 0, 2, True), (None, 2, None, True), (3, 2, 3, True)}
-    assert neardup.groups(df.limit(0)).count() == 0
+    assert {tuple(r) for r in neardup.groups(df, 2).collect()} == {(1, 0, 1, True), (2, 0, 2, True), (None, 2, None, True), (3, 2, 3, True)}
+    assert neardup.groups(df.limit(0), 2).count() == 0
+
+
+def test_groups_of_repeated_ids_and_long_texts(spark):
+    """A doc_id with several texts has the links of all; a very long text is one set."""
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randint(0, 50_000)}" for _ in range(120_000))
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (4, "q r s t"), (5, long), (6, long + " more"), (7, " ".join(long.split()[::-1])), (5, long)]
+    got = [tuple(r) for r in neardup.groups(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string"), 2).collect()]
+    assert sorted((d, c, k) for d, _, c, k in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (5, 5, True), (6, 5, False), (7, 7, True)]
+
+
+def test_rarest_shingles_lose_no_link(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(["t"] + [f"c{j}" for j in range(30)] + family(rng, 1, 6, 40))) for i in range(60)] + [(60 + i, t) for i, t in enumerate(family(rng, 60, 9, 50))]
+    df = spark.createDataFrame(rows, "id long, text string")
+    keys: dict = {}
+    for key, i in neardup._rarest(df, df.select("id"), 2).collect():
+        keys.setdefault(key, set()).add(i)
+    met = {p for ids in keys.values() for p in combinations(sorted(ids), 2)}
+    sets = {i: shingles(t) for i, t in rows}
+    linked = {(a, b) for a, b in combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert linked and linked <= met
+    assert len({p for p in met if p[1] < 60}) < 200  # pages of one template do not meet
+
+
+def test_bucket_of_10_000_unlinked_members(spark):
+    """A hot source: pages of one template, of similarity near 0.6, in common buckets; only their near copies are linked."""
+    common = [f"t{i}" for i in range(46)]
+    texts = [" ".join(common + [f"o{i}x{j}" for j in range(15)]) for i in range(10_000)]
+    rows = list(enumerate(texts + [texts[i] + " more" for i in range(0, 10_000, 500)]))
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 2)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.filter("NOT kept").collect()) == [(10_000 + k, 500 * k) for k in range(20)]
 
 
 def test_likelihood_estimate():
@@ -262,30 +287,85 @@ def test_chat_round_trip(spark):
     assert read == want
 
 
+def test_top_k_in_twenty_blocks(spark):
+    """Every block is proven to fit, and what repeats has one result: the smallest vector of a query id, each row of a candidate."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(0, 20_000, 25)]
+    rows += [(100, [9.0] * 6), (100, [-9.0] * 6), (125, [3.0] * 6), (125, [3.0] * 6)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4))
+    queries = v.filter("vec_id % 100 = 0")
+    parts = blocks(queries.groupBy("vec_id").agg(topk.F.min("q").alias("q")), "vec_id", 10)
+    assert len(parts) >= 20 and max(p.count() for p in parts) <= 10 and sum(p.count() for p in parts) == 200
+    smallest = {}
+    for i, x in rows:
+        if i % 100 == 0:
+            smallest[i] = min(smallest.get(i, x), x)
+    want = set()
+    for q, a in smallest.items():
+        score = lambda b: sum(int(np.floor(1024 * float(np.float32(x)))) * int(np.floor(1024 * float(np.float32(y)))) for x, y in zip(a, b, strict=True))  # noqa: B023, E731
+        best = sorted((-score(b), i) for i, b in rows if i != q)[:5]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert set(map(tuple, topk.top_k(queries, v, 5, 10).collect())) == want
+
+
+def brute_chat(events):
+    """Messages by a plain loop over each conversation's log."""
+    first = lambda x: (x is not None, x if x is not None else 0)
+    restarts = [(c, s, t) for c, s, k, t, *_ in events if k == "regenerate" and t is not None and s is not None]
+    logs: dict = {}
+    for c, s, k, t, m, role, text in events:
+        if t is not None and s is not None and any(c == rc and rt < t and rs > s for rc, rs, rt in restarts):
+            continue
+        logs.setdefault((c, t, m), []).append((first(s), k, role or "", text or ""))
+    out: dict = {}
+    for (c, t, m), log in logs.items():
+        log.sort()
+        begin = max((i for i, e in enumerate(log) if e[1] in ("message", "edit", "regenerate")), default=0)
+        out.setdefault(c, []).append((first(t), m, log[begin][2], "".join(e[3] for e in log[begin:])))
+    return {c: [(role, text) for _, _, role, text in sorted(rows)] for c, rows in out.items()}
+
+
+def test_chat_as_brute_force(spark):
+    """Random logs with null turns and numbers, ties, repeated events, a long text and a busy conversation."""
+    rng = random.Random(14)
+    events = []
+    for i in range(3000):
+        turn = rng.choice([None, *range(6)])
+        events.append((rng.choice([0, 0, 0, 1, 2, 3, None]), rng.choice([None, rng.randint(0, 400)]), rng.choice(["message", "delta", "delta", "edit", "regenerate", "other"]) if i % 9 else "regenerate", turn, rng.randint(0, 1), rng.choice([None, "user", "assistant"]), rng.choice([None, "", "### x", f"t{i} "])))
+    events += events[:40]
+    events += [(9, 1, "message", 0, 0, "assistant", "</turn> \\" * 200_000), (9, 2, "delta", 0, 0, "assistant", "end")]
+    df = spark.createDataFrame([(*e, "clash") for e in events], "conv_id long, seq long, kind string, turn long, message int, role string, text string, formatted string").repartition(3)
+    rendered = chat.render(chat.messages(df))
+    read = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in rendered.select("conv_id", chat.parse(chat.F.col("formatted")).alias("turns")).collect()}
+    assert read == brute_chat(events)
+
+
 def test_pipeline(spark):
-    """Every stage against a plain version of its rule, on what its predecessor kept."""
+    """Every stage against a brute-force version of its rule, on what its predecessor kept."""
     import corpus_pipeline
-    from sessionloom.llm import langid, quality
+    from test_files import assert_packed
+    from test_models import brute_bayes, brute_quality
 
     docs = table(spark, SMALL, "documents")
-    stage, columns, seen = dict(corpus_pipeline.STAGES), docs.columns, {}
+    stage, columns = dict(corpus_pipeline.STAGES), docs.columns
     for name in ("language", "quality", "near_duplicates", "decontamination"):
-        seen[name] = docs.collect()
+        rows = docs.collect()
         docs = stage[name](spark, docs, SMALL)
         assert docs.columns == columns
         docs = spark.createDataFrame(docs.collect(), docs.schema)
         kept = {r["doc_id"] for r in docs.collect()}
-        before = [(r["doc_id"], r["text"]) for r in seen[name]]
-        source = spark.createDataFrame(seen[name], docs.schema)
+        before = [(r["doc_id"], r["text"]) for r in rows]
         if name == "language":
-            want = {r["doc_id"] for r in langid.identify(source).collect() if r["lang_pred"] != "und" and r["score"] >= 0.5}
+            found = brute_bayes([(r["doc_id"], r["text"], r["lang"]) for r in rows])
+            want = {i for i, (lang, score) in found.items() if lang != "und" and score >= 0.5}
         elif name == "quality":
-            want = {r["doc_id"] for r in quality.score(source, table(spark, SMALL, "labels")).collect() if r["predicted"]}
+            labels = [tuple(r) for r in table(spark, SMALL, "labels").select("doc_id", "quality").collect()]
+            want = {i for i, score in brute_quality(before, labels).items() if score >= 0.3}
         elif name == "near_duplicates":
-            want = {i for i, g in brute_groups(before).items() if g[2]}
+            want = {i for i, g in brute_groups(before, 5).items() if g[2]}
         else:
             items = [tuple(r) for r in table(spark, SMALL, "benchmark").select("item_id", "text").collect()]
             want = {r[0] for r in brute_contamination(before, items) if not r[5]}
         assert kept == want, name
     packed = corpus_pipeline.run(spark, SMALL)
-    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
+    assert_packed(packed.collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], tokens.load(tokens.vocabulary("byte_bpe_50k.json")))
