@@ -9,6 +9,7 @@ document is one chunk.
 
 from __future__ import annotations
 
+import json
 import re
 
 import pyarrow as pa
@@ -19,9 +20,12 @@ from .common import map_arrow, table
 
 LIMIT = 2048
 #: Code points of a chunk, and of the first overlap with the next one.
-CHUNK, OVERLAP = 4096, 192
+CHUNK, OVERLAP = 4096, 96
 #: Chunks whose encodings are held at once.
 RUN = 128
+#: A normalizer that plain string functions do for Latin-1 texts, which it leaves composed, and what it takes for white space there.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WHITE = re.compile("[\t-\r \x85\xa0]+")
 #: White space with text behind it: only ASCII white space, which every rule of the tokenizer takes for white space.
 _EDGE = re.compile(r"[ \n\t\r](?=[!-~À-ɏͰ-ϿЀ-ӿ一-鿿])")
 
@@ -110,6 +114,41 @@ def count_batch(tokenizer, texts: list[str], chunk: int = CHUNK, overlap: int =
     return counts, splices
 
 
+class Counter:
+    """Counts of whole texts by the library of a vocabulary file.
+
+    Latin-1 texts without special tokens are normalised by plain string functions where the file's normalizer is the
+    one they stand for; the library then encodes them without it. All other texts it normalises itself.
+    """
+
+    def __init__(self, path: str):
+        self.library, self.bare = load(path), None
+        given = json.loads(self.library.to_str())
+        self.special = [t["content"].lower() for t in given["added_tokens"]]
+        if given["normalizer"] == _NORMALIZER:
+            self.bare = load(path)
+            self.bare.normalizer = None
+
+    def normalised(self, text: str) -> str | None:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        text = _WHITE.sub(" ", text).lower()
+        return None if any(s in text for s in self.special) else text
+
+    def counts(self, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[list[int], list[int]]:
+        """Tokens and splices of each text."""
+        ready = [self.normalised(t) if self.bare is not None else None for t in texts]
+        out = [(0, 0)] * len(texts)
+        for tokenizer, chosen in ((self.bare, [i for i, t in enumerate(ready) if t is not None]), (self.library, [i for i, t in enumerate(ready) if t is None])):
+            if chosen:
+                found = count_batch(tokenizer, [texts[i] if ready[i] is None else ready[i] for i in chosen], chunk, overlap)
+                for i, *pair in zip(chosen, *found, strict=True):
+                    out[i] = pair
+        return [n for n, _ in out], [k for _, k in out]
+
+
 def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit, n_splices of every whole text; other columns are ignored.
 
@@ -119,18 +158,15 @@ def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT, chunk: int
     """
 
     def count(batches):
-        tokenizer = load(path)
+        counter = Counter(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n, splices = count_batch(tokenizer, texts, chunk, overlap)
-            size = [len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(splices, pa.int64())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_splices"],
-            )
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(rows, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_splices long")
+            n, splices = counter.counts([t or "" for t in batch.column(2).to_pylist()], chunk, overlap)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(splices, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "n_splices"])
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), "text")
+    found = map_arrow(rows, count, "doc_id long, n_bytes long, n_tokens long, n_splices long")
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_splices")
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

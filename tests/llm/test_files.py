@@ -248,6 +248,16 @@ def test_overlap_resynchronisation(library):
     assert sum(k for _, (k,) in found) > 500
 
 
+def test_normalised_outside_the_library(library):
+    """Latin-1 texts and all others, special tokens in either case, every white space: as the library counts them."""
+    counter = tokens.Counter(tokens.vocabulary())
+    assert counter.bare is not None and counter.normalised("É\x85B") == "é b" and counter.normalised("a <|ENDOFTEXT|>") is None and counter.normalised("ſ") is None
+    latin = [chr(c) for c in range(256)]
+    texts = [s for c in latin for s in (c, f"a{c}b", f" {c} {c}{c} ", f"1{c}2'{c}s")] + random_texts(3000, [*latin, *ALPHABET, "<|ENDOFTEXT|>"], 40, 7)
+    want = [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counter.counts(texts)[0] == want and counter.counts(texts, 7, 3)[0] == want
+
+
 def test_chunks_are_widened(library):
     for text in ("x" * 5000, "a b " + "yz1" * 2000 + " c d" * 300, "é" * 3000 + " " + "q" * 3000 + " end", "\x85" * 2000 + "a " * 900):
         for chunk, overlap in ((100, 0), (100, 30), (1000, 5)):
