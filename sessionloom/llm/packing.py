@@ -10,10 +10,10 @@ the one rest is cut at powers of two, which need no padding either.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +28,17 @@ CAPACITY = 2048
 END = 1
 #: Sequence ids are worker * WORKER + the number within the worker.
 WORKER = 1 << 36
-#: Distinct words that a worker remembers, and the longest word worth remembering.
-REMEMBERED, LONGEST = 400_000, 48
+#: Distinct words that a worker remembers, the longest word worth remembering, and words that are learned at once.
+REMEMBERED, LONGEST, LEARNED = 800_000, 48, 20_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-#: A space between two characters that are no white space under any rule: a token of a byte-level
-#: vocabulary may begin with it, but none crosses from before it.
-_CUT = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
+#: Words, each with the space before it. They are cut at a space between two characters that are no white space under any
+#: rule, and where letters end before ASCII punctuation (the fixed ranges): a token of a byte-level vocabulary may begin
+#: there, but none crosses.
+_PLAIN, _LETTER, _MARK = "!-~À-ɏ", "A-Za-zÀ-ÖØ-öø-ɏ", "!-/:-@\\[-`{-~"
+_WORDS = re.compile(f" ?[{_LETTER}]+(?=[{_MARK}]| [{_PLAIN}]|\\Z)| ?[{_PLAIN}]+(?= [{_PLAIN}]|\\Z)| ?(?:(?! [{_PLAIN}]).|(?<![{_PLAIN}]).)+", re.S)
 
 
 class Encoder:
@@ -45,20 +47,40 @@ class Encoder:
     _of: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        self.library, self.known = load(path), {}
+        self.library = load(path)
+        self.known: dict[str, bytes] = {}  # the ids of a word as little-endian 32-bit integers
+        tokens = json.loads(self.library.to_str())["added_tokens"]
+        self.special = [t["content"] for t in tokens]
+        #: A token that ends words before and behind it, so that many can be encoded as one text.
+        self.between = next(((t["content"], t["id"]) for t in tokens if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])), None)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
         """The encoder of this worker process, which later tasks use again."""
-        return cls._of.setdefault(path, cls(path)) if path not in cls._of else cls._of[path]
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
+    def _learn(self, words: list[str]) -> None:
+        alone = [w for w in words if self.between is None or any(s in w for s in self.special)]
+        for word in alone:
+            self.known[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        many = words if not alone else [w for w in words if w not in self.known]
+        if many:
+            text, number = self.between
+            found = np.array(self.library.encode_batch_fast([text.join(many)], add_special_tokens=False)[0].ids, "<u4")
+            at, data = np.flatnonzero(found == number), found.tobytes()
+            starts, stops = 4 * np.append(0, at + 1), 4 * np.append(at, len(found))
+            self.known.update(zip(many, map(data.__getitem__, map(slice, starts.tolist(), stops.tolist())), strict=True))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known = {}
-        split, known = [_CUT.split(t) for t in texts], self.known
-        new = list({w for words in split for w in words if w not in known})
-        known.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), "<u4") for words in split]
+        split, known = [_WORDS.findall(t) for t in texts], self.known
+        new = list(set().union(*split).difference(known))
+        for at in range(0, len(new), LEARNED):
+            self._learn(new[at : at + LEARNED])
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
         for w in new:
             if len(w) > LONGEST:
                 del known[w]
