@@ -31,13 +31,14 @@ def overview(sessions: DataFrame, messages: DataFrame, blobs: DataFrame) -> Data
     return s.crossJoin(m).crossJoin(b)  # three one-row frames
 
 
-def daily(events: DataFrame, day: str = "day", start: str | None = None, end: str | None = None) -> DataFrame:
-    """Messages, sessions and tool calls of each day, by date."""
+def daily(events: DataFrame, day: str = "day", start: str | None = None, end: str | None = None, call: Column | None = None) -> DataFrame:
+    """Messages, sessions and tool calls of each day, by date; ``call`` tells which rows are calls, else those with a tool."""
+    call = F.col("tool_name").isNotNull() if call is None else call
     rows = between(events.withColumn("date", F.col(day).cast("string")), "date", start, end)
     return rows.groupBy("date").agg(
         F.count("*").alias("message_count"),
         F.countDistinct("session_id").alias("session_count"),
-        F.count_if(F.col("tool_name") != "view").alias("tool_call_count"),
+        F.count_if(F.coalesce(call, F.lit(False))).alias("tool_call_count"),
     )
 
 
@@ -182,27 +183,34 @@ def top_tools(sessions: DataFrame, calls: DataFrame, k: int = 5) -> DataFrame:
 
 
 def file_provenance(files: DataFrame, limit: int = 50) -> DataFrame:
-    """Files by the number of sessions that touched them, with their operations and the latest session."""
+    """Files by the number of sessions that touched them, with their operations and the latest session.
+
+    Sessions are counted after the rows of each (file, session) have become one, whose operations are merged for the file
+    by their distinct values only: neither step keeps a set that grows with the rows.
+    """
+    each = files.groupBy("file_path", "session_id").agg(F.sort_array(F.collect_set("operation")).alias("operations"))
     return (
-        files.groupBy("file_path")
+        each.groupBy("file_path", "operations")
+        .agg(F.count("session_id").alias("n"), F.max("session_id").alias("last_session"))
+        .groupBy("file_path")
         .agg(
-            F.countDistinct("session_id").alias("sessions"),
-            F.array_join(F.array_sort(F.collect_set("operation")), ",").alias("operations"),
-            F.max("session_id").alias("last_session"),
+            F.sum("n").alias("sessions"),
+            F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("operations")))), ",").alias("operations"),
+            F.max("last_session").alias("last_session"),
         )
         .orderBy(F.desc("sessions"), "file_path")
         .limit(limit)
     )
 
 
-def digest_stats(sessions: DataFrame, start: str, end: str) -> DataFrame:
-    """Conditional counts over sessions created in [start, end); one row, no row's sum is null."""
+def digest_stats(sessions: DataFrame, start: str, end: str, finished: str, open_: str) -> DataFrame:
+    """Conditional counts over sessions created in [start, end) by source kind; one row, no row's sum is null."""
     rows = sessions.filter((F.col("created_at") >= start) & (F.col("created_at") < end))
     state = lambda s: F.count_if(F.col("source_kind").eqNullSafe(s))
     return rows.agg(
         F.count("*").alias("sessions"),
-        state("F").alias("finished"),
-        state("O").alias("open"),
+        state(finished).alias("finished"),
+        state(open_).alias("open"),
         F.count_if(F.col("source_kind").isNull()).alias("unknown"),
         F.coalesce(F.sum("message_count"), F.lit(0)).cast("long").alias("messages"),
     )
@@ -222,3 +230,42 @@ def card(rows: DataFrame, slug: str, title: Column, colours: int = 8) -> DataFra
     """Colour number (sum of the slug's character codes modulo ``colours``) and title of at most 100 characters."""
     codes = F.transform(F.split(F.col(slug), ""), lambda c: F.ascii(c))
     return rows.select("*", F.pmod(F.aggregate(codes, F.lit(0), lambda a, c: a + c), F.lit(colours)).alias("colour"), F.coalesce(F.substring(title, 1, 100), F.lit("Untitled session")).alias("title"))
+
+
+def model_sessions(messages: DataFrame) -> DataFrame:
+    """Messages and distinct sessions of each model, most messages first; (model, session) pairs are counted before models are."""
+    pairs = messages.filter("model IS NOT NULL").groupBy("model", "session_id").agg(F.count("*").alias("n"))
+    return pairs.groupBy("model").agg(F.sum("n").alias("messages"), F.count("session_id").alias("sessions")).orderBy(F.desc("messages"), "model")
+
+
+def reads_by_extension(calls: DataFrame, inputs: DataFrame, tool: Column) -> DataFrame:
+    """Calls of a tool by the extension of the path that their input blob names; 'none' without a path or an extension."""
+    rows = calls.filter(tool).join(inputs.select(F.col("hash").alias("input_hash"), "path"), "input_hash", "left")
+    found = F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    return rows.groupBy(F.when(found == "", "none").otherwise(found).alias("extension")).agg(F.count("*").alias("calls"), F.countDistinct("path").alias("files"))
+
+
+def outdated(rows: DataFrame, version: str, current: int) -> DataFrame:
+    """How many rows were made by no or an earlier version, of how many."""
+    old = F.col(version).isNull() | (F.col(version) < current)
+    return rows.agg(F.count_if(old).alias("outdated"), F.count("*").alias("total"))
+
+
+def page_numbers(total: Column, limit: int, offset: int) -> list[Column]:
+    """Number of pages, one at least, and of the page at ``offset``, from 1."""
+    return [F.greatest(F.lit(1), F.ceil(total / limit)).cast("long").alias("pages"), F.lit(offset // limit + 1).cast("long").alias("page")]
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Percent done, at most 100; 0 of nothing."""
+    return F.least(F.lit(100.0), F.round(guarded(done, total, 100), 6))
+
+
+def marked_cut(text: Column, most: int, mark: str = "\n... (truncated)") -> Column:
+    """A text of more than ``most`` characters cut there and marked."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(mark))).otherwise(text)
+
+
+def trailing_start(today: Column, days: int | None) -> Column:
+    """The first day of the window of ``days`` days that ends today, as text; null for all time."""
+    return F.lit(None).cast("string") if days is None else F.date_sub(today, days).cast("string")

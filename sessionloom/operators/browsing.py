@@ -14,23 +14,28 @@ def page(df: DataFrame, order: list, limit: int = 20, offset: int = 0) -> DataFr
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def first_user_text(messages: DataFrame, chars: int = 200) -> DataFrame:
+ORDER = ("turn_index", "id")
+
+
+def first_user_text(messages: DataFrame, chars: int = 200, order: tuple = ORDER) -> DataFrame:
     """(session_id, first_text): the first ``chars`` characters of each session's first user message."""
     users = messages.filter("type = 'user'")
-    return users.groupBy("session_id").agg(F.min_by(F.substring("content", 1, chars), F.struct("turn_index", "id")).alias("first_text"))
+    return users.groupBy("session_id").agg(F.min_by(F.substring("content", 1, chars), F.struct(*order)).alias("first_text"))
 
 
-def session_list(messages: DataFrame, outcomes: DataFrame, outcome: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+def session_list(messages: DataFrame, outcomes: DataFrame, outcome: str | None = None, limit: int = 20, offset: int = 0, order: tuple = ORDER) -> DataFrame:
     """A page of sessions with message count, first user text and outcome, newest (largest id) first.
 
-    With ``outcome`` only sessions of that outcome are listed and counted.
+    With ``outcome`` only sessions of that outcome are listed and counted. Counts and texts are taken of the page's messages only.
     """
     sessions = messages.select("session_id").distinct().join(outcomes.select("session_id", "outcome", "reason_code"), "session_id", "left")
     if outcome is not None:
         sessions = sessions.filter(F.col("outcome") == outcome)
     chosen = page(sessions, [F.desc("session_id")], limit, offset)
-    counts = messages.groupBy("session_id").agg(F.count("*").alias("message_count"))
-    return chosen.join(counts, "session_id", "left").join(first_user_text(messages), "session_id", "left")
+    mine = messages.join(F.broadcast(chosen.select("session_id")), "session_id", "left_semi")  # one page
+    first = F.min_by(F.when(F.col("type") == "user", F.substring("content", 1, 200)), F.struct((F.col("type") != "user").alias("_"), *order))
+    counts = mine.groupBy("session_id").agg(F.count("*").alias("message_count"), first.alias("first_text"))
+    return chosen.join(counts, "session_id", "left")
 
 
 def session_total(messages: DataFrame, outcomes: DataFrame, outcome: str | None = None) -> DataFrame:

@@ -146,17 +146,27 @@ def percentiles(rows: DataFrame, over: int) -> DataFrame:
     return per.agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.count_if(F.col("burden") > over).alias("over"))
 
 
-def followed_within(calls: DataFrame, first: str, then: str, seconds: int) -> DataFrame:
-    """Pairs (id, then_id, gap) of ``first`` and a later ``then`` of the same session within ``seconds``.
+def followed_within(calls: DataFrame, first: str, then: str, seconds: int, keys: tuple = ("session_id",)) -> DataFrame:
+    """Pairs (id, then_id, gap) of ``first`` and a later ``then`` of the same keys (a session, or a file in it) within ``seconds``.
 
     A range join on time buckets as wide as the range: a row meets its own and the next bucket
     only, so a busy session is spread over its buckets and no session is joined with itself whole.
     """
     bucket = F.floor(F.col("sec") / seconds)
-    left = calls.filter(F.col("tool_name") == first).select("session_id", F.col("id").alias("id"), F.col("sec").alias("start"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
-    right = calls.filter(F.col("tool_name") == then).select("session_id", F.col("id").alias("then_id"), "sec", bucket.alias("bucket"))
+    left = calls.filter(F.col("tool_name") == first).select(*keys, F.col("id").alias("id"), F.col("sec").alias("start"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    right = calls.filter(F.col("tool_name") == then).select(*keys, F.col("id").alias("then_id"), "sec", bucket.alias("bucket"))
     gap = F.col("sec") - F.col("start")
-    return left.join(right, ["session_id", "bucket"]).filter((gap > 0) & (gap <= seconds)).select("session_id", "id", "then_id", gap.alias("gap"))
+    return left.join(right, [*keys, "bucket"]).filter((gap > 0) & (gap <= seconds)).select(*keys, "id", "then_id", gap.alias("gap"))
+
+
+def by_output(calls: DataFrame, placed: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Burden of each tool's outputs: the bytes of a call's output blob are carried from its message to the session's end.
+
+    ``placed`` are messages with their positions; the window runs before the joins, over slim rows.
+    """
+    sizes = blobs.select(F.col("hash").alias("output_hash"), "size")
+    rows = calls.select("message_id", "tool_name", "output_hash").join(placed.select(F.col("id").alias("message_id"), "remaining"), "message_id").join(sizes, "output_hash")
+    return rows.groupBy("tool_name").agg(F.count("*").alias("calls"), F.sum("size").cast("long").alias("bytes"), F.sum(F.col("size") * F.col("remaining")).cast("long").alias("burden"))
 
 
 def carry_forward(rows: DataFrame, order: list[str], wanted: Column, value: str) -> DataFrame:

@@ -62,9 +62,16 @@ def link_outputs(uses: DataFrame, results: DataFrame, key: str, output: str, ord
 
 
 def match_first_result(uses: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
-    """Each use with the first later result of the same keys (by sec); uses without one are left out."""
-    later = uses.join(results.select(*keys, F.col("sec").alias("result_sec"), F.col("id").alias("result_id")), keys).filter("result_sec > sec")
-    return later.groupBy(*keys, "id").agg(F.min(F.struct("result_sec", "result_id")).alias("r")).select(*keys, "id", F.col("r.result_id").alias("result_id"), F.col("r.result_sec").alias("result_sec"))
+    """Each use with the first later result of the same keys (by sec); uses without one are left out.
+
+    Both sides are one sorted log of a key, in which the next result is found by a window: no pairs of a busy key are made.
+    """
+    some = F.struct(F.col("sec"), F.col("id"))
+    none = F.lit(None).cast(uses.select(some.alias("r")).schema["r"].dataType)
+    log = uses.select(*keys, "id", "sec", none.alias("r")).unionByName(results.select(*keys, "id", "sec", some.alias("r")))
+    later = Window.partitionBy(*keys).orderBy("sec").rangeBetween(Window.currentRow + 1, Window.unboundedFollowing)
+    found = log.withColumn("next", F.min("r").over(later)).filter("r IS NULL AND next IS NOT NULL")
+    return found.select(*keys, "id", F.col("next.id").alias("result_id"), F.col("next.sec").alias("result_sec"))
 
 
 def message_fingerprint(kind: Column, timestamp: Column, parts: Column) -> Column:

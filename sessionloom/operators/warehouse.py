@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..sources import ingest, scan
 from .store import changes, content_hash, deleted, expired, first_wins, last_wins
@@ -68,14 +69,31 @@ class Warehouse:
         row = self.spark.range(1).select(F.lit(version).alias("version"), F.array(*[F.lit(f"{k}={v}") for k, v in sorted(named.items())]).alias("tables"))
         row.write.mode("append").json(f"{self.path}/current")
 
-    def merged(self, name: str, new: DataFrame) -> DataFrame:
-        old = self.table(name)
-        order = [c for c in ("timestamp", "file_path", "id") if c in new.columns] or KEYS[name]
+    def merged(self, name: str, new: DataFrame, absent: bool = False) -> DataFrame:
+        """The table with new rows: in order of (file, line), else of all columns, the last (or first) row of a key counts.
+
+        ``absent`` adds only rows of keys that are not stored. A column that only one side has is null on the other.
+        """
+        old, keys = self.table(name), KEYS[name]
+        known = [c for c in ("file", "ord", "source_file") if c in new.columns]
+        order = known + [f.name for f in new.schema if f.name not in known and not isinstance(f.dataType, MapType)]
+        last = name in REPLACED and not absent
         if old is None:
-            return first_wins(new, KEYS[name], order)
-        if name in REPLACED:
-            return last_wins(old, new.select(*old.columns), KEYS[name], order)
-        return old.unionByName(first_wins(new, KEYS[name], order, old).select(*old.columns))
+            return first_wins(new, keys, [F.desc(c) for c in order] if last else order)
+        if last:
+            latest = first_wins(new, keys, [F.desc(c) for c in order])
+            return old.join(latest.select(*keys), keys, "left_anti").unionByName(latest, allowMissingColumns=True)
+        return old.unionByName(first_wins(new, keys, order, old), allowMissingColumns=True)
+
+    def merged_sessions(self, found: dict[str, DataFrame]) -> DataFrame | None:
+        """Sessions that an index names replace stored ones; those that only a log shows are added if absent."""
+        named, stubs = found.get("indexed_sessions"), found.get("found_sessions")
+        if named is None:
+            return None if stubs is None else self.merged("sessions", stubs, absent=True)
+        base = self.merged("sessions", named)
+        if stubs is None:
+            return base
+        return base.unionByName(stubs.join(base.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
 
 def run(spark: SparkSession, root: str, path: str, full: bool = False, now: str | None = None, **how) -> dict:
@@ -99,7 +117,9 @@ def run(spark: SparkSession, root: str, path: str, full: bool = False, now: str
     try:
         if row["files"]:
             found = ingest.ingest(spark, root, todo, **how)
-            new = {name: house.merged(name, df) for name, df in found.items() if name in KEYS}
+            new = {name: house.merged(name, df) for name, df in found.items() if name in KEYS and name != "sessions"}
+            if (sessions := house.merged_sessions(found)) is not None:
+                new["sessions"] = sessions
             marks = files.select("path", "mtime", "size", F.col("size").alias("offset"))
             new["indexed_files"] = last_wins(known, marks, ["path"], ["mtime"])
     except Exception as e:  # a run that fails is recorded, then reported
@@ -117,15 +137,23 @@ def run(spark: SparkSession, root: str, path: str, full: bool = False, now: str
 def backup(files: DataFrame, path: str, now: str) -> DataFrame:
     """Copy files (path, content) to ``path``, named by the hash of their content; returns what is backed up.
 
-    Equal contents are stored once. The session is the file's stem, of which rollout and chat files use the last 36 characters.
+    Equal contents are stored once, also over many runs. The session is the file's stem, of which rollout and chat files use the last 36 characters.
     """
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
     ident = F.when(stem.rlike("^(session|rollout)-") & (F.length(stem) >= 36), F.right(stem, F.lit(36))).otherwise(stem)
     rows = files.select(ident.alias("session_id"), F.col("path").alias("original_path"), F.sha2("content", 256).alias("content_hash"), F.lit(now).alias("backed_up_at"), F.length("content").cast("long").alias("file_size"), "content")
-    first_wins(rows.select("content_hash", "content", "original_path"), ["content_hash"], ["original_path"]).select("content_hash", "content").write.mode("append").parquet(path)
+    new = rows.select("content_hash", "content", "original_path")
+    if Warehouse(files.sparkSession, path)._exists(path):
+        new = new.join(files.sparkSession.read.schema("content_hash STRING, content BINARY").parquet(path).select("content_hash"), "content_hash", "left_anti")
+    first_wins(new, ["content_hash"], ["original_path"]).select("content_hash", "content").write.mode("append").parquet(path)
     return rows.drop("content")
 
 
+def swept(backups: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored contents that a backup still names: what retention leaves of them."""
+    return stored.join(backups.select("content_hash").distinct(), "content_hash", "left_semi")
+
+
 def pruned(backups: DataFrame, days: int, now=None) -> DataFrame:
     """What retention leaves; contents that no kept backup names can then be dropped by an anti-join."""
     return backups.join(expired(backups, days, now).select("session_id", "original_path"), ["session_id", "original_path"], "left_anti")

@@ -48,8 +48,8 @@ def tool_calls(spark, sf_dir):
 
 
 def session_messages(spark, sf_dir):
-    """Line items with no discount as the messages of the sessions above."""
-    return table(spark, sf_dir, "lineitem").filter("l_discount < 0.05").select(F.col("l_orderkey").alias("session_id"))
+    """Line items as the messages of the sessions above."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"))
 
 
 def messages(spark, sf_dir):
@@ -120,7 +120,7 @@ ROLE_SQL = {
     "tool_calls": """SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey AS session_id, l_linenumber AS turn_index, l_returnflag || l_linestatus AS tool_name,
         strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS "timestamp", l_partkey AS input_hash, l_suppkey AS output_hash,
         CAST(round(l_extendedprice) AS BIGINT) AS size FROM lineitem""",
-    "session_messages": "SELECT l_orderkey AS session_id FROM lineitem WHERE l_discount < 0.05",
+    "session_messages": "SELECT l_orderkey AS session_id FROM lineitem",
     "messages": """SELECT conv_id || '-' || turn AS id, conv_id AS session_id, turn AS turn_index, role AS type, coalesce(text, '') AS content FROM conversations""",
     "blob_references": """SELECT doc_id, sha256(text) AS hash, text AS content, source AS kind, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL""",
     "content_store": """SELECT sha256(text) AS hash, arg_min(text, doc_id) AS content, arg_min(source, doc_id) AS kind,

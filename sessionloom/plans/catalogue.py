@@ -50,12 +50,12 @@ _DAILY = """SELECT CAST(day AS VARCHAR) AS date, count(*) AS message_count, coun
 
 @query(_DAILY.format(where=""))
 def daily_activity(spark, sf_dir):
-    return A.daily(D.event_calls(spark, sf_dir))
+    return A.daily(D.event_calls(spark, sf_dir), call=F.col("tool_name") != "view")
 
 
 @query(_DAILY.format(where="WHERE CAST(day AS VARCHAR) >= '2024-01-05' AND CAST(day AS VARCHAR) <= '2024-01-20'"))
 def daily_activity_range(spark, sf_dir):
-    return A.daily(D.event_calls(spark, sf_dir), start="2024-01-05", end="2024-01-20")
+    return A.daily(D.event_calls(spark, sf_dir), start="2024-01-05", end="2024-01-20", call=F.col("tool_name") != "view")
 
 
 @query("""--raw
@@ -192,7 +192,7 @@ def file_provenance(spark, sf_dir):
     count(*) FILTER (WHERE source_kind IS NULL) AS unknown, CAST(coalesce(sum(message_count), 0) AS BIGINT) AS messages
     FROM sessions WHERE created_at >= '1995-01-01' AND created_at < '1995-02-01'""")
 def digest_stats(spark, sf_dir):
-    return A.digest_stats(D.sessions(spark, sf_dir), "1995-01-01", "1995-02-01")
+    return A.digest_stats(D.sessions(spark, sf_dir), "1995-01-01", "1995-02-01", "F", "O")
 
 
 # -- browsing ---------------------------------------------------------------------------------
@@ -627,10 +627,11 @@ def heuristic_enrichment(spark, sf_dir):
 
 
 @query("""--raw
-    SELECT doc_id, CASE WHEN text IS NULL OR strlen(text) <= 40 THEN text ELSE '...' END AS short FROM documents WHERE text IS NULL OR strlen(text) <= 40""")
+    SELECT doc_id, CASE WHEN text IS NULL OR strlen(text) <= 40 THEN text
+      ELSE substr(text, 1, CAST(len(list_filter(range(1, 41), lambda k: strlen(substr(text, 1, CAST(k AS INTEGER))) <= 40)) AS INTEGER)) || '...' END AS short FROM documents""")
 def short_texts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter("text IS NULL OR octet_length(text) <= 40")
-    return rows.select("doc_id", T.cut_bytes(F.col("text"), 40).alias("short"))
+    """Every document's text cut at 40 bytes, at the edge of a character."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.cut_bytes(F.col("text"), 40).alias("short"))
 
 
 @query()
@@ -659,12 +660,12 @@ def classified_sessions(spark, sf_dir):
     return classify(digests(D.messages(spark, sf_dir), ["turn_index", "id"]))
 
 
-@query("""WITH d AS (SELECT CAST(day AS VARCHAR) AS date, count(DISTINCT session_id) AS session_count FROM event_calls WHERE tool_name = 'signup' GROUP BY 1),
+@query("""WITH d AS (SELECT CAST(day AS VARCHAR) AS date, count(DISTINCT session_id) AS session_count FROM event_calls GROUP BY 1),
     s AS (SELECT *, CAST(date AS DATE) - CAST(dayofweek(CAST(date AS DATE)) AS INTEGER) AS sunday FROM d)
     SELECT date, session_count, CAST((sunday - (SELECT min(sunday) FROM s)) // 7 AS BIGINT) AS week, CAST(dayofweek(CAST(date AS DATE)) AS INTEGER) AS weekday,
       least(session_count / 8.0, 1.0) AS intensity FROM s""")
 def activity_heatmap(spark, sf_dir):
-    days = D.event_calls(spark, sf_dir).filter("tool_name = 'signup'").groupBy(F.col("day").cast("string").alias("date")).agg(F.countDistinct("session_id").alias("session_count"))
+    days = D.event_calls(spark, sf_dir).groupBy(F.col("day").cast("string").alias("date")).agg(F.countDistinct("session_id").alias("session_count"))
     return A.heatmap(days)
 
 
@@ -674,6 +675,72 @@ def project_colours(spark, sf_dir):
     return A.card(rows, "project_slug", F.lit(None).cast("string")).select("project_slug", "colour")
 
 
+# -- analyses of tokens and files ---------------------------------------------------------------
+
+
+@query("""SELECT tool_name AS model, count(*) AS messages, count(DISTINCT session_id) AS sessions FROM event_calls GROUP BY 1""")
+def model_sessions(spark, sf_dir):
+    return A.model_sessions(D.event_calls(spark, sf_dir).withColumnRenamed("tool_name", "model"))
+
+
+@query("""SELECT coalesce(nullif(lower(regexp_extract(coalesce(p_name, ''), '[.]([A-Za-z0-9]+)$', 1)), ''), 'none') AS extension, count(*) AS calls, count(DISTINCT p_name) AS files
+    FROM tool_calls LEFT JOIN (SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN p_name || '.' || p_brand[-1] END AS p_name FROM part WHERE p_partkey % 5 <> 0) ON p_partkey = input_hash
+    WHERE tool_name IN ('AF', 'RF') GROUP BY 1""")
+def reads_by_extension(spark, sf_dir):
+    path = F.when(F.col("p_partkey") % 4 != 0, F.concat("p_name", F.lit("."), F.right("p_brand", F.lit(1))))
+    inputs = table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("hash"), path.alias("path"))
+    return A.reads_by_extension(D.tool_calls(spark, sf_dir), inputs, F.col("tool_name").isin("AF", "RF"))
+
+
+@query("""WITH placed AS (SELECT session_id, id, count(*) OVER (PARTITION BY session_id) - row_number() OVER (PARTITION BY session_id ORDER BY turn_index, id) + 1 AS remaining FROM tool_calls)
+    SELECT tool_name, count(*) AS calls, CAST(sum(s) AS BIGINT) AS bytes, CAST(sum(s * remaining) AS BIGINT) AS burden
+    FROM tool_calls c JOIN placed p ON p.id = c.id JOIN (SELECT s_suppkey, CAST(round(s_acctbal) AS BIGINT) AS s FROM supplier WHERE s_acctbal > 0) ON s_suppkey = output_hash GROUP BY 1""")
+def burden_by_output(spark, sf_dir):
+    calls = D.tool_calls(spark, sf_dir)
+    placed = U.positions(calls.select("session_id", "id", "turn_index"), ["turn_index", "id"])
+    blobs = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("hash"), F.round("s_acctbal").cast("long").alias("size"))
+    return U.by_output(calls.withColumn("message_id", F.col("id")), placed, blobs)
+
+
+_FILED = "SELECT id, session_id, tool_name, sec, CAST(floor(value) AS BIGINT) % 3 AS file_path FROM event_calls WHERE value IS NOT NULL"
+
+
+@query(f"""WITH c AS ({_FILED}) SELECT a.session_id, a.file_path, a.id, b.id AS then_id, b.sec - a.sec AS gap FROM c a JOIN c b
+    ON a.session_id = b.session_id AND a.file_path = b.file_path AND a.tool_name = 'view' AND b.tool_name = 'click' AND b.sec > a.sec AND b.sec <= a.sec + 14400""")
+def edit_of_same_file_window(spark, sf_dir):
+    calls = D.event_calls(spark, sf_dir).filter("value IS NOT NULL").withColumn("file_path", F.expr("CAST(floor(value) AS BIGINT) % 3"))
+    return U.followed_within(calls, "view", "click", 14400, ("session_id", "file_path"))
+
+
+@query("--raw\n SELECT count(*) FILTER (WHERE quality IS NULL OR quality < 1) AS outdated, count(*) AS total FROM documents LEFT JOIN labels USING (doc_id)")
+def outdated_versions(spark, sf_dir):
+    return A.outdated(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left"), "quality", 1)
+
+
+@query("""WITH t AS (SELECT count(*) AS total, count(*) FILTER (WHERE type = 'user') AS done FROM messages)
+    SELECT total, CAST(greatest(1, ceil(total / 20.0)) AS BIGINT) AS pages, CAST(3 AS BIGINT) AS page, round(least(100.0, 100.0 * done / total), 6) AS percent FROM t""")
+def page_and_progress(spark, sf_dir):
+    totals = D.messages(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("type") == "user").alias("done"))
+    return totals.select("total", *A.page_numbers(F.col("total"), 20, 40), A.progress(F.col("done"), F.col("total")).alias("percent"))
+
+
+@query("""SELECT id, CASE WHEN length(content) > 80 THEN substr(content, 1, 80) || chr(10) || '... (truncated)' ELSE content END AS shown FROM messages""")
+def truncated_messages(spark, sf_dir):
+    return D.messages(spark, sf_dir).select("id", A.marked_cut(F.col("content"), 80).alias("shown"))
+
+
+@query("""WITH t AS (SELECT max(CAST(created_at AS DATE)) AS today FROM sessions)
+    SELECT d AS days, (SELECT count(*) FROM sessions, t WHERE created_at >= CAST(today - CAST(d AS INTEGER) AS VARCHAR)) AS sessions FROM (VALUES (7), (30), (90), (180), (365)) v(d)
+    UNION ALL SELECT 0, count(*) FROM sessions""")
+def trailing_windows(spark, sf_dir):
+    rows = D.sessions(spark, sf_dir).select("created_at", F.to_date("created_at").alias("day"))
+    today = F.broadcast(rows.agg(F.max("day").alias("today")))  # one row
+    spans = (7, 30, 90, 180, 365)
+    counts = [F.count_if(F.col("created_at") >= A.trailing_start(F.col("today"), d)).alias(str(d)) for d in spans]
+    totals = rows.crossJoin(today).agg(*counts, F.count("*").alias("0"))
+    return totals.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, (*spans, 0))), F.array(*[F.col(f"`{d}`") for d in (*spans, 0)]))).alias("days", "sessions"))
+
+
 # -- event-time windows (an addition: batch runs of what the streams do) -------------------------
 
 

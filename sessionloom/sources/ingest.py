@@ -14,6 +14,28 @@ from . import scan, sessions, structured
 FORMATS = {"session_log": sessions.session_logs, "chat_session": sessions.chat_sessions, "rollout": sessions.rollouts}
 
 
+#: Columns of the table of sessions, whatever artifact a row comes from.
+SESSION = (
+    "id STRING, project_path STRING, project_slug STRING, first_prompt STRING, summary STRING, message_count INT, created_at STRING, modified_at STRING, "
+    "git_branch STRING, is_sidechain BOOLEAN, app_version STRING, source_file STRING"
+)
+
+
+def with_columns_of(rows: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema``, null where ``rows`` has none."""
+    kinds = rows.sparkSession.createDataFrame([], schema).schema
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+
+
+def said(blocks: DataFrame, redact: bool, extra: list[str]) -> DataFrame:
+    """(id, content, size): the texts of each message in order, and the bytes of all its blocks."""
+    text = F.when(F.col("block_type") == "text", F.col("text"))
+    parts = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("block_index", text.alias("t")))), lambda b: b["t"]), lambda t: t.isNotNull())
+    content = F.array_join(parts, "\n")
+    rows = blocks.groupBy(F.col("message_id").alias("id")).agg(content.alias("content"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("input"), F.lit(0))).cast("long").alias("size"))
+    return rows.withColumn("content", redacted(F.col("content"), list(extra))) if redact else rows
+
+
 def tables_of(messages: DataFrame, blocks: DataFrame, redact: bool = True, extra: list[str] = ()) -> dict[str, DataFrame]:
     """The message tables of parsed sessions. Keys are natural, so ingesting twice gives the same tables.
 
@@ -24,6 +46,8 @@ def tables_of(messages: DataFrame, blocks: DataFrame, redact: bool = True, extra
     blocks = blocks.withColumn("content_hash", content_hash("text")).withColumn("tool_input_hash", content_hash("input"))
     real = blocks.filter("block_type NOT IN ('tool_output', 'plan')")
     real = first_wins(real, ["message_id", "block_index", "block_type"], order)
+    messages = messages.join(said(first_wins(blocks.filter("block_type NOT IN ('tool_output', 'plan')"), ["message_id", "block_index", "block_type"], order), redact, extra), "id", "left")
+    messages = messages.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
     links = blocks.filter("block_type IN ('tool_result', 'tool_output')").groupBy("tool_use_id").agg(F.max_by("content_hash", F.struct(*order)).alias("output_hash"))
     calls = first_wins(blocks.filter("block_type = 'tool_use'"), ["tool_use_id"], order).join(links, "tool_use_id", "left")
     clean = redacted(F.col("content"), list(extra)) if redact else F.col("content")
@@ -64,11 +88,19 @@ def minimal_sessions(messages: DataFrame) -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, root: str, files: DataFrame | None = None, **how) -> dict[str, DataFrame]:
+def tagged(rows: DataFrame, name: str | None, kind: str | None) -> DataFrame:
+    """Rows with the name and the kind, in lower case, of the source that they come from."""
+    return rows.withColumn("source_name", F.lit(name).cast("string")).withColumn("source_kind", F.lower(F.lit(kind).cast("string")))
+
+
+def ingest(spark: SparkSession, root: str, files: DataFrame | None = None, source: tuple[str, str] | None = None, **how) -> dict[str, DataFrame]:
     """All tables of the artifacts below ``root``, or of those of its manifest's rows in ``files``.
 
-    The paths of one kind of file are collected: they are the argument of a reader.
+    ``source`` is the (name, kind) that sessions and messages are tagged with. ``indexed_sessions`` are those that an index
+    names, ``found_sessions`` those that a log or chat shows; ``sessions`` are the former and of the latter those that no index names.
+    The paths of one kind of file are collected: they are the argument of a reader, which lists them on the driver as well.
     """
+    name, tag = source or (None, None)
     files = scan.manifest(spark, root) if files is None else files
     found: dict[str, list[str]] = {}
     for row in files.select("kind", "path").distinct().orderBy("kind", "path").toLocalIterator():
@@ -83,15 +115,31 @@ def ingest(spark: SparkSession, root: str, files: DataFrame | None = None, **how
     if parts:
         messages, blocks = (reduce(DataFrame.unionByName, [p[i] for p in parts]) for i in (0, 1))
         out |= tables_of(messages, blocks, **how)
-        out["sessions"] = minimal_sessions(out["messages"])
+        out["messages"] = tagged(out["messages"], name, tag)
+        declared = []
+        if "rollout" in found:
+            rows = sessions.rollout_sessions(sessions.lines(spark, found["rollout"]))
+            declared.append(first_wins(rows, ["id"], ["file", "ord"]).drop("ord").withColumnRenamed("file", "source_file"))
+        if "chat_session" in found:
+            rows = sessions.chat_session_rows(structured.whole(spark, found["chat_session"]))
+            declared.append(first_wins(rows, ["id"], ["file"]).withColumnRenamed("file", "source_file"))
+        stubs = with_columns_of(minimal_sessions(out["messages"]), SESSION)
+        if declared:
+            declared = reduce(DataFrame.unionByName, [with_columns_of(d, SESSION) for d in declared])
+            stubs = declared.unionByName(stubs.join(declared.select("id"), "id", "left_anti"))
+        out["found_sessions"] = out["sessions"] = tagged(stubs, name, tag)
     if "session_log" in found:
         out["parse_errors"] = sessions.parse_errors(sessions.lines(spark, found["session_log"]))
     indexed = [parse(structured.whole(spark, found[k])) for k, parse in (("session_index", structured.session_index), ("desktop_index", structured.desktop_index)) if k in found]
     if indexed:
-        named = reduce(DataFrame.unionByName, indexed)
-        out["sessions"] = named.unionByName(out["sessions"].join(named.select("id"), "id", "left_anti"), allowMissingColumns=True) if "sessions" in out else named
-    if "task" in found:
-        out["tasks"] = structured.tasks(structured.whole(spark, found["task"]))
+        named = tagged(with_columns_of(reduce(DataFrame.unionByName, indexed), SESSION), name, tag)
+        out["indexed_sessions"] = named = first_wins(named, ["id"], [F.desc("source_file"), F.desc("modified_at")])
+        out["sessions"] = named.unionByName(out["sessions"].join(named.select("id"), "id", "left_anti")) if "sessions" in out else named
+    tasks = [structured.tasks(structured.whole(spark, found["task"]))] if "task" in found else []
+    if "rollout" in found:
+        tasks.append(sessions.rollout_tasks(sessions.lines(spark, found["rollout"])))
+    if tasks:
+        out["tasks"] = reduce(DataFrame.unionByName, tasks)
         out["task_dependencies"] = structured.dependencies(out["tasks"])
     if "facet" in found:
         out["session_outcomes"] = structured.facets(structured.whole(spark, found["facet"]))

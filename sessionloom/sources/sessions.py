@@ -14,6 +14,8 @@ from ..functions.text import last_segment
 
 MESSAGE = ["file", "ord", "id", "session_id", "parent_id", "type", "timestamp", "model", "stop_reason", "cwd", "git_branch", "duration_ms", "turn_index", "digest_parts"]
 BLOCK = ["file", "ord", "session_id", "message_id", "timestamp", "block_index", "block_type", "kind", "text", "context", "searchable", "tool_name", "tool_use_id", "input", "path"]
+#: Characters of a project's hash that name it.
+SLUG = 8
 #: Tools whose result is the content of the file that they name.
 FILE_TOOLS = {"Read": "read", "Write": "write", "Edit": "edit", "MultiEdit": "edit"}
 # Lines that hold one of these are dropped before they are parsed.
@@ -210,11 +212,24 @@ def rollouts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rollout_sessions(rows: DataFrame) -> DataFrame:
-    """Sessions that rollout files declare: id, path, slug, time and version."""
+    """Sessions that rollout files declare, a row for each declaration: id, path, slug, times and version; a path that is not given is 'unknown'."""
     v = F.try_parse_json("value")
     rows = rows.withColumn("v", v).filter(_get(F.col("v"), "$.type") == "session_meta")
     get = lambda p: _get(F.col("v"), f"$.payload.{p}")
-    return rows.select("file", get("id").alias("id"), get("cwd").alias("project_path"), last_segment(get("cwd")).alias("project_slug"), get("timestamp").alias("created_at"), get("cli_version").alias("app_version"))
+    path = F.coalesce(get("cwd"), F.lit("unknown"))
+    return rows.filter(get("id").isNotNull()).select(
+        "file", "ord", get("id").alias("id"), path.alias("project_path"), last_segment(path).alias("project_slug"), get("timestamp").alias("created_at"), get("timestamp").alias("modified_at"), get("cli_version").alias("app_version")
+    )
+
+
+def chat_session_rows(files: DataFrame) -> DataFrame:
+    """The session of each whole-file chat: its project's hash is the path, whose first SLUG characters are the slug."""
+    v = F.try_parse_json("value")
+    get = lambda p: _get(F.col("v"), f"$.{p}")
+    path = F.coalesce(get("projectHash"), F.lit("unknown"))
+    return files.withColumn("v", v).filter(get("sessionId").isNotNull()).select(
+        "file", get("sessionId").alias("id"), path.alias("project_path"), F.substring(path, 1, SLUG).alias("project_slug"), get("startTime").alias("created_at"), get("lastUpdated").alias("modified_at")
+    )
 
 
 def rollout_tasks(rows: DataFrame) -> DataFrame:

@@ -133,6 +133,49 @@ def test_incremental_runs(spark, tmp_path):
     assert house.table("index_runs").count() == 4
 
 
+def test_grown_log_beside_an_index(spark, tmp_path):
+    """The index names the session in the first run; only the log grows; the indexed row and its columns stay."""
+    root, path = tmp_path / "in", str(tmp_path / "house")
+    os.makedirs(root / "projects/p")
+    log = root / "projects/p/s.jsonl"
+    log.write_text(turn(1) + turn(1).replace("text 1", "a second line of one id") + turn(2))
+    (root / "projects/p/sessions-index.json").write_text(json.dumps({"originalPath": "/home/x/proj", "entries": [{"sessionId": "s", "firstPrompt": "Please", "messageCount": 9, "created": "2026-01-01"}]}))
+    warehouse.run(spark, str(root), path, now="2026-01-01 00:00:00", source=("home", "Claude"))
+    with log.open("a") as f:
+        f.write(turn(3) + turn(4).replace('"s"', '"other"'))
+    warehouse.run(spark, str(root), path, now="2026-01-01 00:00:01", source=("home", "Claude"))
+    house = warehouse.Warehouse(spark, path)
+    found = {r["id"]: r for r in house.table("sessions").collect()}
+    assert set(found) == {"s", "other"}
+    assert (found["s"]["first_prompt"], found["s"]["message_count"], found["s"]["project_slug"], found["s"]["source_kind"]) == ("Please", 9, "proj", "claude")
+    texts = {r["id"]: r["content"] for r in house.table("messages").collect()}
+    assert texts == {"u1": "text 1", "u2": "text 2", "u3": "text 3", "u4": "text 4"}  # of one id the first line counts
+    index = json.loads((root / "projects/p/sessions-index.json").read_text())
+    index["entries"][0] |= {"messageCount": 11}
+    (root / "projects/p/sessions-index.json").write_text(json.dumps(index) + " ")
+    warehouse.run(spark, str(root), path, now="2026-01-01 00:00:02", source=("home", "Claude"))
+    assert {r["id"]: r["message_count"] for r in house.table("sessions").collect()} == {"s": 11, "other": None}
+
+
+def test_last_row_counts_on_the_first_run(spark, tmp_path):
+    house = warehouse.Warehouse(spark, str(tmp_path / "house"))
+    rows = spark.createDataFrame([("s", "1", "b.json", "done"), ("s", "1", "a.json", "open")], "session_id string, id string, file string, status string")
+    assert [r["status"] for r in house.merged("tasks", rows).collect()] == ["done"]
+    house.commit({"tasks": house.merged("tasks", rows)})
+    newer = rows.filter("file = 'a.json'")
+    assert [r["status"] for r in house.merged("tasks", newer).collect()] == ["open"]
+    assert [r["status"] for r in house.merged("tasks", newer, absent=True).collect()] == ["done"]
+
+
+def test_two_backups_store_a_content_once(spark, tmp_path):
+    files = spark.createDataFrame([("/x/a.jsonl", b"one"), ("/x/b.jsonl", b"two")], "path string, content binary")
+    first = warehouse.backup(files, str(tmp_path / "b"), "2026-01-01 00:00:00")
+    second = warehouse.backup(files.unionByName(spark.createDataFrame([("/x/c.jsonl", b"three")], files.schema)), str(tmp_path / "b"), "2026-01-02 00:00:00")
+    stored = spark.read.parquet(str(tmp_path / "b"))
+    assert stored.count() == 3 and warehouse.content_of(second, stored, "a").count() == 1
+    assert warehouse.swept(first, stored).count() == 2
+
+
 def test_backups(spark, tmp_path):
     files = spark.createDataFrame([("/x/rollout-2026-aaaaaaaa-0000-0000-0000-000000000001.jsonl", b"one"), ("/x/b.jsonl", b"one"), ("/x/c.jsonl", b"two")], "path string, content binary")
     kept = warehouse.backup(files, str(tmp_path / "b"), "2026-01-01 00:00:00")

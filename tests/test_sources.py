@@ -138,6 +138,41 @@ def test_structured(spark, root, tables):
     assert (task["id"], task["status"], task["blocked_by"]) == ("k", "done", [])
 
 
+def test_sessions_of_all_formats(spark, root):
+    found = {r["id"]: r for r in ingest.ingest(spark, root, source=("Home", "Mixed"))["sessions"].collect()}
+    assert (found["c1"]["project_path"], found["c1"]["project_slug"], found["c1"]["app_version"]) == ("/w/repo", "repo", "9")
+    assert (found["g1"]["project_path"], found["g1"]["project_slug"], found["g1"]["created_at"], found["g1"]["modified_at"]) == ("0123456789", "01234567", "t0", "t1")
+    assert {(r["source_name"], r["source_kind"]) for r in found.values()} == {("Home", "mixed")}
+
+
+def test_analytics_over_ingested_tables(spark, root):
+    """What an ingest writes is what the analyses read."""
+    from sessionloom.operators import analytics, browsing, burden
+
+    t = ingest.ingest(spark, root, source=("home", "mixed"))
+    sessions, messages, calls, blobs = (t[n].persist() for n in ("sessions", "messages", "tool_calls", "content_store"))
+    row = analytics.overview(sessions, messages, blobs).first()
+    assert (row["total_sessions"], row["total_messages"]) == (4, 10) and row["total_blob_bytes"] == sum(len(r["content"].encode()) for r in blobs.collect())
+    assert [(r["source_kind"], r["session_count"], r["message_count"], r["tool_call_count"]) for r in analytics.by_source_kind(sessions, messages, calls).collect()] == [("mixed", 4, 10, 4)]
+    assert {r["project_slug"]: r["message_count"] for r in analytics.by_project(sessions, messages, calls).collect()} == {"proj": 6, "01234567": 2, "repo": 2}
+    assert {r["tool_name"]: r["n"] for r in analytics.tool_frequency(calls).collect()} == {"Read": 1, "sh": 2, "ls": 1}
+    assert analytics.projects_page(sessions, messages, calls, t["file_references"]).filter("project_slug = 'proj'").first()["files_touched"] == 1
+    assert analytics.storage_overview(blobs, t["blob_references"]).first()["blobs"] == blobs.count()
+    assert [tuple(r) for r in analytics.model_sessions(messages).collect()] == [("m-1", 1, 1)]
+    assert analytics.daily_projects(sessions).count() > 0 and analytics.file_provenance(t["file_references"]).first()["operations"] == "read"
+    order = ("timestamp", "turn_index", "id")
+    first = {r["session_id"]: r["first_text"] for r in browsing.first_user_text(messages, order=order).collect()}
+    assert first[A] == "Please read the file, key [REDACTED]" and first["g1"] == "hello" and first["c1"] == "ask"
+    none = spark.createDataFrame([], "session_id string, outcome string, reason_code string")
+    page = {r["session_id"]: (r["message_count"], r["first_text"]) for r in browsing.session_list(messages, none, order=order).collect()}
+    assert page["c1"] == (2, "ask") and len(page) == 4
+    placed = burden.positions(messages, list(order))
+    rows = burden.burden(placed, F.col("size"))
+    assert {r["session_id"] for r in burden.by_group(rows, "session_id").collect()} == {A, B, "g1", "c1"} and rows.filter("id = 'u1'").first()["size"] == len("Please read the file, key sk-" + "a" * 48)
+    cost = {r["tool_name"]: (r["calls"], r["bytes"], r["burden"]) for r in burden.by_output(calls, placed, blobs).collect()}
+    assert cost["Read"] == (1, 10, 2 * 10)  # by time the call is the fourth of five messages
+
+
 def test_ingesting_twice_changes_nothing(spark, root, tables):
     again = ingest.ingest(spark, root, tables["manifest"].unionByName(tables["manifest"]))
     for name in ("messages", "content_blocks", "tool_calls", "content_store", "file_references"):
