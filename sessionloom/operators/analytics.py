@@ -226,6 +226,12 @@ def heatmap(days: DataFrame, date: str = "date", n: str = "session_count", full:
     )
 
 
+def day_projects(sessions: DataFrame) -> DataFrame:
+    """(date, projects): the projects of each day's sessions in order, for the cells of the calendar."""
+    pairs = daily_projects(sessions).select("date", "project_slug").distinct()
+    return pairs.groupBy("date").agg(F.array_sort(F.collect_list("project_slug")).alias("projects"))
+
+
 def card(rows: DataFrame, slug: str, title: Column, colours: int = 8) -> DataFrame:
     """Colour number (sum of the slug's character codes modulo ``colours``) and title of at most 100 characters."""
     codes = F.transform(F.split(F.col(slug), ""), lambda c: F.ascii(c))

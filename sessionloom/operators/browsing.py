@@ -59,6 +59,12 @@ def messages_with_blocks(messages: DataFrame, blocks: DataFrame) -> DataFrame:
     return messages.join(grouped.withColumnRenamed("message_id", "id"), "id", "left")
 
 
+def blocks_with_contents(blocks: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Content blocks with the texts of their content and of their tool input; null where there is no such blob."""
+    text = lambda key, name: blobs.select(F.col("hash").alias(key), F.col("content").alias(name))
+    return blocks.join(text("content_hash", "content"), "content_hash", "left").join(text("tool_input_hash", "tool_input"), "tool_input_hash", "left")
+
+
 def session_tools(calls: DataFrame, inputs: DataFrame, outputs: DataFrame, session_id) -> DataFrame:
     """Tool calls of a session with the contents of both blobs; missing blobs are null."""
     rows = calls.filter(F.col("session_id") == session_id)

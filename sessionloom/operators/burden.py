@@ -99,6 +99,12 @@ def tripwires(rows: DataFrame, messages: int, run: int, size: int, after: int, o
     return base.join(runs, "session_id").withColumn("long_run", F.col("longest") > run).drop("longest")
 
 
+def with_transitions(tripped: DataFrame, calls: DataFrame, first: str, then: str, most: int, order: list[str]) -> DataFrame:
+    """Tripwires with the one of too many steps from one tool to another; sessions without calls do not cross it."""
+    over = transitions(calls, first, then, order).select("session_id", (F.col("transitions") > most).alias("ping_pong"))
+    return tripped.join(over, "session_id", "left").withColumn("ping_pong", F.coalesce("ping_pong", F.lit(False)))
+
+
 def histogram(rows: DataFrame, size: str, edges: list[int]) -> DataFrame:
     """Rows and bytes by size bucket (number of edges not above the size) with the share of all rows."""
     bucket = reduce(Column.__add__, [F.when(F.col(size) >= e, 1).otherwise(0) for e in edges])

@@ -40,6 +40,28 @@ def heuristic(digest: Column) -> Column:
     )
 
 
+def json_of_reply(text: Column) -> Column:
+    """The JSON in a model's reply: what a code fence around all of it holds, else from the first { to the last }, else all."""
+    whole = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    fenced = F.regexp_extract(whole, r"(?s)^```(?:json)?(.*)```$", 1)
+    braced = F.regexp_extract(whole, r"(?s)(\{.*\})", 1)
+    inner = F.regexp_replace(fenced, r"^\s+|\s+$", "")
+    return F.when(whole.rlike(r"(?s)^```.*```$") & (F.length(whole) >= 6), inner).when(braced != "", braced).otherwise(whole)
+
+
+def result_of_output(text: Column) -> Column:
+    """The reply in a command's JSON lines: the text 'result' of the first line of type 'result', else that of the whole as one object, else all."""
+    get = lambda v, path: F.try_variant_get(v, path, "string")
+    told = F.transform(F.split(text, r"\r?\n"), lambda line: F.try_parse_json(line))
+    found = F.transform(F.filter(told, lambda v: (get(v, "$.type") == "result") & _text(v)), lambda v: get(v, "$.result"))
+    whole = F.try_parse_json(text)
+    return F.coalesce(F.try_element_at(found, F.lit(1)), F.when(_text(whole), get(whole, "$.result")), text)
+
+
+def _text(v: Column) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, "$.result", "variant")) == "STRING"
+
+
 def enrich(rows: DataFrame, backend=heuristic, approve_at: float = 0.8) -> DataFrame:
     """Title, outcome, tags and approval of each digest: approved iff there are tags and all reach ``approve_at``."""
     out = rows.withColumn("e", backend(F.col("digest"))).select("session_id", "e.*")
@@ -67,6 +89,11 @@ def classify(rows: DataFrame, backend=heuristic) -> DataFrame:
     return out.select("session_id", "outcome", F.when(F.col("outcome") != "success", reason).alias("reason_code"))
 
 
+def digest_rows(weeks: DataFrame, start: str, end: str, now: str) -> DataFrame:
+    """What ``weekly`` gives as a row to append to the table of digests."""
+    return weeks.select(F.lit(start).alias("start_date"), F.lit(end).alias("end_date"), F.lit(now).alias("created_at"), "*")
+
+
 def weekly(sessions: DataFrame, outcomes: DataFrame, start: str, end: str, limit: int = 50) -> DataFrame:
     """One row: counts of the sessions created in [start, end) by outcome, and a text of the first ``limit`` of them.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, plain_tokens, stemmed, tokens
@@ -38,6 +38,8 @@ def lengths(index: DataFrame) -> DataFrame:
 
 def phrase_counts(index: DataFrame, terms: list[str], column: str | None = None) -> DataFrame:
     """(hash, f): how often the terms follow each other, within one column, in each blob."""
+    if not terms:  # nothing holds a phrase without words
+        return index.filter(F.lit(False)).select("hash", F.lit(0).cast("long").alias("f"))
     rows = index.filter(F.col("term").isin(terms))
     if column is not None:
         rows = rows.filter(F.col("column") == column)
@@ -47,15 +49,18 @@ def phrase_counts(index: DataFrame, terms: list[str], column: str | None = None)
     return whole.groupBy("hash").agg(F.count("*").alias("f"))
 
 
-def bm25(index: DataFrame, phrases: list[list[str]], every: bool = True, column: str | None = None) -> DataFrame:
+def bm25(index: DataFrame, phrases: list[list[str]], every: bool = True, columns: list[str | None] | None = None) -> DataFrame:
     """(hash, rank): lower is better. Blobs hold all phrases (``every``) or one of them.
 
+    ``columns`` names for each phrase the column that it is looked for in (None: both).
+
     idf is the natural logarithm of (N - n + 0.5) / (n + 0.5), at least 1e-6; lengths count kind
     and content together.
     """
     size = lengths(index)
     stats = F.broadcast(size.agg(F.count("*").alias("blobs"), F.avg("length").alias("mean")))  # one row
-    parts = [phrase_counts(index, p, column).withColumn("phrase", F.lit(i)) for i, p in enumerate(phrases)]
+    columns = columns or [None] * len(phrases)
+    parts = [phrase_counts(index, p, c).withColumn("phrase", F.lit(i)) for i, (p, c) in enumerate(zip(phrases, columns, strict=True))]
     found = reduce(DataFrame.unionByName, parts)
     many = F.broadcast(found.groupBy("phrase").agg(F.count("*").alias("n")))  # a row for each phrase
     idf = F.log((F.col("blobs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -79,6 +84,43 @@ def hits(ranked: DataFrame, references: DataFrame, limit: int = 10, offset: int
     return ranked.join(references, "hash", "left").orderBy("rank", "hash", "doc_id").offset(offset).limit(limit)
 
 
+def query_terms(spark: SparkSession, text: str, stem: bool = True) -> list[str]:
+    """The terms of what a user typed, all of it one phrase, split (and stemmed) as the index is; no character is an operator."""
+    split = tokens if stem else plain_tokens
+    words = spark.range(1).select(F.posexplode(split(F.lit(text))).alias("i", "word"))
+    words = stemmed(words, "word", "term") if stem else words.withColumnRenamed("word", "term")
+    return [r["term"] for r in words.orderBy("i").collect()]  # the words of one query
+
+
+def with_context(ranked: DataFrame, references: DataFrame, messages: DataFrame, sessions: DataFrame, project: str | None = None) -> DataFrame:
+    """Hits with each message that refers to the blob (hash, message_id), its type and its session's slug and summary.
+
+    A blob without a reference stays, with nulls; with ``project`` only hits of that project's sessions do.
+    """
+    seen = messages.select(F.col("id").alias("message_id"), "type", "session_id")
+    known = sessions.select(F.col("id").alias("session_id"), "project_slug", "summary")
+    rows = ranked.join(references.select("hash", "message_id"), "hash", "left").join(seen, "message_id", "left").join(known, "session_id", "left")
+    return rows if project is None else rows.filter(F.col("project_slug") == project)
+
+
+def search(index: DataFrame, phrase: list[str], references: DataFrame, messages: DataFrame, sessions: DataFrame, kind: list[str] | None = None, project: str | None = None) -> DataFrame:
+    """All hits of a phrase with their context: in kind or content, or with ``kind`` (its terms) in the contents of that kind.
+
+    ``page`` of it is what is shown, its count the total.
+    """
+    if kind:
+        return with_context(bm25(index, [kind, phrase], columns=["kind", "content"]), references, messages, sessions, project)
+    return with_context(bm25(index, [phrase]), references, messages, sessions, project)
+
+
+def page_of_hits(found: DataFrame, blobs: DataFrame, words: list[str], limit: int = 10, offset: int = 0) -> DataFrame:
+    """A page of hits, best first, with kind and snippet; texts are read for the page only."""
+    chosen = found.orderBy("rank", "hash", "message_id").offset(offset).limit(limit)
+    shown = blobs.join(F.broadcast(chosen.select("hash").distinct()), "hash", "left_semi")  # one page
+    marks = F.array(*map(F.lit, words)).cast("array<string>")
+    return chosen.join(shown.select("hash", "kind", snippet(F.col("content"), marks).alias("snippet")), "hash", "left")
+
+
 def snippet(text: Column, matches: Column, words: int = 64, before: str = "<mark>", after: str = "</mark>") -> Column:
     """Up to ``words`` words around the first match, matches marked, '...' where text is left out.
 

@@ -122,6 +122,36 @@ def reviewed(enrichments: DataFrame, ids: DataFrame | None, verdict: str) -> Dat
     return out if ids is None else out.drop("_hit")
 
 
+def stored_enrichments(enriched: DataFrame, model: str, now: str, version: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of enrichments and of their tags, as they are stored, of enriched sessions (title, tags, approval_status).
+
+    What is approved at once is reviewed at once; a tag that a session has twice keeps its highest confidence.
+    """
+    done = F.when(F.col("approval_status") == "approved", F.lit(now))
+    rows = enriched.select("session_id", "title", F.lit(now).alias("enriched_at"), F.lit(model).alias("model"), F.lit(version).alias("version"), "approval_status", done.alias("reviewed_at"))
+    tags = enriched.select("session_id", F.explode("tags").alias("t")).groupBy("session_id", F.col("t.tag").alias("tag")).agg(F.max("t.confidence").alias("confidence"))
+    return rows, tags
+
+
+def retagged(tags: DataFrame, new: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Stored tags after the enrichment of ``sessions``: all their old tags go, also where there is no new one."""
+    return tags.join(sessions.select("session_id").distinct(), "session_id", "left_anti").unionByName(new.select(*tags.columns))
+
+
+def labelled(outcomes: DataFrame, labels: DataFrame, by_user: bool) -> DataFrame:
+    """Outcomes (session_id, outcome, reason_code, is_user_labeled) in which the labelled sessions have their new ones.
+
+    Of labels that repeat a session the last by (outcome, reason) counts, nulls first.
+    """
+    new = labels.select("session_id", "outcome", "reason_code", F.lit(by_user).alias("is_user_labeled"))
+    return last_wins(outcomes, new, ["session_id"], ["outcome", "reason_code"])
+
+
+def newest(rows: DataFrame, stamp: str, key: str, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of runs, digests or backups, latest first."""
+    return rows.orderBy(F.desc(stamp), key).offset(offset).limit(limit)
+
+
 def expired(backups: DataFrame, days: int, now: Column | None = None) -> DataFrame:
     """Backups older than ``days`` by their 'yyyy-MM-dd HH:mm:ss' stamp; none where days is 0."""
     if days <= 0:

@@ -604,6 +604,37 @@ def snippets(spark, sf_dir):
     return rows.select("hash", X.snippet(F.col("content"), F.array(F.lit("with"), F.lit("avec"))).alias("snippet"))
 
 
+_CONTEXT = """, c AS (SELECT h.hash, h.rank, doc_id AS message_id, tool_name AS type, e.session_id, project_slug, owner AS summary
+      FROM h LEFT JOIN blob_references b USING (hash) LEFT JOIN event_calls e ON e.id = b.doc_id LEFT JOIN sessions s ON s.id = e.session_id)"""
+_KIND = """, f AS (SELECT hash, CASE col WHEN 'kind' THEN 0 ELSE 1 END AS phrase, count(*) AS f FROM t
+      WHERE (col = 'kind' AND term = 'src1') OR (col = 'content' AND term = 'with') GROUP BY 1, 2)""" + _SCORE + ", h AS (SELECT hash, rank FROM sc WHERE held = 2)" + _CONTEXT
+_WORD = ", f AS (SELECT hash, 0 AS phrase, count(*) AS f FROM t WHERE term = 'with' GROUP BY 1)" + _SCORE + ", h AS (SELECT hash, rank FROM sc)" + _CONTEXT
+
+
+def _search(spark, sf_dir, phrase, **how):
+    """Blobs are referred to by events as messages, in orders as sessions (an event's user is its order)."""
+    references = D.blob_references(spark, sf_dir).withColumnRenamed("doc_id", "message_id")
+    messages = D.event_calls(spark, sf_dir).withColumnRenamed("tool_name", "type")
+    return X.search(_plain_index(spark, sf_dir), X.query_terms(spark, phrase, stem=False), references, messages, D.sessions(spark, sf_dir).withColumnRenamed("owner", "summary"), **how)
+
+
+@query(_INDEX + _KIND + """SELECT hash, kind, round(rank, 6) AS rank, message_id, type, session_id, project_slug, summary FROM c JOIN content_store USING (hash)
+    ORDER BY c.rank, c.hash, message_id LIMIT 20""")
+def search_filtered(spark, sf_dir):
+    found = _search(spark, sf_dir, '"With"', kind=["src1"])
+    return X.page_of_hits(found, D.content_store(spark, sf_dir), ["with"], 20).drop("snippet").withColumn("rank", F.round("rank", 6))
+
+
+@query(_INDEX + _WORD + """SELECT hash, round(rank, 6) AS rank, message_id, type, session_id, project_slug, summary FROM c WHERE project_slug = '1-URGENT'""")
+def search_project(spark, sf_dir):
+    return _search(spark, sf_dir, "with", project="1-URGENT").withColumn("rank", F.round("rank", 6))
+
+
+@query(_INDEX + _WORD + "SELECT count(*) AS total FROM c")
+def search_total(spark, sf_dir):
+    return _search(spark, sf_dir, "with").agg(F.count("*").alias("total"))
+
+
 # -- enrichment input -------------------------------------------------------------------------
 
 
@@ -636,7 +667,7 @@ def short_texts(spark, sf_dir):
 
 @query()
 def cut_texts(spark, sf_dir):
-    """Every document's text cut at 40 bytes, where ``short_texts`` takes only texts that need no cut; tests hold it against a brute-force version."""
+    """The same as ``short_texts``; held against a brute-force version instead of SQL."""
     return table(spark, sf_dir, "documents").select("doc_id", T.cut_bytes(F.col("text"), 40).alias("short"))
 
 
@@ -741,6 +772,69 @@ def trailing_windows(spark, sf_dir):
     return totals.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, (*spans, 0))), F.array(*[F.col(f"`{d}`") for d in (*spans, 0)]))).alias("days", "sessions"))
 
 
+# -- stored enrichments, outcomes, digests and lists ---------------------------------------------
+
+
+def _enriched(spark, sf_dir):
+    """Conversations as enriched sessions: a tag for each role, its confidence the role's share of the turns."""
+    rows = D.messages(spark, sf_dir).groupBy("session_id", "type").agg(F.count("*").alias("n"))
+    tags = rows.groupBy("session_id").agg(F.sum("n").alias("all"), F.collect_list(F.struct("type", "n")).alias("t"))
+    tags = tags.select("session_id", F.transform("t", lambda t: F.struct(t["type"].alias("tag"), F.round(t["n"] / F.col("all"), 6).alias("confidence"))).alias("tags"))
+    sure = F.forall("tags", lambda t: t["confidence"] >= 0.5)
+    return tags.withColumn("title", F.concat(F.lit("conversation "), F.col("session_id").cast("string"))).withColumn("approval_status", F.when(sure, "approved").otherwise("pending_review"))
+
+
+_SHARES = """WITH n AS (SELECT session_id, type AS tag, count(*) AS n FROM messages GROUP BY 1, 2),
+    g AS (SELECT session_id, tag, round(n / sum(n) OVER (PARTITION BY session_id), 6) AS confidence FROM n)"""
+
+
+@query(_SHARES + """SELECT session_id, 'conversation ' || session_id AS title, '2025-01-01' AS enriched_at, 'stub' AS model, 2 AS version,
+    CASE WHEN min(confidence) >= 0.5 THEN 'approved' ELSE 'pending_review' END AS approval_status, CASE WHEN min(confidence) >= 0.5 THEN '2025-01-01' END AS reviewed_at FROM g GROUP BY 1""")
+def stored_enrichments(spark, sf_dir):
+    return S.stored_enrichments(_enriched(spark, sf_dir), "stub", "2025-01-01", 2)[0]
+
+
+@query(_SHARES + """SELECT * FROM g UNION ALL SELECT doc_id, source, 1.0 FROM documents WHERE source IS NOT NULL AND doc_id NOT IN (SELECT session_id FROM g WHERE session_id IS NOT NULL)""")
+def stored_tags(spark, sf_dir):
+    """Documents have their source as a tag, until the conversation of the same id is enriched."""
+    old = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select(F.col("doc_id").alias("session_id"), F.col("source").alias("tag"), F.lit(1.0).alias("confidence"))
+    enriched = _enriched(spark, sf_dir)
+    return S.retagged(old, S.stored_enrichments(enriched, "stub", "2025-01-01", 2)[1], enriched)
+
+
+@query("""SELECT session_id, CASE WHEN session_id % 7 = 0 THEN 'partial' ELSE outcome END AS outcome, CASE WHEN session_id % 7 = 0 THEN 'unknown' ELSE reason_code END AS reason_code,
+    session_id % 7 = 0 AS is_user_labeled FROM outcomes""")
+def manual_outcomes(spark, sf_dir):
+    known = D.outcomes(spark, sf_dir).select("session_id", "outcome", "reason_code", F.lit(False).alias("is_user_labeled"))
+    labels = known.filter("session_id % 7 = 0").select("session_id", F.lit("partial").alias("outcome"), F.lit("unknown").alias("reason_code"))
+    return S.labelled(known, labels, by_user=True)
+
+
+@query("SELECT id, created_at, modified_at, project_slug FROM sessions ORDER BY modified_at DESC, id LIMIT 50 OFFSET 10")
+def sessions_by_modified(spark, sf_dir):
+    return S.newest(D.sessions(spark, sf_dir).select("id", "created_at", "modified_at", "project_slug"), "modified_at", "id", 50, 10)
+
+
+@query("""SELECT id, session_id, content_hash, tool_input_hash, p.p_name AS content, q.p_name AS tool_input FROM (SELECT id, session_id, input_hash AS content_hash, output_hash AS tool_input_hash FROM tool_calls) c
+    LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) p ON p.p_partkey = content_hash LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) q ON q.p_partkey = tool_input_hash""")
+def block_contents(spark, sf_dir):
+    blocks = D.tool_calls(spark, sf_dir).select("id", "session_id", F.col("input_hash").alias("content_hash"), F.col("output_hash").alias("tool_input_hash"))
+    blobs = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("hash"), F.col("p_name").alias("content"))
+    return R.blocks_with_contents(blocks, blobs)
+
+
+@query("""WITH t AS (SELECT session_id, tool_name, lag(tool_name) OVER (PARTITION BY session_id ORDER BY sec, id) AS before FROM event_calls)
+    SELECT session_id, count(*) FILTER (WHERE before = 'view' AND tool_name = 'click') > 2 AS ping_pong FROM t GROUP BY 1""")
+def transition_tripwire(spark, sf_dir):
+    calls = D.event_calls(spark, sf_dir)
+    return U.with_transitions(calls.select("session_id").distinct(), calls, "view", "click", 2, ["sec", "id"])
+
+
+@query("SELECT substr(created_at, 1, 10) AS date, string_agg(DISTINCT project_slug, ',' ORDER BY project_slug) AS projects FROM sessions GROUP BY 1")
+def day_projects(spark, sf_dir):
+    return A.day_projects(D.sessions(spark, sf_dir)).withColumn("projects", F.array_join("projects", ","))
+
+
 # -- event-time windows (an addition: batch runs of what the streams do) -------------------------
 
 

@@ -51,3 +51,30 @@ def load(path: str | None) -> Settings:
 def all_sources(configured: list[Source], discovered: list[Source]) -> list[Source]:
     """Configured sources first, then discovered ones whose path is not among them."""
     return list({s.path: s for s in [*reversed(discovered), *reversed(configured)]}.values())[::-1]
+
+
+# Fixed values: (name, folder below the home folder, kind) of further sources; of the first one only nested folders are.
+APPLICATION = "Library/Application Support/Claude"
+AGENTS = ("claude-desktop-agent", f"{APPLICATION}/local-agent-mode-sessions", "claude")
+SOURCES = [("claude-desktop-code", f"{APPLICATION}/claude-code-sessions", "claude"), ("gemini", ".gemini", "gemini"), ("codex", ".codex", "codex")]
+NESTED, DEPTH = ".claude", 6
+
+
+def nested(root: str, name: str = NESTED, depth: int = DEPTH) -> list[str]:
+    """Folders of a name at most ``depth`` levels below the folders in ``root``, in order; none inside another, links as in the listing.
+
+    Folders that cannot be read count as empty.
+    """
+    found = []
+    for at, folders, _ in os.walk(root):
+        level = 0 if at == root else os.path.relpath(at, root).count(os.sep) + 1
+        found += [os.path.join(at, f) for f in folders if f == name]
+        folders[:] = [] if level >= depth else sorted(f for f in folders if f != name)
+    return sorted(found)
+
+
+def discovered(home: str) -> list[Source]:
+    """The further sources that exist below a home folder of this machine; ``all_sources`` adds them to the configured ones."""
+    name, folder, kind = AGENTS
+    found = [Source(name, path, kind) for path in nested(os.path.join(home, folder))]
+    return found + [Source(n, os.path.join(home, f), k) for n, f, k in SOURCES if os.path.isdir(os.path.join(home, f))]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex, last_segment
@@ -66,3 +66,31 @@ def ordered(files: DataFrame) -> DataFrame:
 
 def counts(files: DataFrame) -> DataFrame:
     return files.groupBy("kind").agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))
+
+
+def manifests(spark: SparkSession, sources: list, exclude: list[str] = ()) -> DataFrame:
+    """One manifest of the files of all ``config.Source`` entries, with the source's name and kind; a file that two roots hold belongs to the first."""
+    parts = [manifest(spark, s.path, exclude).withColumns({"source_name": F.lit(s.name), "source_kind": F.lit(s.kind.lower()), "rank": F.lit(i)}) for i, s in enumerate(sources)]
+    rows = reduce(DataFrame.unionByName, parts)
+    first = Window.partitionBy("path").orderBy("rank")
+    return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "rank")
+
+
+def raw_preview(lines: DataFrame, most: int = 100, shown: int = 50) -> DataFrame:
+    """(file, ord, type, role, preview) of raw lines: at most ``most`` characters of the text or of the first block, else its type in brackets.
+
+    A line that is not JSON has type 'error', no role and its first ``shown`` characters.
+    """
+    v = F.try_parse_json("value")
+    get = lambda path: F.try_variant_get(v, path, "string")
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.message.content", "variant"))
+    block = F.when(get("$.message.content[0].type") == "text", F.coalesce(F.left(get("$.message.content[0].text"), F.lit(most)), F.lit(""))).otherwise(F.concat(F.lit("["), get("$.message.content[0].type"), F.lit("]")))
+    preview = F.when(kind == "STRING", F.left(get("$.message.content"), F.lit(most))).when(kind.startswith("ARRAY"), block)
+    role = F.coalesce(F.nullif(get("$.message.role"), F.lit("")), get("$.role"), F.lit(""))
+    good = v.isNotNull()
+    return lines.select(
+        "file", "ord",
+        F.when(good, F.coalesce(F.nullif(get("$.type"), F.lit("")), F.lit("unknown"))).otherwise("error").alias("type"),
+        F.when(good, role).otherwise("").alias("role"),
+        F.when(good, F.coalesce(preview, F.lit(""))).otherwise(F.left("value", F.lit(shown))).alias("preview"),
+    )

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+STEP = 1 << 16
+
 
 class _Range(InputPartition):
     def __init__(self, path: str, start: int, stop: int):
@@ -42,18 +44,23 @@ class _TailReader(DataSourceStreamReader):
         return {}
 
     def _end_of_lines(self, path: str, start: int) -> int:
-        """Behind the last line end among the next bytes; a longer line extends the range to its end."""
+        """Behind the last line end among the next bytes, looked for from their end; a longer line extends the range to its end."""
         size = os.path.getsize(path)
         start = start if start <= size else 0
+        limit = stop = min(size, start + self.most)
         with open(path, "rb") as f:
-            f.seek(start)
-            data = f.read(self.most)
-            cut = data.rfind(b"\n")
-            while cut < 0 and f.tell() < size:
-                more = f.read(self.most)
-                cut = len(data) + found if (found := more.find(b"\n")) >= 0 else -1
-                data += more
-        return start + cut + 1
+            while stop > start:
+                low = max(start, stop - STEP)
+                f.seek(low)
+                if (cut := f.read(stop - low).rfind(b"\n")) >= 0:
+                    return low + cut + 1
+                stop = low
+            f.seek(at := limit)
+            while data := f.read(STEP):
+                if (cut := data.find(b"\n")) >= 0:
+                    return at + cut + 1
+                at += len(data)
+        return start
 
     def latestOffset(self) -> dict:
         before = self.current or {}
@@ -89,12 +96,21 @@ def tail(spark: SparkSession, pattern: str, **options) -> DataFrame:
 
 
 def store_new(lines: DataFrame, path: str, checkpoint: str):
-    """Append the lines to a table, each (file, line_offset) once even if a batch is delivered again."""
+    """Append all lines that are there to a table, each (file, line_offset) once even if a batch is delivered again.
+
+    Returns when no bytes of complete lines are left. Spark asks a Python source once for the end of a run that takes
+    what is available, so runs of at most ``bytes`` of each file follow each other until one finds nothing.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while True:
+        query = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        moved = [s for p in query.recentProgress for s in p["sources"] if s["startOffset"] != s["endOffset"]]
+        if not moved:
+            return query
 
 
 def matched_uses(uses: DataFrame, results: DataFrame, within: str = "1 hour") -> DataFrame:

@@ -47,9 +47,8 @@ def test_bm25_as_the_full_text_engine(spark, query, kind):
     want = dict(con.execute("SELECT hash, bm25(t) FROM t WHERE t MATCH ?", (match,)))
     index = search.postings(spark.createDataFrame(docs, "hash string, kind string, content string")).persist()
     stems = [r["stem"] for r in T.stemmed(spark.createDataFrame(list(enumerate(query.split())), "i int, w string"), "w").orderBy("i").collect()]
-    if kind:
-        return  # restricting one phrase to a column is a count of its own
-    got = {r["hash"]: r["rank"] for r in search.bm25(index, [stems]).collect()}
+    phrases, columns = ([stems, [kind]], [None, "kind"]) if kind else ([stems], None)
+    got = {r["hash"]: r["rank"] for r in search.bm25(index, phrases, columns=columns).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[h] - want[h]) < 1e-9 for h in want)
 
@@ -64,6 +63,51 @@ def test_boolean_and_snippet(spark):
     assert one(spark, search.snippet(F.lit(docs[3][2]), F.array(F.lit("cafe")), 4)) == "...x x <mark>Café</mark>, end"
 
 
+def test_search_with_context(spark):
+    blobs = spark.createDataFrame([("1", "text", 'say "alpha" beta'), ("2", "note", "alpha: beta"), ("3", "text", "beta alpha"), ("4", "text", "alpha beta")], "hash string, kind string, content string")
+    references = spark.createDataFrame([("1", "m1"), ("1", "m2"), ("2", "m2"), ("4", "gone")], "hash string, message_id string")
+    messages = spark.createDataFrame([("m1", "user", "s1"), ("m2", "assistant", "s2")], "id string, type string, session_id string")
+    sessions = spark.createDataFrame([("s1", "p", "first"), ("s2", "q", None)], "id string, project_slug string, summary string")
+    index = search.postings(blobs).persist()
+    phrase = search.query_terms(spark, '"alpha" OR: beta')
+    assert phrase == ["alpha", "or", "beta"] and search.query_terms(spark, '"!') == []
+    find = lambda **k: {(r["hash"], r["message_id"], r["session_id"]) for r in search.search(index, ["alpha", "beta"], references, messages, sessions, **k).collect()}
+    assert find() == {("1", "m1", "s1"), ("1", "m2", "s2"), ("2", "m2", "s2"), ("4", "gone", None)}
+    assert find(kind=["note"]) == {("2", "m2", "s2")} and find(project="p") == {("1", "m1", "s1")}
+    assert search.search(index, [], references, messages, sessions).count() == 0
+    found = search.search(index, ["alpha", "beta"], references, messages, sessions)
+    rows = search.page_of_hits(found, blobs, ["alpha"], limit=2, offset=1).collect()
+    assert len(rows) == 2 and all("<mark>alpha</mark>" in r["snippet"] for r in rows)
+
+
+@pytest.mark.parametrize("text, want", [
+    ('```json\n{"a": 1}\n```', '{"a": 1}'), ("```\n[1]\n```", "[1]"), ('Sure: {"a": {"b": 2}} bye', '{"a": {"b": 2}}'), (" none ", "none"), ("} {", "} {"), ("", ""), (None, None),
+])
+def test_json_of_reply(spark, text, want):
+    assert one(spark, enrich.json_of_reply(F.lit(text).cast("string"))) == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ('{"type":"init"}\nnoise\n{"type":"result","result":"yes"}\n{"type":"result","result":"no"}', "yes"),
+    ('{"type":"result","result":3}', '{"type":"result","result":3}'), ('{\n"result": "old"\n}', "old"), ("plain", "plain"), (None, None),
+])
+def test_result_of_output(spark, text, want):
+    assert one(spark, enrich.result_of_output(F.lit(text).cast("string"))) == want
+
+
+def test_stored_enrichments_replace_tags(spark):
+    done = spark.createDataFrame([(1, "t", [("a", 0.9), ("a", 0.95)], "approved"), (2, "u", [], "pending_review")], "session_id long, title string, tags array<struct<tag string, confidence double>>, approval_status string")
+    rows, tags = store.stored_enrichments(done, "m", "now", 3)
+    assert {(r["session_id"], r["version"], r["reviewed_at"]) for r in rows.collect()} == {(1, 3, "now"), (2, 3, None)}
+    old = spark.createDataFrame([(1, "z", 0.1), (2, "z", 0.1), (3, "z", 0.1)], "session_id long, tag string, confidence double")
+    assert {tuple(r) for r in store.retagged(old, tags, rows).collect()} == {(1, "a", 0.95), (3, "z", 0.1)}
+    known = spark.createDataFrame([(1, "success", None, False)], "session_id long, outcome string, reason_code string, is_user_labeled boolean")
+    labels = spark.createDataFrame([(1, "failed", "unknown"), (4, "partial", None)], "session_id long, outcome string, reason_code string")
+    assert {tuple(r) for r in store.labelled(known, labels, True).collect()} == {(1, "failed", "unknown", True), (4, "partial", None, True)}
+    week = enrich.digest_rows(spark.createDataFrame([(2, "text")], "session_count long, content string"), "a", "b", "now").first()
+    assert (week["start_date"], week["created_at"], week["content"]) == ("a", "now", "text")
+
+
 @pytest.mark.parametrize("text, most, want", [("abc", 3, "abc"), ("abcd", 3, "abc..."), ("aé🙂", 2, "a..."), ("aé🙂", 6, "aé..."), ("🙂🙂", 4, "🙂..."), (None, 3, None)])
 def test_cut_bytes(spark, text, most, want):
     assert one(spark, T.cut_bytes(F.lit(text).cast("string"), most)) == want

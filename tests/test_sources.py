@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import store
-from sessionloom.sources import ingest, scan, sessions
+from sessionloom.sources import config, ingest, scan, sessions
 from sessionloom.streaming import tail
 
 A, B = "aaaaaaaa-0000-0000-0000-000000000001", "aaaaaaaa-0000-0000-0000-000000000002"
@@ -201,3 +201,41 @@ def test_tail_reads_complete_lines_once(spark, tmp_path):
         f.write("ee\nfour\n")
     assert run() == ["four", "one", "three", "two"]
     assert run() == ["four", "one", "three", "two"]
+
+
+def test_a_run_leaves_no_backlog(spark, tmp_path):
+    log = tmp_path / "in" / "a.jsonl"
+    os.makedirs(log.parent)
+    want = [f"line {i}" for i in range(8)] + ["x" * 200_000, "end"]
+    log.write_text("\n".join(want) + "\nopen")
+    out = str(tmp_path / "out")
+    tail.store_new(tail.tail(spark, f"{log.parent}/*.jsonl", bytes="40"), out, str(tmp_path / "state"))
+    rows = spark.read.schema("file string, line_offset long, value string").parquet(out).orderBy("line_offset").collect()
+    assert [r["value"] for r in rows] == want
+
+
+def test_discovery_and_several_roots(spark, tmp_path):
+    home = tmp_path / "home"
+    agents = home / "Library/Application Support/Claude/local-agent-mode-sessions"
+    for folder in ("a/.claude/projects/p/.claude", "1/2/3/4/5/6/.claude/projects/q", "1/2/3/4/5/6/7/.claude"):
+        os.makedirs(agents / folder)
+    os.makedirs(home / ".gemini/tmp/0123/chats")
+    (agents / "a/.claude/projects/p/s.jsonl").write_text("{}")
+    (home / ".gemini/tmp/0123/chats/session-1.json").write_text("{}")
+    found = config.discovered(str(home))
+    assert [(s.name, s.path[len(str(agents)) + 1:] if s.name != "gemini" else "", s.kind) for s in found] == [("claude-desktop-agent", "1/2/3/4/5/6/.claude", "claude"), ("claude-desktop-agent", "a/.claude", "claude"), ("gemini", "", "gemini")]
+    assert config.discovered(str(tmp_path / "none")) == []
+    rows = scan.manifests(spark, [found[1], found[2], config.Source("again", found[1].path, "X")]).collect()
+    assert sorted((r["name"], r["kind"], r["source_name"], r["source_kind"]) for r in rows) == [("s.jsonl", "session_log", "claude-desktop-agent", "claude"), ("session-1.json", "chat_session", "gemini", "gemini")]
+
+
+def test_raw_preview(spark):
+    lines = [
+        '{"type":"user","message":{"role":"user","content":"%s"}}' % ("x" * 120),
+        '{"message":{"content":[{"type":"text","text":"hi"}]},"role":"r"}',
+        '{"type":"assistant","message":{"content":[{"type":"tool_use"}]}}',
+        '{"type":"system","message":{"content":[]}}',
+        "not json " + "y" * 60,
+    ]
+    rows = scan.raw_preview(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, ord int, value string")).orderBy("ord").collect()
+    assert [(r["type"], r["role"], r["preview"]) for r in rows] == [("user", "user", "x" * 100), ("unknown", "r", "hi"), ("assistant", "", "[tool_use]"), ("system", "", ""), ("error", "", ("not json " + "y" * 60)[:50])]
