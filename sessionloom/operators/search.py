@@ -31,6 +31,18 @@ def postings(blobs: DataFrame, stem: bool = True) -> DataFrame:
     return rows.join(words, "word").select("hash", "column", "position", "term")
 
 
+def write_index(blobs: DataFrame, path: str, stem: bool = True) -> None:
+    """Store the postings sorted by term, so that a search reads only the row groups of its terms."""
+    index = postings(blobs, stem)
+    index.repartitionByRange("term", "hash").sortWithinPartitions("term", "hash", "column", "position").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths(index).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of a stored index."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+
+
 def lengths(index: DataFrame) -> DataFrame:
     """Tokens of kind and content of each blob."""
     return index.groupBy("hash").agg(F.count("*").alias("length"))
@@ -49,15 +61,15 @@ def phrase_counts(index: DataFrame, terms: list[str], column: str | None = None)
     return whole.groupBy("hash").agg(F.count("*").alias("f"))
 
 
-def bm25(index: DataFrame, phrases: list[list[str]], every: bool = True, columns: list[str | None] | None = None) -> DataFrame:
+def bm25(index: DataFrame, phrases: list[list[str]], every: bool = True, columns: list[str | None] | None = None, size: DataFrame | None = None) -> DataFrame:
     """(hash, rank): lower is better. Blobs hold all phrases (``every``) or one of them.
 
-    ``columns`` names for each phrase the column that it is looked for in (None: both).
+    ``columns`` names for each phrase the column that it is looked for in (None: both); ``size`` are stored lengths.
 
     idf is the natural logarithm of (N - n + 0.5) / (n + 0.5), at least 1e-6; lengths count kind
     and content together.
     """
-    size = lengths(index)
+    size = lengths(index) if size is None else size
     stats = F.broadcast(size.agg(F.count("*").alias("blobs"), F.avg("length").alias("mean")))  # one row
     columns = columns or [None] * len(phrases)
     parts = [phrase_counts(index, p, c).withColumn("phrase", F.lit(i)) for i, (p, c) in enumerate(zip(phrases, columns, strict=True))]
@@ -103,14 +115,14 @@ def with_context(ranked: DataFrame, references: DataFrame, messages: DataFrame,
     return rows if project is None else rows.filter(F.col("project_slug") == project)
 
 
-def search(index: DataFrame, phrase: list[str], references: DataFrame, messages: DataFrame, sessions: DataFrame, kind: list[str] | None = None, project: str | None = None) -> DataFrame:
+def search(index: DataFrame, phrase: list[str], references: DataFrame, messages: DataFrame, sessions: DataFrame, kind: list[str] | None = None, project: str | None = None, size: DataFrame | None = None) -> DataFrame:
     """All hits of a phrase with their context: in kind or content, or with ``kind`` (its terms) in the contents of that kind.
 
     ``page`` of it is what is shown, its count the total.
     """
     if kind:
-        return with_context(bm25(index, [kind, phrase], columns=["kind", "content"]), references, messages, sessions, project)
-    return with_context(bm25(index, [phrase]), references, messages, sessions, project)
+        return with_context(bm25(index, [kind, phrase], columns=["kind", "content"], size=size), references, messages, sessions, project)
+    return with_context(bm25(index, [phrase], size=size), references, messages, sessions, project)
 
 
 def page_of_hits(found: DataFrame, blobs: DataFrame, words: list[str], limit: int = 10, offset: int = 0) -> DataFrame:

@@ -31,7 +31,8 @@ KEYS = {
 }
 #: Tables in which a new row replaces the stored one; elsewhere the first row of a key stays.
 REPLACED = {"tasks", "session_outcomes", "daily_stats", "model_usage", "sessions", "fingerprints", "tool_calls"}
-LEDGER = "run_id STRING, started_at STRING, finished_at STRING, status STRING, full BOOLEAN, files BIGINT, unchanged BIGINT, deleted BIGINT, error STRING"
+LEDGER = "run_id STRING, started_at STRING, finished_at STRING, status STRING, full BOOLEAN, files BIGINT, unchanged BIGINT, deleted BIGINT, sessions_added BIGINT, messages_added BIGINT, blobs_added BIGINT, error STRING"
+COUNTED = {"sessions": "sessions_added", "messages": "messages_added", "content_store": "blobs_added"}
 MANIFEST = "path STRING, mtime BIGINT, size BIGINT, offset BIGINT"
 
 
@@ -96,25 +97,40 @@ class Warehouse:
         return base.unionByName(stubs.join(base.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
 
+    def record(self, row: dict) -> None:
+        """Put a run's row into the ledger in place of the one that it has there."""
+        new, old = self.spark.createDataFrame([row], LEDGER), self.table("index_runs")
+        kept = new.limit(0) if old is None else old.filter(F.col("run_id") != row["run_id"])
+        self.commit({"index_runs": kept.unionByName(new, allowMissingColumns=True)})
+
+    def sizes(self) -> dict[str, int]:
+        """Rows of the tables that the ledger counts, from the footers of their files."""
+        return {column: 0 if (df := self.table(name)) is None else df.count() for name, column in COUNTED.items()}
+
+
 def run(spark: SparkSession, root: str, path: str, full: bool = False, now: str | None = None, **how) -> dict:
     """One indexing run over ``root``: only new and modified files are parsed; returns its ledger row.
 
     A modified log is parsed from its start and its rows merged by key, so a run over an
-    appended, a rewritten or an unchanged tree ends in the same tables as a full run.
+    appended, a rewritten or an unchanged tree ends in the same tables as a full run. The ledger
+    has the run as 'running' from its start; one that was cut off stays so.
     """
-    house, now = Warehouse(spark, path), now or f"{dt.datetime.now(dt.UTC):%Y-%m-%d %H:%M:%S}"
-    files = scan.manifest(spark, root, list(how.pop("exclude", ())))
-    known = house.table("indexed_files")
-    known = spark.createDataFrame([], MANIFEST) if known is None else known
-    status = changes(files, known).persist()
-    counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
-    gone = deleted(files, known).count()
-    todo = files if full else files.join(status.filter("status <> 'unchanged'").select("path"), "path", "left_semi")
-    row = {"run_id": uuid.uuid4().hex, "started_at": now, "status": "completed", "full": full, "error": None, "deleted": gone}
-    row["files"] = counts.get("new", 0) + counts.get("modified", 0) if not full else sum(counts.values())
-    row["unchanged"] = 0 if full else counts.get("unchanged", 0)
-    new = {}
+    clock = lambda: now or f"{dt.datetime.now(dt.UTC):%Y-%m-%d %H:%M:%S}"
+    house = Warehouse(spark, path)
+    row = dict.fromkeys((c.split()[0] for c in LEDGER.split(", ")), None) | {"run_id": uuid.uuid4().hex, "started_at": clock(), "status": "running", "full": full}
+    house.record(row)
+    status = None
     try:
+        files = scan.manifest(spark, root, list(how.pop("exclude", ())))
+        known = house.table("indexed_files")
+        known = spark.createDataFrame([], MANIFEST) if known is None else known
+        status = changes(files, known).persist()
+        counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        row["deleted"] = deleted(files, known).count()
+        todo = files if full else files.join(status.filter("status <> 'unchanged'").select("path"), "path", "left_semi")
+        row["files"] = counts.get("new", 0) + counts.get("modified", 0) if not full else sum(counts.values())
+        row["unchanged"] = 0 if full else counts.get("unchanged", 0)
+        before = house.sizes()
         if row["files"]:
             found = ingest.ingest(spark, root, todo, **how)
             new = {name: house.merged(name, df) for name, df in found.items() if name in KEYS and name != "sessions"}
@@ -122,15 +138,16 @@ def run(spark: SparkSession, root: str, path: str, full: bool = False, now: str
                 new["sessions"] = sessions
             marks = files.select("path", "mtime", "size", F.col("size").alias("offset"))
             new["indexed_files"] = last_wins(known, marks, ["path"], ["mtime"])
+            house.commit(new)
+        row |= {column: n - before[column] for column, n in house.sizes().items()} | {"status": "completed"}
     except Exception as e:  # a run that fails is recorded, then reported
         row |= {"status": "failed", "error": str(e)[:500]}
         raise
     finally:
-        row["finished_at"] = now
-        ledger = spark.createDataFrame([row], LEDGER)
-        old = house.table("index_runs")
-        house.commit((new if row["status"] == "completed" else {}) | {"index_runs": ledger if old is None else old.unionByName(ledger)})
-        status.unpersist()
+        row["finished_at"] = clock()
+        house.record(row)
+        if status is not None:
+            status.unpersist()
     return row
 
 

@@ -643,7 +643,12 @@ def digest_input(spark, sf_dir):
     return D.tool_calls(spark, sf_dir).groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("tool_name")), ", ").alias("tools"))
 
 
-@query()
+@query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_index, id) AS rank FROM messages),
+    n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_index, id) AS number FROM m WHERE rank <= 40 AND content <> ''),
+    l AS (SELECT session_id, number, type || ': ' || CASE WHEN strlen(content) <= 500 THEN content
+      ELSE substr(content, 1, CAST(len(list_filter(range(1, 501), lambda k: strlen(substr(content, 1, CAST(k AS INTEGER))) <= 500)) AS INTEGER)) || '...' END AS line FROM n WHERE number <= 20),
+    b AS (SELECT *, coalesce(sum(strlen(line)) OVER (PARTITION BY session_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes FROM l)
+    SELECT session_id, string_agg(line, chr(10) ORDER BY number) AS digest FROM b WHERE bytes < 7500 GROUP BY 1""")
 def session_digest(spark, sf_dir):
     from ..operators.enrich import digests
 
@@ -772,6 +777,35 @@ def trailing_windows(spark, sf_dir):
     return totals.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, (*spans, 0))), F.array(*[F.col(f"`{d}`") for d in (*spans, 0)]))).alias("days", "sessions"))
 
 
+@query("""--raw
+    SELECT page_id, string_split(url, '/')[-1] AS name, CASE WHEN length(url) >= 36 THEN right(url, 36) END AS tail, url NOT LIKE '%' || chr(10) || '%' AND regexp_full_match(url, 'http://[^/]*/(.*/)?[0-9]*[.]html') AS fits FROM pages""")
+def path_functions(spark, sf_dir):
+    url = F.col("url")
+    rows = table(spark, sf_dir, "pages")
+    return rows.select("page_id", T.last_segment(url).alias("name"), T.trailing_uuid(url).alias("tail"), url.rlike(r"^http://[^/]*/(?:.*/)?[0-9]*\.html$").alias("fits"))
+
+
+@query("""SELECT id, CASE WHEN n >= 1073741824 THEN printf('%.1f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0)
+      ELSE n || ' B' END AS shown, strftime(to_timestamp(n // 1000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS stamp FROM (SELECT id, sec * (id % 4 + 1) % 5000000000 AS n FROM event_calls)""")
+def value_functions(spark, sf_dir):
+    rows = D.event_calls(spark, sf_dir).select("id", F.expr("sec * (id % 4 + 1) % 5000000000").alias("n"))
+    return rows.select("id", T.human_bytes(F.col("n")).alias("shown"), T.epoch_millis_text(F.col("n")).alias("stamp"))
+
+
+@query("""SELECT s.id, coalesce(CASE WHEN outcome = 'success' THEN reason_code END, source_kind, s.project_slug) AS title FROM sessions s LEFT JOIN outcomes o ON o.session_id = s.id""")
+def display_titles(spark, sf_dir):
+    known = D.outcomes(spark, sf_dir).select(F.col("session_id").alias("id"), "outcome", "reason_code")
+    title = R.display_title(F.col("outcome") == "success", F.col("reason_code"), F.col("source_kind"), F.col("project_slug"))
+    return D.sessions(spark, sf_dir).join(known, "id", "left").select("id", title.alias("title"))
+
+
+@query("""WITH t AS (SELECT session_id, tool_name AS tag, count(*) AS confidence FROM tool_calls GROUP BY 1, 2)
+    SELECT id, coalesce(string_agg(tag, ',' ORDER BY confidence DESC, tag), '') AS tags FROM sessions LEFT JOIN t ON t.session_id = id GROUP BY 1""")
+def session_tags(spark, sf_dir):
+    tags = D.tool_calls(spark, sf_dir).groupBy(F.col("session_id").alias("id"), F.col("tool_name").alias("tag")).agg(F.count("*").alias("confidence"))
+    return R.tags_of(D.sessions(spark, sf_dir).select("id"), tags, "id").select("id", F.array_join("tags", ",").alias("tags"))
+
+
 # -- stored enrichments, outcomes, digests and lists ---------------------------------------------
 
 

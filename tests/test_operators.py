@@ -63,7 +63,7 @@ def test_boolean_and_snippet(spark):
     assert one(spark, search.snippet(F.lit(docs[3][2]), F.array(F.lit("cafe")), 4)) == "...x x <mark>Café</mark>, end"
 
 
-def test_search_with_context(spark):
+def test_search_with_context(spark, tmp_path):
     blobs = spark.createDataFrame([("1", "text", 'say "alpha" beta'), ("2", "note", "alpha: beta"), ("3", "text", "beta alpha"), ("4", "text", "alpha beta")], "hash string, kind string, content string")
     references = spark.createDataFrame([("1", "m1"), ("1", "m2"), ("2", "m2"), ("4", "gone")], "hash string, message_id string")
     messages = spark.createDataFrame([("m1", "user", "s1"), ("m2", "assistant", "s2")], "id string, type string, session_id string")
@@ -75,7 +75,10 @@ def test_search_with_context(spark):
     assert find() == {("1", "m1", "s1"), ("1", "m2", "s2"), ("2", "m2", "s2"), ("4", "gone", None)}
     assert find(kind=["note"]) == {("2", "m2", "s2")} and find(project="p") == {("1", "m1", "s1")}
     assert search.search(index, [], references, messages, sessions).count() == 0
-    found = search.search(index, ["alpha", "beta"], references, messages, sessions)
+    search.write_index(blobs, str(tmp_path))
+    stored, size = search.read_index(spark, str(tmp_path))
+    found = search.search(stored, ["alpha", "beta"], references, messages, sessions, size=size)
+    assert set(found.collect()) == set(search.search(index, ["alpha", "beta"], references, messages, sessions).collect())
     rows = search.page_of_hits(found, blobs, ["alpha"], limit=2, offset=1).collect()
     assert len(rows) == 2 and all("<mark>alpha</mark>" in r["snippet"] for r in rows)
 
@@ -174,7 +177,10 @@ def test_incremental_runs(spark, tmp_path):
     assert sorted(r["id"] for r in house.table("messages").collect()) == ["u1", "u2", "u3", "u4"]
     full = warehouse.run(spark, str(root), path, full=True, now="2026-01-01 00:00:03")
     assert full["unchanged"] == 0 and house.table("messages").count() == 4 and house.table("content_store").count() == 4
-    assert house.table("index_runs").count() == 4
+    runs = store.newest(house.table("index_runs"), "started_at", "run_id").collect()
+    assert [(r["run_id"], r["status"]) for r in runs] == [(r["run_id"], "completed") for r in (full, third, again, first)]
+    assert first["messages_added"] > 0 and again["messages_added"] == full["messages_added"] == 0
+    assert sum(r["messages_added"] for r in runs) == house.table("messages").count() and sum(r["blobs_added"] for r in runs) == house.table("content_store").count()
 
 
 def test_grown_log_beside_an_index(spark, tmp_path):
