@@ -122,8 +122,9 @@ def run(spark: SparkSession, root: str, path: str, full: bool = False, now: str
     status = None
     try:
         files = scan.manifest(spark, root, list(how.pop("exclude", ())))
-        known = house.table("indexed_files")
-        known = spark.createDataFrame([], MANIFEST) if known is None else known
+        every = house.table("indexed_files")
+        every = spark.createDataFrame([], MANIFEST) if every is None else every
+        known = every.filter(scan.below("path", root))  # other sources may share the tables
         status = changes(files, known).persist()
         counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
         row["deleted"] = deleted(files, known).count()
@@ -137,7 +138,7 @@ def run(spark: SparkSession, root: str, path: str, full: bool = False, now: str
             if (sessions := house.merged_sessions(found)) is not None:
                 new["sessions"] = sessions
             marks = files.select("path", "mtime", "size", F.col("size").alias("offset"))
-            new["indexed_files"] = last_wins(known, marks, ["path"], ["mtime"])
+            new["indexed_files"] = last_wins(every, marks, ["path"], ["mtime"])
             house.commit(new)
         row |= {column: n - before[column] for column, n in house.sizes().items()} | {"status": "completed"}
     except Exception as e:  # a run that fails is recorded, then reported
@@ -151,6 +152,12 @@ def run(spark: SparkSession, root: str, path: str, full: bool = False, now: str
     return row
 
 
+def run_all(spark: SparkSession, sources: list, path: str, **how) -> list[dict]:
+    """One run for each ``config.Source``, in order, into the same tables; a row that two sources hold comes from the first,
+    but for tables whose later rows replace earlier ones. Returns the ledger rows."""
+    return [run(spark, s.path, path, source=(s.name, s.kind), **how) for s in sources]
+
+
 def backup(files: DataFrame, path: str, now: str) -> DataFrame:
     """Copy files (path, content) to ``path``, named by the hash of their content; returns what is backed up.
 

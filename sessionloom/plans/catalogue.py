@@ -866,7 +866,7 @@ def transition_tripwire(spark, sf_dir):
 
 @query("SELECT substr(created_at, 1, 10) AS date, string_agg(DISTINCT project_slug, ',' ORDER BY project_slug) AS projects FROM sessions GROUP BY 1")
 def day_projects(spark, sf_dir):
-    return A.day_projects(D.sessions(spark, sf_dir)).withColumn("projects", F.array_join("projects", ","))
+    return A.day_projects(D.sessions(spark, sf_dir)).select(F.col("date").cast("string").alias("date"), F.array_join("projects", ",").alias("projects"))
 
 
 # -- event-time windows (an addition: batch runs of what the streams do) -------------------------

@@ -40,6 +40,15 @@ def kind_of(relative: Column) -> Column:
     return reduce(lambda c, k: c.when(relative.rlike(k[1]), F.lit(k[0])), KINDS, F).otherwise(F.lit(None))
 
 
+SCHEME = r"^[a-z]+:/+"
+
+
+def below(path: str, root: str) -> Column:
+    """Whether a listed path lies below ``root``, whatever file system either names."""
+    base = F.concat(F.regexp_replace(F.lit(root.rstrip("/")), SCHEME, "/"), F.lit("/"))
+    return F.startswith(F.regexp_replace(path, SCHEME, "/"), base)
+
+
 def manifest(spark: SparkSession, root: str, exclude: list[str] = ()) -> DataFrame:
     """(path, relative, name, kind, mtime in ms, size) of all files of a known kind below ``root``.
 
@@ -47,8 +56,8 @@ def manifest(spark: SparkSession, root: str, exclude: list[str] = ()) -> DataFra
     globs over the relative path. Sorted by kind and path when shown.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:/+", "/")
-    plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
+    base = F.regexp_replace(F.lit(root.rstrip("/")), SCHEME, "/")
+    plain = F.regexp_replace("path", SCHEME, "/")
     rows = files.select(
         "path", F.substr(plain, F.length(base) + 2).alias("relative"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size")
     ).withColumn("name", last_segment(F.col("relative")))

@@ -183,6 +183,22 @@ def test_incremental_runs(spark, tmp_path):
     assert sum(r["messages_added"] for r in runs) == house.table("messages").count() and sum(r["blobs_added"] for r in runs) == house.table("content_store").count()
 
 
+def test_several_sources_in_one_warehouse(spark, tmp_path):
+    """Files of one source are not gone because the run over another does not list them."""
+    path = str(tmp_path / "house")
+    sources = [config.Source(n, str(tmp_path / n), "Claude") for n in ("one", "one-more")]
+    for i, s in enumerate(sources):
+        os.makedirs(f"{s.path}/projects/p")
+        with open(f"{s.path}/projects/p/s{i}.jsonl", "w") as f:
+            f.write(turn(i).replace('"s"', f'"s{i}"'))
+    rows = warehouse.run_all(spark, sources, path, now="2026-01-01 00:00:00")
+    assert [(r["files"], r["deleted"], r["messages_added"]) for r in rows] == [(1, 0, 1), (1, 0, 1)]
+    again = warehouse.run_all(spark, sources, path, now="2026-01-01 00:00:01")
+    assert [(r["files"], r["unchanged"], r["deleted"]) for r in again] == [(0, 1, 0), (0, 1, 0)]
+    house = warehouse.Warehouse(spark, path)
+    assert {r["id"]: r["source_name"] for r in house.table("sessions").collect()} == {"s0": "one", "s1": "one-more"}
+
+
 def test_grown_log_beside_an_index(spark, tmp_path):
     """The index names the session in the first run; only the log grows; the indexed row and its columns stay."""
     root, path = tmp_path / "in", str(tmp_path / "house")
