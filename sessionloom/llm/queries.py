@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, htmltext, langid, neardup, packing, quality, tokens, topk, warc
+from . import audit, chat, decontaminate, htmltext, langid, lzprint, neardup, packing, quality, tokens, topk, trie, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
     "op10_topk": topk.op10_topk,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_lzprint": lzprint.op12_lzprint,
+    "op13_trie": trie.op13_trie,
 }
 SQL = {
     "op1_warc": warc.OP1_SQL,
@@ -22,4 +25,6 @@ SQL = {
     "op7_neardup": neardup.OP7_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op10_topk": topk.OP10_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
+    "op13_trie": trie.OP13_SQL,
 }
