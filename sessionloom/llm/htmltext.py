@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,6 +38,14 @@ MARKS = frozenset(
     "sidebar aside menu menubar nav navbar navigation breadcrumb breadcrumbs footer masthead "
     "complementary contentinfo".split()
 )
+#: Words that leave a mark what it is ('comment-list', 'ad-slot'). Inside an article a name with any other word
+#: ('comments-policy', 'menu-item') is a doubt that the ratio decides, and so is any mark on an element made for content.
+PLAIN = frozenset(
+    "area body bottom box btn button block close container content count counter footer form group header holder icon image img inline inner "
+    "left link links list main outer panel placeholder reader right row section side slot small space tag target text thread title top unit user users "
+    "widget wrap wrapper zone s".split()
+)
+QUOTED = frozenset("blockquote pre figcaption caption".split())
 #: Elements in which a mark may be part of a name; headings are never excluded by a mark.
 CONTAINERS = frozenset("div section ul ol dl table td details figure center fieldset header footer".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -57,7 +66,23 @@ _WORD = re.compile(r"[a-z]+")
 
 def _ends_line(tag: str, out: str) -> bool:
     """Whether an element that is excluded so begins and ends a line: not a script or a hidden word within one."""
-    return out == "beside" or (out == "always" and tag not in INLINE and (tag in BLOCKS or tag in NEVER))
+    return out in ("beside", "doubt") or (out == "always" and tag not in INLINE and (tag in BLOCKS or tag in NEVER))
+
+
+#: What a start tag ends if it is open, and what that is looked for in at most: their end tags may be left out.
+CELLS, ROWS, PARTS = ("td", "th"), ("tr", "td", "th"), ("thead", "tbody", "tfoot", "tr", "td", "th", "caption")
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "option": (("option",), ("select", "datalist")),
+    "td": (CELLS, ("table", "tr")),
+    "th": (CELLS, ("table", "tr")),
+    "tr": (ROWS, ("table",)),
+    "thead": (PARTS, ("table",)),
+    "tbody": (PARTS, ("table",)),
+    "tfoot": (PARTS, ("table",)),
+}
 
 
 class Lines(HTMLParser):
@@ -68,10 +93,12 @@ class Lines(HTMLParser):
         self.lines: list[list] = []
         # open elements that matter: name, how it is excluded ('', 'always' or 'beside'), region, marked element around it
         self.stack: list[tuple[str, str, int, int]] = []
+        #: Where in the stack the open elements of a name are, so that no tag walks over it.
+        self.open: dict[str, list[int]] = defaultdict(list)
         #: ``beside`` is the innermost open element marked as beside the article, 0 for none; an article suspends those around it.
         self.always = self.in_article = self.articles = self.links = self.regions = self.beside = 0
-        #: The marked element around each marked element.
-        self.marks = [0]
+        #: The marked element around each marked element, and those of them that are doubtful.
+        self.marks, self.doubts = [0], set()
         self.line = None
         #: The region around each region, 0 for none, and whether it is a cell or the body.
         self.around, self.cell, self.body = [0], [False], [False]
@@ -80,7 +107,8 @@ class Lines(HTMLParser):
         self.line = None
 
     def _region(self) -> int:
-        return next((e[2] for e in reversed(self.stack) if e[2]), 0)
+        at = max((self.open[tag][-1] for tag in REGIONS if self.open[tag]), default=-1)
+        return self.stack[at][2] if at >= 0 else 0
 
     def _current(self) -> list:
         if self.line is None:
@@ -105,14 +133,25 @@ class Lines(HTMLParser):
         if tag in ("html", "body", "main"):
             return ""
         if not COMMENTS.isdisjoint(names if tag in ARTICLE else words):
-            return "always"
-        if tag in ARTICLE or tag in HEADINGS:
+            return "always" if tag in ARTICLE or self._plain(names, COMMENTS) else "doubt" if tag in BLOCKS else ""
+        if tag in ARTICLE or tag in HEADINGS or MARKS.isdisjoint(words if tag in CONTAINERS else names):
             return ""
-        return "" if MARKS.isdisjoint(words if tag in CONTAINERS else names) else "beside"
+        if self.in_article and tag in BLOCKS and (tag in QUOTED or not self._plain(names, MARKS)):
+            return "doubt"
+        return "beside"
+
+    def _plain(self, names, marks) -> bool:
+        """Whether one of the names consists of a mark and of words that leave it what it is."""
+        for name in names:
+            found = set(_WORD.findall(name))
+            if not marks.isdisjoint(found) and found <= marks | PLAIN:
+                return True
+        return False
 
     def _close(self, i: int) -> None:
         """End the open elements from number ``i`` on."""
         for name, out, _, beside in reversed(self.stack[i:]):
+            self.open[name].pop()
             self.always -= out == "always"
             self.beside = beside
             self.in_article -= name in ARTICLE
@@ -123,8 +162,14 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._break()
-            if tag != "br" and self.stack and (self.stack[-1][0] == "p" or self.stack[-1][0] == tag == "li"):
-                self._close(len(self.stack) - 1)  # these need no end tag
+            if tag != "br" and self.stack and self.stack[-1][0] == "p":
+                self._close(len(self.stack) - 1)  # it needs no end tag
+        if tag in ENDS:
+            ended, within = ENDS[tag]
+            edge = max((self.open[x][-1] for x in within if self.open[x]), default=-1)
+            first = min((self.open[x][-1] for x in ended if self.open[x] and self.open[x][-1] > edge), default=-1)
+            if first >= 0:
+                self._close(first)
         if tag in VOID:
             if tag not in BLOCKS and self.line is not None:
                 self.line[1] += 1
@@ -138,13 +183,16 @@ class Lines(HTMLParser):
                 self.cell.append(tag == "td")
                 self.body.append(tag == "body")
                 self.regions += 1
+            self.open[tag].append(len(self.stack))
             self.stack.append((tag, out, self.regions if tag in REGIONS else 0, self.beside))
             self.always += out == "always"
             if tag in ARTICLE:
                 self.beside = 0
-            elif out == "beside":
+            elif out in ("beside", "doubt"):
                 self.marks.append(self.beside)
                 self.beside = len(self.marks) - 1
+                if out == "doubt":
+                    self.doubts.add(self.beside)
             self.articles += tag in ARTICLE and not self.in_article
             self.in_article += tag in ARTICLE
         self.links += tag == "a"
@@ -152,18 +200,17 @@ class Lines(HTMLParser):
             self.line[1] += 1
 
     def handle_startendtag(self, tag, attrs):
-        # a slash on a non-void element means nothing in HTML
-        self.handle_starttag(tag, attrs)
+        # a slash ends drawings and formulas and what is in them; on any other element it means nothing in HTML
+        if tag not in ("svg", "math") and not self.open["svg"] and not self.open["math"]:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if tag in BLOCKS or tag in NEVER and tag not in INLINE:
             self._break()
         if tag == "a":
             self.links = max(0, self.links - 1)
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._close(i)
-                break
+        if self.open[tag]:
+            self._close(self.open[tag][-1])
 
     def handle_data(self, data):
         if self.always:
@@ -186,18 +233,29 @@ def _smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def _unmarked(lines: list[tuple], around: list[int]) -> list[tuple]:
-    """Lines in no marked element but such as hold over half of the text outside links; all if none is left."""
-    held = [0] * len(around)
-    for text, _, linked, _, _, mark in lines:
+def _ratio(text: str, tags: int, linked: int) -> float:
+    """Code points outside links for each tag."""
+    return max(0, len(text) - linked) / (1 + tags)
+
+
+def _unmarked(lines: list[tuple], around: list[int], doubts: set[int]) -> list[tuple]:
+    """Lines in no marked element but such as hold over half of the text outside links; all if none is left.
+
+    A doubtful mark counts if tags and links thin the text of its element to a ratio below half of its length.
+    """
+    held, ratio, length = ([0.0] * len(around) for _ in range(3))
+    for text, tags, linked, _, _, mark in lines:
         held[mark] += max(0, len(text) - linked)
+        ratio[mark] += _ratio(text, tags, linked)
+        length[mark] += len(text)
     total = sum(held)
     for m in range(len(around) - 1, 0, -1):
         if around[m]:
-            held[around[m]] += held[m]
+            for of in (held, ratio, length):
+                of[around[m]] += of[m]
     out = [False] * len(around)
     for m in range(1, len(around)):
-        out[m] = out[around[m]] or 2 * held[m] <= total
+        out[m] = out[around[m]] or (2 * ratio[m] < length[m] if m in doubts else 2 * held[m] <= total)
     return [x for x in lines if not out[x[5]]] or lines
 
 
@@ -229,7 +287,8 @@ def main_text(html: str | None) -> str:
     White space inside a block becomes one space. A part of the page is content if one of its lines has a ratio and a smoothed
     ratio of at least the threshold (the part with the highest smoothed ratio always is), and all that is inside it is kept, short lines,
     tables and nested parts included. Where the page marks articles (article, main), the outermost of these are the parts;
-    else regions (div, cell, body) are, and so is the smallest region around all of them; but of the body, as it is around
+    else regions (div, cell, body) are, if their ratios sum to at least the threshold of all regions' sums (so not a footer, though its line be as
+    long as the article's), and so is the smallest region around all of them; but of the body, as it is around
     everything, only its own lines and cells. Unclosed and stray tags, cut pages and any nesting depth are fine.
     """
     if not html:
@@ -243,10 +302,10 @@ def main_text(html: str | None) -> str:
         if text:
             lines.append((text, tags, linked, region, article, mark))
     marked = [x for x in lines if x[4]]
-    lines = _unmarked(marked or lines, parser.marks)
+    lines = _unmarked(marked or lines, parser.marks, parser.doubts)
     if not lines:
         return ""
-    ratios = [max(0, len(x[0]) - x[2]) / (1 + x[1]) for x in lines]
+    ratios = [_ratio(*x[:3]) for x in lines]
     smooth = _smooth(ratios)
     threshold = _threshold(smooth)
     best = max(range(len(lines)), key=smooth.__getitem__)
@@ -255,6 +314,12 @@ def main_text(html: str | None) -> str:
     text = {x[part] for x, s, r in zip(lines, smooth, ratios, strict=True) if s >= threshold and r >= threshold and r > 0}  # not only next to text
     if marked:
         return "\n".join(x[0] for x in lines if x[4] in (text or content))
+    mass = dict.fromkeys((x[3] for x in lines), 0.0)
+    for x, r in zip(lines, ratios, strict=True):
+        mass[x[3]] += r
+    least = _threshold(list(mass.values()))
+    large = {region for region, m in mass.items() if m >= least}
+    content, text = content & large or large, text & large
     kept = _inside(parser, content, text or content)
     return "\n".join(x[0] for x in lines if kept[x[3]])
 
