@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analytics as A
+from ..functions.shared import place_of
 from ..operators import browsing as R
 from ..operators import burden as U
-from ..operators import search as X
+from ..operators import fulltext as X
+from ..operators import search as H
 from ..operators import store as S
 from . import adapters as D
 from .adapters import table, with_roles
@@ -566,42 +568,82 @@ _SCORE = """, st AS (SELECT count(*) AS cnt, avg(length) AS mean FROM size), man
            FROM f JOIN many USING (phrase) JOIN size USING (hash), st GROUP BY 1)"""
 
 
-def _plain_index(spark, sf_dir):
-    return X.postings(D.content_store(spark, sf_dir), stem=False).persist()
+def _index(spark, sf_dir, stem: bool = False):
+    """The stored index of the content store, built by the first query of an application that asks for it."""
+    path = place_of(spark, "stems" if stem else "words", sf_dir)
+    try:
+        return X.read(spark, path)
+    except FileNotFoundError:
+        X.add(D.content_store(spark, sf_dir), path, stem)
+        return X.read(spark, path)
+
+
+def _ranked(spark, sf_dir, text: str, stem: bool = False) -> DataFrame:
+    return X.find(_index(spark, sf_dir, stem), text).select("hash", "rank")
+
+
+@query(_INDEX + """SELECT (SELECT count(*) FROM size) AS blobs, count(*) AS tokens, count(DISTINCT term) AS terms FROM t""")
+def search_index(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    return index.totals.select(F.col("blobs").cast("long").alias("blobs"), F.col("tokens").cast("long").alias("tokens")).crossJoin(F.broadcast(index.postings.agg(F.countDistinct("term").alias("terms"))))
 
 
 @query(_INDEX + """, f AS (SELECT hash, CASE term WHEN 'with' THEN 0 ELSE 1 END AS phrase, count(*) AS f FROM t WHERE term IN ('with', 'erth') GROUP BY 1, 2)"""
        + _SCORE + """, h AS (SELECT hash, rank FROM sc WHERE held = 2)
     SELECT h.hash, round(rank, 6) AS rank, doc_id, kind FROM h LEFT JOIN blob_references USING (hash) ORDER BY h.rank, h.hash, doc_id LIMIT 10""")
 def bm25_search(spark, sf_dir):
-    ranked = X.bm25(_plain_index(spark, sf_dir), [["with"], ["erth"]])
-    found = X.hits(ranked, D.blob_references(spark, sf_dir).select("hash", "doc_id", "kind"))
+    found = H.hits(_ranked(spark, sf_dir, "with erth"), D.blob_references(spark, sf_dir).select("hash", "doc_id", "kind"))
     return found.withColumn("rank", F.round("rank", 6))
 
 
-@query(_INDEX + """, p AS (SELECT a.hash FROM t a JOIN t b ON a.hash = b.hash AND a.col = b.col AND a.position + 1 = b.position AND a.term = 'of' AND b.term = 'the'),
-    f AS (SELECT hash, 0 AS phrase, count(*) AS f FROM p GROUP BY 1)""" + _SCORE + "SELECT hash, round(rank, 6) AS rank FROM sc")
+_OF_THE = """SELECT a.hash FROM t a JOIN t b ON a.hash = b.hash AND a.col = b.col AND a.position + 1 = b.position AND a.term = 'of' AND b.term = 'the'"""
+
+
+@query(_INDEX + f", p AS ({_OF_THE}), f AS (SELECT hash, 0 AS phrase, count(*) AS f FROM p GROUP BY 1)" + _SCORE + "SELECT hash, round(rank, 6) AS rank FROM sc")
 def phrase_search(spark, sf_dir):
-    return X.bm25(_plain_index(spark, sf_dir), [["of", "the"]]).withColumn("rank", F.round("rank", 6))
+    return _ranked(spark, sf_dir, '"of the"').withColumn("rank", F.round("rank", 6))
 
 
 @query(_INDEX + """SELECT hash FROM (SELECT DISTINCT hash FROM t WHERE term = 'with') WHERE hash IN (SELECT hash FROM t WHERE term IN ('for', 'from'))
     AND hash NOT IN (SELECT hash FROM t WHERE term = 'src3')""")
 def boolean_search(spark, sf_dir):
-    return X.boolean(_plain_index(spark, sf_dir), must=[["with"]], should=[["for"], ["from"]], must_not=[["src3"]])
+    return _ranked(spark, sf_dir, "with AND (for OR from) NOT src3").select("hash")
+
+
+@query(_INDEX + f""", f AS (
+      SELECT hash, 0 AS phrase, count(*) AS f FROM t WHERE col = 'content' AND term = 'with' GROUP BY 1
+      UNION ALL SELECT hash, 1, count(*) FROM ({_OF_THE} AND a.col = 'content') GROUP BY 1
+      UNION ALL SELECT hash, 2, count(*) FROM t WHERE starts_with(term, 'er') GROUP BY 1
+      UNION ALL SELECT hash, 3, count(*) FROM t WHERE col = 'kind' AND term = 'src1' GROUP BY 1)""" + _SCORE + """,
+    held AS (SELECT hash, bool_or(phrase IN (0, 1)) AS one_of, bool_or(phrase = 2) AS begun, bool_or(phrase = 3) AS of_kind FROM f GROUP BY 1)
+    SELECT hash, round(rank, 6) AS rank FROM sc JOIN held USING (hash) WHERE one_of AND begun AND NOT of_kind""")
+def search_expression(spark, sf_dir):
+    """Nested: a column, a phrase, a prefix, all three operators. Of what NOT excludes, nothing is counted."""
+    return _ranked(spark, sf_dir, 'content : (with OR "of the") AND er* NOT kind:src1').withColumn("rank", F.round("rank", 6))
+
+
+@query(_INDEX + ", f AS (SELECT hash, 0 AS phrase, count(*) AS f FROM t WHERE starts_with(term, 'wit') GROUP BY 1)" + _SCORE + "SELECT hash, round(rank, 6) AS rank FROM sc")
+def search_prefix(spark, sf_dir):
+    return _ranked(spark, sf_dir, "wit*").withColumn("rank", F.round("rank", 6))
 
 
 @query()
 def stemmed_search(spark, sf_dir):
     """Stems and folds marks, so it has no SQL; tests hold it against a full-text engine."""
-    index = X.postings(D.content_store(spark, sf_dir)).persist()
-    return X.hits(X.bm25(index, [["with"], ["ing"]], every=False), D.blob_references(spark, sf_dir).select("hash", "doc_id", "kind")).withColumn("rank", F.round("rank", 6))
+    return H.hits(_ranked(spark, sf_dir, "with OR ing", True), D.blob_references(spark, sf_dir).select("hash", "doc_id", "kind")).withColumn("rank", F.round("rank", 6))
+
+
+@query()
+def search_page(spark, sf_dir):
+    """The 20 best blobs of a query with the best window of each; tests hold windows against a full-text engine."""
+    found = X.page(X.find(_index(spark, sf_dir), '"of the" OR with OR erth'), D.content_store(spark, sf_dir), 20)
+    return found.withColumn("rank", F.round("rank", 6))
 
 
 @query()
 def snippets(spark, sf_dir):
     rows = D.content_store(spark, sf_dir)
-    return rows.select("hash", X.snippet(F.col("content"), F.array(F.lit("with"), F.lit("avec"))).alias("snippet"))
+    return rows.select("hash", H.snippet(F.col("content"), F.array(F.lit("with"), F.lit("avec"))).alias("snippet"))
 
 
 _CONTEXT = """, c AS (SELECT h.hash, h.rank, doc_id AS message_id, tool_name AS type, e.session_id, project_slug, owner AS summary
@@ -611,18 +653,18 @@ _KIND = """, f AS (SELECT hash, CASE col WHEN 'kind' THEN 0 ELSE 1 END AS phrase
 _WORD = ", f AS (SELECT hash, 0 AS phrase, count(*) AS f FROM t WHERE term = 'with' GROUP BY 1)" + _SCORE + ", h AS (SELECT hash, rank FROM sc)" + _CONTEXT
 
 
-def _search(spark, sf_dir, phrase, **how):
+def _search(spark, sf_dir, text, project=None):
     """Blobs are referred to by events as messages, in orders as sessions (an event's user is its order)."""
     references = D.blob_references(spark, sf_dir).withColumnRenamed("doc_id", "message_id")
     messages = D.event_calls(spark, sf_dir).withColumnRenamed("tool_name", "type")
-    return X.search(_plain_index(spark, sf_dir), X.query_terms(spark, phrase, stem=False), references, messages, D.sessions(spark, sf_dir).withColumnRenamed("owner", "summary"), **how)
+    return H.with_context(_ranked(spark, sf_dir, text), references, messages, D.sessions(spark, sf_dir).withColumnRenamed("owner", "summary"), project)
 
 
 @query(_INDEX + _KIND + """SELECT hash, kind, round(rank, 6) AS rank, message_id, type, session_id, project_slug, summary FROM c JOIN content_store USING (hash)
     ORDER BY c.rank, c.hash, message_id LIMIT 20""")
 def search_filtered(spark, sf_dir):
-    found = _search(spark, sf_dir, '"With"', kind=["src1"])
-    return X.page_of_hits(found, D.content_store(spark, sf_dir), ["with"], 20).drop("snippet").withColumn("rank", F.round("rank", 6))
+    found = _search(spark, sf_dir, "kind:src1 AND content:With")
+    return H.page_of_hits(found, D.content_store(spark, sf_dir), ["with"], 20).drop("snippet").withColumn("rank", F.round("rank", 6))
 
 
 @query(_INDEX + _WORD + """SELECT hash, round(rank, 6) AS rank, message_id, type, session_id, project_slug, summary FROM c WHERE project_slug = '1-URGENT'""")
