@@ -61,19 +61,37 @@ def link_outputs(uses: DataFrame, results: DataFrame, key: str, output: str, ord
     return uses.drop(output).join(last, key, "left")
 
 
-def match_first_result(uses: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+def match_first_result(uses: DataFrame, results: DataFrame, keys: list[str], bucket: int = 3600) -> DataFrame:
     """Each use with the first later result of the same keys (by sec); uses without one are left out.
 
-    Both sides are one sorted log of a key, in which the next result is found by a window: no pairs of a busy key are made.
+    Both sides are one log, cut into buckets of ``bucket`` seconds: within one, a running minimum from its end finds the next result; a use with
+    none takes the first result of the next bucket that has any. So a busy key is as many groups as it has buckets, each sorted once.
     """
     some = F.struct(F.col("sec"), F.col("id"))
     none = F.lit(None).cast(uses.select(some.alias("r")).schema["r"].dataType)
     log = uses.select(*keys, "id", "sec", none.alias("r")).unionByName(results.select(*keys, "id", "sec", some.alias("r")))
-    later = Window.partitionBy(*keys).orderBy("sec").rangeBetween(Window.currentRow + 1, Window.unboundedFollowing)
-    found = log.withColumn("next", F.min("r").over(later)).filter("r IS NULL AND next IS NOT NULL")
+    log = log.withColumn("bucket", F.floor(F.col("sec") / bucket))
+    same = F.min("r").over(Window.partitionBy(*keys, "bucket").orderBy(F.desc("sec")).rangeBetween(Window.unboundedPreceding, -1))
+    found = log.withColumn("same", same).filter("r IS NULL").drop("r")
+    of_bucket = log.groupBy(*keys, "bucket").agg(F.min("r").alias("first"))
+    after = F.min("first").over(Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1))
+    later = of_bucket.withColumn("after", after).filter("after IS NOT NULL").drop("first")
+    found = found.join(later, [*keys, "bucket"], "left").withColumn("next", F.coalesce("same", "after")).filter("next IS NOT NULL")
     return found.select(*keys, "id", F.col("next.id").alias("result_id"), F.col("next.sec").alias("result_sec"))
 
 
+def consumed_uses(log: DataFrame, keys: list[str], order: list[str], is_use: Column) -> DataFrame:
+    """Results that consume a use, of one log of both: a result takes the row before it if that is a use.
+
+    A use that follows another replaces it, and a result behind a result finds nothing, so each use is taken once, by the first
+    later result. Returns keys, use_id, result_id. The streaming form is ``streaming.consume``.
+    """
+    sorted_log = Window.partitionBy(*keys).orderBy(*order)
+    rows = log.withColumn("_use", is_use)
+    rows = rows.withColumn("use_id", F.lag(F.when(F.col("_use"), F.col("id"))).over(sorted_log))
+    return rows.filter(~F.col("_use") & F.col("use_id").isNotNull()).select(*keys, "use_id", F.col("id").alias("result_id"))
+
+
 def message_fingerprint(kind: Column, timestamp: Column, parts: Column) -> Column:
     return F.sha2(F.concat(kind, timestamp, F.array_join(parts, "")), 256)
 

@@ -507,6 +507,14 @@ def first_result_match(spark, sf_dir):
     return S.match_first_result(rows.filter("tool_name = 'signup'").drop("tool_name"), rows.filter("tool_name = 'purchase'").drop("tool_name"), ["session_id"])
 
 
+@query("""WITH l AS (SELECT *, lag(tool_name) OVER w AS before, lag(id) OVER w AS use_id FROM event_calls WHERE tool_name IN ('signup', 'purchase')
+      WINDOW w AS (PARTITION BY session_id ORDER BY sec, id))
+    SELECT session_id, use_id, id AS result_id FROM l WHERE tool_name = 'purchase' AND before = 'signup'""")
+def consumed_uses(spark, sf_dir):
+    rows = D.event_calls(spark, sf_dir).filter(F.col("tool_name").isin("signup", "purchase")).select("session_id", "id", "sec", "tool_name")
+    return S.consumed_uses(rows, ["session_id"], ["sec", "id"], F.col("tool_name") == "signup")
+
+
 _REDACT_SQL = "text"
 for _p in S.SECRETS:
     _REDACT_SQL = f"regexp_replace({_REDACT_SQL}, '{_p}', '[REDACTED]', 'g')"

@@ -1,4 +1,4 @@
-"""Streams: tailing growing JSONL files by byte offset, stateful matching, and event-time windows.
+"""Streams: tailing growing JSONL files by byte offset, and event-time windows.
 
 Spark's file stream takes a file for immutable; session logs grow. ``register`` adds the format
 ``jsonl_tail``, whose offsets are the bytes read of each file. Only complete lines are read: a
@@ -113,17 +113,6 @@ def store_new(lines: DataFrame, path: str, checkpoint: str):
             return query
 
 
-def matched_uses(uses: DataFrame, results: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Stream-stream join of tool uses and results (both: id, ts) by id, results within a time after the use.
-
-    State is dropped when the watermark passes the bound, so it is bounded by the traffic of that time.
-    """
-    u = uses.withWatermark("ts", within).alias("u")
-    r = results.withWatermark("ts", within).alias("r")
-    bound = F.expr(f"u.id = r.id AND r.ts >= u.ts AND r.ts <= u.ts + INTERVAL {within}")
-    return u.join(r, bound).select(F.col("u.id").alias("id"), F.col("u.ts").alias("used"), F.col("r.ts").alias("got"))
-
-
 def tumbling(events: DataFrame, ts: str, width: str, *keys: str, slide: str | None = None) -> DataFrame:
     """Counts by window (sliding if ``slide``) and keys; for streams set a watermark before."""
     return events.groupBy(F.window(ts, width, slide) if slide else F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
