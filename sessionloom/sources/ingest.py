@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import last_segment
 from ..operators.store import content_hash, first_wins, redacted, session_fingerprint
-from . import scan, sessions, structured
+from . import ranges, scan, sessions, structured
 
 FORMATS = {"session_log": sessions.session_logs, "chat_session": sessions.chat_sessions, "rollout": sessions.rollouts}
 
@@ -36,10 +36,11 @@ def said(blocks: DataFrame, redact: bool, extra: list[str]) -> DataFrame:
     return rows.withColumn("content", redacted(F.col("content"), list(extra))) if redact else rows
 
 
-def tables_of(messages: DataFrame, blocks: DataFrame, redact: bool = True, extra: list[str] = ()) -> dict[str, DataFrame]:
+def tables_of(messages: DataFrame, blocks: DataFrame, redact: bool = True, extra: list[str] = (), pending: DataFrame | None = None) -> dict[str, DataFrame]:
     """The message tables of parsed sessions. Keys are natural, so ingesting twice gives the same tables.
 
-    Blobs are known by the hash of their original text; what is stored is redacted.
+    Blobs are known by the hash of their original text; what is stored is redacted. ``pending`` are file uses of an earlier
+    part of the same files that had no result there; ``outputs`` are results by tool use, also of uses that are not here.
     """
     order = ["file", "ord"]
     messages = first_wins(messages, ["id"], order).withColumn("fingerprint", F.sha2(F.concat("type", "digest_parts"), 256))
@@ -64,16 +65,26 @@ def tables_of(messages: DataFrame, blocks: DataFrame, redact: bool = True, extra
         ),
         "content_store": store.select("hash", "content", F.octet_length("content").cast("long").alias("size"), "kind"),
         "blob_references": blocks.filter("context IS NOT NULL AND content_hash IS NOT NULL").select(F.col("content_hash").alias("hash"), "message_id", "context").distinct(),
-        "file_references": file_references(blocks),
+        "file_uses": file_uses(blocks),
+        "outputs": links,
+        "file_references": file_references(blocks, pending),
         "search": search.select("hash", "kind", "content"),
         "fingerprints": session_fingerprint(messages, ["timestamp", "turn_index", "id"]),
     }
 
 
-def file_references(blocks: DataFrame) -> DataFrame:
-    """Files that a tool read or changed: each use with the first later result of its id in the same file."""
+def file_uses(blocks: DataFrame) -> DataFrame:
+    """Uses of tools that read or change the file they name."""
     operation = F.create_map(*[F.lit(x) for pair in sessions.FILE_TOOLS.items() for x in pair])
-    uses = blocks.filter(F.col("path").isNotNull() & F.col("tool_name").isin(list(sessions.FILE_TOOLS))).select("file", "tool_use_id", F.struct("ord", "block_index").alias("used"), "path", operation[F.col("tool_name")].alias("operation"))
+    rows = blocks.filter(F.col("path").isNotNull() & F.col("tool_name").isin(list(sessions.FILE_TOOLS)))
+    return rows.select("file", "tool_use_id", "ord", "block_index", "path", operation[F.col("tool_name")].alias("operation"))
+
+
+def file_references(blocks: DataFrame, pending: DataFrame | None = None) -> DataFrame:
+    """Files that a tool read or changed: each use with the first later result of its id in the same file."""
+    uses = file_uses(blocks)
+    uses = uses if pending is None else uses.unionByName(pending)
+    uses = uses.select("file", "tool_use_id", F.struct("ord", "block_index").alias("used"), "path", "operation")
     results = blocks.filter("block_type = 'tool_result'").select("file", "tool_use_id", F.struct("ord", "block_index").alias("got"), "content_hash", "session_id", "message_id")
     first = uses.join(results, ["file", "tool_use_id"]).filter("used.ord < got.ord").groupBy("file", "tool_use_id").agg(F.min_by(F.struct("path", "content_hash", "session_id", "message_id", "operation"), F.struct("got", "used")).alias("r"))
     return first.select(F.col("r.path").alias("file_path"), "r.content_hash", "r.session_id", "r.message_id", "r.operation").distinct()
@@ -93,63 +104,67 @@ def tagged(rows: DataFrame, name: str | None, kind: str | None) -> DataFrame:
     return rows.withColumn("source_name", F.lit(name).cast("string")).withColumn("source_kind", F.lower(F.lit(kind).cast("string")))
 
 
-def ingest(spark: SparkSession, root: str, files: DataFrame | None = None, source: tuple[str, str] | None = None, **how) -> dict[str, DataFrame]:
+def ingest(spark: SparkSession, root: str, files: DataFrame | None = None, source: tuple[str, str] | None = None, keep=None, pending=None, **how) -> dict[str, DataFrame]:
     """All tables of the artifacts below ``root``, or of those of its manifest's rows in ``files``.
 
     ``source`` is the (name, kind) that sessions and messages are tagged with. ``indexed_sessions`` are those that an index
     names, ``found_sessions`` those that a log or chat shows; ``sessions`` are the former and of the latter those that no index names.
-    The paths of one kind of file are collected: they are the argument of a reader, which lists them on the driver as well.
+    A log is read from the ``start`` of its row, if it has one. ``keep(name, df)`` stores what several tables are made of and
+    returns it as stored: with it each log is read and parsed once, and all tables show the same lines. ``pending(results)`` gives file
+    uses of earlier parts of the logs that the results may belong to.
     """
     name, tag = source or (None, None)
+    keep = keep or (lambda _, df: df)
     files = scan.manifest(spark, root) if files is None else files
-    found: dict[str, list[str]] = {}
-    for row in files.select("kind", "path").distinct().orderBy("kind", "path").toLocalIterator():
-        found.setdefault(row["kind"], []).append(row["path"])
-    parts = []
-    for kind, parse in FORMATS.items():
-        if kind in found:
-            rows = structured.whole(spark, found[kind]) if kind == "chat_session" else sessions.lines(spark, found[kind])
-            messages, blocks = parse(rows)
-            parts.append((messages, blocks))
+    start = F.coalesce("start", F.lit(0)) if "start" in files.columns else F.lit(0)
+    kinds = {r["kind"]: r["bytes"] for r in files.groupBy("kind").agg(F.sum(F.col("size") - start).alias("bytes")).collect()}  # a row for each kind
+    of = lambda kind: files.filter(F.col("kind") == kind).dropDuplicates(["path"])
+    logs = {kind: keep(f"lines_{kind}", ranges.lines(of(kind), kinds[kind])) for kind in ("session_log", "rollout", "history") if kind in kinds}
+    texts = {kind: keep(f"files_{kind}", ranges.whole(of(kind))) for kind in kinds.keys() - {"session_log", "rollout", "history", "tool_result", "todo"}}
+    parts = [parse(logs.get(kind, texts.get(kind))) for kind, parse in FORMATS.items() if kind in kinds]
     out: dict[str, DataFrame] = {"manifest": files}
+    if "session_log" in logs:
+        out["lines"] = logs["session_log"]
     if parts:
-        messages, blocks = (reduce(DataFrame.unionByName, [p[i] for p in parts]) for i in (0, 1))
-        out |= tables_of(messages, blocks, **how)
+        messages, blocks = (keep(what, reduce(DataFrame.unionByName, [p[i] for p in parts])) for i, what in enumerate(("parsed_messages", "parsed_blocks")))
+        before = pending(blocks.filter("block_type = 'tool_result'").select("file", "tool_use_id").distinct()) if pending else None
+        out |= tables_of(messages, blocks, pending=before, **how)
         out["messages"] = tagged(out["messages"], name, tag)
         declared = []
-        if "rollout" in found:
-            rows = sessions.rollout_sessions(sessions.lines(spark, found["rollout"]))
+        if "rollout" in kinds:
+            rows = sessions.rollout_sessions(logs["rollout"])
             declared.append(first_wins(rows, ["id"], ["file", "ord"]).drop("ord").withColumnRenamed("file", "source_file"))
-        if "chat_session" in found:
-            rows = sessions.chat_session_rows(structured.whole(spark, found["chat_session"]))
+        if "chat_session" in kinds:
+            rows = sessions.chat_session_rows(texts["chat_session"])
             declared.append(first_wins(rows, ["id"], ["file"]).withColumnRenamed("file", "source_file"))
         stubs = with_columns_of(minimal_sessions(out["messages"]), SESSION)
         if declared:
             declared = reduce(DataFrame.unionByName, [with_columns_of(d, SESSION) for d in declared])
             stubs = declared.unionByName(stubs.join(declared.select("id"), "id", "left_anti"))
         out["found_sessions"] = out["sessions"] = tagged(stubs, name, tag)
-    if "session_log" in found:
-        out["parse_errors"] = sessions.parse_errors(sessions.lines(spark, found["session_log"]))
-    indexed = [parse(structured.whole(spark, found[k])) for k, parse in (("session_index", structured.session_index), ("desktop_index", structured.desktop_index)) if k in found]
+    if "session_log" in kinds:
+        out["parse_errors"] = sessions.parse_errors(logs["session_log"])
+    indexed = [parse(texts[k]) for k, parse in (("session_index", structured.session_index), ("desktop_index", structured.desktop_index)) if k in kinds]
     if indexed:
         named = tagged(with_columns_of(reduce(DataFrame.unionByName, indexed), SESSION), name, tag)
         out["indexed_sessions"] = named = first_wins(named, ["id"], [F.desc("source_file"), F.desc("modified_at")])
         out["sessions"] = named.unionByName(out["sessions"].join(named.select("id"), "id", "left_anti")) if "sessions" in out else named
-    tasks = [structured.tasks(structured.whole(spark, found["task"]))] if "task" in found else []
-    if "rollout" in found:
-        tasks.append(sessions.rollout_tasks(sessions.lines(spark, found["rollout"])))
+    tasks = [structured.tasks(texts["task"])] if "task" in kinds else []
+    if "rollout" in kinds:
+        tasks.append(sessions.rollout_tasks(logs["rollout"]))
     if tasks:
         out["tasks"] = reduce(DataFrame.unionByName, tasks)
         out["task_dependencies"] = structured.dependencies(out["tasks"])
-    if "facet" in found:
-        out["session_outcomes"] = structured.facets(structured.whole(spark, found["facet"]))
-    if "stats_cache" in found:
-        out["daily_stats"], out["model_usage"] = structured.stats_cache(structured.whole(spark, found["stats_cache"]))
+    if "facet" in kinds:
+        out["session_outcomes"] = structured.facets(texts["facet"])
+    if "stats_cache" in kinds:
+        out["daily_stats"], out["model_usage"] = structured.stats_cache(texts["stats_cache"])
     notes = []
-    if "plan" in found:
-        notes.append(structured.plans(structured.whole(spark, found["plan"])))
-    if "history" in found:
-        notes.append(structured.history(sessions.lines(spark, sorted(found["history"])[:1])))
+    if "plan" in kinds:
+        notes.append(structured.plans(texts["plan"]))
+    if "history" in kinds:
+        first = logs["history"].join(F.broadcast(of("history").agg(F.min("path").alias("file"))), "file", "left_semi")  # one row
+        notes.append(structured.history(first))
     if notes:
         out["notes"] = reduce(DataFrame.unionByName, notes).withColumn("hash", content_hash("text"))
     return out
