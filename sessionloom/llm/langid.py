@@ -7,17 +7,19 @@ log probabilities is broadcast; documents are scored in numpy as sparse bucket i
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, map_arrow, table
+from .common import dropped, fold, held_out, map_arrow, table, written
 
 ORDERS = 3
 BUCKETS = 1 << 16
-#: Languages that a model may tell apart: the broadcast matrix holds 8 bytes for each bucket and language, 128 MB at most.
+#: Languages of one block of the model: a broadcast matrix holds 8 bytes for each bucket and language, 128 MB at most.
 MOST_LANGS = 256
 #: Documents of a language that are learned from, in expectation (chosen by a hash of the id).
 TRAIN_PER_LANG = 2000
@@ -97,19 +99,37 @@ def _count(batches):
             )
 
 
-def train(documents: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log priors, log probabilities [bucket, language]) from documents outside fold 0.
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def train(documents: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Iterator[Model]:
+    """Blocks of (languages, log priors, log probabilities [bucket, language]) from documents outside fold 0.
 
     Only text and lang are used. ``per_lang`` bounds the expected number of documents of each
-    language; which ones is decided by a hash of the id. Rows without text or lang are not used.
-    What reaches the driver is one count for each (language, bucket) at most; more than MOST_LANGS languages are an error.
+    language; which ones is decided by a hash of the id. Rows without text or lang are not used. Languages come in the order of
+    their names, MOST_LANGS to a block; what reaches the driver for one is a count for each (language, bucket) at most. A language's
+    probabilities do not depend on others, so blocks are learned one after the other. Without any language there is no block.
     """
     rows = documents.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
-    if not known:
-        return [], np.zeros(0), np.zeros((BUCKETS, 0))
-    if len(known) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} values of lang")
+    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    known = {r["lang"]: r["n"] for r in by_lang.orderBy("lang").limit(MOST_LANGS + 1).collect()}
+    if len(known) <= MOST_LANGS:
+        if known:
+            yield _block(rows, known, sum(known.values()), per_lang)
+        return
+    by_lang = written(by_lang, "langs")
+    total, last = by_lang.agg(F.sum("n")).first()[0], None
+    while True:
+        after = by_lang if last is None else by_lang.filter(F.col("lang") > last)
+        known = {r["lang"]: r["n"] for r in after.orderBy("lang").limit(MOST_LANGS).collect()}
+        if not known:
+            return
+        last = max(known, key=lambda lang: lang.encode("utf-8"))  # as Spark orders
+        yield _block(rows.filter(F.col("lang").isin(list(known))), known, total, per_lang)
+
+
+def _block(rows: DataFrame, known: dict[str, int], total: int, per_lang: int) -> Model:
+    """The model of the languages ``known`` with their numbers of documents, of ``total`` in all."""
     langs, grain = sorted(known), 1 << 20
     limit = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(grain, -(-per_lang * grain // known[lang])))])
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(grain)) < limit[F.col("lang")])
@@ -123,43 +143,71 @@ def train(documents: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[st
     column = counts["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(dtype=np.int64)
     matrix[counts["bucket"].to_numpy(dtype=np.int64), column] += counts["n"].to_numpy(dtype=np.float64)
     share = np.array([known[lang] for lang in langs], float)
-    return langs, np.log(share / share.sum()), np.log(matrix / matrix.sum(axis=0))
+    return langs, np.log(share / total), np.log(matrix / matrix.sum(axis=0))
 
 
-def predict(texts: list[str | None], langs: list[str], prior: np.ndarray, logs: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and its posterior probability; UNKNOWN and 0 without letters or without a model."""
-    known = [bool(langs) and t is not None and has_letter(t) for t in texts]
-    names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    at = np.flatnonzero(known)
+def likeliest(texts: list[str | None], model: Model) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """Of each text the likeliest language, its log likelihood with the prior, and by how much all languages of the model together
+    exceed it; None where there is no letter."""
+    langs, prior, logs = model
+    at = np.array([i for i, t in enumerate(texts) if t is not None and has_letter(t)], np.int64)
+    names: list[str | None] = [None] * len(texts)
+    most, rest = np.full(len(texts), -np.inf), np.zeros(len(texts))
     if len(at):
         total = _summed([texts[i] for i in at], logs) + prior
         best = total.argmax(axis=1)
-        score[at] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        most[at] = total.max(axis=1)
+        rest[at] = np.log(np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1))
         for i, b in zip(at, best, strict=True):
             names[i] = langs[b]
-    return names, score
+    return names, most, rest
+
 
+def _scored(documents: DataFrame, columns: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``columns`` of ``documents`` (text among them), and as ``pred`` and ``score`` the language of every row and its probability.
 
-def identify(documents: DataFrame, model=None) -> DataFrame:
+    With more blocks of languages than one, the rows go through them one after the other, are written in between, and one block's matrix is
+    broadcast at a time.
+    """
+    spark = documents.sparkSession
+    lang, most, every = (f"_{uuid.uuid4().hex}" for _ in range(3))  # no column of the documents
+    rows = documents.select(*columns, F.lit(None).cast("string").alias(lang), F.lit(float("-inf")).alias(most), F.lit(float("-inf")).alias(every))
+    at, last = columns.index("text"), len(columns)
+    before = sent = None
+    for model in train(documents):
+        if sent is not None:  # the rows so far still need it: they are written before the next block is sent
+            stored = written(rows, "langid")
+            sent.destroy()
+            if before is not None:
+                dropped(before)
+            rows = before = stored
+        sent = spark.sparkContext.broadcast(model)
+
+        def step(batches, sent=sent):
+            for batch in batches:
+                names, most, rest = likeliest(batch.column(at).to_pylist(), sent.value)
+                old = batch.column(last + 1).to_numpy(zero_copy_only=False)
+                better = most > old
+                known = [n if b else k for n, b, k in zip(names, better, batch.column(last).to_pylist(), strict=True)]
+                every = np.logaddexp(batch.column(last + 2).to_numpy(zero_copy_only=False), most + rest)
+                added = [pa.array(known, pa.string()), pa.array(np.maximum(most, old)), pa.array(every)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), *added], names=batch.schema.names)
+
+        rows = map_arrow(rows, step, rows.schema)
+    probability = F.when(F.col(lang).isNull(), 0.0).otherwise(F.exp(F.col(most) - F.col(every)))
+    return rows.select(*columns, F.coalesce(lang, F.lit(UNKNOWN)).alias(pred), probability.alias(score))
+
+
+def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``documents``; other columns are ignored.
 
     Null texts, empty ones and texts without a letter give ``und`` with score 0; so does every
     text where nothing can be learned. Whole texts are scored, long ones slice by slice.
-    Repeated rows are each scored; ties between languages go to the first by name.
+    Repeated rows are each scored; ties between languages go to the first by name. Any number of languages may be told apart.
     """
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(model or train(documents))
-
-    def score(batches):
-        for batch in batches:
-            names, scores = predict(batch.column(2).to_pylist(), *sent.value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score"],
-            )
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return map_arrow(rows, score, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = documents.select("doc_id", "text", "lang")
+    found = _scored(rows, ["doc_id", "text"])
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(documents: DataFrame, least: float = 0.5) -> DataFrame:
@@ -168,16 +216,9 @@ def keep_known(documents: DataFrame, least: float = 0.5) -> DataFrame:
     Null texts, empty ones, and texts without a letter go; so do all rows where nothing can be learned. Repeated rows stay or go
     together; a null doc_id plays no part.
     """
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(train(documents))
-    at = documents.columns.index("text")
-
-    def chosen(batches):
-        for batch in batches:
-            names, scores = predict(batch.column(at).to_pylist(), *sent.value)
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]))
-
-    return map_arrow(documents, chosen, documents.schema)
+    pred, score = (f"_{uuid.uuid4().hex}" for _ in range(2))
+    found = _scored(documents, documents.columns, pred, score)
+    return found.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,11 +65,20 @@ def test_language_as_brute_force(spark):
         assert (r["lang_pred"], pytest.approx(r["score"], abs=1e-6)) == want[r["doc_id"]]
 
 
-def test_too_many_languages(spark, monkeypatch):
+def test_languages_in_blocks(spark, monkeypatch):
+    """More languages than a block holds: the same rows as from one block."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 4 + i % 10, 5)) for _ in range(12)) if i % 9 else None, f"l{i % 10}" if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, _most int")
+    whole = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df).collect()}
+    kept = sorted(r["doc_id"] for r in langid.keep_known(df, 0.3).collect())
     monkeypatch.setattr(langid, "MOST_LANGS", 3)
-    df = spark.createDataFrame([(i, "text here", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError, match="more than 3"):
-        langid.train(df)
+    assert len(list(langid.train(df))) == 4
+    blocks = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df).collect()}
+    assert {i: (lang, pytest.approx(score, abs=1e-9)) for i, (lang, score) in whole.items()} == blocks
+    assert sorted(r["doc_id"] for r in langid.keep_known(df, 0.3).collect()) == kept and 0 < len(kept) < 300
+    want = brute_bayes(rows)
+    assert all(blocks[i] == (lang, pytest.approx(score, abs=1e-6)) for i, (lang, score) in want.items())
 
 
 def test_language_edges(spark):
