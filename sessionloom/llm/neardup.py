@@ -15,6 +15,7 @@ pages that share nothing but a template do not meet. No task gets more than two
 from __future__ import annotations
 
 import math
+import uuid
 from functools import partial
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, release, table, written
+from .common import dropped, map_arrow, release, table, written
 from .words import SPACED, mixed, word_hashes
 
 #: Words of a shingle where no other size is given, and those of the op7 query.
@@ -182,9 +183,11 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         lower = written(now.join(seen, "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("was")), "labels")
         jump = lower.select(F.col("id").alias("label"), F.col("label").alias("root"))
         after = written(lower.join(jump, "label", "left").select("id", F.coalesce("root", "label").alias("label"), "was"), "labels")
+        dropped(now, lower)
         if after.filter("label <> was").isEmpty():
+            dropped(both)
             return after.select("id", "label")
-        now = after.select("id", "label")
+        now = after
 
 
 def groups(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -206,6 +209,7 @@ def groups(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     keys = map_arrow(classes.select("id", "sketch"), _with_keys, "key long, id long")
     centres = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a"), "centres")
     members = written(keys.join(centres, "key"), "members")
+    dropped(centres)
     active = members.select("id").distinct()
     sketches = written(classes.select("id", "n", "sketch").join(active, "id", "left_semi"), "sketches")
     texts = written(docs.withColumnRenamed("doc_id", "id").join(active, "id", "left_semi"), "texts")
@@ -356,8 +360,9 @@ def keep_first(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     A row without a doc_id is in no group and stays. Rows that repeat a kept doc_id all stay.
     """
-    gone = groups(documents, size).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(written(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = f"_{uuid.uuid4().hex}"  # no column of the documents
+    rest = groups(documents, size).filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return documents.join(written(rest, "gone"), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
