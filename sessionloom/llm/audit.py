@@ -14,7 +14,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: Few words, few different words, many capitals, symbols, and copies of another document.
 FILTERS = "ABCDE"
@@ -61,7 +61,8 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Copies are never brought together: a text's rows are reduced to one row for each part and label
     before they are shuffled by text, and the first of them is found by joining on text and id.
     """
-    rows = text_failures(docs).groupBy("doc_id", "content", "part", "mask").agg(F.count("*").alias("n"))
+    # both sides of the join below are made of these rows: the texts are read once
+    rows = written(text_failures(docs).groupBy("doc_id", "content", "part", "mask").agg(F.count("*").alias("n")), "failures")
     deal = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("content"), F.lit(UNNUMBERED))).otherwise(0)
     marked = labels.filter((F.col("quality") == 1) | (F.col("toxic") == 1)).groupBy(F.col("doc_id").alias("labelled"))
     marked = marked.agg(
