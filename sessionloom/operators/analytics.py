@@ -275,3 +275,8 @@ def marked_cut(text: Column, most: int, mark: str = "\n... (truncated)") -> Colu
 def trailing_start(today: Column, days: int | None) -> Column:
     """The first day of the window of ``days`` days that ends today, as text; null for all time."""
     return F.lit(None).cast("string") if days is None else F.date_sub(today, days).cast("string")
+
+
+def sizes_by_tool(calls: DataFrame, size: str = "size") -> DataFrame:
+    """Calls, bytes and mean bytes of each tool."""
+    return calls.groupBy("tool_name").agg(F.count("*").alias("calls"), F.sum(size).cast("long").alias("bytes"), F.round(F.avg(size), 6).alias("avg_bytes"))

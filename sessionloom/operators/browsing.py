@@ -66,19 +66,20 @@ def blocks_with_contents(blocks: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def session_tools(calls: DataFrame, inputs: DataFrame, outputs: DataFrame, session_id) -> DataFrame:
-    """Tool calls of a session with the contents of both blobs; missing blobs are null."""
+    """Tool calls of a session by time, with the contents of both blobs; missing blobs are null."""
     rows = calls.filter(F.col("session_id") == session_id)
     return (
         rows.join(inputs.select(F.col("hash").alias("input_hash"), F.col("content").alias("input")), "input_hash", "left")
         .join(outputs.select(F.col("hash").alias("output_hash"), F.col("content").alias("output")), "output_hash", "left")
         .select("id", "timestamp", "tool_name", "input", "output")
+        .orderBy("timestamp", "id")  # one session
     )
 
 
-def file_page(files: DataFrame, path: str, contains: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page of files whose path contains a text, in either case; % and _ in it are wildcards."""
+def file_page(files: DataFrame, path: str, contains: str | None = None, limit: int = 20, offset: int = 0, ties: tuple = ()) -> DataFrame:
+    """A page of files whose path contains a text, in either case; % and _ in it are wildcards. Equal paths are ordered by ``ties``."""
     rows = files.filter(F.col(path).ilike(f"%{contains}%")) if contains is not None else files
-    return page(rows, [path], limit, offset)
+    return page(rows, [path, *ties], limit, offset)
 
 
 def blob(blobs: DataFrame, digest: Column | str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Enrichment: session digests, and titles, tags and outcomes from a pluggable backend.
 
 A backend is a function from digest text to a struct of Columns. The one here is a
-deterministic heuristic; a model server would be called from ``mapInPandas`` in its place.
+deterministic heuristic; a model server is called by ``backends.call_all``, whose replies ``enriched_replies`` reads.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cut_bytes, tokens
 
+# The messages that a digest looks at, the texts it takes of them, and the bytes after which it takes no more.
 BLOCKS, TEXTS, BYTES = 40, 20, 7500
 
 
@@ -69,6 +70,18 @@ def enrich(rows: DataFrame, backend=heuristic, approve_at: float = 0.8) -> DataF
     return out.withColumn("approval_status", F.when(sure, "approved").otherwise("pending_review"))
 
 
+def enriched_replies(replies: DataFrame, approve_at: float = 0.8) -> DataFrame:
+    """What ``enrich`` gives, of the replies (session_id, reply) of a backend: JSON with title, outcome and tags, maybe within other text.
+
+    Failed calls, and replies that hold no such JSON, are left out: their sessions stay candidates.
+    """
+    shape = "title STRING, tags ARRAY<STRUCT<tag STRING, confidence DOUBLE>>, outcome STRING"
+    rows = replies.filter("reply IS NOT NULL").withColumn("e", F.from_json(json_of_reply(result_of_output(F.col("reply"))), shape)).filter("e.title IS NOT NULL")
+    out = rows.select("session_id", "e.title", F.coalesce("e.tags", F.array().cast("array<struct<tag:string,confidence:double>>")).alias("tags"), "e.outcome")
+    sure = (F.size("tags") > 0) & F.forall("tags", lambda t: F.coalesce(t["confidence"] >= approve_at, F.lit(False)))
+    return out.withColumn("approval_status", F.when(sure, "approved").otherwise("pending_review"))
+
+
 def candidates(sessions: DataFrame, outcomes: DataFrame, limit: int | None = None) -> DataFrame:
     """Sessions to classify, latest first: without an outcome, or with one that no user has set."""
     known = outcomes.filter("is_user_labeled").select(F.col("session_id").alias("id"))

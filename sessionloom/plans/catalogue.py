@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analytics as A
+from ..operators import blobstore as B
 from ..functions.shared import place_of
 from ..operators import browsing as R
 from ..operators import burden as U
@@ -251,15 +252,22 @@ def messages_with_blocks(spark, sf_dir):
 @query("""--raw
     SELECT page_id, url FROM pages WHERE url ILIKE '%EXAMPLE.net%' ORDER BY url, page_id LIMIT 20 OFFSET 5""")
 def file_references_page(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", "url").filter(F.col("url").ilike("%EXAMPLE.net%"))
-    return R.page(rows, ["url", "page_id"], 20, 5)
+    return R.file_page(table(spark, sf_dir, "pages").select("page_id", "url"), "url", "EXAMPLE.net", 20, 5, ("page_id",))
 
 
 @query("SELECT hash, kind, size FROM content_store WHERE hash = (SELECT max(hash) FROM content_store)")
 def blob_lookup(spark, sf_dir):
-    blobs = D.content_store(spark, sf_dir)
-    last = F.broadcast(blobs.agg(F.max("hash").alias("hash")))  # one row
-    return blobs.join(last, "hash", "left_semi").select("hash", "kind", "size")
+    """A user names the hash; here it is the largest, of the table that is laid out by hash."""
+    blobs = B.stored(spark, sf_dir, lambda: D.content_store(spark, sf_dir))
+    last = blobs.agg(F.max("hash")).first()[0]
+    return B.lookup(blobs, last).select("hash", "kind", "size")
+
+
+@query("""SELECT d.doc_id, d.size, coalesce(strlen(s.content), 0) AS text_bytes FROM blob_references d JOIN content_store s USING (hash)""")
+def references_with_texts(spark, sf_dir):
+    blobs = B.stored(spark, sf_dir, lambda: D.content_store(spark, sf_dir))
+    rows = B.with_texts(D.blob_references(spark, sf_dir).select("doc_id", "hash", "size"), blobs, {"hash": "found"})
+    return rows.select("doc_id", "size", F.octet_length("found").cast("long").alias("text_bytes"))
 
 
 @query("SELECT hash, count(*) AS refs, min(doc_id) AS first_ref FROM blob_references GROUP BY 1 HAVING count(*) > 1")
@@ -432,9 +440,7 @@ def unedited_reads(spark, sf_dir):
     SELECT CASE WHEN json_extract(props, '$.k') IS NULL THEN 'none' WHEN CAST(json_extract(props, '$.k') AS BIGINT) < 50 THEN 'surgical' ELSE 'full' END AS reading,
     count(*) AS n FROM events GROUP BY 1""")
 def surgical_reads(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("long")
-    rows = table(spark, sf_dir, "events").select(F.when(k.isNull(), "none").when(k < 50, "surgical").otherwise("full").alias("reading"))
-    return rows.groupBy("reading").agg(F.count("*").alias("n"))
+    return U.readings(table(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("long"), 50)
 
 
 @query(_PLACED + """, g AS (SELECT session_id, CAST(sum(burden) AS DOUBLE) AS burden FROM b GROUP BY 1)
@@ -444,6 +450,19 @@ def session_burden_percentiles(spark, sf_dir):
     return U.percentiles(burden_rows(spark, sf_dir), 10_000)
 
 
+@query(_PLACED + """, g AS (SELECT session_id, sum(burden) AS burden FROM b GROUP BY 1)
+    SELECT count(*) AS sessions, true AS p50_near, true AS p95_near, true AS p99_near FROM g""")
+def session_burden_sketches(spark, sf_dir):
+    """Quantiles from sketches that are kept for groups of sessions and merged; here whether their ranks are as near as is stated."""
+    rows = burden_rows(spark, sf_dir).withColumn("part", F.pmod("session_id", F.lit(7)))
+    q = U.merged_quantiles(U.burden_sketches(rows, "part"))
+    per = rows.groupBy("session_id").agg(F.sum("burden").alias("burden"))
+    rank = lambda p: F.sum((F.col("burden") <= F.col(p)).cast("long")) / F.count("*")
+    below = lambda p: F.sum((F.col("burden") < F.col(p)).cast("long")) / F.count("*")
+    near = [((below(p) - U.RANK_ERROR <= at) & (at <= rank(p) + U.RANK_ERROR)).alias(f"{p}_near") for p, at in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    return per.crossJoin(F.broadcast(q)).agg(F.count("*").alias("sessions"), *near)  # one row of quantiles
+
+
 @query("""SELECT a.session_id, a.id, b.id AS then_id, b.sec - a.sec AS gap FROM event_calls a JOIN event_calls b ON a.session_id = b.session_id
     AND a.tool_name = 'view' AND b.tool_name = 'click' AND b.sec > a.sec AND b.sec <= a.sec + 7200""")
 def write_then_edit_window(spark, sf_dir):
@@ -459,7 +478,7 @@ def carry_forward_parent(spark, sf_dir):
 
 @query("""SELECT tool_name, count(*) AS calls, CAST(sum(size) AS BIGINT) AS bytes, round(avg(size), 6) AS avg_bytes FROM tool_calls GROUP BY 1""")
 def tool_sizes(spark, sf_dir):
-    return D.tool_calls(spark, sf_dir).groupBy("tool_name").agg(F.count("*").alias("calls"), F.sum("size").cast("long").alias("bytes"), F.round(F.avg("size"), 6).alias("avg_bytes"))
+    return A.sizes_by_tool(D.tool_calls(spark, sf_dir))
 
 
 # -- content store ----------------------------------------------------------------------------
