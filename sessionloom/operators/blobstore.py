@@ -6,6 +6,8 @@ the store on the hash shuffle the other side only, into the store's buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +37,11 @@ def lookup(blobs: DataFrame, digest: str) -> DataFrame:
 def with_texts(rows: DataFrame, blobs: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Rows with a blob's text for each of ``keys`` (hash column: name of the text), null where there is none.
 
-    The hashes of all keys of a row meet the store in one pass: each row's (key, hash) pairs are shuffled into the store's
-    buckets, without the row's other columns, and the texts come back by row. A hash that many rows name is one row there.
+    The store is read once, whatever the number of keys: the different hashes of all of them, without the rows' other columns, are
+    shuffled into the store's buckets, and only the texts that are found go on to the rows.
     """
-    at = F.monotonically_increasing_id()
-    wanted = [rows.select(F.col(k).alias("hash")) for k in keys]
-    every = wanted[0]
-    for w in wanted[1:]:
-        every = every.unionByName(w)
+    every = reduce(DataFrame.unionByName, [rows.select(F.col(k).alias("hash")) for k in keys])
     texts = every.filter("hash IS NOT NULL").distinct().join(blobs.select("hash", "content"), "hash")
-    out = rows.withColumn("_row", at)
     for key, name in keys.items():
-        out = out.join(texts.select(F.col("hash").alias(key), F.col("content").alias(name)), key, "left")
-    return out.drop("_row")
+        rows = rows.join(texts.select(F.col("hash").alias(key), F.col("content").alias(name)), key, "left")
+    return rows

@@ -48,6 +48,20 @@ def display_title(approved: Column, title: Column, first_prompt: Column, first_t
     return F.coalesce(F.when(approved, title), first_prompt, first_text)
 
 
+def titled(listed: DataFrame, enrichments: DataFrame, sessions: DataFrame) -> DataFrame:
+    """A page of ``session_list`` with the title that each session is shown by: that of an approved enrichment, else its stored prompt, else its
+    first user text.
+
+    Only what belongs to the page is read of enrichments (session_id, title, approval_status) and sessions (session_id, first_prompt).
+    """
+    ids = F.broadcast(listed.select("session_id"))  # one page
+    known = enrichments.join(ids, "session_id", "left_semi").select("session_id", F.col("title").alias("_title"), (F.col("approval_status") == "approved").alias("_approved"))
+    prompts = sessions.join(ids, "session_id", "left_semi").select("session_id", "first_prompt")
+    rows = listed.join(known, "session_id", "left").join(prompts, "session_id", "left")
+    title = display_title(F.col("_approved"), F.col("_title"), F.col("first_prompt"), F.col("first_text"))
+    return rows.withColumn("title", title).drop("_title", "_approved", "first_prompt")
+
+
 def message_page(messages: DataFrame, session_id, limit: int = 100, offset: int = 0) -> DataFrame:
     rows = messages.filter(F.col("session_id") == session_id)
     return page(rows, ["turn_index", "id"], limit, offset).select("id", "turn_index", "type", F.substring("content", 1, 100).alias("preview"), F.octet_length("content").cast("long").alias("size"))

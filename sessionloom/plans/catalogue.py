@@ -217,6 +217,17 @@ def session_list_filtered(spark, sf_dir):
     return R.session_list(D.messages(spark, sf_dir), D.outcomes(spark, sf_dir), outcome="success")
 
 
+@query(_SESSION_LIST.format(where="", offset=5).rsplit("SELECT p.*", 1)[0] + """, l AS (SELECT p.session_id,
+      (SELECT substr(arg_min(content, (turn_index, id)), 1, 200) FROM messages m WHERE m.session_id = p.session_id AND type = 'user') AS first_text FROM p)
+    SELECT l.session_id, first_text, CASE WHEN o.outcome = 'success' THEN 'About ' || l.session_id WHEN s.project_slug IS NOT NULL THEN s.project_slug ELSE first_text END AS title
+    FROM l LEFT JOIN outcomes o ON o.session_id = l.session_id LEFT JOIN sessions s ON s.id = l.session_id""")
+def session_titles(spark, sf_dir):
+    listed = R.session_list(D.messages(spark, sf_dir), D.outcomes(spark, sf_dir), offset=5)
+    enriched = _enrichments(spark, sf_dir).withColumn("title", F.concat(F.lit("About "), F.col("session_id").cast("string")))
+    prompts = D.sessions(spark, sf_dir).select(F.col("id").alias("session_id"), F.col("project_slug").alias("first_prompt"))
+    return R.titled(listed, enriched, prompts).select("session_id", "first_text", "title")
+
+
 @query("""SELECT count(*) AS total FROM (SELECT DISTINCT m.session_id, outcome FROM messages m LEFT JOIN outcomes o ON o.session_id = m.session_id) WHERE outcome = 'success'""")
 def session_list_total(spark, sf_dir):
     return R.session_total(D.messages(spark, sf_dir), D.outcomes(spark, sf_dir), "success")
