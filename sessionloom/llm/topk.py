@@ -3,9 +3,9 @@
 Every dimension of a vector is a term. A block of query rows is broadcast as sparse
 (term, query, weight) rows; each task turns its candidates into one posting list per term
 and scatters weight * posting into dense score arrays, selects the k best of the
-partition for every query, and the partial lists are merged by one small shuffle. With several
-blocks, one is searched after the other: its partial lists are written and its broadcast is
-destroyed before the next one is sent.
+partition for every query, and the partial lists are merged by one small shuffle. A broadcast holds
+several blocks, which a task searches in one pass over its candidates. Where there are more queries, one broadcast is
+searched after the other: its partial lists are written and it is destroyed before the next one is sent.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, table, written
 
-#: Queries of one broadcast block, and candidates of one dense score array.
+#: Queries and candidates of one dense score array; blocks of queries of one broadcast at most, and its bytes if it has more than one.
 QUERY_BLOCK = 1024
 CANDIDATES = 4096
+BLOCKS_A_PASS, PASS_BYTES = 16, 16 << 20
 #: Scores are exact in a double while |weights| * |values| * terms stays below this.
 EXACT = 2**53
 
@@ -85,13 +86,16 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[keep], vec[keep], score[keep]
 
 
-def _searcher(block, k: int):
-    qids, q = block.value["ids"], block.value["q"]
-    terms = [(np.flatnonzero(q[:, t]), q[np.flatnonzero(q[:, t]), t]) for t in range(q.shape[1])]
+def _searcher(sent, k: int, block: int):
+    every, q = sent.value["ids"], sent.value["q"]
+    parts = []
+    for at in range(0, len(every), block):
+        weights = q[at : at + block]
+        parts.append((every[at : at + block], [(np.flatnonzero(weights[:, t]), weights[np.flatnonzero(weights[:, t]), t]) for t in range(q.shape[1])]))
     most = int(np.abs(q).max(initial=0)) * max(1, q.shape[1])
 
     def search(batches):
-        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in parts]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             values = _matrix(batch.column(1))
@@ -100,18 +104,20 @@ def _searcher(block, k: int):
             kind = np.float64 if most * int(np.abs(values).max(initial=0)) < EXACT else np.int64
             for at in range(0, len(ids), CANDIDATES):
                 part, rows = ids[at : at + CANDIDATES], values[at : at + CANDIDATES]
-                # rows that bear the query's own id are removed after selection: room for them is added
-                own = np.isin(part, qids)
-                room = int(np.bincount(np.searchsorted(qids, part[own])).max(initial=0)) if own.any() else 0
-                r, vec, score = _accumulate(part, rows, qids, terms, k + room, kind)
-                other = vec != qids[r]
-                best = _best(
-                    np.concatenate([best[0], qids[r[other]]]),
-                    np.concatenate([best[1], vec[other]]),
-                    np.concatenate([best[2], score[other].astype(np.int64)]),
-                    k,
-                )
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in best], ["query_id", "vec_id", "score"])
+                for i, (qids, terms) in enumerate(parts):
+                    # rows that bear the query's own id are removed after selection: room for them is added
+                    own = np.isin(part, qids)
+                    room = int(np.bincount(np.searchsorted(qids, part[own])).max(initial=0)) if own.any() else 0
+                    r, vec, score = _accumulate(part, rows, qids, terms, k + room, kind)
+                    other = vec != qids[r]
+                    best[i] = _best(
+                        np.concatenate([best[i][0], qids[r[other]]]),
+                        np.concatenate([best[i][1], vec[other]]),
+                        np.concatenate([best[i][2], score[other].astype(np.int64)]),
+                        k,
+                    )
+        for found in best:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
 
     return search
 
@@ -124,11 +130,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = Q
     them, one without any gets no row. Vectors of unequal length are padded with zeros.
     Repeated candidate rows each count; every row with the query's id is its own; of queries
     that repeat an id the smallest vector counts. Products and their sums must fit 64 bits. The query set is taken in
-    blocks of at most ``block`` rows, one at a time, so what is broadcast and what the driver holds have a fixed bound.
+    blocks of at most ``block`` rows, BLOCKS_A_PASS of them at a time or as many as PASS_BYTES hold, so what is broadcast and what the driver holds have a fixed bound; where that
+    is not all of it, the candidates are written once, so that they are not quantised again for each pass.
     """
     spark = candidates.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
-    every, parts = blocks(queries, "vec_id", block), []
+    longest = queries.agg(F.max(F.size("q"))).first()[0] or 0
+    most = max(1, min(BLOCKS_A_PASS, PASS_BYTES // max(1, 8 * block * longest)))
+    every, parts = blocks(queries, "vec_id", block * most), []
+    if len(every) > 1:
+        candidates = written(candidates.select("vec_id", "q"), "quantised")
     for one in every:
         rows = sorted(one.collect())
         if not rows:
@@ -138,7 +149,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = Q
         for i, r in enumerate(rows):
             q[i, : len(r[1])] = r[1]
         sent = spark.sparkContext.broadcast({"ids": np.array([r[0] for r in rows], np.int64), "q": q})
-        found = candidates.mapInArrow(_searcher(sent, k), "query_id long, vec_id long, score long")
+        found = candidates.mapInArrow(_searcher(sent, k, block), "query_id long, vec_id long, score long")
         if len(every) > 1:
             found = written(found, "top")
             sent.destroy()

@@ -287,11 +287,13 @@ def test_chat_round_trip(spark):
     assert read == want
 
 
-def test_top_k_in_twenty_blocks(spark):
+@pytest.mark.parametrize("at_once", [1, 3, 16])
+def test_top_k_in_twenty_blocks(spark, monkeypatch, at_once):
     """Every block is proven to fit, and what repeats has one result: the smallest vector of a query id, each row of a candidate."""
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(0, 20_000, 25)]
     rows += [(100, [9.0] * 6), (100, [-9.0] * 6), (125, [3.0] * 6), (125, [3.0] * 6)]
+    monkeypatch.setattr(topk, "BLOCKS_A_PASS", at_once)
     v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4))
     queries = v.filter("vec_id % 100 = 0")
     parts = blocks(queries.groupBy("vec_id").agg(topk.F.min("q").alias("q")), "vec_id", 10)
