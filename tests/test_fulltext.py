@@ -70,7 +70,7 @@ def test_queries_as_the_full_text_engine(spark, one_partition):
     con, rng = engine(docs), random.Random(7)
     index = fulltext.of_blobs(spark.createDataFrame(docs, "hash string, kind string, content string").coalesce(1))
     index = fulltext.Index(index.postings.coalesce(1).persist(), index.lengths.persist(), index.totals.persist(), True)
-    queries = [expression(rng) for _ in range(30)] + ODD
+    queries = [expression(rng) for _ in range(24)] + ODD
     ranked = found = 0
     for q in queries:
         want = dict(con.execute("SELECT hash, bm25(t) FROM t WHERE t MATCH ?", (q,)))
@@ -80,7 +80,7 @@ def test_queries_as_the_full_text_engine(spark, one_partition):
         if "OR" not in q.split() or not set(q) & set('":^+'):
             ranked += bool(want)
             assert all(abs(got[h] - want[h]) < 1e-9 for h in want), q
-    assert found > 15 and ranked > 8
+    assert found > 12 and ranked > 5
 
 
 @pytest.mark.parametrize("query", ['"unclosed', "(a", "a)", "a AND", "OR a", "NOT a", "a (b)", "nowhere: a", "*", "a $ b", "{kind content} a", "a + ", "-kind a", "^", ":a", "a NEAR(b c)", "()"])
