@@ -169,3 +169,22 @@ def test_a_stream_ends_in_the_tables_of_one_run(spark, root, tmp_path):
     assert tables == state(spark, str(tmp_path / "whole")) and len(tables["messages"]) == 5 and len(tables["file_references"]) == 1
     assert {r["hash"] for r in fulltext.find(fulltext.read(spark, index), "text").collect()} == {r["hash"] for r in warehouse.Warehouse(spark, path).table("search").filter("content LIKE 'text%'").collect()}
     assert [p["event"] for p in published if p["event"] != "progress"].count("started") >= 3 and sum(p.get("rows", 0) for p in published) >= 5
+
+
+def test_a_trigger_keeps_up_with_a_growing_folder(spark, root, tmp_path):
+    logs, path, stepped = root / "projects/p", str(tmp_path / "live"), []
+    (logs / "s.jsonl").write_text(line(1))
+    query = live.keep_up(tail.tail(spark, f"{logs}/*.jsonl"), path, str(tmp_path / "state"), "1 second", [lambda house: stepped.append(house.table("messages").count())])
+
+    def wait(n):
+        end = time.time() + 100
+        while len(stepped) < n and time.time() < end and query.isActive:
+            time.sleep(0.2)
+
+    try:
+        wait(1)
+        (logs / "t.jsonl").write_text(line(2, "t") + line(3, "t"))
+        wait(2)
+    finally:
+        query.stop()
+    assert stepped[:2] == [1, 3] and query.exception() is None

@@ -3,6 +3,7 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import store
@@ -15,8 +16,14 @@ def event(ord, day, use, ident="t", path=None, file="a"):
     return {"file": file, "tool_use_id": ident, "ord": ord, "ts": f"2026-01-{day:02}T00:00:00Z", "is_use": use, "tool_name": "Read" if use else None, "path": path or f"p{ord}", "content_hash": f"h{ord}"}
 
 
-def test_first_later_result_consumes_a_use(spark, tmp_path):
+@pytest.fixture
+def state_store(spark):
     consume.use_state_store(spark)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_first_later_result_consumes_a_use(spark, state_store, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
     batches = [
