@@ -25,7 +25,7 @@ PROBE = 4096
 def opened(path: str):
     """A file of any file system that the path names, for random access."""
     plain = re.sub(r"^file:/+", "/", path)
-    where, at = (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(path)
+    where, at = (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
     return where.open_input_file(at)
 
 
