@@ -2,6 +2,7 @@
 
 A backend is a function from digest text to a struct of Columns. The one here is a
 deterministic heuristic; a model server is called by ``backends.call_all``, whose replies ``enriched_replies`` reads.
+Outcomes are learned in ``outcomes``; the key words here are the stand-in where no user has set any.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cut_bytes, tokens
+from . import backends, store
+from .warehouse import Warehouse
 
 # The messages that a digest looks at, the texts it takes of them, and the bytes after which it takes no more.
 BLOCKS, TEXTS, BYTES = 40, 20, 7500
@@ -82,6 +85,34 @@ def enriched_replies(replies: DataFrame, approve_at: float = 0.8) -> DataFrame:
     return out.withColumn("approval_status", F.when(sure, "approved").otherwise("pending_review"))
 
 
+#: The version of what an enrichment holds.
+VERSION = 1
+
+
+def enrich_sessions(house: Warehouse, backend: backends.Backend | None, model: str, now: str, approve_at: float = 0.8, limit: int | None = None, version: int = VERSION, **how) -> dict:
+    """Enrich the sessions of a warehouse that have no enrichment of this version, latest first; without a backend by ``heuristic``.
+
+    Stored are title, approval and tags, the tags with their session, so a new enrichment replaces all old tags. Returns the numbers of
+    candidates, of those enriched, of those skipped as they have no digest, and of those that failed; the latter two stay candidates.
+    """
+    messages, sessions, stored = house.table("messages"), house.table("sessions"), house.table("session_enrichments")
+    if messages is None or sessions is None:
+        return dict.fromkeys(("total_candidates", "enriched", "skipped", "failed"), 0)
+    wanted = sessions if stored is None else sessions.join(stored.filter(F.col("version") >= version).select(F.col("session_id").alias("id")), "id", "left_anti")
+    wanted = wanted.orderBy(F.desc("modified_at"), "id").select(F.col("id").alias("session_id"))
+    wanted = wanted if limit is None else wanted.limit(limit)
+    rows = digests(messages, ["turn_index", "timestamp", "id"]).join(wanted, "session_id", "left_semi")
+    done = enrich(rows, approve_at=approve_at) if backend is None else enriched_replies(backends.call_all(rows, backend, model, **how), approve_at)
+    with house.staged(done) as done:
+        found, tags = store.stored_enrichments(done, model, now, version)
+        tags = tags.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("tag", "confidence"))).alias("tags"))
+        none = F.array().cast("array<struct<tag:string,confidence:double>>")
+        house.commit({"session_enrichments": found.join(tags, "session_id", "left").withColumn("tags", F.coalesce("tags", none))})
+        counts = {"total_candidates": wanted.count(), "enriched": done.count()}
+    asked = rows.count()
+    return counts | {"skipped": counts["total_candidates"] - asked, "failed": asked - counts["enriched"]}
+
+
 def candidates(sessions: DataFrame, outcomes: DataFrame, limit: int | None = None) -> DataFrame:
     """Sessions to classify, latest first: without an outcome, or with one that no user has set."""
     known = outcomes.filter("is_user_labeled").select(F.col("session_id").alias("id"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 import datetime as dt
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ KEYS = {
     "tasks": ["session_id", "id"],
     "task_dependencies": ["session_id", "task_id", "depends_on"],
     "session_outcomes": ["session_id"],
+    "session_enrichments": ["session_id"],
     "daily_stats": ["date"],
     "model_usage": ["model"],
     "notes": ["hash"],
@@ -40,7 +42,7 @@ KEYS = {
     "session_backups": ["session_id", "original_path"],
 }
 #: Tables in which a new row replaces the stored one; elsewhere the first row of a key stays.
-REPLACED = {"tasks", "session_outcomes", "daily_stats", "model_usage", "sessions", "fingerprints", "tool_calls", "indexed_files", "session_backups"}
+REPLACED = {"tasks", "session_outcomes", "session_enrichments", "daily_stats", "model_usage", "sessions", "fingerprints", "tool_calls", "indexed_files", "session_backups"}
 #: What a run counts, each in the pass that writes or reads the rows.
 COUNTERS = (
     "sessions_added", "messages_added", "blobs_added", "tool_calls_added", "tasks_added", "facets_added", "plans_added", "history_added", "messages_skipped", "parse_errors", "files", "unchanged",
@@ -112,6 +114,16 @@ class Warehouse:
         for name, rows in tables.items():
             self.append(run_name(), name, rows)
 
+    @contextmanager
+    def staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """``rows``, computed once and written, for as long as they are needed."""
+        at = f"{self.path}/_staged/{run_name()}"
+        rows.write.parquet(at)
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(at)
+        finally:
+            remove(self.spark, at)
+
     def record(self, row: dict, step: int) -> None:
         """Add a state of a run to the ledger, of which the last counts."""
         self.spark.createDataFrame([row | {"step": step}], LEDGER).coalesce(1).write.mode("append").parquet(f"{self.path}/index_runs")

@@ -16,6 +16,7 @@ from ..functions.shared import place_of
 from ..operators import browsing as R
 from ..operators import burden as U
 from ..operators import fulltext as X
+from ..operators import outcomes as O
 from ..operators import search as H
 from ..operators import store as S
 from . import adapters as D
@@ -776,6 +777,36 @@ def classified_sessions(spark, sf_dir):
     return classify(digests(D.messages(spark, sf_dir), ["turn_index", "id"]))
 
 
+def _learned_sql() -> str:
+    pairs = [(c, k) for c, kinds in O.CLASSES.items() for k in kinds]
+    counts = ", ".join(f"count(*) FILTER (WHERE {c} = '{k}') AS {c}_{k}" for c, k in pairs)
+    every = {c: " + ".join(f"{c}_{k}" for k in kinds) for c, kinds in O.CLASSES.items()}
+    weight = ", ".join(
+        f"""CASE WHEN bucket >= 0 AND {every[c]} = 0 THEN 0 ELSE CAST(round(ln(({c}_{k} + 1) / CAST(CASE WHEN bucket = -1 THEN {every[c]} + {len(O.CLASSES[c])}
+          ELSE sum({c}_{k}) FILTER (WHERE bucket >= 0) OVER () + count(*) FILTER (WHERE bucket >= 0 AND {every[c]} > 0) OVER () END AS DOUBLE)) * {O.SCALE}) AS BIGINT) END AS {c}_{k}"""
+        for c, k in pairs
+    )
+    sums = ", ".join(f"CAST(sum({c}_{k}) AS BIGINT) AS {c}_{k}" for c, k in pairs)
+    best = {c: f"greatest({', '.join(f'{c}_{k}' for k in kinds)})" for c, kinds in O.CLASSES.items()}
+    first = {c: "CASE " + " ".join(f"WHEN {c}_{k} = {best[c]} THEN '{k}'" for k in kinds) + " END" for c, kinds in O.CLASSES.items()}
+    parts = " + ".join(f"exp((outcome_{k} - {best['outcome']}) / CAST({O.SCALE} AS DOUBLE))" for k in O.OUTCOMES)
+    return f"""WITH w AS (SELECT doc_id AS session_id, [-1] || list_distinct(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: CAST('0x' || substr(md5(w), 1, 4) AS INTEGER))) AS buckets FROM documents),
+    l AS (SELECT session_id, outcome, CASE WHEN outcome <> 'success' THEN coalesce(reason_code, 'unknown') END AS reason_code FROM outcomes WHERE outcome IS NOT NULL),
+    x AS (SELECT unnest(buckets) AS bucket, outcome, reason_code FROM w JOIN l USING (session_id) UNION ALL SELECT range, NULL, NULL FROM range(-1, {O.BUCKETS})),
+    c AS (SELECT bucket, {counts} FROM x GROUP BY bucket),
+    m AS (SELECT bucket, {weight} FROM c),
+    t AS (SELECT session_id, unnest(buckets) AS bucket FROM w WHERE session_id NOT IN (SELECT session_id FROM l)),
+    s AS (SELECT session_id, {sums} FROM t JOIN m USING (bucket) GROUP BY session_id)
+    SELECT session_id, {first['outcome']} AS outcome, CASE WHEN {first['outcome']} <> 'success' THEN {first['reason_code']} END AS reason_code, round(1 / ({parts}), 4) AS probability FROM s"""
+
+
+@query(_learned_sql())
+def learned_outcomes(spark, sf_dir):
+    """What the labelled documents teach about those without a label, by the words of their whole texts."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), F.col("text").alias("digest"))
+    return O.learned(texts, D.outcomes(spark, sf_dir), words=T.plain_tokens)
+
+
 @query("""WITH d AS (SELECT CAST(day AS VARCHAR) AS date, count(DISTINCT session_id) AS session_count FROM event_calls GROUP BY 1),
     s AS (SELECT *, CAST(date AS DATE) - CAST(dayofweek(CAST(date AS DATE)) AS INTEGER) AS sunday FROM d)
     SELECT date, session_count, CAST((sunday - (SELECT min(sunday) FROM s)) // 7 AS BIGINT) AS week, CAST(dayofweek(CAST(date AS DATE)) AS INTEGER) AS weekday,

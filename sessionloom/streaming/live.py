@@ -73,6 +73,20 @@ def index_for_search(path: str, stem: bool = True) -> Callable[[Warehouse], None
     return step
 
 
+def enrich_new(backend: Callable[[str], str] | None, model: str, publish: Callable[[dict], None] = lambda counts: None, **how) -> Callable[[Warehouse], None]:
+    """A step that enriches the sessions that have no enrichment, and publishes its counts."""
+    from ..operators import enrich
+
+    return lambda house: publish(enrich.enrich_sessions(house, backend, model, f"{dt.datetime.now(dt.UTC):%Y-%m-%d %H:%M:%S}", **how))
+
+
+def classify_new(backend: Callable[[str], str] | None = None, model: str = "learned", publish: Callable[[dict], None] = lambda counts: None, **how) -> Callable[[Warehouse], None]:
+    """A step that classifies the sessions that have no outcome, and publishes its counts."""
+    from ..operators import outcomes
+
+    return lambda house: publish(outcomes.classify(house, backend, model, again=False, **how))
+
+
 class Progress(StreamingQueryListener):
     """Publishes what queries do as small dicts: started, progress (batch, rows, seconds), failed, ended."""
 
