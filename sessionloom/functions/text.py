@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _folding() -> tuple[str, str]:
@@ -27,6 +30,12 @@ def folded(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{M}", ""))
 
 
+@F.pandas_udf(StringType())
+def pretty_json(value: pd.Series) -> pd.Series:
+    """JSON texts on lines of their own, indented by two; null for null."""
+    return value.map(lambda v: None if v is None else json.dumps(json.loads(v), indent=2, ensure_ascii=False))
+
+
 def tokens(text: Column) -> Column:
     """Words of letters and digits of the folded text, in order; null for null."""
     return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))

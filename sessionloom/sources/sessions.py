@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import last_segment
+from ..functions.text import last_segment, pretty_json
 
 MESSAGE = ["file", "ord", "id", "session_id", "parent_id", "type", "timestamp", "model", "stop_reason", "cwd", "git_branch", "duration_ms", "turn_index", "digest_parts"]
 BLOCK = ["file", "ord", "session_id", "message_id", "timestamp", "block_index", "block_type", "kind", "text", "context", "searchable", "tool_name", "tool_use_id", "input", "path"]
@@ -193,13 +193,14 @@ def rollouts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.when(_is(content, "STRING"), content.cast("string")).otherwise(F.array_join(F.filter(F.transform(_list(content), lambda p: _text(F.try_variant_get(p, "$.text", "variant"))), lambda t: t.isNotNull()), ""))
     text = F.coalesce(text, F.lit(""))
     plan = F.try_variant_get(v, "$.payload.plan", "variant")
+    rows = rows.withColumn("pretty", pretty_json(F.when((F.col("kind") == "plan_update") & ~_is(plan, "STRING"), F.to_json(plan))))
     use, result = _get(v, "$.payload.id"), _get(v, "$.payload.toolUseId")
     none = F.lit(None).cast("string")
     block = (
         F.when(F.col("id").isNotNull() & (text != ""), _block(0, "text", "text", text, "text", True))
         .when(F.col("kind") == "tool_call", _block(F.ascii(use) + 1000, "tool_use", "tool_input", none, None, False, _get(v, "$.payload.name"), use, F.coalesce(F.to_json(F.try_variant_get(v, "$.payload.input", "variant")), F.lit("null"))))
         .when(F.col("kind") == "tool_response", _block(F.ascii(result) + 2000, "tool_result", "tool_output", F.coalesce(F.to_json(content), F.lit("null")), None, False, None, result))
-        .when((F.col("kind") == "plan_update") & plan.isNotNull(), _block(-1, "plan", "plan", F.when(_is(plan, "STRING"), plan.cast("string")).otherwise(F.to_json(plan)), None, True))
+        .when((F.col("kind") == "plan_update") & plan.isNotNull(), _block(-1, "plan", "plan", F.when(_is(plan, "STRING"), plan.cast("string")).otherwise(F.col("pretty")), None, True))
     )
     rows = rows.withColumn("block", block).withColumn("text", text)
     messages = rows.filter("id IS NOT NULL").select(

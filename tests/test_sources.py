@@ -70,6 +70,7 @@ def root(tmp_path_factory):
         {"timestamp": "5", "type": "tool_call", "payload": {"id": "x1", "name": "sh", "input": {"c": "ls"}}},
         {"timestamp": "6", "type": "tool_response", "payload": {"toolUseId": "x1", "content": "out"}},
         {"timestamp": "7", "type": "plan_update", "payload": {"plan": "do it"}},
+        {"timestamp": "7", "type": "plan_update", "payload": {"plan": {"b": ["é", {}, 1.5], "a": []}}},
         {"timestamp": "8", "type": "task_update", "payload": {"id": "k", "subject": "a", "description": "b", "status": "open", "blockedBy": ["j"]}},
         {"timestamp": "9", "type": "task_update", "payload": {"id": "k", "subject": "a", "description": "b", "status": "done"}},
     ]
@@ -108,6 +109,8 @@ def test_store_redacts_and_deduplicates(tables):
     kinds = {r["kind"] for r in blobs.values()}
     assert {"user_text", "text", "thinking", "tool_input", "tool_output", "system", "summary", "plan"} <= kinds
     assert blobs[sha('{"a":2,"b":1}')]["kind"] == "tool_input"
+    plans = {r["content"] for r in blobs.values() if r["kind"] == "plan"}
+    assert plans == {"do it", '{\n  "a": [],\n  "b": [\n    "é",\n    {},\n    1.5\n  ]\n}'}
     searchable = {r["kind"] for r in tables["search"].collect()}
     assert "thinking" not in searchable and "tool_input" not in searchable
 
