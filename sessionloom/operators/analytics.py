@@ -238,6 +238,20 @@ def card(rows: DataFrame, slug: str, title: Column, colours: int = 8) -> DataFra
     return rows.select("*", F.pmod(F.aggregate(codes, F.lit(0), lambda a, c: a + c), F.lit(colours)).alias("colour"), F.coalesce(F.substring(title, 1, 100), F.lit("Untitled session")).alias("title"))
 
 
+def age(stamp: Column, now: Column) -> Column:
+    """How long ago a time was: within the hour 'just now', within the day its whole hours, then 'yesterday', from two days on month and day.
+
+    Times yet to come are 'just now'; null is null.
+    """
+    hours = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(stamp.cast("timestamp"))) / 3.6e9
+    return (
+        F.when(hours < 1, "just now")
+        .when(hours < 24, F.concat(F.floor(hours).cast("string"), F.lit("h ago")))
+        .when(hours < 48, "yesterday")
+        .otherwise(F.date_format(stamp.cast("timestamp"), "MMM d"))
+    )
+
+
 def model_sessions(messages: DataFrame) -> DataFrame:
     """Messages and distinct sessions of each model, most messages first; (model, session) pairs are counted before models are."""
     pairs = messages.filter("model IS NOT NULL").groupBy("model", "session_id").agg(F.count("*").alias("n"))

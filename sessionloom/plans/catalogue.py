@@ -822,6 +822,16 @@ def project_colours(spark, sf_dir):
     return A.card(rows, "project_slug", F.lit(None).cast("string")).select("project_slug", "colour")
 
 
+@query("""WITH n AS (SELECT max(CAST(created_at AS TIMESTAMP)) + INTERVAL 810 MINUTE AS now FROM sessions),
+    h AS (SELECT id, CAST(created_at AS TIMESTAMP) AS t, (epoch_us(now) - epoch_us(CAST(created_at AS TIMESTAMP))) / 3.6e9 AS h FROM sessions, n)
+    SELECT id, CASE WHEN h < 1 THEN 'just now' WHEN h < 24 THEN CAST(floor(h) AS BIGINT) || 'h ago' WHEN h < 48 THEN 'yesterday' ELSE strftime(t, '%b %-d') END AS age FROM h""")
+def session_ages(spark, sf_dir):
+    """Ages of all sessions, seen half a day and more behind the last one."""
+    rows = D.sessions(spark, sf_dir)
+    now = F.broadcast(rows.agg((F.max(F.to_timestamp("created_at")) + F.expr("INTERVAL 810 MINUTES")).alias("now")))  # one row
+    return rows.crossJoin(now).select("id", A.age(F.to_timestamp("created_at"), F.col("now")).alias("age"))
+
+
 # -- analyses of tokens and files ---------------------------------------------------------------
 
 

@@ -274,3 +274,13 @@ def test_cut_texts_of_all_documents(spark, sf_dir):
     got = sorted(tuple(r) for r in catalogue.QUERIES["cut_texts"](spark, sf_dir).collect())
     assert got == sorted((r["doc_id"], cut(r["text"])) for r in rows)
     assert sum(s is not None and s.endswith("...") for _, s in got) > len(rows) // 2
+
+
+def test_ages(spark):
+    now = F.lit("2026-03-02 12:00:00")
+    ages = {
+        "2026-03-02 13:00:00": "just now", "2026-03-02 11:00:00.000001": "just now", "2026-03-02 11:00:00": "1h ago", "2026-03-01 12:00:00.5": "23h ago",
+        "2026-03-01 12:00:00": "yesterday", "2026-02-28 12:00:01": "yesterday", "2026-02-28 12:00:00": "Feb 28", "2024-11-05 00:00:00": "Nov 5", None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in ages], "t string").select("t", analytics.age(F.col("t"), now).alias("age"))
+    assert {r["t"]: r["age"] for r in rows.collect()} == ages
