@@ -149,8 +149,9 @@ def epoch_millis_text(ms: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
+    """A number of bytes to one decimal; what lies halfway goes to the even one, as in C's printf (Java's goes up)."""
     units = [("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10)]
-    return reduce(lambda c, u: c.when(n >= u[1], F.format_string(f"%.1f {u[0]}", n / F.lit(float(u[1])))), units, F).otherwise(F.format_string("%d B", n.cast("long")))
+    return reduce(lambda c, u: c.when(n >= u[1], F.format_string(f"%.1f {u[0]}", F.bround(n / F.lit(float(u[1])), 1))), units, F).otherwise(F.format_string("%d B", n.cast("long")))
 
 
 def short_tool(name: Column) -> Column:

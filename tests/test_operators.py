@@ -120,6 +120,8 @@ def test_small_functions(spark):
     assert one(spark, T.last_segment(F.lit("/a/b/"))) == "" and one(spark, T.last_segment(F.lit("a"))) == "a"
     assert one(spark, T.epoch_millis_text(F.lit(1500))) == "1970-01-01T00:00:01+00:00"
     assert [one(spark, T.human_bytes(F.lit(n))) for n in (5, 2048, 3 << 20)] == ["5 B", "2.0 KB", "3.0 MB"]
+    # halfway between two decimals: the even one, as printf does
+    assert [one(spark, T.human_bytes(F.lit(n))) for n in (1280, 1792, 1281, (1 << 20) * 122 + (1 << 18), (5 << 28))] == ["1.2 KB", "1.8 KB", "1.3 KB", "122.2 MB", "1.2 GB"]
     assert one(spark, T.short_tool(F.lit("mcp__git__statusTool"))) == "status"
     assert one(spark, F.lit("plans/a/b.md").rlike(T.glob_regex("plans/**/*.md")))
     assert not one(spark, F.lit("plans/a/b.md").rlike(T.glob_regex("plans/*.md")))
