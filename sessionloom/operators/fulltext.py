@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import exists, remove
 from ..functions.text import plain_tokens, stemmed, tokens
-from .search import B, K1, lengths, postings
+from .search import B, K1, PART_BYTES, dealt, lengths, postings
 from .store import first_wins
 
 COLUMNS = ("kind", "content")
@@ -35,6 +35,8 @@ INDEX = {
     "lengths": "hash STRING, length BIGINT, segment STRING",
     "totals": "segment STRING, replaces ARRAY<STRING>, stem BOOLEAN, blobs BIGINT, tokens BIGINT",
 }
+#: What a file of postings is sorted by.
+ORDER = ("term", "hash", "column", "position")
 
 
 class QueryError(ValueError):
@@ -199,11 +201,16 @@ def _segments(spark: SparkSession, path: str) -> tuple[list[str], bool | None]:
     return sorted(r["segment"] for r in rows if r["segment"] not in gone), next((r["stem"] for r in rows), None)
 
 
-def _store(rows: DataFrame, size: DataFrame, path: str, stem: bool, replaces: list[str]) -> None:
-    """Write a segment: postings sorted by term, lengths, and last the totals, without which it does not count."""
+def _store(rows: DataFrame, hashes: DataFrame, path: str, stem: bool, replaces: list[str]) -> None:
+    """Write a segment: postings as they are dealt and sorted, lengths of all ``hashes``, and last the totals, without which it does not count.
+
+    A blob's postings lie in one file, so a file names few hashes, once each. A search reads of each file the pages of its terms, hence short ones.
+    """
     spark, segment = rows.sparkSession, uuid.uuid4().hex
-    by_term = rows.repartitionByRange("term", "hash").sortWithinPartitions("term", "hash", "column", "position")
-    by_term.select("hash", "column", "position", "term").write.parquet(f"{path}/postings/segment={segment}")
+    rows.select("hash", "column", "position", "term").write.option("parquet.page.row.count.limit", 4096).parquet(f"{path}/postings/segment={segment}")
+    counted = lengths(spark.read.schema("hash STRING").parquet(f"{path}/postings/segment={segment}"))
+    # a blob without any word still is one of the blobs that scores count
+    size = hashes.join(counted, "hash", "left").select("hash", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
     size.write.parquet(f"{path}/lengths/segment={segment}")
     done = spark.read.schema("hash STRING, length BIGINT").parquet(f"{path}/lengths/segment={segment}")
     totals = done.agg(F.count("*").alias("blobs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
@@ -211,22 +218,28 @@ def _store(rows: DataFrame, size: DataFrame, path: str, stem: bool, replaces: li
     named.write.mode("append").parquet(f"{path}/totals")
 
 
+def _parts(blobs: DataFrame) -> int:
+    """Into how many parts to deal the blobs, judged by the bytes of a sixteenth of the hashes, so that not all texts are moved for it."""
+    some = blobs.filter(F.pmod(F.xxhash64("hash"), F.lit(16)) == 0).agg(F.sum(F.octet_length("content").cast("long")).alias("bytes")).first()
+    return 1 + 16 * (some["bytes"] or 0) // PART_BYTES
+
+
 def add(blobs: DataFrame, path: str, stem: bool = True) -> None:
     """Index the blobs (hash, kind, content) whose hash the index does not hold yet, as a new segment; of a repeated hash the first by content.
 
-    What is stored is not touched, so the cost is that of the new blobs and of one anti-join on hashes.
+    What is stored is not touched, so the cost is that of the new blobs and of one anti-join on hashes. Texts are dealt by hash;
+    words, many times their size as rows, stay in the task that split them, which sorts them by term (stemmed ones by word).
     A run that is cut off leaves a segment without totals, which no search reads.
     """
     spark = blobs.sparkSession
     segments, stored = _segments(spark, path)
     if stored is not None and stored != stem:
         raise ValueError("the index was built with other terms")
-    old = read(spark, path).lengths if segments else None
-    new = first_wins(blobs.select("hash", "kind", "content"), ["hash"], ["kind", "content"], old)
-    rows = postings(new, stem)
-    # a blob without any word still is one of the blobs that scores count
-    size = new.select("hash").join(lengths(rows), "hash", "left").select("hash", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
-    _store(rows, size, path, stem, [])
+    new = blobs.select("hash", "kind", "content")
+    if segments:
+        new = new.join(read(spark, path).lengths.select("hash"), "hash", "left_anti")
+    rows = postings(first_wins(dealt(new, _parts(new)), ["bucket", "hash"], ["kind", "content"]), stem)
+    _store(rows if stem else rows.sortWithinPartitions(*ORDER), new.select("hash").distinct(), path, stem, [])
 
 
 def read(spark: SparkSession, path: str) -> Index:
@@ -240,12 +253,13 @@ def read(spark: SparkSession, path: str) -> Index:
 
 
 def merge(spark: SparkSession, path: str) -> None:
-    """Make one segment of all, so that a term's rows lie together again; the old ones go once the new one is finished."""
+    """Make one segment of all, in as few files as its size asks for; the old ones go once the new one is finished."""
     segments, stem = _segments(spark, path)
     if len(segments) < 2:
         return
     index = read(spark, path)
-    _store(index.postings, index.lengths, path, bool(stem), segments)
+    rows = dealt(index.postings, 1 + index.totals.first()["tokens"] // (PART_BYTES // 6))
+    _store(rows.sortWithinPartitions(*ORDER), index.lengths.select("hash"), path, bool(stem), segments)
     for s in segments:
         remove(spark, f"{path}/postings/segment={s}")
         remove(spark, f"{path}/lengths/segment={s}")

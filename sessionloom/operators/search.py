@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, plain_tokens, stemmed, tokens
@@ -16,19 +16,32 @@ from ..functions.text import folded, plain_tokens, stemmed, tokens
 K1, B = 1.2, 0.75
 
 
+#: Bytes of text whose words one task sorts, about: some hundred MB of rows.
+PART_BYTES = 16 << 20
+
+
+def dealt(blobs: DataFrame, parts: int) -> DataFrame:
+    """The rows dealt by hash, each ``bucket`` of hashes to a task of its own."""
+    return blobs.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("bucket"))
+
+
 def postings(blobs: DataFrame, stem: bool = True) -> DataFrame:
     """(hash, column, position, term) of the kind and content of each blob.
 
-    Stems are computed once for each distinct word and joined back, so that the stemmer runs
-    over the vocabulary, not over the text.
+    Stems are computed once for each distinct word of a ``bucket`` (see ``dealt``): its rows lie sorted by word in one
+    task, so the stemmer runs over vocabularies, not over the text, and no word is moved.
     """
+    if stem and "bucket" not in blobs.columns:
+        blobs = dealt(blobs, int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     split = tokens if stem else plain_tokens
     columns = F.explode(F.array(F.struct(F.lit("kind").alias("column"), F.col("kind").alias("text")), F.struct(F.lit("content").alias("column"), F.col("content").alias("text"))))
-    rows = blobs.select("hash", columns.alias("c")).select("hash", F.col("c.column").alias("column"), F.posexplode(split(F.col("c.text"))).alias("position", "word"))
+    kept = ["bucket", "hash"] if stem else ["hash"]
+    rows = blobs.select(*kept, columns.alias("c")).select(*kept, F.col("c.column").alias("column"), F.posexplode(split(F.col("c.text"))).alias("position", "word"))
     if not stem:
         return rows.withColumnRenamed("word", "term")
-    words = stemmed(rows.select("word").distinct(), "word", "term")
-    return rows.join(words, "word").select("hash", "column", "position", "term")
+    same = Window.partitionBy("bucket", "word").orderBy("hash", "column", "position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = stemmed(rows.withColumn("first", F.when(F.row_number().over(same) == 1, F.col("word"))), "first", "stem")
+    return rows.select("hash", "column", "position", F.first("stem").over(same).alias("term"))
 
 
 def write_index(blobs: DataFrame, path: str, stem: bool = True) -> None:

@@ -6,7 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import fulltext
+from sessionloom.operators import fulltext, search
 
 POOL = ["run", "running", "the", "fox", "Café", "jumps", "over", "lazy", "text", "texts", "lax", "jumper", "naïve"]
 
@@ -156,3 +156,19 @@ def test_search_reads_the_row_groups_of_its_terms(spark, tmp_path):
 
     walk(found._jdf.queryExecution().executedPlan())
     assert read and max(read) < 4000 * 31 / 2  # of all postings
+
+
+@pytest.mark.parametrize("stem", [True, False])
+def test_index_moves_texts_not_words(spark, tmp_path, stem):
+    """Words and hashes are many times the size of the texts: no shuffle deals rows by word, and a hash stands in one file only."""
+    blobs = spark.createDataFrame(collection(300), "hash string, kind string, content string").repartition(7)
+    assert not [x for x in search.postings(blobs, stem)._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and ("word" in x or "term" in x)]
+    path = str(tmp_path / "index")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(fulltext, "PART_BYTES", 4096)
+        fulltext.add(blobs, path, stem)
+    index = fulltext.read(spark, path)
+    files = index.postings.select("hash", F.input_file_name().alias("file")).distinct()
+    assert files.select("file").distinct().count() > 3 and files.count() == files.select("hash").distinct().count()
+    want = fulltext.of_blobs(blobs, stem)
+    assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, want.postings.collect()))
