@@ -172,3 +172,14 @@ def test_index_moves_texts_not_words(spark, tmp_path, stem):
     assert files.select("file").distinct().count() > 3 and files.count() == files.select("hash").distinct().count()
     want = fulltext.of_blobs(blobs, stem)
     assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, want.postings.collect()))
+
+
+def test_search_deals_places_once(spark, stored):
+    """All phrases of all blobs are counted where their places were dealt to by hash; no second shuffle of them by phrase and start."""
+    _, _, index = stored
+    found = fulltext.find(index, 'content : (run OR "the fox") AND te* NOT kind:note')
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]
+    assert dealt and not [x for x in dealt if "phrase" in x.split("]")[0] or "start" in x.split("]")[0]]
+    assert len([x for x in dealt if "hashpartitioning(hash" in x]) <= 2  # the places, and the lengths they are joined with
