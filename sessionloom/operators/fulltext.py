@@ -309,7 +309,8 @@ def instances(index: Index, found: list[Phrase], terms: list[list[tuple[str, boo
     fits = lambda p: (
         ((p["term"] == F.col("term")) | (p["star"] & F.startswith(F.col("term"), p["term"]))) & F.array_contains(p["columns"], F.col("column")) & (~p["begins"] | (F.col("position") == p["place"]))
     )
-    rows = index.postings.filter(wanted).select("hash", "column", "position", F.explode(F.filter(literal, fits)).alias("p"))
+    # hashes are keys; a join by them asks for what is not null, and without it here too the places would be read and dealt again for what joins nothing
+    rows = index.postings.filter(wanted & F.col("hash").isNotNull()).select("hash", "column", "position", F.explode(F.filter(literal, fits)).alias("p"))
     # dealt by hash, once for all that is counted of a blob; in a set number of parts, as merged ones would be large once they are counted
     parts = int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt_out = rows.select("hash", "column", (F.col("position") - F.col("p.place")).alias("start"), F.col("p.phrase").alias("phrase"), F.col("p.n").alias("n")).repartition(parts, "hash")

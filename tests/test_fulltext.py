@@ -183,3 +183,13 @@ def test_search_deals_places_once(spark, stored):
     dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]
     assert dealt and not [x for x in dealt if "phrase" in x.split("]")[0] or "start" in x.split("]")[0]]
     assert len([x for x in dealt if "hashpartitioning(hash" in x]) <= 2  # the places, and the lengths they are joined with
+
+
+def test_search_reads_and_deals_places_once(spark, stored):
+    """What is counted over all blobs, for the idf, takes the places that were dealt for the blobs: no second scan of the postings."""
+    _, _, index = stored
+    found = fulltext.find(index, '"the fox" OR run OR lax*')
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    assert len([x for x in final if "Exchange hashpartitioning(hash" in x and "REPARTITION_BY_NUM" in x and "ReusedExchange" not in x]) == 1
+    assert len([x for x in final if "FileScan parquet" in x and "term" in x.split("]")[0]]) == 1
