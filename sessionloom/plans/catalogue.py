@@ -624,7 +624,7 @@ def _ranked(spark, sf_dir, text: str, stem: bool = False) -> DataFrame:
 @query(_INDEX + """SELECT (SELECT count(*) FROM size) AS blobs, count(*) AS tokens, count(DISTINCT term) AS terms FROM t""")
 def search_index(spark, sf_dir):
     index = _index(spark, sf_dir)
-    return index.totals.select(F.col("blobs").cast("long").alias("blobs"), F.col("tokens").cast("long").alias("tokens")).crossJoin(F.broadcast(index.postings.agg(F.countDistinct("term").alias("terms"))))
+    return index.totals.select(F.col("blobs").cast("long").alias("blobs"), F.col("tokens").cast("long").alias("tokens")).crossJoin(F.broadcast(X.vocabulary(index)))
 
 
 @query(_INDEX + """, f AS (SELECT hash, CASE term WHEN 'with' THEN 0 ELSE 1 END AS phrase, count(*) AS f FROM t WHERE term IN ('with', 'erth') GROUP BY 1, 2)"""

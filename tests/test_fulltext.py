@@ -193,3 +193,33 @@ def test_search_reads_and_deals_places_once(spark, stored):
     final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
     assert len([x for x in final if "Exchange hashpartitioning(hash" in x and "REPARTITION_BY_NUM" in x and "ReusedExchange" not in x]) == 1
     assert len([x for x in final if "FileScan parquet" in x and "term" in x.split("]")[0]]) == 1
+
+
+def test_vocabulary_shuffles_terms_of_many_files_once(spark, tmp_path, monkeypatch):
+    """A task for each file would shuffle the words that all files hold once for each of them."""
+    monkeypatch.setattr(fulltext, "PART_BYTES", 1024)
+    path, before = str(tmp_path / "index"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    fulltext.add(spark.createDataFrame(collection(300), "hash string, kind string, content string"), path, stem=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        index = fulltext.read(spark, path)
+        want = len({r["term"] for r in index.postings.select("term").distinct().collect()})
+        found = fulltext.vocabulary(index)
+        files, got = len(index.postings.inputFiles()), found.collect()[0]["terms"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    written = []
+
+    def walk(node):
+        if node.nodeName().startswith("Exchange"):
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+        if "AdaptiveSparkPlan" in node.nodeName():
+            walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            walk(node.plan())
+
+    walk(found._jdf.queryExecution().executedPlan())
+    assert got == want and files > 24 and 0 < max(written) <= 12 * want, (got, files, written)
